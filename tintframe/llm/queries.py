@@ -5,10 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import exact_dedup, mixing, packing
 from .common import documents
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), keep_ids=False).drop("ids")
+
+
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(documents(spark, sf_dir))
+
+
+OP6_SQL = """
+WITH normal AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+FROM normal WINDOW w AS (PARTITION BY t)
+"""
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.plan_mix(documents(spark, sf_dir))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -40,5 +57,5 @@ SELECT s.doc_id, s.size, r.source_size, r.target,
 FROM sized s JOIN rates r ON s.source IS NOT DISTINCT FROM r.source
 """
 
-QUERIES = {"op7_mixing": op7_mixing}
-ORACLES = {"op7_mixing": OP7_SQL}
+QUERIES = {f.__name__: f for f in (op3_packing, op6_exact_dedup, op7_mixing)}
+ORACLES = {"op6_exact_dedup": OP6_SQL, "op7_mixing": OP7_SQL}

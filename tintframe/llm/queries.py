@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing
+from . import exact_dedup, mixing, packing, topk_search
 from .common import documents
 
 
@@ -57,5 +57,23 @@ SELECT s.doc_id, s.size, r.source_size, r.target,
 FROM sized s JOIN rates r ON s.source IS NOT DISTINCT FROM r.source
 """
 
-QUERIES = {f.__name__: f for f in (op3_packing, op6_exact_dedup, op7_mixing)}
-ORACLES = {"op6_exact_dedup": OP6_SQL, "op7_mixing": OP7_SQL}
+def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk_search.top_k(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
+OP8_SQL = """
+WITH clean AS (
+  SELECT vec_id, [floor(1024 * x::DOUBLE) for x in embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM clean q JOIN clean c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0
+), ranked AS (
+  SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+QUERIES = {f.__name__: f for f in (op3_packing, op6_exact_dedup, op7_mixing, op8_topk_search)}
+ORACLES = {"op6_exact_dedup": OP6_SQL, "op7_mixing": OP7_SQL, "op8_topk_search": OP8_SQL}

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, topk_search
-from .common import documents
+from . import exact_dedup, language_model, mixing, packing, topk_search
+from .common import documents, fold
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,5 +75,11 @@ WITH clean AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
-QUERIES = {f.__name__: f for f in (op3_packing, op6_exact_dedup, op7_mixing, op8_topk_search)}
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).withColumn("held_out", fold(F.col("doc_id")) == 1)
+    model = language_model.train(docs.filter(~F.col("held_out")))
+    return language_model.score(docs, model)
+
+
+QUERIES = {f.__name__: f for f in (op3_packing, op6_exact_dedup, op7_mixing, op8_topk_search, op10_language_model)}
 ORACLES = {"op6_exact_dedup": OP6_SQL, "op7_mixing": OP7_SQL, "op8_topk_search": OP8_SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_model, mixing, packing, topk_search
+from . import exact_dedup, language_id, language_model, mixing, packing, quality, topk_search
 from .common import documents, fold
 
 
@@ -13,6 +13,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), keep_ids=False).drop("ids")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(documents(spark, sf_dir))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
@@ -75,11 +79,17 @@ WITH clean AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = quality.quality_scores(documents(spark, sf_dir), labels)
+    return scored.select("doc_id", (F.col("fold") == 0).alias("held_out"), "score", quality.predicted(F.col("score")).alias("predicted"))
+
+
 def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).withColumn("held_out", fold(F.col("doc_id")) == 1)
     model = language_model.train(docs.filter(~F.col("held_out")))
     return language_model.score(docs, model)
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op6_exact_dedup, op7_mixing, op8_topk_search, op10_language_model)}
+QUERIES = {f.__name__: f for f in (op3_packing, op4_language_id, op6_exact_dedup, op7_mixing, op8_topk_search, op9_quality, op10_language_model)}
 ORACLES = {"op6_exact_dedup": OP6_SQL, "op7_mixing": OP7_SQL, "op8_topk_search": OP8_SQL}

@@ -5,10 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, language_model, mixing, packing, quality, topk_search
+from . import exact_dedup, jaccard_join, language_id, language_model, mixing, packing, quality, topk_search
 from .common import documents, fold
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(documents(spark, sf_dir)).drop("row")
+
+
+OP2_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([array_to_string(w[i : i + 4], ' ') for i in range(1, len(w) - 3)]) END AS s FROM words
+), sized AS (SELECT doc_id, s, len(s)::BIGINT AS n FROM sets
+), shingles AS (SELECT doc_id, n, unnest(s) AS x FROM sized
+), met AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common, any_value(a.n) + any_value(b.n) AS total
+  FROM shingles a JOIN shingles b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+), links AS (SELECT a, b FROM met WHERE 100 * common >= 75 * (total - common)
+), reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM sized
+  UNION
+  SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other
+)
+SELECT s.doc_id, any_value(s.n) AS n_shingles, min(r.other) AS component_id FROM sized s JOIN reach r USING (doc_id) GROUP BY s.doc_id
+"""
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), keep_ids=False).drop("ids")
 
@@ -91,5 +116,5 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(docs, model)
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op4_language_id, op6_exact_dedup, op7_mixing, op8_topk_search, op9_quality, op10_language_model)}
-ORACLES = {"op6_exact_dedup": OP6_SQL, "op7_mixing": OP7_SQL, "op8_topk_search": OP8_SQL}
+QUERIES = {f.__name__: f for f in (op2_jaccard_join, op3_packing, op4_language_id, op6_exact_dedup, op7_mixing, op8_topk_search, op9_quality, op10_language_model)}
+ORACLES = {"op2_jaccard_join": OP2_SQL, "op6_exact_dedup": OP6_SQL, "op7_mixing": OP7_SQL, "op8_topk_search": OP8_SQL}

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, language_id, language_model, mixing, packing, quality, topk_search
+from . import exact_dedup, jaccard_join, language_id, language_model, mixing, packing, quality, suffix_dedup, topk_search
 from .common import documents, fold
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir), keep_bytes=False)
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(documents(spark, sf_dir)).drop("row")
 
@@ -116,5 +120,5 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(docs, model)
 
 
-QUERIES = {f.__name__: f for f in (op2_jaccard_join, op3_packing, op4_language_id, op6_exact_dedup, op7_mixing, op8_topk_search, op9_quality, op10_language_model)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_jaccard_join, op3_packing, op4_language_id, op6_exact_dedup, op7_mixing, op8_topk_search, op9_quality, op10_language_model)}
 ORACLES = {"op2_jaccard_join": OP2_SQL, "op6_exact_dedup": OP6_SQL, "op7_mixing": OP7_SQL, "op8_topk_search": OP8_SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, language_id, language_model, mixing, packing, quality, suffix_dedup, topk_search
+from . import exact_dedup, jaccard_join, language_id, language_model, line_dedup, mixing, packing, quality, suffix_dedup, topk_search
 from .common import documents, fold
 
 
@@ -46,6 +46,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(documents(spark, sf_dir))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its lines, those that go, and of these the ones only near an earlier line."""
+    found = line_dedup.duplicate_lines(documents(spark, sf_dir))
+    return found.select("doc_id", F.col("n_lines").cast("long"), F.size("removed").cast("long").alias("n_removed"), F.size("near").cast("long").alias("n_near"), F.array_join("removed", ",").alias("removed_lines"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
@@ -120,5 +126,5 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(docs, model)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_jaccard_join, op3_packing, op4_language_id, op6_exact_dedup, op7_mixing, op8_topk_search, op9_quality, op10_language_model)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_jaccard_join, op3_packing, op4_language_id, op5_line_dedup, op6_exact_dedup, op7_mixing, op8_topk_search, op9_quality, op10_language_model)}
 ORACLES = {"op2_jaccard_join": OP2_SQL, "op6_exact_dedup": OP6_SQL, "op7_mixing": OP7_SQL, "op8_topk_search": OP8_SQL}

@@ -4,11 +4,12 @@ Two sets as similar as the threshold share one of each one's first ``n - ceil(t
 shingles in any order that all sets agree on. Here that order is by hash, with the shingles
 that are frequent within a batch of documents last. Sets that share such a key form a block.
 
-Equal sets are one class from the start. Every class is first compared with one or two
-members of its blocks; what links is one component, and a block that lies within one
-component needs no more work. In the other blocks an R-tree over count vectors (shingles
-hashed to groups, counts of a group as coordinates) finds the pairs across components whose
-summed minima allow the overlap. Surviving pairs are verified on the whole sets.
+Equal sets are one class from the start. The rows of a large block are first
+compared with its first and last; those of a small one in pairs. What links is one component,
+and a block that lies within one component needs no more work. In the other large blocks an
+R-tree over count vectors (shingles hashed to groups, counts of a group as coordinates) finds
+the pairs across components whose summed minima allow the overlap; the same bound thins the
+other pairs. Surviving pairs are verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from .hashing import U, mix, words_by_doc
 GROUPS = 128
 #: Members of a block that one R-tree takes; larger blocks are cut and joined piece by piece.
 BLOCK_ROWS = 4096
+#: Blocks of up to so many rows give their pairs directly.
+SMALL = 32
 #: How many frequent shingles are ordered last, at most: 8 bytes each in every task.
 FREQUENT = 200_000
 _KEYS_A_SHARD = 500_000
@@ -99,20 +102,21 @@ def prefix(s: np.ndarray, frequent: np.ndarray, threshold: Fraction) -> np.ndarr
     return s[:length]
 
 
-_KEYS_DDL = "shard int, row array<long>, at array<int>, key array<long>"
+_KEYS_DDL = "shard int, row array<long>, size array<int>, at array<int>, key array<long>"
 
 
 def _keys(width: int, threshold: Fraction, shards: int, frequent):
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = frequent.value
         for batch in batches:
-            rows, own = [], []
+            rows, sizes, own = [], [], []
             known = set()
             for row, s in zip(batch["row"].to_pylist(), shingle_sets(_texts(batch), width), strict=True):
                 mark = s.tobytes()
                 if len(s) and mark not in known:  # an equal set of the batch stands for it
                     known.add(mark)
                     rows.append(row)
+                    sizes.append(len(s))
                     own.append(prefix(s, often, threshold))
             if not rows:
                 continue
@@ -120,39 +124,72 @@ def _keys(width: int, threshold: Fraction, shards: int, frequent):
             shard = (mix(key ^ U(0x9FB21C651E98DF25)) % U(shards)).astype(np.int64)
             order = np.lexsort((at, shard))
             cuts = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1))
-            ids = np.array(rows, np.int64)
+            ids, sizes = np.array(rows, np.int64), np.array(sizes, np.int32)
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 mine = order[lo:hi]
                 present, local = np.unique(at[mine], return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array([shard[mine[0]]], pa.int32()), pa.array([ids[present]], pa.list_(pa.int64())), pa.array([local.astype(np.int32)], pa.list_(pa.int32())), pa.array([key[mine].view(np.int64)], pa.list_(pa.int64()))], names=["shard", "row", "at", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array([shard[mine[0]]], pa.int32()), pa.array([ids[present]], pa.list_(pa.int64())), pa.array([sizes[present]], pa.list_(pa.int32())), pa.array([local.astype(np.int32)], pa.list_(pa.int32())), pa.array([key[mine].view(np.int64)], pa.list_(pa.int64()))], names=["shard", "row", "size", "at", "key"])
 
     return keys
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keys of a shard to ``key, row, first, last`` for each key that several rows have."""
+#: What a shard finds: a pair of a block's first or last row with another, another pair of a
+#: small block, or a row of a large block under its key.
+STAR, PAIR, MEMBER = 0, 1, 2
 
-    def block(keys: list, rows: list) -> Iterator[pa.RecordBatch]:
-        key, row = np.concatenate(keys), np.concatenate(rows)
+
+def _small_pairs(row: np.ndarray, size: np.ndarray, cuts: np.ndarray, width: np.ndarray, threshold: Fraction) -> np.ndarray:
+    """Pairs of rows of the same block whose sizes allow the threshold, blocks being small."""
+    place = np.arange(len(row))
+    end = np.repeat(cuts + width, width)
+    found = []
+    for step in range(1, int(width.max(initial=1))):
+        a = place[place + step < end]
+        b = a + step
+        lo, hi = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+        fits = lo * threshold.denominator >= hi * threshold.numerator
+        found.append(np.stack([row[a[fits]], row[b[fits]]]))
+    return np.unique(np.hstack(found), axis=1) if found else np.empty((2, 0), np.int64)
+
+
+def _blocks(threshold: Fraction):
+    """Keys of a shard to ``kind, a, b``; a MEMBER has its key in ``a`` and its row in ``b``."""
+
+    def block(rows: list) -> Iterator[pa.RecordBatch]:
+        key, row, size = (np.concatenate(x) for x in zip(*rows, strict=True))
         order = np.lexsort((row, key))
-        key, row = key[order], row[order]
+        key, row, size = key[order], row[order], size[order].astype(np.int64)
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
+        key, row, size = key[new], row[new], size[new]
         cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        size = np.diff(np.append(cuts, len(key)))
-        many = np.repeat(size > 1, size)
-        first, last = np.repeat(row[cuts], size), np.repeat(row[cuts + size - 1], size)
-        yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (key, row, first, last)], names=["key", "row", "first", "last"])
-
-    now, keys, rows = None, [], []
-    for batch in batches:
-        for i, shard in enumerate(batch["shard"].to_pylist()):
-            if shard != now and keys:
-                yield from block(keys, rows)
-                keys, rows = [], []
-            now = shard
-            keys.append(np.asarray(batch["key"][i].values))
-            rows.append(np.asarray(batch["row"][i].values)[np.asarray(batch["at"][i].values)])
-    if keys:
-        yield from block(keys, rows)
+        width = np.diff(np.append(cuts, len(key)))
+        each = np.repeat(width, width)
+        first, last = np.repeat(row[cuts], width), np.repeat(row[cuts + width - 1], width)
+        star = np.hstack([np.stack([first, row]), np.stack([row, last])])[:, np.tile(each > SMALL, 2)]
+        star = np.unique(star[:, star[0] != star[1]], axis=1)
+        small = (each > 1) & (each <= SMALL)
+        few = (width > 1) & (width <= SMALL)
+        at = np.cumsum(width[few]) - width[few]
+        pair = _small_pairs(row[small], size[small], at, width[few], threshold)
+        held = each > SMALL
+        for kind, (a, b) in ((STAR, star), (PAIR, pair), (MEMBER, (key[held], row[held]))):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b)], names=["kind", "a", "b"])
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+        for batch in batches:
+            for i, shard in enumerate(batch["shard"].to_pylist()):
+                if shard != now and rows:
+                    yield from block(rows)
+                    rows = []
+                now = shard
+                at = np.asarray(batch["at"][i].values)
+                rows.append((np.asarray(batch["key"][i].values), np.asarray(batch["row"][i].values)[at], np.asarray(batch["size"][i].values)[at]))
+        if rows:
+            yield from block(rows)
+
+    return blocks
 
 
 def least_overlap(n: np.ndarray, m: np.ndarray, threshold: Fraction) -> np.ndarray:
@@ -257,17 +294,8 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, threshold: Fraction =
     total = rows.agg(F.sum("n")).first()[0] or 0
     shards = max(1, math.ceil((1 - threshold) * total / _KEYS_A_SHARD))
     keys = base.select("row", "text").mapInArrow(_keys(width, threshold, shards, frequent), _KEYS_DDL)
-    blocked = save(keys.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_blocks, "key long, row long, first long, last long"), "blocks")
-
-    wanted = blocked.select("row").distinct().join(node_of, "row").select(F.col("node").alias("row")).distinct()
-    texts = base.select("row", "text").join(wanted, "row", "left_semi").dropDuplicates(["row"])
-    sets = save(texts.mapInArrow(_to_sets(width), "row long, set binary"), "sets")
-    vectors = rows.select(F.col("row"), "n", "counts").join(wanted, "row", "left_semi").dropDuplicates(["row"])
-    vectors = save(vectors, "vectors")
-
-    def links(pairs: DataFrame) -> DataFrame:
-        side = lambda c: sets.select(F.col("row").alias(c), F.col("set").alias(f"set_{c}"))
-        return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify(threshold), "a long, b long")
+    blocked = save(keys.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_blocks(threshold), "kind int, a long, b long"), "blocks")
+    vectors = rows.select("row", "n", "counts").dropDuplicates(["row"])
 
     def bounded(pairs: DataFrame) -> DataFrame:
         """Pairs whose count vectors allow the overlap."""
@@ -282,28 +310,39 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, threshold: Fraction =
 
         return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(bound, "a long, b long")
 
+    def links(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs that reach the threshold on their whole sets, which are made for them alone."""
+        pairs = save(pairs, f"{name}-candidates")
+        wanted = save(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct(), f"{name}-rows")
+        texts = base.select("row", "text").join(wanted, "row", "left_semi").dropDuplicates(["row"])
+        sets = save(texts.mapInArrow(_to_sets(width), "row long, set binary"), f"{name}-sets")
+        side = lambda c: sets.select(F.col("row").alias(c), F.col("set").alias(f"set_{c}"))
+        found = save(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify(threshold), "a long, b long"), name)
+        discard(pairs, wanted, sets)
+        return found
+
     to_node = lambda df, c: df.join(node_of.select(F.col("row").alias(c), F.col("node").alias(f"{c}_node")), c).drop(c).withColumnRenamed(f"{c}_node", c)
-    star = blocked.select(F.col("first").alias("a"), F.col("row").alias("b")).union(blocked.select(F.col("last").alias("a"), F.col("row").alias("b"))).distinct()
-    star = to_node(to_node(star, "a"), "b").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    found = save(links(bounded(star)), "links")
+    part_of = lambda df, parts, c: df.join(parts.select(F.col("node").alias(c), F.col("component").alias(f"part_{c}")), c, "left").withColumn(f"part_{c}", F.coalesce(f"part_{c}", c))
+    nodes = lambda kind: to_node(to_node(blocked.filter(F.col("kind") == kind).select("a", "b"), "a"), "b").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = links(bounded(nodes(STAR).union(nodes(PAIR)).distinct()), "links")
     parts = components(found)
 
-    placed = to_node(blocked.select("key", "row"), "row").distinct().join(parts.withColumnRenamed("node", "row"), "row", "left").select("key", "row", F.coalesce("component", "row").alias("component"))
+    members = to_node(blocked.filter(F.col("kind") == MEMBER).select(F.col("a").alias("key"), F.col("b").alias("row")), "row").distinct()
+    placed = part_of(members, parts, "row").select("key", "row", F.col("part_row").alias("component"))
     sized = placed.groupBy("key").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
     pieces = F.ceil(F.col("members") / BLOCK_ROWS).cast("long")
     open_blocks = placed.join(sized.select("key", pieces.alias("pieces")), "key").withColumn("piece", F.pmod(F.xxhash64("row"), F.col("pieces")))
     cell = F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("other")
     cells = open_blocks.select("*", cell).select("key", "row", "component", F.least("piece", "other").alias("p"), F.greatest("piece", "other").alias("q"), (F.col("piece") > F.col("other")).alias("second"))
     met = cells.join(vectors, "row")
-    across = met.groupBy("key", "p", "q").applyInArrow(_tree_pairs(threshold), "a long, b long").distinct()
-    more = save(links(across), "more-links")
+    more = links(met.groupBy("key", "p", "q").applyInArrow(_tree_pairs(threshold), "a long, b long").distinct(), "more-links")
     final = components(found.union(more))
 
     named = member.filter(F.col("node").isNotNull()).join(final.withColumnRenamed("component", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
     least = named.groupBy("part").agg(F.min("least_id").alias("component_id"))
     linked = named.join(least, "part").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "row")
     alone = member.filter(F.col("node").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "row")
-    discard(profile, blocked, sets, vectors, found, more, parts)
+    discard(blocked, found, more, parts)
     return linked.unionByName(alone)
 
 

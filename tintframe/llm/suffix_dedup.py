@@ -31,7 +31,7 @@ from .hashing import U, _CODE, mix
 
 #: Bytes of text that are named at a time, but for longer single texts.
 _BITE = 1 << 20
-_SAMPLES_A_SHARD = 400_000
+_SAMPLES_A_SHARD = 200_000
 #: A sampled string that occurs more often is dealt window by window.
 HOT = 20_000
 
@@ -236,6 +236,21 @@ def _spans(ids: np.ndarray, at: np.ndarray, length: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids[lo]), pa.array(at[lo].astype(np.int64)), pa.array(at[hi].astype(np.int64) + length)], names=["id", "lo", "hi"])
 
 
+def _named(data: bytes, size: np.ndarray, length: int) -> np.ndarray:
+    """Names of the windows of a row's runs, ``_BITE`` bytes of its text at a time."""
+    sizes = size[size > 0].astype(np.int64)
+    ends = np.cumsum(sizes + length - 1)
+    out, at, lo = [np.empty(0, U)], 0, 0
+    while at < len(sizes):
+        upto = max(at + 1, int(np.searchsorted(ends, lo + _BITE, "right")))
+        n = sizes[at:upto]
+        whole = names(np.frombuffer(data, np.uint8, int(ends[upto - 1]) - lo, lo), length)
+        begin = (ends[at:upto] - (n + length - 1)) - lo
+        out.append(whole[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+        at, lo = upto, int(ends[upto - 1])
+    return np.concatenate(out)
+
+
 def _compare(length: int):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _shards(batches, ("id", "at", "size", "name", "bytes", "done")):
@@ -244,13 +259,11 @@ def _compare(length: int):
             done = np.concatenate([np.asarray(r[5].values) for r in rows]).reshape(-1, 2)
             if len(done):
                 yield _spans(done[:, 0], done[:, 1], length)
-            whole = names(np.frombuffer(b"".join(r[4].as_py() for r in rows), np.uint8), length)
             run = size > 0
             spread = np.repeat(np.flatnonzero(run), size[run])
             within = np.arange(len(spread)) - np.repeat(np.cumsum(size[run]) - size[run], size[run])
-            start = np.repeat(np.cumsum(size[run] + length - 1) - (size[run] + length - 1), size[run])
             single = np.flatnonzero(~run)  # windows of hot samples bring their names
-            window = np.concatenate([whole[start + within], name[single].view(U)])
+            window = np.concatenate([*(_named(r[4].as_py(), a[2], length) for r, a in zip(rows, arrays, strict=True)), name[single].view(U)])
             sample = np.concatenate([name[spread], np.zeros(len(single), np.int64)])
             owner, place = np.concatenate([ids[spread], ids[single]]), np.concatenate([at[spread] + within, at[single]])
             order = np.lexsort((window, sample))

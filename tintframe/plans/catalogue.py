@@ -1,7 +1,544 @@
-"""Registered queries and their oracles."""
+"""Registered queries over the driver's tables, and the DuckDB oracles of most of them."""
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import color, pigments
+from ..operators import filters, mixtures, nearest, palette, recipes, regions, wheel
+from ..sources import fixtures, images
+from ..streaming import requests
+from . import oracle_text as sql
+from . import styles
+
 FLAGSHIP = "style_realism"
 QUERIES: dict = {}
 ORACLES: dict = {}
+THREE, SIX = [0, 6, 11], [0, 2, 6, 9, 11, 18]
+MARK = 2.0
+
+
+def query(oracle: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def r6(**columns: Column) -> list[Column]:
+    return [F.round(c, 6).alias(n) for n, c in columns.items()]
+
+
+def _rgb() -> tuple[Column, Column, Column]:
+    return F.col("r"), F.col("g"), F.col("b")
+
+
+def _lab(df: DataFrame) -> DataFrame:
+    return df.select("*", *(c.alias(n) for c, n in zip(color.rgb_to_lab(*_rgb()), ("l", "aa", "bb"), strict=True)))
+
+
+def _cands(spark: SparkSession, indices: list[int]) -> DataFrame:
+    return mixtures.candidates(mixtures.palette(spark, indices))
+
+
+# ---- colour maths
+
+PX, COLOURS = fixtures.PIXELS_SQL, fixtures.COLOURS_SQL
+
+
+@query(f"WITH {PX}, {sql.lab_ctes('px', 'v')} SELECT image_id, y, x, round(l, 6) AS l, round(aa, 6) AS a, round(bb, 6) AS b FROM v")
+def srgb_to_lab(spark, sf_dir):
+    return _lab(fixtures.pixels(spark, sf_dir)).select("image_id", "y", "x", *r6(l=F.col("l"), a=F.col("aa"), b=F.col("bb")))
+
+
+_OK = [sql.dot(row, ("cl", "cm", "cs")) for row in color.FROM_ROOTS]
+
+
+@query(
+    f"WITH {COLOURS}, lin AS (SELECT id, {', '.join(f'{sql.byte_lin(c)} AS {c}' for c in 'rgb')} FROM colours), "
+    f"cone AS (SELECT id, {', '.join(f'cbrt({sql.dot(row, chr(114) + chr(103) + chr(98))}) AS {n}' for row, n in zip(color.TO_CONES, ('cl', 'cm', 'cs'), strict=True))} FROM lin) "
+    f"SELECT id, round({_OK[0]}, 6) AS ok_l, round({_OK[1]}, 6) AS ok_a, round({_OK[2]}, 6) AS ok_b FROM cone"
+)
+def srgb_to_oklab(spark, sf_dir):
+    light, a, b = color.linear_to_oklab(tuple(map(color.byte_to_linear, _rgb())))
+    return fixtures.colours(spark, sf_dir).select("id", *r6(ok_l=light, ok_a=a, ok_b=b))
+
+
+@query(f"WITH {COLOURS} SELECT id, r, g, b FROM colours")
+def oklab_round_trip(spark, sf_dir):
+    back = color.oklab_to_linear(color.linear_to_oklab(tuple(map(color.byte_to_linear, _rgb()))))
+    return fixtures.colours(spark, sf_dir).select("id", *(color.linear_to_byte(c).alias(n) for c, n in zip(back, "rgb", strict=True)))
+
+
+@query(f"WITH {COLOURS} SELECT id, r, g, b FROM colours")
+def xyz_round_trip(spark, sf_dir):
+    back = color.xyz_to_linear(color.linear_to_xyz(tuple(map(color.byte_to_linear, _rgb()))))
+    return fixtures.colours(spark, sf_dir).select("id", *(color.linear_to_byte(c).alias(n) for c, n in zip(back, "rgb", strict=True)))
+
+
+_KEY = "(((r >> 2) << 12) | ((g >> 2) << 6) | (b >> 2))"
+
+
+@query(f"WITH {PX} SELECT colour_key, n, (((colour_key >> 12) & 63) * 4 + 2)::INT AS r, (((colour_key >> 6) & 63) * 4 + 2)::INT AS g, ((colour_key & 63) * 4 + 2)::INT AS b FROM (SELECT {_KEY}::INT AS colour_key, count(*) AS n FROM px GROUP BY 1)")
+def quantise_key_histogram(spark, sf_dir):
+    keyed = fixtures.pixels(spark, sf_dir).groupBy(color.quantise(*_rgb()).alias("colour_key")).agg(F.count("*").alias("n"))
+    return keyed.select("*", *(c.alias(n) for c, n in zip(color.key_to_rgb(F.col("colour_key")), "rgb", strict=True)))
+
+
+def _pairs(df: DataFrame) -> DataFrame:
+    """Colours beside the next one by id, an equi-join on the id."""
+    lab = _lab(df).select("id", "l", "aa", "bb")
+    other = lab.select((F.col("id") - 1).alias("id"), *(F.col(c).alias(f"{c}2") for c in ("l", "aa", "bb")))
+    return lab.join(other, "id")
+
+
+_PAIR_CTES = f"WITH {COLOURS}, {sql.lab_ctes('colours', 'v')}, pairs AS (SELECT p.id, p.l, p.aa, p.bb, q.l AS l2, q.aa AS aa2, q.bb AS bb2 FROM v p JOIN v q ON q.id = p.id + 1)"
+
+
+def _xy():
+    return tuple(map(F.col, ("l", "aa", "bb"))), tuple(map(F.col, ("l2", "aa2", "bb2")))
+
+
+_DE = f"""{_PAIR_CTES}, m AS (SELECT *, (sqrt(aa * aa + bb * bb) + sqrt(aa2 * aa2 + bb2 * bb2)) / 2 AS cm FROM pairs),
+g AS (SELECT *, 1.5::DOUBLE - 0.5::DOUBLE * sqrt(pow(cm, 7) / (pow(cm, 7) + 6103515625::DOUBLE)) AS gr FROM m),
+p AS (SELECT *, aa * gr AS p1, aa2 * gr AS p2 FROM g),
+c AS (SELECT *, sqrt(p1 * p1 + bb * bb) AS c1, sqrt(p2 * p2 + bb2 * bb2) AS c2,
+  CASE WHEN p1 = 0 AND bb = 0 THEN 0 ELSE fmod(degrees(atan2(bb, p1)) + 360, 360) END AS h1, CASE WHEN p2 = 0 AND bb2 = 0 THEN 0 ELSE fmod(degrees(atan2(bb2, p2)) + 360, 360) END AS h2 FROM p),
+h AS (SELECT *, CASE WHEN c1 * c2 = 0 THEN 0 WHEN h2 - h1 > 180 THEN h2 - h1 - 360 WHEN h2 - h1 < -180 THEN h2 - h1 + 360 ELSE h2 - h1 END AS dh,
+  CASE WHEN c1 * c2 = 0 THEN h1 + h2 WHEN abs(h2 - h1) <= 180 THEN (h1 + h2) / 2 WHEN h1 + h2 < 360 THEN (h1 + h2 + 360) / 2 ELSE (h1 + h2 - 360) / 2 END AS hm, (c1 + c2) / 2 AS cc, ((l + l2) / 2 - 50) * ((l + l2) / 2 - 50) AS lo FROM c),
+t AS (SELECT *, 1 - 0.17::DOUBLE * cos(radians(hm - 30)) + 0.24::DOUBLE * cos(radians(2 * hm)) + 0.32::DOUBLE * cos(radians(3 * hm + 6)) - 0.20::DOUBLE * cos(radians(4 * hm - 63)) AS tt FROM h),
+d AS (SELECT *, (l2 - l) / (1 + 0.015::DOUBLE * lo / sqrt(20 + lo)) AS dl, (c2 - c1) / (1 + 0.045::DOUBLE * cc) AS dc,
+  2 * sqrt(c1 * c2) * sin(radians(dh / 2)) / (1 + 0.015::DOUBLE * cc * tt) AS dhh, 2 * sqrt(pow(cc, 7) / (pow(cc, 7) + 6103515625::DOUBLE)) * sin(radians(60 * exp(-pow((hm - 275) / 25, 2)))) AS rt FROM t),
+de AS (SELECT *, sqrt(dl * dl + dc * dc + dhh * dhh - rt * dc * dhh) AS e FROM d)"""
+
+
+@query(_DE + " SELECT id, round(e, 6) AS de FROM de")
+def ciede2000_pairs(spark, sf_dir):
+    return _pairs(fixtures.colours(spark, sf_dir)).select("id", *r6(de=color.ciede2000(*_xy())))
+
+
+@query(
+    _DE
+    + """ SELECT id, CASE WHEN e < 1 THEN 'indistinguishable' WHEN e < 2 THEN 'very close' WHEN e < 3 THEN 'close' WHEN e < 5 THEN 'noticeable' ELSE 'clearly different' END AS quality,
+  nullif(concat_ws(' and ', CASE WHEN l2 - l >= 1 THEN 'lighter' WHEN l2 - l <= -1 THEN 'darker' END,
+    CASE WHEN sqrt(aa2 * aa2 + bb2 * bb2) - sqrt(aa * aa + bb * bb) >= 1 THEN 'more intense' WHEN sqrt(aa2 * aa2 + bb2 * bb2) - sqrt(aa * aa + bb * bb) <= -1 THEN 'duller' END), '') AS shift FROM de"""
+)
+def match_descriptions(spark, sf_dir):
+    x, y = _xy()
+    return _pairs(fixtures.colours(spark, sf_dir)).select("id", color.describe_quality(color.ciede2000(x, y)).alias("quality"), color.describe_shift(x, y).alias("shift"))
+
+
+@query(_PAIR_CTES + " SELECT id, round(1.5::DOUBLE * abs(l - l2) + sqrt((aa - aa2) * (aa - aa2) + (bb - bb2) * (bb - bb2)), 6) AS distance FROM pairs")
+def perceptual_distance_pairs(spark, sf_dir):
+    return _pairs(fixtures.colours(spark, sf_dir)).select("id", *r6(distance=color.perceptual_distance(*_xy())))
+
+
+@query(
+    f"""WITH {COLOURS}, {sql.lab_ctes('colours', 'v')}, c AS (SELECT *, sqrt(aa * aa + bb * bb) AS ch FROM v),
+s AS (SELECT *, CASE WHEN ch <= 1e-9 THEN 1 ELSE (0.6::DOUBLE * (1.8::DOUBLE * ch) + 0.4::DOUBLE * (90 * tanh(1.8::DOUBLE * ch / 90))) / ch END AS sc FROM c)
+SELECT id, round(greatest(0, least(100, 50 + (l - 50) * 0.95::DOUBLE - 4)), 6) AS l, round(aa * sc, 6) AS a, round(bb * sc, 6) AS b FROM s"""
+)
+def tone_chroma_remap(spark, sf_dir):
+    light, a, b = color.remap((F.col("l"), F.col("aa"), F.col("bb")), 90.0, contrast=0.95, key=-4, gain=1.8)
+    return _lab(fixtures.colours(spark, sf_dir)).select("id", *r6(l=light, a=a, b=b))
+
+
+_WIDE = f"WITH RECURSIVE {COLOURS}, wide AS (SELECT id, {', '.join(f'({c} / 255.0::DOUBLE * 1.6::DOUBLE - 0.3::DOUBLE) AS {c}' for c in 'rgb')} FROM colours), {sql.gamut_ctes('wide', 'm')}"
+
+
+@query(_WIDE + " SELECT id, round(r, 6) AS r, round(g, 6) AS g, round(b, 6) AS b, round(chroma_lost, 6) AS chroma_lost FROM m")
+def gamut_compress(spark, sf_dir):
+    wide = tuple(c / 255.0 * 1.6 - 0.3 for c in _rgb())
+    m = fixtures.colours(spark, sf_dir).select("id", color.compress(*wide).alias("m"))
+    return m.select("id", *r6(**{n: F.col(f"m.{n}") for n in ("r", "g", "b", "chroma_lost")}))
+
+
+@query(f"WITH {COLOURS} SELECT id, 'rgb(' || r || ',' || g || ',' || b || ')' AS css, 0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b >= 140 AS dark_text FROM colours")
+def swatches(spark, sf_dir):
+    return fixtures.colours(spark, sf_dir).select("id", color.swatch_css(*_rgb()).alias("css"), color.reads_dark_text(*_rgb()).alias("dark_text"))
+
+
+# ---- pigments and mixtures
+
+_ENUM = lambda idx: f"""p AS (SELECT row_number() OVER (ORDER BY i) AS n, i AS pi FROM (SELECT unnest({idx}) AS i)),
+every AS (
+  SELECT 1 AS size, a.n AS a, 0 AS b, 0 AS c, 0 AS u, 0 AS v, [a.pi] AS ps, [1::DOUBLE] AS ss FROM p a
+  UNION ALL SELECT 2, a.n, b.n, 0, u, 0, [a.pi, b.pi], [u / 64.0::DOUBLE, 1 - u / 64.0::DOUBLE] FROM p a JOIN p b ON a.n < b.n, (SELECT unnest(range(1, 64)) AS u)
+  UNION ALL SELECT 3, a.n, b.n, c.n, u, v, [a.pi, b.pi, c.pi], [u / 16.0::DOUBLE, v / 16.0::DOUBLE, 1 - u / 16.0::DOUBLE - v / 16.0::DOUBLE]
+    FROM p a JOIN p b ON a.n < b.n JOIN p c ON b.n < c.n, (SELECT unnest(range(1, 15)) AS u), (SELECT unnest(range(1, 15)) AS v) WHERE u + v < 16
+), listed AS (SELECT row_number() OVER (ORDER BY size, a, b, c, u, v) - 1 AS id, ps, ss FROM every),
+parts AS (SELECT id, unnest(ps) AS paint_idx, unnest(ss) AS share FROM listed)"""
+_LAB_XYZ = sql.lab_columns("x", "y", "z")
+
+
+def _mix_sql(idx) -> str:
+    return f"{sql.pigment_ctes(idx)}, {_ENUM(idx)}, {sql.mix_ctes('parts', 'mx')}"
+
+
+@query(f"WITH {_mix_sql(THREE)} SELECT id AS ordinal, round({_LAB_XYZ[0]}, 6) AS l, round({_LAB_XYZ[1]}, 6) AS a, round({_LAB_XYZ[2]}, 6) AS b FROM mx")
+def km_mixtures(spark, sf_dir):
+    paints = mixtures.palette(spark, THREE)
+    mixed = mixtures.mix(mixtures.enumerate_mixtures(paints), paints)
+    light, a, b = color.xyz_to_lab(tuple(map(F.col, "xyz")))
+    return mixed.select(F.col("ordinal").cast("long"), *r6(l=light, a=a, b=b))
+
+
+def _argb_sql(idx) -> str:
+    lin = ", ".join(f"{sql.dot(row, 'xyz')} AS {n}" for row, n in zip(color.FROM_XYZ, "rgb", strict=True))
+    return f"""{_mix_sql(idx)}, wide AS (SELECT id, {lin} FROM mx), {sql.gamut_ctes('wide', 'm')},
+shown AS (SELECT id, (255 << 24) | ({sql.encode('r')}::BIGINT << 16) | ({sql.encode('g')}::BIGINT << 8) | {sql.encode('b')} AS rgba FROM m),
+firsts AS (SELECT rgba, min(id) AS id FROM shown GROUP BY rgba),
+cand0 AS (SELECT (row_number() OVER (ORDER BY id) - 1)::INT AS cand_idx, ((rgba >> 16) & 255)::INT AS r, ((rgba >> 8) & 255)::INT AS g, (rgba & 255)::INT AS b FROM firsts), {sql.lab_ctes('cand0', 'cand')}"""
+
+
+@query(f"WITH RECURSIVE {_argb_sql(SIX)} SELECT cand_idx, r, g, b, round(l, 6) AS l FROM cand")
+def mixture_distinct(spark, sf_dir):
+    _, r, g, b = color.channels(F.col("argb"))
+    return _cands(spark, SIX).select("cand_idx", r.alias("r"), g.alias("g"), b.alias("b"), F.round("l", 6).alias("l"))
+
+
+@query()
+def mixture_mother_colour(spark, sf_dir):
+    paints = mixtures.palette(spark, THREE)
+    return mixtures.candidates(paints, mother=mixtures.most_neutral(paints), fraction=0.15)
+
+
+def _nearest_sql(points: str, weight: str) -> str:
+    return f"SELECT q.id, min(struct_pack(d := round({weight} * (q.l - c.l) * (q.l - c.l) + (q.aa - c.aa) * (q.aa - c.aa) + (q.bb - c.bb) * (q.bb - c.bb), 9), i := c.cand_idx)).i AS cand_idx FROM {points} q, cand c GROUP BY q.id"
+
+
+def _points(df: DataFrame) -> DataFrame:
+    return _lab(df).select("id", "l", F.col("aa").alias("a"), F.col("bb").alias("b"))
+
+
+@query(f"WITH RECURSIVE {COLOURS}, {sql.lab_ctes('colours', 'q')}, {_argb_sql(THREE)} {_nearest_sql('q', '1')}")
+def nearest_unweighted(spark, sf_dir):
+    return nearest.nearest(_points(fixtures.colours(spark, sf_dir)), _cands(spark, THREE), key="id")
+
+
+@query(f"WITH RECURSIVE {COLOURS}, {sql.lab_ctes('colours', 'q')}, {_argb_sql(THREE)} {_nearest_sql('q', '1.5::DOUBLE')}")
+def nearest_weighted(spark, sf_dir):
+    return nearest.nearest(_points(fixtures.colours(spark, sf_dir)), _cands(spark, THREE), key="id", lightness=1.5)
+
+
+_BIN = f"keyed AS (SELECT image_id, y, x, {_KEY} AS id FROM px), bins AS (SELECT DISTINCT id, (((id >> 12) & 63) * 4 + 2) AS r, (((id >> 6) & 63) * 4 + 2) AS g, ((id & 63) * 4 + 2) AS b FROM keyed), {sql.lab_ctes('bins', 'q')}"
+
+
+@query(f"WITH RECURSIVE {PX}, {_BIN}, {_argb_sql(THREE)}, near AS ({_nearest_sql('q', '1')}) SELECT image_id, y, x, cand_idx FROM keyed JOIN near USING (id)")
+def colour_map_joinback(spark, sf_dir):
+    px = fixtures.pixels(spark, sf_dir).select("image_id", "y", "x", "argb")
+    return nearest.resolve_once(px, _cands(spark, THREE)).select("image_id", "y", "x", "cand_idx")
+
+
+_NAMES = ", ".join(f"({p[0]}, '{p[1]}')" for p in pigments.PALETTE)
+_ALL = [p[0] for p in pigments.PALETTE]
+
+
+@query(
+    f"""WITH {sql.pigment_ctes(_ALL)}, names(paint_idx, name) AS (VALUES {_NAMES}),
+own AS (SELECT paint_idx * 2 + t AS id, paint_idx, t FROM names, (SELECT unnest([0, 1]) AS t)),
+pb2 AS (SELECT * FROM pb UNION ALL SELECT -1, band, 0::DOUBLE, 1::DOUBLE FROM bands),
+parts AS (SELECT id, paint_idx, CASE t WHEN 0 THEN 1::DOUBLE ELSE 0.5::DOUBLE END AS share FROM own UNION ALL SELECT id, -1, CASE t WHEN 0 THEN 0::DOUBLE ELSE 0.5::DOUBLE END FROM own),
+{sql.mix_ctes('parts', 'mx').replace('JOIN pb USING', 'JOIN pb2 USING')},
+lab AS (SELECT own.paint_idx, own.t, {_LAB_XYZ[0]} AS l, {_LAB_XYZ[1]} AS a, {_LAB_XYZ[2]} AS b FROM mx JOIN own USING (id)),
+j AS (SELECT m.paint_idx, m.l AS mass, CASE WHEN m.l < 30 THEN t.l ELSE m.l END AS l, CASE WHEN m.l < 30 THEN t.a ELSE m.a END AS a, CASE WHEN m.l < 30 THEN t.b ELSE m.b END AS b FROM lab m JOIN lab t USING (paint_idx) WHERE m.t = 0 AND t.t = 1),
+h AS (SELECT *, fmod(degrees(atan2(b, a)) + 360, 360) AS hue FROM j),
+f AS (SELECT paint_idx, mass, CASE WHEN sqrt(a * a + b * b) < 8 THEN CASE WHEN l >= 90 THEN 'Whites' ELSE 'Blacks' END WHEN hue >= 330 OR hue < 45 THEN 'Reds' WHEN hue >= 295 THEN 'Violets'
+  WHEN hue >= 220 THEN 'Blues' WHEN hue >= 130 THEN 'Greens' WHEN hue >= 65 THEN 'Yellows' ELSE 'Oranges' END AS family FROM h)
+SELECT name, family, (row_number() OVER (PARTITION BY family ORDER BY mass DESC, paint_idx))::INT AS rank, round(mass, 6) AS lightness FROM f JOIN names USING (paint_idx)"""
+)
+def paint_family_groups(spark, sf_dir):
+    return mixtures.families(mixtures.palette(spark)).select("name", "family", "rank", F.round("lightness", 6).alias("lightness"))
+
+
+@query()
+def gradient_strips(spark, sf_dir):
+    return mixtures.gradient_strips(mixtures.palette(spark, SIX), 48)
+
+
+# ---- filters
+
+_PX_LIN = f"{PX}, lin AS (SELECT image_id, y, x, {sql.byte_lin('r')} AS v FROM px)"
+
+
+@query(
+    f"""WITH {_PX_LIN}, h AS (SELECT image_id, y, x, avg(v) OVER (PARTITION BY image_id, y ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS v FROM lin)
+SELECT image_id, y, x, round(avg(v) OVER (PARTITION BY image_id, x ORDER BY y ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 6) AS v FROM h"""
+)
+def box_filter_r1(spark, sf_dir):
+    px = fixtures.pixels(spark, sf_dir).select("image_id", "y", "x", color.byte_to_linear(F.col("r")).alias("v"))
+    return filters.box(px, ["v"], 1).select("image_id", "y", "x", F.round("v", 6).alias("v"))
+
+
+def _boxes(source: str, name: str, columns: list[str], radius: int) -> str:
+    part = lambda p, o: ", ".join(f"avg({c}) OVER (PARTITION BY image_id, {p} ORDER BY {o} ROWS BETWEEN {radius} PRECEDING AND {radius} FOLLOWING) AS {c}" for c in columns)
+    rest = f"* EXCLUDE ({', '.join(columns)})"
+    return f"{name}_h AS (SELECT {rest}, {part('y', 'x')} FROM {source}), {name} AS (SELECT {rest}, {part('x', 'y')} FROM {name}_h)"
+
+
+_GUIDED = f"""lin AS (SELECT image_id, y, x, {', '.join(f'{sql.byte_lin(c)} AS {c}' for c in 'rgb')} FROM px),
+sq AS (SELECT *, {', '.join(f'{c} AS m{c}, {c} * {c} AS q{c}' for c in 'rgb')} FROM lin), {_boxes('sq', 'b1', [p + c for p in 'mq' for c in 'rgb'], 1)},
+sl AS (SELECT image_id, y, x, r, g, b, {', '.join(f'm{c} AS n{c}, greatest(q{c} - m{c} * m{c}, 0) / (greatest(q{c} - m{c} * m{c}, 0) + 0.1::DOUBLE * 0.1::DOUBLE) AS q{c}' for c in 'rgb')} FROM b1),
+ab AS (SELECT image_id, y, x, r, g, b, {', '.join(f'q{c}, (1 - q{c}) * n{c} AS m{c}' for c in 'rgb')} FROM sl), {_boxes('ab', 'b2', [p + c for p in 'mq' for c in 'rgb'], 1)},
+out AS (SELECT image_id, y, x, {', '.join(f'q{c} * {c} + m{c} AS {c}' for c in 'rgb')} FROM b2)"""
+_CODED = f"SELECT image_id, y, x, {', '.join(f'{sql.encode(c)} AS {c}' for c in 'rgb')} FROM out"
+
+
+def _shown(df: DataFrame) -> DataFrame:
+    _, *rgb = color.channels(F.col("argb"))
+    return df.select("image_id", "y", "x", *(c.alias(n) for c, n in zip(rgb, "rgb", strict=True)))
+
+
+@query(f"WITH {PX}, {_GUIDED} {_CODED}")
+def guided_filter(spark, sf_dir):
+    return _shown(filters.guided(fixtures.pixels(spark, sf_dir).select("image_id", "y", "x", "argb"), radius=1, edge=0.1))
+
+
+_K2 = filters.gaussian_kernel(2)
+
+
+def _blur(source: str, name: str, fixed: str, moving: str) -> str:
+    return f"{name} AS (SELECT p.image_id, p.y, p.x, {', '.join(f'sum(k.w * q.{c}) AS {c}' for c in 'rgb')} FROM {source} p, kern k JOIN {source} q ON q.image_id = p.image_id AND q.{fixed} = p.{fixed} AND q.{moving} = greatest(0, least(7, p.{moving} + k.o)) GROUP BY p.image_id, p.y, p.x)"
+
+
+@query(f"WITH {PX}, lin AS (SELECT image_id, y, x, {', '.join(f'{sql.byte_lin(c)} AS {c}' for c in 'rgb')} FROM px), kern(o, w) AS (VALUES {', '.join(f'({o}, {w!r}::DOUBLE)' for o, w in enumerate(_K2, -2))}), {_blur('lin', 'hh', 'y', 'x')}, {_blur('hh', 'out', 'x', 'y')} {_CODED}")
+def gaussian_blur(spark, sf_dir):
+    return _shown(filters.gaussian(fixtures.pixels(spark, sf_dir).select("image_id", "y", "x", "argb"), 2))
+
+
+# bands of red stand in for candidates, so that 8 by 8 images have regions
+_INDEX_SQL = f"{PX}, ind AS (SELECT image_id, y, x, (r // 86)::INT AS cand_idx FROM px)"
+
+
+def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.pixels(spark, sf_dir).select("image_id", "y", "x", F.floor(F.col("r") / 86).cast("int").alias("cand_idx"))
+
+
+def _few(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(0, 20.0, 0.0, 0.0), (1, 30.0, 0.0, 0.0), (2, 60.0, 30.0, 10.0)], "cand_idx int, l double, a double, b double").withColumn("argb", F.lit(0))
+
+
+_MASK = f"""{_INDEX_SQL}, few(cand_idx, l, a, b) AS (VALUES (0, 20.0, 0.0, 0.0), (1, 30.0, 0.0, 0.0), (2, 60.0, 30.0, 10.0)), at AS (SELECT * FROM ind JOIN few USING (cand_idx)),
+mask AS (SELECT p.image_id, p.y, p.x, coalesce(bool_or(pow(p.l - q.l, 2) + pow(p.a - q.a, 2) + pow(p.b - q.b, 2) >= 144), false) AS boundary
+  FROM at p LEFT JOIN at q ON q.image_id = p.image_id AND abs(q.x - p.x) + abs(q.y - p.y) = 1 GROUP BY p.image_id, p.y, p.x)"""
+
+
+@query(f"WITH {_MASK} SELECT * FROM mask")
+def contour_mask(spark, sf_dir):
+    return filters.contour_mask(_indexed(spark, sf_dir), _few(spark)).select("image_id", "y", "x", "boundary")
+
+
+@query(f"WITH {_MASK} SELECT p.image_id, p.y, p.x, bool_or(q.boundary) AS boundary FROM mask p JOIN mask q ON q.image_id = p.image_id AND abs(q.x - p.x) <= 1 AND abs(q.y - p.y) <= 1 GROUP BY p.image_id, p.y, p.x")
+def dilate(spark, sf_dir):
+    return filters.dilate(filters.contour_mask(_indexed(spark, sf_dir), _few(spark)), "boundary", 1).select("image_id", "y", "x", "boundary")
+
+
+@query(
+    f"""WITH {PX}, o AS (SELECT *, unnest(range(3)) AS oy FROM px), oo AS (SELECT *, unnest(range(3)) AS ox FROM o),
+w AS (SELECT *, greatest(0, least((oy + 1) * 8 / 3.0::DOUBLE, y + 1) - greatest(oy * 8 / 3.0::DOUBLE, y)) * greatest(0, least((ox + 1) * 8 / 3.0::DOUBLE, x + 1) - greatest(ox * 8 / 3.0::DOUBLE, x)) AS w FROM oo)
+SELECT image_id, oy::INT AS y, ox::INT AS x, {', '.join(f'floor(sum(w * {c}) / sum(w) + 1e-9::DOUBLE + 0.5::DOUBLE)::INT AS {c}' for c in 'rgb')} FROM w WHERE w > 0 GROUP BY image_id, oy, ox"""
+)
+def downsample_preview(spark, sf_dir):
+    px = fixtures.pixels(spark, sf_dir)
+    sizes = px.select("image_id").distinct().select("image_id", *(F.lit(n).alias(c) for c, n in (("width", 8), ("height", 8), ("to_width", 3), ("to_height", 3))))
+    return _shown(filters.downsample(px.select("image_id", "y", "x", "argb"), sizes))
+
+
+# ---- regions
+
+_LABELS = f"""{_INDEX_SQL}, reach(image_id, y, x, cand_idx, root) AS (
+  SELECT image_id, y, x, cand_idx, y * 8 + x FROM ind
+  UNION
+  SELECT q.image_id, q.y, q.x, q.cand_idx, p.root FROM reach p JOIN ind q ON q.image_id = p.image_id AND q.cand_idx = p.cand_idx AND abs(q.x - p.x) + abs(q.y - p.y) = 1 WHERE p.root < q.y * 8 + q.x
+), rooted AS (SELECT image_id, y, x, cand_idx, min(root) AS root FROM reach GROUP BY ALL),
+lab AS (SELECT image_id, y, x, cand_idx, dense_rank() OVER (PARTITION BY image_id ORDER BY root) - 1 AS region_id FROM rooted)"""
+
+
+@query()
+def region_labels(spark, sf_dir):
+    return regions.labels(_indexed(spark, sf_dir))
+
+
+@query()
+def region_area_stats(spark, sf_dir):
+    labelled = regions.labels(_indexed(spark, sf_dir))
+    return regions.count_regions(labelled).join(regions.small_fraction(labelled, 4), "image_id")
+
+
+@query()
+def small_region_merge(spark, sf_dir):
+    return regions.merge_small(_indexed(spark, sf_dir), MARK)
+
+
+@query()
+def ground_fill(spark, sf_dir):
+    return regions.ground_fill(_indexed(spark, sf_dir), _few(spark), 1.0)
+
+
+@query()
+def contour_lines(spark, sf_dir):
+    return regions.contour_lines(_indexed(spark, sf_dir), _few(spark), MARK).select("image_id", "y", "x", "cand_idx")
+
+
+# ---- palettes, recipes, wheels
+
+
+@query()
+def kmeans_palette(spark, sf_dir):
+    return palette.kmeans(palette.histogram(fixtures.pixels(spark, sf_dir)), 8)
+
+
+@query()
+def image_palette(spark, sf_dir):
+    return palette.image_palette(fixtures.pixels(spark, sf_dir), _cands(spark, SIX), 8)
+
+
+@query(
+    """WITH s AS (SELECT l_orderkey % 97 AS a, l_partkey % 31 + 1 AS b, l_suppkey % 7 AS c FROM lineitem),
+d AS (SELECT DISTINCT a, b, c FROM s), n AS (SELECT *, a * 10000 + b * 100 + c AS id, [a, b, c] AS v, a + b + c AS t FROM d),
+w AS (SELECT id, t, i, v[i]::DOUBLE / t * 100 AS p FROM n, (SELECT unnest([1, 2, 3]) AS i)),
+f AS (SELECT *, floor(p)::INT AS whole, p - floor(p) AS rest FROM w),
+m AS (SELECT *, 100 - sum(whole) OVER (PARTITION BY id) AS missing, row_number() OVER (PARTITION BY id ORDER BY round(rest, 9) DESC, i) AS k FROM f),
+r AS (SELECT *, whole + CASE WHEN k <= missing THEN 1 ELSE 0 END AS q FROM m),
+z AS (SELECT *, sum(CASE WHEN q < 1 THEN 1 ELSE 0 END) OVER (PARTITION BY id) AS zeros, row_number() OVER (PARTITION BY id ORDER BY q DESC, i) AS top FROM r)
+SELECT id, max(CASE WHEN i = 1 THEN f END) AS p1, max(CASE WHEN i = 2 THEN f END) AS p2, max(CASE WHEN i = 3 THEN f END) AS p3
+FROM (SELECT id, i, (CASE WHEN q < 1 THEN 1 ELSE q - CASE WHEN top = 1 THEN zeros ELSE 0 END END)::INT AS f FROM z) GROUP BY id"""
+)
+def recipe_percentages(spark, sf_dir):
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    parts = line.select((F.col("l_orderkey") % 97).alias("a"), (F.col("l_partkey") % 31 + 1).alias("b"), (F.col("l_suppkey") % 7).alias("c")).distinct()
+    total = F.col("a") + F.col("b") + F.col("c")
+    shares = parts.select((F.col("a") * 10000 + F.col("b") * 100 + F.col("c")).alias("id"), recipes.percentages(F.array(*(F.col(c) / total for c in "abc"))).alias("p"))
+    return shares.select("id", *(F.col("p")[i].alias(f"p{i + 1}") for i in range(3)))
+
+
+def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _points(fixtures.colours(spark, sf_dir).filter(F.col("id") % 20 == 0))
+
+
+@query()
+def closest_blends(spark, sf_dir):
+    """Recipes of a palette of six for a table of colours asked for: every twentieth part's."""
+    return recipes.closest_blends(_targets(spark, sf_dir), mixtures.palette(spark, SIX))
+
+
+@query()
+def recipe_lines(spark, sf_dir):
+    paints = mixtures.palette(spark, SIX)
+    return recipes.recipe_lines(recipes.closest_blends(_targets(spark, sf_dir), paints), paints)
+
+
+_DISC = """at AS (SELECT y, x, x - 15.5::DOUBLE AS dx, y - 15.5::DOUBLE AS dy FROM (SELECT unnest(range(32))::INT AS y), (SELECT unnest(range(32))::INT AS x)),
+disc AS (SELECT *, sqrt(dx * dx + dy * dy) AS d FROM at)"""
+
+
+@query(
+    f"""WITH {_DISC}, i AS (SELECT *, CASE WHEN atan2(dy, dx) < 0 THEN atan2(dy, dx) + 2 * pi() ELSE atan2(dy, dx) END * 6 / (2 * pi()) AS pos FROM disc WHERE 16 - d > 0),
+w AS (SELECT y, x, (floor(pos)::INT) % 6 AS lower, CASE WHEN floor(pos) >= 6 THEN 0 ELSE pos - floor(pos) END AS blend, least(d / 16, 1) AS rim FROM i)
+SELECT y, x, paint, round((1 - rim) / 6 + CASE WHEN paint = lower THEN rim * (1 - blend) ELSE 0 END + CASE WHEN paint = (lower + 1) % 6 THEN rim * blend ELSE 0 END, 6) AS weight FROM w, (SELECT unnest(range(6))::INT AS paint)"""
+)
+def wheel_weights(spark, sf_dir):
+    return wheel.weights(spark, 32, 6).select("y", "x", "paint", F.round("weight", 6).alias("weight"))
+
+
+@query()
+def paint_wheel(spark, sf_dir):
+    return wheel.paint_wheel(spark, 64, mixtures.palette(spark))
+
+
+@query()
+def traditional_wheel(spark, sf_dir):
+    return wheel.traditional_wheel(spark, 64)
+
+
+@query()
+def wheel_lines(spark, sf_dir):
+    at = wheel.weights(spark, 16, 7).select((F.col("y") * 16 + F.col("x")).alias("id"), F.col("paint").alias("paint_idx"), "weight")
+    return recipes.wheel_lines(at, mixtures.palette(spark))
+
+
+# ---- styles
+
+
+def _style(name: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        style = styles.by_name(name)
+        cands = styles.style_candidates(style, mixtures.palette(spark, THREE)).persist()
+        px = fixtures.pixels(spark, sf_dir).select("image_id", "y", "x", "argb")
+        return styles.render(px, style, cands, mark=MARK)
+
+    return run
+
+
+def _realism_sql() -> str:
+    """The whole Realism chain: guided filter, bins, nearest candidate, composition."""
+    shown = f"shown8 AS ({_CODED}), keyed AS (SELECT image_id, y, x, {_KEY} AS id FROM shown8), bins AS (SELECT DISTINCT id, (((id >> 12) & 63) * 4 + 2) AS r, (((id >> 6) & 63) * 4 + 2) AS g, ((id & 63) * 4 + 2) AS b FROM keyed), {sql.lab_ctes('bins', 'q')}"
+    return f"WITH RECURSIVE {PX}, {_GUIDED}, {shown}, {_argb_sql(THREE)}, near AS ({_nearest_sql('q', '1')}) SELECT k.image_id, k.y, k.x, n.cand_idx, (-16777216 + c.r * 65536 + c.g * 256 + c.b)::INT AS argb FROM keyed k JOIN near n USING (id) JOIN cand c USING (cand_idx)"
+
+
+for _name in styles.STYLES:
+    QUERIES[f"style_{_name.lower().replace('-', '_')}"] = _style(_name)
+ORACLES["style_realism"] = _realism_sql()
+
+
+@query()
+def image_checksums(spark, sf_dir):
+    return images.checksum(fixtures.pixels(spark, sf_dir))
+
+
+@query("SELECT y, x, (-16777216 + r * 65536 + g * 256 + b)::INT AS argb FROM (SELECT y::INT AS y, x::INT AS x, "
+       + ", ".join(f"greatest(0, least(255, {e} + n)) AS {c}" for c, e in (("r", "x * 255 // 95"), ("g", "y * 255 // 63"), ("b", "(x + y) * 255 // 158")))
+       + " FROM (SELECT x, y, (xor(x * 73856093, y * 19349663) & 15) - 8 AS n FROM (SELECT unnest(range(96)) AS x), (SELECT unnest(range(64)) AS y)))")
+def noisy_gradient(spark, sf_dir):
+    return fixtures.noisy_gradient(spark, 96, 64).select("y", "x", "argb")
+
+
+# ---- sources, text and streams
+
+
+@query(r"""SELECT page_id, nullif(regexp_extract(url, '[?&]id=([^&#]*)', 1), '') AS id, len(list_filter(regexp_extract_all(html, '(?i)<img\b[^>]*?\bsrc\s*=\s*["'']([^"'']+)["'']', 1), lambda u: regexp_matches(u, '(?i)^https?://')))::INT AS images FROM pages""")
+def page_images(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return pages.select("page_id", images.query_value(F.col("url"), "id").alias("id"), F.size(images.image_sources(F.col("html"))).alias("images"))
+
+
+@query("""SELECT image_id, axis, n * i / 4.0::DOUBLE AS at FROM (SELECT DISTINCT vec_id AS image_id FROM embeddings), (SELECT unnest(['x', 'y']) AS axis, 8 AS n), (SELECT unnest(range(5)) AS i)""")
+def grid_segments(spark, sf_dir):
+    sizes = fixtures.pixels(spark, sf_dir).select("image_id").distinct().select("image_id", F.lit(8).alias("width"), F.lit(8).alias("height"))
+    return images.grid_segments(sizes, 4)
+
+
+@query(
+    """WITH e AS (SELECT ts, user_id AS key, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS generation FROM events),
+m AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY key ORDER BY generation) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM e),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY key ORDER BY generation) AS burst FROM m)
+SELECT key, epoch_us(min(ts)) AS start_us, count(*) AS n, max(generation) AS generation, round(arg_max(value, generation), 6) AS payload FROM s GROUP BY key, burst"""
+)
+def session_debounce(spark, sf_dir):
+    bursts = requests.debounce(fixtures.requests(spark, sf_dir), "6 hours")
+    return bursts.select("key", F.unix_micros("start").alias("start_us"), "n", "generation", F.round("payload", 6).alias("payload"))
+
+
+@query(
+    """WITH e AS (SELECT user_id AS key, value, CASE event_type WHEN 'error' THEN 'cancel' WHEN 'purchase' THEN 'load' ELSE 'change' END AS kind, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS generation FROM events)
+SELECT key, kind, max(generation) AS generation, round(arg_max(value, generation), 6) AS payload FROM e GROUP BY key, kind"""
+)
+def latest_generation(spark, sf_dir):
+    return requests.latest_values(fixtures.requests(spark, sf_dir)).select("key", "kind", "generation", F.round("payload", 6).alias("payload"))
+
+
+@query(
+    """WITH e AS (SELECT ts, user_id AS key, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS generation FROM events),
+m AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY key ORDER BY generation) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM e),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY key ORDER BY generation) AS burst FROM m),
+b AS (SELECT key, epoch_us(min(ts)) AS start_us, max(generation) AS generation, arg_max(event_type, generation) AS last FROM s GROUP BY key, burst)
+SELECT key, start_us, generation, pass FROM b, (SELECT unnest(['preview', 'full']) AS pass) WHERE last <> 'error'"""
+)
+def cancelled_bursts(spark, sf_dir):
+    live = requests.live_bursts(fixtures.requests(spark, sf_dir), "6 hours")
+    return requests.passes(live).select("key", F.unix_micros("start").alias("start_us"), "generation", "pass")
+

@@ -39,11 +39,17 @@ def save(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*saved: DataFrame) -> None:
-    """Delete tables of :func:`save` that no later plan reads."""
+    """Delete tables of :func:`save` that no later plan reads, and the shuffles behind them.
+
+    Spark deletes the shuffle files of a finished plan when the driver next collects garbage;
+    asking for that here keeps the shuffles of a long job from piling up on the disks.
+    """
     for df in saved:
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df.saved_at)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if saved:
+        saved[0].sparkSession._jvm.System.gc()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -249,28 +249,29 @@ def _tree_pairs(threshold: Fraction):
     return pairs
 
 
-def _verify(threshold: Fraction):
+def _verify(width: int, threshold: Fraction):
+    """Pairs with both texts to those that reach the threshold; sets are made once a slice."""
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch["set_a"].to_pylist(), batch["set_b"].to_pylist(), strict=True):
-                x, y = np.frombuffer(x, U), np.frombuffer(y, U)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(common * threshold.denominator >= threshold.numerator * (len(x) + len(y) - common))
+            keep: list[bool] = []
+            known: dict[int, np.ndarray] = {}
+            for lo in range(0, batch.num_rows, 256):
+                some = batch.slice(lo, 256)
+                a, b = some["a"].to_pylist(), some["b"].to_pylist()
+                texts = dict(zip([*a, *b], [*some["text_a"], *some["text_b"]], strict=True))
+                known = {i: s for i, s in known.items() if i in texts}
+                new = [i for i in texts if i not in known]
+                known |= zip(new, shingle_sets([texts[i].as_py() or b"" for i in new], width), strict=True)
+                for x, y in zip(a, b, strict=True):
+                    x, y = known[x], known[y]
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    keep.append(common * threshold.denominator >= threshold.numerator * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return verify
 
 
-def _to_sets(width: int):
-    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [s.tobytes() for s in shingle_sets(_texts(batch), width)]
-            yield pa.RecordBatch.from_arrays([batch["row"], pa.array(sets, pa.binary())], names=["row", "set"])
-
-    return to_sets
-
-
 def jaccard_components(docs: DataFrame, *, width: int = 5, threshold: Fraction = Fraction(3, 4)) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, row.
 
@@ -311,14 +312,14 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, threshold: Fraction =
         return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(bound, "a long, b long")
 
     def links(pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs that reach the threshold on their whole sets, which are made for them alone."""
+        """The pairs that reach the threshold on their whole sets; their texts alone are dealt."""
         pairs = save(pairs, f"{name}-candidates")
         wanted = save(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct(), f"{name}-rows")
-        texts = base.select("row", "text").join(wanted, "row", "left_semi").dropDuplicates(["row"])
-        sets = save(texts.mapInArrow(_to_sets(width), "row long, set binary"), f"{name}-sets")
-        side = lambda c: sets.select(F.col("row").alias(c), F.col("set").alias(f"set_{c}"))
-        found = save(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify(threshold), "a long, b long"), name)
-        discard(pairs, wanted, sets)
+        texts = save(base.select("row", "text").join(wanted, "row", "left_semi").dropDuplicates(["row"]), f"{name}-texts")
+        discard(wanted)
+        side = lambda c: texts.select(F.col("row").alias(c), F.col("text").alias(f"text_{c}"))
+        found = save(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify(width, threshold), "a long, b long"), name)
+        discard(pairs, texts)
         return found
 
     to_node = lambda df, c: df.join(node_of.select(F.col("row").alias(c), F.col("node").alias(f"{c}_node")), c).drop(c).withColumnRenamed(f"{c}_node", c)

@@ -121,11 +121,11 @@ def select_candidates(cands: DataFrame, chosen: DataFrame) -> DataFrame:
 
 def most_neutral(paints: DataFrame) -> int:
     """paint_idx of the paint nearest to middle grey: chroma, and a tenth of the lightness gap."""
-    own = paints.select("paint_idx", F.array(F.struct("paint_idx", F.lit(1.0).alias("share"))).alias("parts"))
-    lab = with_argb_lab(render(mix(own, paints, "paint_idx")).select("paint_idx", "argb"))
+    own = paints.select(F.col("paint_idx").alias("own"), F.array(F.struct("paint_idx", F.lit(1.0).alias("share"))).alias("parts"))
+    lab = with_argb_lab(render(mix(own, paints, "own")).select("own", "argb"))
     gap = F.abs(F.col("l") - 50)
-    score = F.struct((F.hypot("a", "b") + 0.10 * gap).alias("score"), gap.alias("gap"), "paint_idx")
-    return lab.agg(F.min_by("paint_idx", score)).first()[0]
+    score = F.struct((F.hypot("a", "b") + 0.10 * gap).alias("score"), gap.alias("gap"), "own")
+    return lab.agg(F.min_by("own", score)).first()[0]
 
 
 def gradient_strips(paints: DataFrame, width: int) -> DataFrame:

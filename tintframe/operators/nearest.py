@@ -9,21 +9,26 @@ from ..functions import color
 
 #: Candidates are built from a palette: singles, pairs and triples of 19 paints at most.
 MOST_CANDIDATES = 112_537
+#: A power of two above that; squared distances in Lab leave it room in a long.
+INDEX_ROOM = 1 << 17
 
 
 def nearest(points: DataFrame, cands: DataFrame, *, key: str, lightness: float = 1.0) -> DataFrame:
     """``key, cand_idx``: per point (``l, a, b``) the candidate of least squared distance.
 
-    ``lightness`` weighs the squared lightness gap. Distances are compared to nine decimals,
-    ties go to the least index. Points should be distinct. The candidates are broadcast after
-    a check of their number.
+    ``lightness`` weighs the squared lightness gap. Distances are compared to eight decimals,
+    ties go to the least index. Points should be distinct; they are dealt over all cores by
+    key, which the aggregate keeps. The candidates are broadcast after a check of their number.
     """
     if (n := cands.count()) > MOST_CANDIDATES:
         raise ValueError(f"{n} candidates; a palette gives {MOST_CANDIDATES} at most")
     side = cands.select("cand_idx", *(F.col(c).alias(f"c{c}") for c in "lab"))
-    met = points.select(key, "l", "a", "b").join(F.broadcast(side), how="cross")
-    d = F.round(color.squared_distance(tuple(F.col(c) for c in "lab"), tuple(F.col(f"c{c}") for c in "lab"), lightness), 9)
-    return met.groupBy(key).agg(F.min(F.struct(d.alias("d"), "cand_idx"))["cand_idx"].alias("cand_idx"))
+    dealt = points.select(key, "l", "a", "b").repartition(points.sparkSession.sparkContext.defaultParallelism, key)
+    met = dealt.join(F.broadcast(side), how="cross")
+    d = color.squared_distance(tuple(F.col(c) for c in "lab"), tuple(F.col(f"c{c}") for c in "lab"), lightness)
+    # one long of distance and index: a struct would make Spark sort all pairs to aggregate them
+    packed = F.floor(d * 1e8 + 0.5) * INDEX_ROOM + F.col("cand_idx")
+    return met.groupBy(key).agg(F.min(packed).alias("best")).select(key, F.pmod("best", F.lit(INDEX_ROOM)).cast("int").alias("cand_idx"))
 
 
 def nearest_to(cands: DataFrame, light: float, a: float, b: float, lightness: float = 1.5) -> int:
@@ -43,8 +48,9 @@ def resolve_once(pixels: DataFrame, cands: DataFrame, remap=None) -> DataFrame:
     keyed = pixels.withColumn("colour_key", color.quantise(r, g, b))
     keys = keyed.select("colour_key").distinct()
     lab = color.rgb_to_lab(*color.key_to_rgb(F.col("colour_key")))
-    if remap is not None:
-        lab = remap(lab)
     points = keys.select("colour_key", *(c.alias(n) for c, n in zip(lab, "lab", strict=True)))
+    if remap is not None:
+        moved = remap(tuple(F.col(c) for c in "lab"))
+        points = points.select("colour_key", *(c.alias(n) for c, n in zip(moved, "lab", strict=True)))
     found = nearest(points, cands, key="colour_key")
     return keyed.join(found, "colour_key").drop("colour_key")

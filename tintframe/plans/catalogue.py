@@ -190,7 +190,7 @@ def km_mixtures(spark, sf_dir):
 def _argb_sql(idx) -> str:
     lin = ", ".join(f"{sql.dot(row, 'xyz')} AS {n}" for row, n in zip(color.FROM_XYZ, "rgb", strict=True))
     return f"""{_mix_sql(idx)}, wide AS (SELECT id, {lin} FROM mx), {sql.gamut_ctes('wide', 'm')},
-shown AS (SELECT id, (255 << 24) | ({sql.encode('r')}::BIGINT << 16) | ({sql.encode('g')}::BIGINT << 8) | {sql.encode('b')} AS rgba FROM m),
+shown AS (SELECT id, (255::BIGINT << 24) | ({sql.encode('r')}::BIGINT << 16) | ({sql.encode('g')}::BIGINT << 8) | {sql.encode('b')} AS rgba FROM m),
 firsts AS (SELECT rgba, min(id) AS id FROM shown GROUP BY rgba),
 cand0 AS (SELECT (row_number() OVER (ORDER BY id) - 1)::INT AS cand_idx, ((rgba >> 16) & 255)::INT AS r, ((rgba >> 8) & 255)::INT AS g, (rgba & 255)::INT AS b FROM firsts), {sql.lab_ctes('cand0', 'cand')}"""
 
@@ -322,9 +322,9 @@ def _few(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(0, 20.0, 0.0, 0.0), (1, 30.0, 0.0, 0.0), (2, 60.0, 30.0, 10.0)], "cand_idx int, l double, a double, b double").withColumn("argb", F.lit(0))
 
 
-_MASK = f"""{_INDEX_SQL}, few(cand_idx, l, a, b) AS (VALUES (0, 20.0, 0.0, 0.0), (1, 30.0, 0.0, 0.0), (2, 60.0, 30.0, 10.0)), at AS (SELECT * FROM ind JOIN few USING (cand_idx)),
+_MASK = f"""{_INDEX_SQL}, few(cand_idx, l, a, b) AS (VALUES (0, 20.0, 0.0, 0.0), (1, 30.0, 0.0, 0.0), (2, 60.0, 30.0, 10.0)), seen AS (SELECT * FROM ind JOIN few USING (cand_idx)),
 mask AS (SELECT p.image_id, p.y, p.x, coalesce(bool_or(pow(p.l - q.l, 2) + pow(p.a - q.a, 2) + pow(p.b - q.b, 2) >= 144), false) AS boundary
-  FROM at p LEFT JOIN at q ON q.image_id = p.image_id AND abs(q.x - p.x) + abs(q.y - p.y) = 1 GROUP BY p.image_id, p.y, p.x)"""
+  FROM seen p LEFT JOIN seen q ON q.image_id = p.image_id AND abs(q.x - p.x) + abs(q.y - p.y) = 1 GROUP BY p.image_id, p.y, p.x)"""
 
 
 @query(f"WITH {_MASK} SELECT * FROM mask")
@@ -432,8 +432,8 @@ def recipe_lines(spark, sf_dir):
     return recipes.recipe_lines(recipes.closest_blends(_targets(spark, sf_dir), paints), paints)
 
 
-_DISC = """at AS (SELECT y, x, x - 15.5::DOUBLE AS dx, y - 15.5::DOUBLE AS dy FROM (SELECT unnest(range(32))::INT AS y), (SELECT unnest(range(32))::INT AS x)),
-disc AS (SELECT *, sqrt(dx * dx + dy * dy) AS d FROM at)"""
+_DISC = """square AS (SELECT y, x, x - 15.5::DOUBLE AS dx, y - 15.5::DOUBLE AS dy FROM (SELECT unnest(range(32))::INT AS y), (SELECT unnest(range(32))::INT AS x)),
+disc AS (SELECT *, sqrt(dx * dx + dy * dy) AS d FROM square)"""
 
 
 @query(
@@ -512,6 +512,11 @@ def grid_segments(spark, sf_dir):
     return images.grid_segments(sizes, 4)
 
 
+def _micros(name: str) -> Column:
+    """Microseconds of a time without zone, whatever the session's zone is."""
+    return F.unix_micros(F.from_utc_timestamp(F.col(name).cast("timestamp"), F.current_timezone()))
+
+
 @query(
     """WITH e AS (SELECT ts, user_id AS key, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS generation FROM events),
 m AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY key ORDER BY generation) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM e),
@@ -520,7 +525,7 @@ SELECT key, epoch_us(min(ts)) AS start_us, count(*) AS n, max(generation) AS gen
 )
 def session_debounce(spark, sf_dir):
     bursts = requests.debounce(fixtures.requests(spark, sf_dir), "6 hours")
-    return bursts.select("key", F.unix_micros("start").alias("start_us"), "n", "generation", F.round("payload", 6).alias("payload"))
+    return bursts.select("key", _micros("start").alias("start_us"), "n", "generation", F.round("payload", 6).alias("payload"))
 
 
 @query(
@@ -540,5 +545,5 @@ SELECT key, start_us, generation, pass FROM b, (SELECT unnest(['preview', 'full'
 )
 def cancelled_bursts(spark, sf_dir):
     live = requests.live_bursts(fixtures.requests(spark, sf_dir), "6 hours")
-    return requests.passes(live).select("key", F.unix_micros("start").alias("start_us"), "generation", "pass")
+    return requests.passes(live).select("key", _micros("start").alias("start_us"), "generation", "pass")
 

@@ -1,15 +1,23 @@
+import functools
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tintframe.llm import packing, tokens
 
 
+@functools.cache
+def plain_tokenizer():
+    return Tokenizer.from_file(tokens.default_path())
+
+
 def whole_ids(texts, end=1):
-    plain = Tokenizer.from_file(tokens.default_path())
+    plain = plain_tokenizer()
     return [plain.encode(t or "", add_special_tokens=False).ids + [end] for t in texts]
 
 
@@ -58,6 +66,23 @@ def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@given(st.lists(st.text(alphabet="aA'sStTreé É<|>.,1²ºªµßŉſİŒœ\x1c\x85\xa0\n\x00\u0301日Σ", max_size=12), max_size=4))
+@settings(max_examples=400, deadline=None)
+def test_pieces_give_the_ids_of_the_whole(texts):
+    own = tokens.tokenizer(tokens.default_path())
+    assert own.by_piece
+    assert [list(np.frombuffer(b, "<u4")) + [1] for b in own.encode(texts)] == whole_ids(texts)
+
+
+def test_another_tokenizer_encodes_whole_texts():
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, own = Tokenizer.from_file(path), tokens.WordTokenizer(path)
+    texts = ["Hello  world", "", "one\ntwo 33"]
+    assert [np.frombuffer(b, "<u4").tolist() for b in own.encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @pytest.mark.parametrize("limit", [0, 5, 10_000])
 def test_word_cache_does_not_change_ids(limit):
     own = tokens.WordTokenizer(tokens.default_path(), limit)

@@ -85,3 +85,11 @@ def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r.node: r.component for r in components.components(edges).collect()}
     assert all(got[i] == 0 for i in range(41)) and got[101] == 100
+
+
+def test_components_of_a_long_chain_in_any_order(spark):
+    ids = list(range(3000))
+    random.Random(7).shuffle(ids)
+    edges = spark.createDataFrame([*zip(ids[:-1], ids[1:], strict=True), (5000, 5001), (6000, 6000)], "a long, b long")
+    got = {r.node: r.component for r in components.components(edges).collect()}
+    assert got == dict.fromkeys(range(3000), 0) | {5000: 5000, 5001: 5000, 6000: 6000}

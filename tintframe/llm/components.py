@@ -1,4 +1,4 @@
-"""Connected components of an undirected graph by label propagation with pointer jumping."""
+"""Connected components of an undirected graph by hooking roots and contracting the edges."""
 
 from __future__ import annotations
 
@@ -8,26 +8,39 @@ from pyspark.sql import functions as F
 from .common import discard, save
 
 
-def components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
+def _roots(up: DataFrame) -> DataFrame:
+    """``node, root``: each node's root where ``up(node, root)`` names its parent."""
+    while True:
+        of = up.select(F.col("node").alias("parent"), F.col("root").alias("top"))
+        jumped = save(up.join(of, F.col("root") == F.col("parent")).select("node", F.col("root").alias("was"), F.col("top").alias("root")), "roots")
+        discard(up)
+        up = jumped
+        if not up.filter(F.col("was") != F.col("root")).limit(1).count():
+            return up
+
+
+def components(edges: DataFrame) -> DataFrame:
     """``edges(a, b)`` to ``node, component``: the least node reachable, per node of an edge.
 
-    A round gives each node the least label among its neighbours and then the label of its
-    label. Labels are written between rounds; the driver sees only how many changed.
+    A round hooks each node to its least neighbour if that is less, follows the hooks to their
+    ends by pointer jumping, and replaces the ends of the edges by their roots. A root that
+    stays has taken in a neighbour within two rounds, so that these are logarithmic in the
+    nodes; rounds go on until no edge is left. Tables are written between rounds; the driver
+    sees only whether rows are left.
     """
     both = save(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = save(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("component")), "labels")
-    for _ in range(rounds):
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        hooked = save(labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("component")), "hooked")
-        of = hooked.select(F.col("node").alias("up"), F.col("component").alias("root"))
-        jumped = save(hooked.join(of, F.col("component") == F.col("up")).select("node", "was", F.col("root").alias("component")), "labels")
-        discard(labels, hooked)
-        labels = jumped
-        if not labels.filter(F.col("was") != F.col("component")).limit(1).count():
-            break
-    else:
-        raise RuntimeError(f"labels still change after {rounds} rounds")
+    labels = None
+    while labels is None or both.limit(1).count():
+        near = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near"))
+        up = _roots(save(near.select("node", F.least("node", "near").alias("root")), "hooks"))
+        at = lambda c: up.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+        left = save(both.join(at("a"), "a").join(at("b"), "b").filter("root_a <> root_b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct(), "edges")
+        if labels is None:
+            moved = save(up.select("node", F.col("root").alias("component")), "labels")
+            discard(both, up)
+        else:
+            moved = save(labels.join(at("component"), "component", "left").select("node", F.coalesce("root_component", "component").alias("component")), "labels")
+            discard(both, up, labels)
+        both, labels = left, moved
     discard(both)
-    out = labels.select("node", "component")
-    out.saved_at = labels.saved_at
-    return out
+    return labels

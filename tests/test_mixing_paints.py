@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tintframe.functions import pigments
 from tintframe.operators import mixtures, nearest, palette, recipes
+from tintframe.plans import catalogue
 
 
 @pytest.mark.parametrize(("paints", "rows"), [([0], 1), ([0, 6], 65), ([0, 6, 11], 297), ([0, 2, 6, 9, 11, 18], 3051)])
@@ -85,3 +86,16 @@ def test_only_measured_paints_can_be_chosen(spark):
     names = spark.createDataFrame([("Titanium White",), ("Nothing",)], "name string")
     assert [r.paint_idx for r in mixtures.by_names(df, names).collect()] == [0]
     assert mixtures.by_names(df, names.filter("name = 'Nothing'")).count() == 3
+
+
+def test_every_colour_asked_for_gets_its_blend(spark, tmp_path):
+    spark.createDataFrame([(i,) for i in range(1, 46)], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    found = catalogue.closest_blends(spark, str(tmp_path)).collect()
+    assert sorted(r.id for r in found) == list(range(1, 46))
+    assert sorted(r.id for r in catalogue.recipe_lines(spark, str(tmp_path)).collect()) == list(range(1, 46))
+
+
+def test_equal_colours_share_a_blend(spark):
+    rows = [(1, 50.0, 5.0, -3.0), (2, 50.0, 5.0, -3.0), (3, 20.0, 0.0, 0.0)]
+    found = {r.id: r for r in recipes.closest_blends(spark.createDataFrame(rows, "id long, l double, a double, b double"), mixtures.palette(spark, [0, 6, 11])).collect()}
+    assert sorted(found) == [1, 2, 3] and found[1][1:] == found[2][1:] != found[3][1:]

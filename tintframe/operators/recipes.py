@@ -15,7 +15,7 @@ from ..functions import color, pigments
 
 PAIR_SWEEP, TRIPLE_SWEEP, REFINE_STEPS, REFINEMENTS = 48, 10, 8, 2
 LEAST_SHARE = 0.005
-_MATCH_DDL = "id long, paints array<int>, shares array<double>, distance double"
+_MATCH_DDL = "l double, a double, b double, paints array<int>, shares array<double>, distance double"
 _OBSERVERS = np.array(pigments.OBSERVERS) / pigments.NORM
 
 
@@ -88,8 +88,8 @@ class Solver:
 def closest_blends(targets: DataFrame, paints: DataFrame) -> DataFrame:
     """id, paints, shares, distance: for each colour ``id, l, a, b`` its best recipe.
 
-    The palette is a short list and travels with the tasks; distinct targets are solved in
-    parallel, each against all subsets of one to three paints.
+    The palette is a short list and travels with the tasks; distinct targets are dealt over
+    all cores, solved each against all subsets of one to three paints, and joined back.
     """
     rows = [(r.paint_idx, r.k, r.s) for r in paints.orderBy("paint_idx").collect()]
     if not 0 < len(rows) <= 64:
@@ -99,9 +99,11 @@ def closest_blends(targets: DataFrame, paints: DataFrame) -> DataFrame:
         solver = Solver(rows)
         for batch in batches:
             found = [solver.match(np.array(t)) for t in batch[["l", "a", "b"]].itertuples(index=False)]
-            yield pd.DataFrame({"id": batch["id"], "paints": [f[0] for f in found], "shares": [f[1] for f in found], "distance": [f[2] for f in found]})
+            yield batch[["l", "a", "b"]].assign(paints=[f[0] for f in found], shares=[f[1] for f in found], distance=[f[2] for f in found])
 
-    return targets.select(F.col("id").cast("long"), "l", "a", "b").mapInPandas(run, _MATCH_DDL)
+    colours = targets.select("l", "a", "b").distinct().repartition(targets.sparkSession.sparkContext.defaultParallelism, "l", "a", "b")
+    found = colours.mapInPandas(run, _MATCH_DDL)
+    return targets.select(F.col("id").cast("long"), "l", "a", "b").join(found, ["l", "a", "b"], "left").select("id", "paints", "shares", "distance")
 
 
 def percentages(shares: Column) -> Column:

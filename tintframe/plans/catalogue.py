@@ -417,12 +417,12 @@ def recipe_percentages(spark, sf_dir):
 
 
 def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _points(fixtures.colours(spark, sf_dir).filter(F.col("id") % 20 == 0))
+    return _points(fixtures.colours(spark, sf_dir))
 
 
 @query()
 def closest_blends(spark, sf_dir):
-    """Recipes of a palette of six for a table of colours asked for: every twentieth part's."""
+    """Recipes of a palette of six for a table of colours asked for: every part's."""
     return recipes.closest_blends(_targets(spark, sf_dir), mixtures.palette(spark, SIX))
 
 

@@ -13,7 +13,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take lines out of the texts that are within two edits of an earlier line."""
+    """Take lines out of the texts that equal an earlier line or are within a few edits of one."""
     return line_dedup.drop_lines(docs)
 
 

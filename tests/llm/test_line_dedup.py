@@ -89,3 +89,36 @@ def test_tallies_bound_the_edits():
         t = [line_dedup.entries([x], 2)[3] for x in (a, b)]
         assert line_dedup.tally_gap(*t)[0] <= 2 * edits(a, b)
     assert np.array_equal(line_dedup.segment(np.array([11]), 2, 2)[0], [7])
+
+
+def test_exact_repeats_of_short_lines_go(spark):
+    df = spark.createDataFrame([(1, "MIT\n\nAll rights reserved.\n}"), (2, "MIT\n\nAll rights reserved!\n} "), (3, "MIP\n\n" + "x" * 18 + "yz\n" + "x" * 18 + "y")], "doc_id long, text string")
+    got = {r.doc_id: (r.removed, r.near) for r in line_dedup.duplicate_lines(df).collect()}
+    assert got == {1: ([], []), 2: ([0, 2, 3], [2]), 3: ([3], [3])}
+
+
+def test_a_line_below_a_step_is_a_witness(spark):
+    line = "a line of just as many characters as forty"[:39]
+    df = spark.createDataFrame([(1, line), (2, "X" + line[:20] + line[21:] + "Y"), (3, "XX" + line[:-2])], "doc_id long, text string")
+    assert {r.doc_id: r.removed for r in line_dedup.duplicate_lines(df).collect()} == {1: [], 2: [], 3: []}
+    df = spark.createDataFrame([(1, line), (2, line[:20] + "Z" + line[21:] + "Y")], "doc_id long, text string")
+    assert {r.doc_id: r.removed for r in line_dedup.duplicate_lines(df).collect()} == {1: [], 2: [0]}
+
+
+def test_word_edits_grow_with_the_line(spark):
+    rng = random.Random(4)
+    docs, want = [], {}
+    for i in range(60):
+        n = rng.choice([19, 20, 39, 40, 59, 60, 100, 800])
+        words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+        other = list(words)
+        for at in rng.sample(range(len(words)), e := max(1, n // 20 + rng.randrange(2))):
+            other[at] = rng.choice(["", f"changed{at}", f"one{at} more{at}" if e == 1 else "changed"])
+        first, second = " ".join(words), " ".join(" ".join(other).split())
+        p, q = sorted((first.split(), second.split()), key=len, reverse=True)
+        docs += [(2 * i, first), (2 * i + 1, second)]
+        want |= {2 * i: [], 2 * i + 1: [0] if edits(p, q) <= len(p) // 20 else []}
+        assert line_dedup.words_within([hash(w) % 2**60 for w in p], [hash(w) % 2**60 for w in q], len(p) // 20) == (edits(p, q) <= len(p) // 20)
+    assert 15 < sum(map(len, want.values())) < 55
+    got = line_dedup.duplicate_lines(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {r.doc_id: r.removed for r in got.collect()} == want

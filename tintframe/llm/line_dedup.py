@@ -5,11 +5,16 @@ unchanged, near its place; which substrings can match depends on both lengths. S
 index entries and those substrings are probes; both are dealt by a hash of text, segment
 number and indexed length. Probes that meet entries become candidate pairs unless their
 character counts alone show too many edits. Candidates are verified on the whole lines.
+
+Long lines may also differ by some whole words. Of two lines within those word edits, a run
+of words longer than a window is the same in both, and so is the run's least-hashed sequence
+of words in it; lines that share such a sequence near the same place become candidates too.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +30,14 @@ _BLANK = " \t\r\x0b\x0c"
 _ENTRIES_A_SHARD = 1_000_000
 #: Characters hashed and pairs compared at a time.
 _CHARS, _PAIRS = 1 << 18, 1 << 20
+#: Unless a least length is given, one edit is allowed a so many characters, up to the edits.
+_CHARS_AN_EDIT = 20
+#: One word edit is allowed a so many words of the longer line.
+_WORDS_AN_EDIT = 20
+#: Words of the shorter line, of the longer one, in a sequence, and sequences in a window. Two
+#: lines share 10 words in a row in the first class and 13 in the second, of which a window
+#: takes 10 and 13: (n - t) / (t + 1), rounded up, for t = n // 20 edits and n words.
+_CLASSES = ((19, 39, 6, 5), (38, None, 8, 6))
 
 
 def line_id(line: str) -> int:
@@ -69,8 +82,17 @@ def segment(length: np.ndarray, errors: int, i: int) -> tuple[np.ndarray, np.nda
     return i * size + before, size + (i >= parts - longer)
 
 
-def entries(lines: list[str], errors: int) -> tuple[np.ndarray, ...]:
-    """Keys of the lines' segments and probes: key, line number, whether it is a probe."""
+def allowed(length: np.ndarray, errors: int, graded: bool) -> np.ndarray:
+    """Edits allowed between a line of this length and a shorter one."""
+    return np.minimum(errors, length // _CHARS_AN_EDIT) if graded else np.full(len(length), errors)
+
+
+def entries(lines: list[str], errors: int, graded: bool = False) -> tuple[np.ndarray, ...]:
+    """Keys of the lines' segments and probes: key, line number, whether it is a probe.
+
+    The longer line of a pair sets the edits and so the segments; a line near the next step of
+    edits is indexed under both.
+    """
     lengths = np.fromiter(map(len, lines), np.int64, len(lines))
     codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
     at = np.cumsum(lengths) - lengths
@@ -82,28 +104,81 @@ def entries(lines: list[str], errors: int) -> tuple[np.ndarray, ...]:
     def put(rows: np.ndarray, start: np.ndarray, size: np.ndarray, i: int, indexed: np.ndarray, probe: bool) -> None:
         lo = at[rows] + start
         text = (sums[lo + size] - sums[lo]) * down[lo]
-        keys.append(mix(text + mix((indexed * 64 + i).astype(U))))
+        keys.append(mix(text + mix(((indexed * 64 + edits) * 64 + i).astype(U))))
         which.append(rows)
         probes.append(np.full(len(rows), probe))
 
-    every = np.arange(len(lines))
-    for i in range(errors + 1):
-        start, size = segment(lengths, errors, i)
-        put(every, start, size, i, lengths, False)
-        for extra in range(errors + 1):
-            indexed = lengths - extra
-            p, size = segment(indexed, errors, i)
-            for shift in range(max(-i, extra - (errors - i)), min(i, extra + (errors - i)) + 1):
-                fits = (p + shift >= 0) & (p + shift + size <= lengths) & (size > 0)
-                rows = every[fits]
-                put(rows, (p + shift)[fits], size[fits], i, indexed[fits], True)
+    own = allowed(lengths, errors, graded)
+    for edits in range(1 if graded else errors, errors + 1):
+        some = np.flatnonzero((own <= edits) & (allowed(lengths + edits, errors, graded) >= edits))
+        asking = np.flatnonzero(own == edits)
+        for i in range(edits + 1):
+            start, size = segment(lengths[some], edits, i)
+            put(some, start, size, i, lengths[some], False)
+            for extra in range(edits + 1):
+                indexed = lengths[asking] - extra
+                p, size = segment(indexed, edits, i)
+                for shift in range(max(-i, extra - (edits - i)), min(i, extra + (edits - i)) + 1):
+                    fits = (p + shift >= 0) & (p + shift + size <= lengths[asking]) & (size > 0)
+                    put(asking[fits], (p + shift)[fits], size[fits], i, indexed[fits], True)
+    if not keys:
+        keys, which, probes = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
     return np.concatenate(keys), np.concatenate(which), np.concatenate(probes), _tallies(codes, at)
 
 
+def anchors(lines: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the least-hashed word sequences of every window: key, line number, place in the line."""
+    lengths = np.fromiter(map(len, lines), np.int64, len(lines))
+    found = [(np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for c, (least, most, size, window) in enumerate(_CLASSES):
+        mine = np.flatnonzero((lengths >= least) & (lengths <= (most or lengths.max(initial=0))))
+        codes = np.array([xxhash.xxh64_intdigest(w.encode()) for i in mine for w in lines[i]], U)
+        if not len(codes):
+            continue
+        key = np.full(len(codes) - size + 1, c + 1, U)
+        for i in range(size):
+            key = mix(key + codes[i : i + len(key)])
+        windows = np.lib.stride_tricks.sliding_window_view(key, window)
+        ends = np.cumsum(lengths[mine])
+        owner = np.searchsorted(ends, np.arange(len(windows)), "right")
+        whole = np.flatnonzero(np.arange(len(windows)) + size + window - 1 <= ends[owner])
+        at = np.unique(windows[whole].argmin(axis=1) + whole)
+        owner = np.searchsorted(ends, at, "right")
+        found.append((key[at], mine[owner], at - (ends - lengths[mine])[owner]))
+    return tuple(map(np.concatenate, zip(*found, strict=True)))
+
+
+_ANCHOR_DDL = "key long, id long, at int, words int"
+
+
+def _anchors(least: int):
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = [line for line in _distinct(batch, least) if len(line.split()) >= _CLASSES[0][0]]
+            split = [line.split() for line in some]
+            ids, words = (np.fromiter(x, np.int64, len(some)) for x in (map(line_id, some), map(len, split)))
+            key, which, at = anchors(split)
+            columns = (key.view(np.int64), ids[which], at.astype(np.int32), words[which].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "id", "at", "words"])
+
+    return put
+
+
+def _share_words(base: DataFrame, least: int) -> DataFrame:
+    """Pairs of line ids that share a sequence of words where the allowed word edits leave it."""
+    put = base.select("text").mapInArrow(_anchors(least), _ANCHOR_DDL).repartition("key").dropDuplicates()
+    p, q = put.alias("p"), put.alias("q")
+    before = F.abs(F.col("p.at") - F.col("q.at"))
+    after = F.abs(F.col("p.words") - F.col("p.at") - F.col("q.words") + F.col("q.at"))
+    near = before + after <= F.floor(F.greatest("p.words", "q.words") / _WORDS_AN_EDIT)
+    met = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.id") < F.col("q.id")) & near)
+    return met.select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
+
+
 _ENTRY_DDL = "shard int, key array<long>, id array<long>, tally array<long>, probe array<boolean>"
 
 
-def _deal(least: int, errors: int, shards: int):
+def _deal(least: int, errors: int, graded: bool, shards: int):
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lines = _distinct(batch, least)
@@ -115,7 +190,7 @@ def _deal(least: int, errors: int, shards: int):
                     hi += 1
                 some = lines[lo:hi]
                 lo = hi
-                key, which, probe, tally = entries(some, errors)
+                key, which, probe, tally = entries(some, errors, graded)
                 ids = np.fromiter(map(line_id, some), np.int64, len(some))
                 shard = (mix(key ^ U(0x9FB21C651E98DF25)) % U(shards)).astype(np.int64)
                 order = np.argsort(shard, kind="stable")
@@ -219,22 +294,63 @@ def within(longer: list[str], shorter: list[str], errors: int) -> np.ndarray:
     return (distance <= errors) & (n - m <= errors)
 
 
-def _verify(errors: int):
+def words_within(longer: list[int], shorter: list[int], errors: int) -> bool:
+    """Whether two lists of word hashes are within ``errors`` edits: the band of the table.
+
+    Place k of a row is column j - errors + k. Inserts along a row are a running minimum.
+    """
+    same = lambda p, q: next((i for i, (x, y) in enumerate(zip(p, q, strict=False)) if x != y), len(q))
+    start = same(longer, shorter)
+    longer, shorter = longer[start:][::-1], shorter[start:][::-1]
+    end = same(longer, shorter)
+    longer, shorter = longer[end:], shorter[end:]
+    n, m = len(longer), len(shorter)
+    if n - m > errors or not m:
+        return n <= errors
+    far = errors + 1
+    x = np.zeros(n + 2 * errors + 1, U)  # what lies outside is cut off by its column
+    x[errors : errors + n] = np.array(longer, U)
+    k = np.arange(2 * errors + 1)
+    row = np.where(k >= errors, k - errors, far)
+    row[k - errors > n] = far
+    for j, word in enumerate(shorter, 1):
+        column = j - errors + k
+        across = row + (x[j - 1 : j + 2 * errors] != U(word))
+        above = np.append(row[1:], far) + 1
+        row = np.where(column == 0, j, np.minimum(across, above))
+        row[(column < 0) | (column > n)] = far
+        row = np.minimum.accumulate(row - k) + k
+        row[(column < 0) | (column > n)] = far
+        row = np.minimum(row, far)
+        if row.min() >= far:
+            return False
+    return bool(row[n - m + errors] <= errors)
+
+
+def _verify(errors: int, graded: bool):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
-            p, q = batch["line_a"].to_pylist(), batch["line_b"].to_pylist()
-            order = sorted(range(len(p)), key=lambda i: len(p[i]))
-            lo = 0
-            while lo < len(order):  # pairs of like length together, a bounded table of them
-                hi = lo + 1
-                while hi < len(order) and (hi - lo + 1) * len(p[order[hi]]) <= _PAIRS:
-                    hi += 1
-                some = order[lo:hi]
-                lo = hi
-                both = [(p[i], q[i]) if len(p[i]) >= len(q[i]) else (q[i], p[i]) for i in some]
-                keep[some] = within([a for a, _ in both], [b for _, b in both], errors)
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(keep))
+            both = [(a, b) if len(a) >= len(b) else (b, a) for a, b in zip(batch["line_a"].to_pylist(), batch["line_b"].to_pylist(), strict=True)]
+            n, m = (np.fromiter((len(p[i]) for p in both), np.int64, len(both)) for i in (0, 1))
+            edits = allowed(n, errors, graded)
+            for e in range(errors + 1):
+                order = np.flatnonzero((edits == e) & (n - m <= e))
+                order = order[np.argsort(n[order], kind="stable")]
+                lo = 0
+                while lo < len(order):  # pairs of like length together, a bounded table of them
+                    hi = lo + 1
+                    while hi < len(order) and (hi - lo + 1) * n[order[hi]] <= _PAIRS:
+                        hi += 1
+                    some = order[lo:hi]
+                    lo = hi
+                    keep[some] = within([both[i][0] for i in some], [both[i][1] for i in some], e)
+            for i in np.flatnonzero(~keep):
+                p, q = sorted(map(str.split, both[i]), key=len, reverse=True)
+                if (e := len(p) // _WORDS_AN_EDIT) and (Counter(p) - Counter(q)).total() <= e:
+                    code = {w: c for c, w in enumerate(dict.fromkeys(p + q))}
+                    keep[i] = words_within([code[w] for w in p], [code[w] for w in q], e)
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return verify
 
@@ -243,25 +359,30 @@ def _base(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64(F.col("doc_id"), F.col("text")).alias("row"), F.col("doc_id").cast("long"), "text")
 
 
-def duplicate_lines(docs: DataFrame, *, errors: int = 2, least: int = 40) -> DataFrame:
+def duplicate_lines(docs: DataFrame, *, errors: int = 2, least: int | None = None) -> DataFrame:
     """One row per distinct (doc_id, text): row, doc_id, n_lines, removed, near.
 
     ``removed`` lists the places (from 0) of lines to drop, ``near`` those of them that equal
     no earlier line. Lines are what newlines separate, compared without blanks at both ends;
-    those of fewer than ``least`` characters are never dropped. A line goes if an earlier one
-    is within ``errors`` edits, an equal one included. Earlier means the lesser doc_id (null
+    blank ones are never dropped. A line goes if an earlier one equals it, or is within the
+    edits or the word edits that the longer of both allows: one edit a 20 characters, up to
+    ``errors``; one edit of words (what white space separates) a 20 words, without a limit.
+    Given ``least``, lines of fewer characters are never dropped and drop none, and all others
+    may have ``errors`` edits. Earlier means the lesser doc_id (null
     last, ties by hash of the row), then the lesser place. Each line is judged on the input,
     so a line also goes if only a dropped one is near it. Null texts have one empty line.
     Rows equal in id and text are one. An empty table gives no rows.
     """
-    assert 0 <= errors <= 20 and least > errors
+    graded = least is None
+    least = 1 if least is None else least
+    assert 0 <= errors <= 20 and (graded or least > errors)
     base = _base(docs)
     lines = save(base.mapInArrow(lambda b: _lines(b, least), "row long, doc_id long, lines array<long>").dropDuplicates(["row"]), "lines")
     total = lines.agg(F.sum(F.size("lines"))).first()[0] or 0
     each = (errors + 1) * (errors + 3)
     shards = max(1, math.ceil(total * each / _ENTRIES_A_SHARD))
-    dealt = base.select("text").mapInArrow(_deal(least, errors, shards), _ENTRY_DDL).repartition(shards, "shard").sortWithinPartitions("shard")
-    pairs = save(dealt.mapInArrow(_meet(errors), "a long, b long").distinct(), "pairs")
+    dealt = base.select("text").mapInArrow(_deal(least, errors, graded, shards), _ENTRY_DDL).repartition(shards, "shard").sortWithinPartitions("shard")
+    pairs = save(dealt.mapInArrow(_meet(errors), "a long, b long").union(_share_words(base, least)).distinct(), "pairs")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,7 +392,7 @@ def duplicate_lines(docs: DataFrame, *, errors: int = 2, least: int = 40) -> Dat
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     known = save(base.select("text").mapInArrow(texts, "id long, line string").join(wanted, "id", "left_semi").dropDuplicates(["id"]), "candidate-lines")
     side = lambda c: known.select(F.col("id").alias(c), F.col("line").alias(f"line_{c}"))
-    links = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify(errors), "a long, b long")
+    links = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify(errors, graded), "a long, b long")
 
     placed = lines.select("row", "doc_id", F.posexplode("lines").alias("at", "id")).filter(F.col("id").isNotNull())
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row", "at")

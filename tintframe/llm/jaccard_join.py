@@ -1,15 +1,18 @@
 """Jaccard self-join of shingle sets: prefix blocks, count-vector R-trees, verification.
 
-Two sets as similar as the threshold share one of each one's first ``n - ceil(t * n) + 1``
-shingles in any order that all sets agree on. Here that order is by hash, with the shingles
-that are frequent within a batch of documents last. Sets that share such a key form a block.
-
-Equal sets are one class from the start. The rows of a large block are first
-compared with its first and last; those of a small one in pairs. What links is one component,
-and a block that lies within one component needs no more work. In the other large blocks an
-R-tree over count vectors (shingles hashed to groups, counts of a group as coordinates) finds
-the pairs across components whose summed minima allow the overlap; the same bound thins the
-other pairs. Surviving pairs are verified on the whole sets.
+Equal sets are one node from the start. Two sets as similar as the threshold share a key among
+each one's first ``n - ceil(t * n) + 1`` shingles in any order that all sets agree on, of
+which the smaller one's lies in its still shorter index prefix. Here that order is by hash,
+with the shingles that are frequent within a batch of documents last. Sets that share such a
+key form a block.
+
+Pairs come from R-trees over points ``(block, size, count vector)``: shingles are hashed to
+groups, the counts of the groups are coordinates, and the summed minima of two vectors bound
+the overlap of their sets. One tree serves all blocks of a task, whatever their sizes. The
+first search is greedy: every node enters the trees of a few of its blocks and asks for one
+earlier partner of high bound. What links on the whole sets is one component, and a block
+within one component needs no more work. The second search takes all other blocks and finds
+every pair across components that the bound allows; those are verified, too.
 """
 
 from __future__ import annotations
@@ -23,19 +26,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, save
+from .common import discard, free_name, only, save
 from .components import components
 from .hashing import U, mix, words_by_doc
 
 #: Dimensions of a count vector.
 GROUPS = 128
-#: Members of a block that one R-tree takes; larger blocks are cut and joined piece by piece.
+#: Members of a block that meet in one cell; larger blocks are cut and joined piece by piece.
 BLOCK_ROWS = 4096
-#: Blocks of up to so many rows give their pairs directly.
-SMALL = 32
 #: How many frequent shingles are ordered last, at most: 8 bytes each in every task.
 FREQUENT = 200_000
+#: A frequent shingle of more sets is dealt to several shards.
+HOT = 20_000
+#: Blocks of a node that take part in the first search.
+FIRST_BLOCKS = 3
 _KEYS_A_SHARD = 500_000
+#: Points of a task's tree, on average; queries and pairs handled at a time.
+_POINTS, _QUERIES, _PAIRS = 60_000, 8192, 8192
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -68,126 +75,127 @@ def count_vector(s: np.ndarray) -> np.ndarray:
     return np.bincount((mix(s) >> U(57)).astype(np.int64), minlength=GROUPS)
 
 
-_PROFILE_DDL = "frequent boolean, row long, doc_id long, n long, sign_a long, sign_b long, counts binary"
+_PROFILE_DDL = "frequent boolean, row long, doc_id long, n long, node long"
+
+
+def node_id(s: np.ndarray) -> int:
+    """A 64-bit name of a set: equal sets have equal names."""
+    return int(mix(np.add.reduce(s, keepdims=True, dtype=U) + mix(np.add.reduce(mix(s ^ U(0x5851F42D4C957F2D)), keepdims=True, dtype=U) + U(len(s))))[0])
+
+
+def _nodes(sets: list[np.ndarray]) -> np.ndarray:
+    return np.fromiter(map(node_id, sets), U, len(sets)).view(np.int64)
 
 
 def _profile(width: int):
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_sets(_texts(batch), width)
-            signed = lambda f: np.array([f(s) for s in sets], U).view(np.int64)  # noqa: B023, E731
-            columns = [np.zeros(len(sets), bool), batch["row"], batch["doc_id"], np.array([len(s) for s in sets], np.int64), signed(lambda s: np.add.reduce(s, dtype=U)), signed(lambda s: np.add.reduce(mix(s ^ U(0x5851F42D4C957F2D)), dtype=U)), [count_vector(s).astype("<u4").tobytes() for s in sets]]
+            nodes, n = _nodes(sets), np.fromiter(map(len, sets), np.int64, len(sets))
             names = [x.split()[0] for x in _PROFILE_DDL.split(", ")]
-            kinds = [pa.bool_(), *[pa.int64()] * 5, pa.binary()]
-            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
-            first = {s.tobytes(): s for s in sets}
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), bool)), batch["row"], batch["doc_id"], pa.array(n), pa.array(nodes, mask=n == 0)], names=names)
+            first = dict(zip(nodes.tolist(), sets, strict=True))
             found, seen = np.unique(np.concatenate(list(first.values()) or [np.empty(0, U)]), return_counts=True)
             often = seen >= 3
             k = int(often.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, bool)), pa.array(found[often].view(np.int64)), pa.nulls(k, pa.int64()), pa.array(seen[often].astype(np.int64)), *[pa.nulls(k, pa.int64())] * 2, pa.nulls(k, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, bool)), pa.array(found[often].view(np.int64)), pa.nulls(k, pa.int64()), pa.array(seen[often].astype(np.int64)), pa.nulls(k, pa.int64())], names=names)
 
     return profile
 
 
-def prefix(s: np.ndarray, frequent: np.ndarray, threshold: Fraction) -> np.ndarray:
-    """The keys of a set: its first shingles in the common order."""
+def prefix(s: np.ndarray, frequent: np.ndarray, threshold: Fraction) -> tuple[np.ndarray, int]:
+    """The keys of a set, its first shingles in the common order; how many are its index prefix.
+
+    A pair shares a key of both, which is in the index prefix of the smaller set.
+    """
     n = len(s)
     if not n:
-        return s
-    length = n - math.ceil(threshold * n) + 1
+        return s, 0
     if len(frequent):
         at = np.searchsorted(frequent, s)
         at[at == len(frequent)] = 0
         s = s[np.argsort(frequent[at] == s, kind="stable")]
-    return s[:length]
+    return s[: n - math.ceil(threshold * n) + 1], n - math.ceil(2 * threshold / (1 + threshold) * n) + 1
 
 
-_KEYS_DDL = "shard int, row array<long>, size array<int>, at array<int>, key array<long>"
+_KEYS_DDL = "shard int, node array<long>, size array<int>, at array<int>, key array<long>"
 
 
 def _keys(width: int, threshold: Fraction, shards: int, frequent):
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = frequent.value
+        often, pieces = frequent.value
         for batch in batches:
-            rows, sizes, own = [], [], []
-            known = set()
-            for row, s in zip(batch["row"].to_pylist(), shingle_sets(_texts(batch), width), strict=True):
-                mark = s.tobytes()
-                if len(s) and mark not in known:  # an equal set of the batch stands for it
-                    known.add(mark)
-                    rows.append(row)
-                    sizes.append(len(s))
-                    own.append(prefix(s, often, threshold))
-            if not rows:
+            sets = shingle_sets(_texts(batch), width)
+            distinct = {node: s for node, s in zip(_nodes(sets).tolist(), sets, strict=True) if len(s)}
+            if not distinct:
                 continue
-            key, at = np.concatenate(own), np.repeat(np.arange(len(rows)), [len(k) for k in own])
-            shard = (mix(key ^ U(0x9FB21C651E98DF25)) % U(shards)).astype(np.int64)
+            own = [prefix(s, often, threshold) for s in distinct.values()]
+            key, at = np.concatenate([k for k, _ in own]), np.repeat(np.arange(len(own)), [len(k) for k, _ in own])
+            indexed = np.concatenate([np.arange(len(k)) < q for k, q in own])
+            nodes, sizes = np.array([*distinct], np.int64), np.array([*map(len, distinct.values())], np.int32)
+            salt = mix(nodes.view(U))[at] % U(1)
+            if len(often):  # the rows of a hot key go to several shards
+                place = np.searchsorted(often, key)
+                place[place == len(often)] = 0
+                salt = mix(nodes.view(U))[at] % np.where(often[place] == key, pieces[place], 1).astype(U)
+            shard = (mix(key ^ U(0x9FB21C651E98DF25) ^ mix(salt)) % U(shards)).astype(np.int64)
             order = np.lexsort((at, shard))
             cuts = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1))
-            ids, sizes = np.array(rows, np.int64), np.array(sizes, np.int32)
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 mine = order[lo:hi]
                 present, local = np.unique(at[mine], return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array([shard[mine[0]]], pa.int32()), pa.array([ids[present]], pa.list_(pa.int64())), pa.array([sizes[present]], pa.list_(pa.int32())), pa.array([local.astype(np.int32)], pa.list_(pa.int32())), pa.array([key[mine].view(np.int64)], pa.list_(pa.int64()))], names=["shard", "row", "size", "at", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array([shard[mine[0]]], pa.int32()), pa.array([nodes[present]], pa.list_(pa.int64())), pa.array([sizes[present]], pa.list_(pa.int32())), pa.array([(2 * local + indexed[mine]).astype(np.int32)], pa.list_(pa.int32())), pa.array([key[mine].view(np.int64)], pa.list_(pa.int64()))], names=["shard", "node", "size", "at", "key"])
 
     return keys
 
 
-#: What a shard finds: a pair of a block's first or last row with another, another pair of a
-#: small block, or a row of a large block under its key.
-STAR, PAIR, MEMBER = 0, 1, 2
-
+_MEMBER_DDL = "block long, node long, n int, indexed boolean"
 
-def _small_pairs(row: np.ndarray, size: np.ndarray, cuts: np.ndarray, width: np.ndarray, threshold: Fraction) -> np.ndarray:
-    """Pairs of rows of the same block whose sizes allow the threshold, blocks being small."""
-    place = np.arange(len(row))
-    end = np.repeat(cuts + width, width)
-    found = []
-    for step in range(1, int(width.max(initial=1))):
-        a = place[place + step < end]
-        b = a + step
-        lo, hi = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
-        fits = lo * threshold.denominator >= hi * threshold.numerator
-        found.append(np.stack([row[a[fits]], row[b[fits]]]))
-    return np.unique(np.hstack(found), axis=1) if found else np.empty((2, 0), np.int64)
 
+def _blocks(threshold: Fraction, frequent):
+    """Keys of a shard to the members of its blocks; of blocks with the same members one stays."""
 
-def _blocks(threshold: Fraction):
-    """Keys of a shard to ``kind, a, b``; a MEMBER has its key in ``a`` and its row in ``b``."""
-
-    def block(rows: list) -> Iterator[pa.RecordBatch]:
-        key, row, size = (np.concatenate(x) for x in zip(*rows, strict=True))
-        order = np.lexsort((row, key))
-        key, row, size = key[order], row[order], size[order].astype(np.int64)
+    def block(rows: list) -> pa.RecordBatch:
+        key, node, size, indexed = (np.concatenate(x) for x in zip(*rows, strict=True))
+        order = np.lexsort((~indexed, size, node, key))
+        key, node, size, indexed = (x[order] for x in (key, node, size, indexed))
         new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
-        key, row, size = key[new], row[new], size[new]
-        cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+        key, node, size, indexed = (x[new] for x in (key, node, size, indexed))
+        order = np.lexsort((~indexed, size, key))
+        key, node, size, indexed = (x[order] for x in (key, node, size, indexed))
+        group = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]])) - 1
+        # the largest indexed set of the block below or at each row's size, if not too small
+        base = group * (1 << 40)
+        held = np.flatnonzero(indexed)
+        below = np.searchsorted((base + size)[held], base + size) - 1
+        fits = (below >= 0) & (group[held[below]] == group) & (size[held[below]] * threshold.denominator >= size * threshold.numerator) if len(held) else np.zeros(len(key), bool)
+        keep = indexed | fits
+        key, node, size, indexed, group = (x[keep] for x in (key, node, size, indexed, group))
+        cuts = np.flatnonzero(np.diff(group, prepend=-1))
         width = np.diff(np.append(cuts, len(key)))
-        each = np.repeat(width, width)
-        first, last = np.repeat(row[cuts], width), np.repeat(row[cuts + width - 1], width)
-        star = np.hstack([np.stack([first, row]), np.stack([row, last])])[:, np.tile(each > SMALL, 2)]
-        star = np.unique(star[:, star[0] != star[1]], axis=1)
-        small = (each > 1) & (each <= SMALL)
-        few = (width > 1) & (width <= SMALL)
-        at = np.cumsum(width[few]) - width[few]
-        pair = _small_pairs(row[small], size[small], at, width[few], threshold)
-        held = each > SMALL
-        for kind, (a, b) in ((STAR, star), (PAIR, pair), (MEMBER, (key[held], row[held]))):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b)], names=["kind", "a", "b"])
+        mark = mix(node.view(U) * U(2) + indexed + mix(node.view(U)))
+        sums = np.add.reduceat(mark, cuts) if len(cuts) else mark
+        often, pieces = frequent.value
+        hot = np.isin(key[cuts].view(U), often[pieces > 1])
+        sums[hot] = mix(key[cuts][hot].view(U))  # a hot block is in pieces, so it is like no other
+        first = np.zeros(len(cuts), bool)
+        first[np.unique(sums, return_index=True)[1]] = True
+        keep = np.repeat(first & ((width > 1) | hot), width)
+        return pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(node[keep]), pa.array(size[keep].astype(np.int32)), pa.array(indexed[keep])], names=["block", "node", "n", "indexed"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
         for batch in batches:
             for i, shard in enumerate(batch["shard"].to_pylist()):
                 if shard != now and rows:
-                    yield from block(rows)
+                    yield block(rows)
                     rows = []
                 now = shard
                 at = np.asarray(batch["at"][i].values)
-                rows.append((np.asarray(batch["key"][i].values), np.asarray(batch["row"][i].values)[at], np.asarray(batch["size"][i].values)[at]))
+                rows.append((np.asarray(batch["key"][i].values), np.asarray(batch["node"][i].values)[at >> 1], np.asarray(batch["size"][i].values)[at >> 1].astype(np.int64), (at & 1) > 0))
         if rows:
-            yield from block(rows)
+            yield block(rows)
 
     return blocks
 
@@ -199,52 +207,101 @@ def least_overlap(n: np.ndarray, m: np.ndarray, threshold: Fraction) -> np.ndarr
 
 
 class CountTree:
-    """An R-tree over count vectors, packed in order of size and then of the fullest group."""
-
-    def __init__(self, n: np.ndarray, vectors: np.ndarray, leaf: int = 32, fan: int = 8):
-        order = np.lexsort((vectors.argmax(axis=1), n))
-        self.order, self.n, self.vectors = order, n[order], vectors[order]
-        at = list(range(0, len(n), leaf))
-        low, high, top = (np.array([f(x[i : i + leaf]) for i in at]) for f, x in ((np.min, self.n), (np.max, self.n), (lambda v: v.max(axis=0), self.vectors)))
-        self.leaf, self.fan, self.levels = leaf, fan, [(low, high, top)]
-        while len(self.levels[-1][0]) > fan:
-            low, high, top = self.levels[-1]
-            at = range(0, len(low), fan)
-            self.levels.append(tuple(np.array([f(x[i : i + fan]) for i in at]) for f, x in ((np.min, low), (np.max, high), (lambda v: v.max(axis=0), top))))
+    """An R-tree over points of a block, a size, a component and a count vector.
+
+    It is packed in order of block, size and fullest group. A node knows the ranges of its
+    points' blocks, sizes and components, and the largest count of each group.
+    """
+
+    def __init__(self, n: np.ndarray, vectors: np.ndarray, block: np.ndarray | None = None, part: np.ndarray | None = None, leaf: int = 16, fan: int = 8):
+        block = np.zeros(len(n), np.int64) if block is None else block
+        part = np.arange(len(n)) if part is None else part
+        self.order = np.lexsort((vectors.argmax(axis=1) if len(n) else n, n, block))
+        self.block, self.n, self.part, self.vectors = (x[self.order] for x in (block, n, part, vectors))
+        self.leaf, self.fan, self.levels = leaf, fan, []
+        low, high, top, wide = [self.block, self.n, self.part], [self.block, self.n, self.part], self.vectors, leaf
+        while not self.levels or len(top) > fan:
+            at = np.arange(0, len(top), wide)
+            low, high = [np.minimum.reduceat(x, at) for x in low] if len(at) else low, [np.maximum.reduceat(x, at) for x in high] if len(at) else high
+            top = np.maximum.reduceat(top, at, axis=0) if len(at) else top
+            self.levels.append((low, high, top))
+            wide = fan
+
+    def pairs(self, asked: np.ndarray, threshold: Fraction, *, earlier: bool = False, greedy: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Of each asked point (a place in the tree) the partners that the bound allows.
+
+        Partners are of the same block and of another component; ``earlier`` takes only those
+        at lesser places. A greedy search follows the two best nodes of each level and ends
+        with one partner, if any.
+        """
+        p, q = threshold.numerator, threshold.denominator
+        at, node = np.repeat(asked, len(self.levels[-1][2])), np.tile(np.arange(len(self.levels[-1][2])), len(asked))
+        span = self.leaf * self.fan ** (len(self.levels) - 1)
+        for low, high, top in [*reversed(self.levels), (None, None, self.vectors)]:
+            lows, highs = (low, high) if low else ([self.block, self.n, self.part],) * 2
+            may = (lows[0][node] <= self.block[at]) & (highs[0][node] >= self.block[at]) & (highs[1][node] * q >= self.n[at] * p) & (lows[1][node] * p <= self.n[at] * q)
+            may &= (lows[2][node] != self.part[at]) | (highs[2][node] != self.part[at])
+            if earlier:
+                may &= node * span < at
+            at, node = at[may], node[may]
+            need, bound = least_overlap(self.n[at], lows[1][node], threshold), np.zeros(len(at), np.int64)
+            for lo in range(0, len(at), _PAIRS):
+                some = slice(lo, lo + _PAIRS)
+                bound[some] = np.minimum(self.vectors[at[some]], top[node[some]]).sum(axis=1)
+            may = bound >= need
+            at, node, bound = at[may], node[may], bound[may]
+            if greedy:
+                order = np.lexsort((-bound, at))
+                at, node = at[order], node[order]
+                start = np.searchsorted(at, at)
+                best = np.arange(len(at)) - start < (2 if low else 1)
+                at, node = at[best], node[best]
+            if low:
+                wide, below = (self.leaf, len(self.n)) if span == self.leaf else (self.fan, -(-len(self.n) // (span // self.fan)))
+                node = (node[:, None] * wide + np.arange(wide)).reshape(-1)
+                at = np.repeat(at, wide)
+                at, node = at[node < below], node[node < below]
+                span = 1 if span == self.leaf else span // self.fan
+        return at, node
 
     def search(self, n: int, vector: np.ndarray, threshold: Fraction) -> np.ndarray:
-        """Places, in the input's order, of the points whose bound allows the overlap."""
-        nodes = np.arange(len(self.levels[-1][0]))
-        for depth in range(len(self.levels) - 1, -1, -1):
-            low, high, top = (x[nodes] for x in self.levels[depth])
-            may = (high >= threshold * n) & (low * threshold <= n) & (np.minimum(top, vector).sum(axis=1) >= least_overlap(n, low, threshold))
-            nodes = nodes[may]
-            width = self.fan if depth else self.leaf
-            below = len(self.levels[depth - 1][0]) if depth else len(self.n)
-            nodes = (nodes[:, None] * width + np.arange(width)).reshape(-1)
-            nodes = nodes[nodes < below]
-        fits = np.minimum(self.vectors[nodes], vector).sum(axis=1) >= least_overlap(n, self.n[nodes], threshold)
-        return self.order[nodes[fits]]
-
-
-def _tree_pairs(threshold: Fraction):
-    def pairs(table: pa.Table) -> pa.Table:
-        row, part, n, second = (np.asarray(table[c].combine_chunks()) for c in ("row", "component", "n", "second"))
-        vectors = np.array([np.frombuffer(c, "<u4") for c in table["counts"].to_pylist()], np.int64)
-        both = bool(second.any())  # else one piece joined with itself
-        asked, held = (np.flatnonzero(~second), np.flatnonzero(second)) if both else (np.arange(len(row)),) * 2
-        out: list[np.ndarray] = []
-        if len(held) and len(asked):
-            tree = CountTree(n[held], vectors[held])
-            for i in asked:
-                found = held[tree.search(int(n[i]), vectors[i], threshold)]
-                found = found[part[found] != part[i]]
-                if not both:
-                    found = found[row[found] > row[i]]
-                if len(found):
-                    out.append(np.stack([np.minimum(row[i], row[found]), np.maximum(row[i], row[found])]))
-        a, b = np.unique(np.hstack(out), axis=1) if out else np.empty((2, 0), np.int64)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        """Places, in the input's order, of the points that a set from outside may match."""
+        one = CountTree(np.append(self.n[np.argsort(self.order)], n), np.vstack([self.vectors[np.argsort(self.order)], vector]), leaf=self.leaf, fan=self.fan)
+        own = np.flatnonzero(one.order == len(self.n))
+        return one.order[one.pairs(own, threshold)[1]]
+
+
+def _points(table: pa.Table) -> tuple[np.ndarray, ...]:
+    node, n, block, part, side = (np.asarray(table[c].combine_chunks()).astype(np.int64) for c in ("node", "n", "cell", "component", "side"))
+    indexed = np.asarray(table["indexed"].combine_chunks().to_numpy(zero_copy_only=False)).astype(bool)
+    vectors = np.frombuffer(b"".join(table["counts"].to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int32)
+    return node, n, block, part, side, indexed, vectors
+
+
+def _tree_pairs(threshold: Fraction, greedy: bool):
+    """The points of a task to pairs of nodes; the whole partition is one tree."""
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches) or [])  if (batches := list(batches)) else None
+        if table is None or not table.num_rows:
+            return
+        node, n, block, part, side, indexed, vectors = _points(table)
+        tree = CountTree(n, vectors, block, part)
+        node, side, indexed = node[tree.order], side[tree.order], indexed[tree.order]
+        found = [np.empty((2, 0), np.int64)]
+        asked = np.flatnonzero(side < 2)
+        for lo in range(0, len(asked), _QUERIES):
+            some = asked[lo : lo + _QUERIES]
+            for earlier, mine in ((True, some[side[some] == 0]), (False, some[side[some] == 1])):
+                a, b = tree.pairs(mine, threshold, earlier=earlier, greedy=greedy)
+                smaller = np.where(tree.n[a] < tree.n[b], indexed[a], np.where(tree.n[a] > tree.n[b], indexed[b], indexed[a] & indexed[b]))
+                ok = (node[a] != node[b]) & (side[b] == (0 if earlier else 2)) & (smaller | greedy)
+                found.append(np.unique(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])])[:, ok], axis=1))
+            if sum(f.shape[1] for f in found) > 1 << 20:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(np.hstack(found), axis=1)], names=["a", "b"])
+                found = []
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(np.hstack(found), axis=1)], names=["a", "b"])
 
     return pairs
 
@@ -272,6 +329,19 @@ def _verify(width: int, threshold: Fraction):
     return verify
 
 
+def _vectors(width: int):
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = [count_vector(s).astype("<u4").tobytes() for s in shingle_sets(_texts(batch), width)]
+            yield pa.RecordBatch.from_arrays([batch["node"], pa.array(counts, pa.binary()), batch["text"]], names=["node", "counts", "text"])
+
+    return vectors
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.xxhash64(F.col("doc_id"), F.col("text")).alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
+
+
 def jaccard_components(docs: DataFrame, *, width: int = 5, threshold: Fraction = Fraction(3, 4)) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, row.
 
@@ -280,80 +350,78 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, threshold: Fraction =
     and blank texts have empty sets and link with nothing. Sets whose Jaccard similarity is
     ``threshold`` or more link; ``component_id`` is the least doc_id that links lead to, the
     row's own included (null ids count for nothing; alone, they stay null). Rows equal in id
-    and text are one node, ``row``, and come out as often as they went in. Only doc_id and
-    text are read. An empty table gives no rows. The result holds on 64-bit hashes.
+    and text share ``row`` and come out as often as they went in. Only doc_id and text are
+    read. An empty table gives no rows. The result holds on 64-bit hashes: of words, of
+    shingles, of rows and of whole sets.
     """
     spark = docs.sparkSession
-    base = docs.select(F.xxhash64(F.col("doc_id"), F.col("text")).alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
+    base = _rows(docs)
     profile = save(base.mapInArrow(_profile(width), _PROFILE_DDL), "profiles")
-    often = profile.filter("frequent").groupBy(F.col("row").alias("shingle")).agg(F.sum("n").alias("df")).orderBy(F.desc("df"), "shingle").limit(FREQUENT)
-    frequent = spark.sparkContext.broadcast(np.sort(np.array([r.shingle for r in often.select("shingle").collect()], np.int64).view(U)))
-    rows = profile.filter(~F.col("frequent")).drop("frequent")
-    classes = rows.filter(F.col("n") > 0).groupBy("n", "sign_a", "sign_b").agg(F.min("row").alias("node"), F.min("doc_id").alias("least_id"))
-    member = save(rows.select("row", "doc_id", "n", "sign_a", "sign_b").join(classes, ["n", "sign_a", "sign_b"], "left").select("row", "doc_id", "n", "node", "least_id"), "members")
-    node_of = member.filter(F.col("node").isNotNull()).select("row", "node").distinct()
+    often = profile.filter("frequent").groupBy(F.col("row").alias("shingle")).agg(F.sum("n").alias("df")).orderBy(F.desc("df"), "shingle").limit(FREQUENT).toArrow()
+    shingle, df = (np.asarray(often[c].combine_chunks()) for c in ("shingle", "df"))
+    order = np.argsort(shingle.view(U))
+    frequent = spark.sparkContext.broadcast((shingle.view(U)[order], -(-df[order] // HOT)))
+    rows = profile.filter(~F.col("frequent")).select("row", "doc_id", "n", "node")
+    classes = save(rows.filter("n > 0").groupBy("node").agg(F.min("row").alias("row"), F.min("doc_id").alias("least_id"), F.count("*").alias("rows")), "classes")
     total = rows.agg(F.sum("n")).first()[0] or 0
     shards = max(1, math.ceil((1 - threshold) * total / _KEYS_A_SHARD))
-    keys = base.select("row", "text").mapInArrow(_keys(width, threshold, shards, frequent), _KEYS_DDL)
-    blocked = save(keys.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_blocks(threshold), "kind int, a long, b long"), "blocks")
-    vectors = rows.select("row", "n", "counts").dropDuplicates(["row"])
-
-    def bounded(pairs: DataFrame) -> DataFrame:
-        """Pairs whose count vectors allow the overlap."""
-        side = lambda c: vectors.select(F.col("row").alias(c), F.col("n").alias(f"n_{c}"), F.col("counts").alias(f"v_{c}"))
-
-        def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                n, m = np.asarray(batch["n_a"]), np.asarray(batch["n_b"])
-                u, v = (np.frombuffer(b"".join(batch[c].to_pylist()), "<u4").reshape(-1, GROUPS) for c in ("v_a", "v_b"))
-                fits = np.minimum(u, v).sum(axis=1) >= least_overlap(n, m, threshold)
-                yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(fits))
-
-        return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(bound, "a long, b long")
-
-    def links(pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs that reach the threshold on their whole sets; their texts alone are dealt."""
-        pairs = save(pairs, f"{name}-candidates")
-        wanted = save(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct(), f"{name}-rows")
-        texts = save(base.select("row", "text").join(wanted, "row", "left_semi").dropDuplicates(["row"]), f"{name}-texts")
-        discard(wanted)
-        side = lambda c: texts.select(F.col("row").alias(c), F.col("text").alias(f"text_{c}"))
+    keys = base.select("text").mapInArrow(_keys(width, threshold, shards, frequent), _KEYS_DDL)
+    members = save(keys.repartitionById(shards, "shard").sortWithinPartitions("shard").mapInArrow(_blocks(threshold, frequent), _MEMBER_DDL), "blocks")
+
+    wanted = save(members.select("node").distinct().join(classes.select("node", "row"), "node"), "suspect-rows")
+    suspects = only(base.select("row", "text"), wanted, "row").dropDuplicates(["node"]).select("node", "text")
+    suspects = save(suspects.mapInArrow(_vectors(width), "node long, counts binary, text binary"), "suspects")
+    vectors = suspects.select("node", "counts")
+
+    def links(points: DataFrame, greedy: bool, name: str) -> DataFrame:
+        """Pairs of nodes in the cells of ``points`` that reach the threshold on whole sets."""
+        points = save(points.join(vectors, "node"), f"{name}-points")
+        tasks = max(1, math.ceil(points.count() / _POINTS))
+        pairs = save(points.repartition(tasks, "cell").mapInArrow(_tree_pairs(threshold, greedy), "a long, b long").distinct(), f"{name}-candidates")
+        side = lambda c: suspects.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
         found = save(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify(width, threshold), "a long, b long"), name)
-        discard(pairs, texts)
+        discard(points, pairs)
         return found
 
-    to_node = lambda df, c: df.join(node_of.select(F.col("row").alias(c), F.col("node").alias(f"{c}_node")), c).drop(c).withColumnRenamed(f"{c}_node", c)
-    part_of = lambda df, parts, c: df.join(parts.select(F.col("node").alias(c), F.col("component").alias(f"part_{c}")), c, "left").withColumn(f"part_{c}", F.coalesce(f"part_{c}", c))
-    nodes = lambda kind: to_node(to_node(blocked.filter(F.col("kind") == kind).select("a", "b"), "a"), "b").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    found = links(bounded(nodes(STAR).union(nodes(PAIR)).distinct()), "links")
+    chosen = members.groupBy("node", "n").agg(*(F.min(F.struct(F.xxhash64("block", F.lit(i)).alias("h"), "block")).alias(f"b{i}") for i in range(FIRST_BLOCKS)))
+    chosen = chosen.select("node", "n", F.explode(F.array_distinct(F.array(*(F.col(f"b{i}.block") for i in range(FIRST_BLOCKS))))).alias("cell"))
+    sizes = chosen.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("pieces")).filter("pieces > 1")
+    # a large block is dealt in pieces; what that keeps apart is left to the second search
+    piece = F.when(F.col("pieces").isNull(), F.col("cell")).otherwise(F.xxhash64("cell", F.pmod(F.xxhash64("node"), F.col("pieces"))))
+    first = chosen.join(sizes, "cell", "left").select("node", "n", piece.alias("cell"), F.col("node").alias("component"), F.lit(0).alias("side"), F.lit(True).alias("indexed"))
+    found = links(first, True, "links")
     parts = components(found)
 
-    members = to_node(blocked.filter(F.col("kind") == MEMBER).select(F.col("a").alias("key"), F.col("b").alias("row")), "row").distinct()
-    placed = part_of(members, parts, "row").select("key", "row", F.col("part_row").alias("component"))
-    sized = placed.groupBy("key").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-    pieces = F.ceil(F.col("members") / BLOCK_ROWS).cast("long")
-    open_blocks = placed.join(sized.select("key", pieces.alias("pieces")), "key").withColumn("piece", F.pmod(F.xxhash64("row"), F.col("pieces")))
-    cell = F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("other")
-    cells = open_blocks.select("*", cell).select("key", "row", "component", F.least("piece", "other").alias("p"), F.greatest("piece", "other").alias("q"), (F.col("piece") > F.col("other")).alias("second"))
-    met = cells.join(vectors, "row")
-    more = links(met.groupBy("key", "p", "q").applyInArrow(_tree_pairs(threshold), "a long, b long").distinct(), "more-links")
+    placed = members.join(parts, "node", "left").select("block", "node", "n", "indexed", F.coalesce("component", "node").alias("component"))
+    placed = save(placed, "placed")
+    sized = placed.groupBy("block").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
+    sized = save(sized.select("block", F.ceil(F.col("members") / BLOCK_ROWS).cast("long").alias("pieces")), "open-blocks")
+    open_blocks = placed.join(sized, "block").withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("other")
+    low, high = F.least("piece", "other"), F.greatest("piece", "other")
+    side = F.when(low == high, 0).when(F.col("piece") < F.col("other"), 1).otherwise(2).alias("side")
+    cells = open_blocks.select("*", other).select("node", "n", "indexed", "component", F.xxhash64("block", low, high).alias("cell"), side)
+    more = links(cells, False, "more-links")
     final = components(found.union(more))
 
-    named = member.filter(F.col("node").isNotNull()).join(final.withColumnRenamed("component", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
-    least = named.groupBy("part").agg(F.min("least_id").alias("component_id"))
-    linked = named.join(least, "part").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "row")
-    alone = member.filter(F.col("node").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "row")
-    discard(blocked, found, more, parts)
-    return linked.unionByName(alone)
+    named = classes.join(final.withColumnRenamed("component", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
+    named = save(named, "named")
+    least = named.groupBy("part").agg(F.min("least_id").alias("component_id"), F.sum("rows").alias("rows")).filter("rows > 1")
+    told = save(named.join(least.drop("rows"), "part").select(F.col("node").alias("told"), "component_id"), "components")
+    # a row alone in its component is its own; only the others are looked up
+    out = rows.join(told, F.col("node") == F.col("told"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("told").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "row")
+    discard(classes, members, wanted, suspects, placed, sized, found, more, parts, named)
+    return out
 
 
 def keep_one(docs: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component the least doc_id stays.
 
     Rows without words stay, as do rows with a null id whose component has no other id; of
-    rows equal in id and text one stays.
+    rows equal in id and text one stays. Other columns are kept whatever their names.
     """
     found = jaccard_components(docs, **settings)
-    gone = found.filter((F.col("n_shingles") > 0) & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("row").alias("__row")).distinct()
-    marked = docs.withColumn("__row", F.xxhash64(F.col("doc_id"), F.col("text")))
-    return marked.join(gone, "__row", "left_anti").dropDuplicates(["__row"]).drop("__row")
+    row = free_name(docs, "row")
+    gone = found.filter((F.col("n_shingles") > 0) & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("row").alias(row)).distinct()
+    marked = docs.withColumn(row, F.xxhash64(F.col("doc_id"), F.col("text")))
+    return marked.join(gone, row, "left_anti").dropDuplicates([row]).drop(row)

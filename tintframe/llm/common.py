@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -61,30 +61,37 @@ def discard(*saved: DataFrame) -> None:
         saved[0].sparkSession._jvm.System.gc()
 
 
-#: Bits of the filter of :func:`only`, whatever the number of ids: 2 MB in every task.
+#: Bits of the filter of wanted keys, whatever the number of ids: 2 MB in every task.
 _FILTER_BITS = 24
 
 
-def only(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """``rows`` joined with ``wanted`` on ``key``, a 64-bit hash; few others are shuffled.
+def wanted_filter(wanted: DataFrame, key: str) -> Callable[[np.ndarray], np.ndarray]:
+    """Which of some 64-bit hashes may be among the wanted ones, to ask inside tasks.
 
     The low bits of the wanted keys set bits of a filter of fixed size, put together by an
-    aggregate. Rows whose bit is not set drop out before the join, which decides. Beyond some
-    millions of wanted keys the filter lets more and more through, and the join does it all.
+    aggregate. Beyond some millions of keys it lets more and more through.
     """
     words = (1 << _FILTER_BITS - 6) - 1
     one = F.expr(f"shiftleft(1L, cast({key} & 63 as int))")
     bits = wanted.groupBy(F.shiftright(key, 6).bitwiseAND(F.lit(words)).alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()
     mask = np.zeros(words + 1, np.int64)
     mask[np.asarray(bits["word"].combine_chunks())] = np.asarray(bits["bits"].combine_chunks())
-    told = rows.sparkSession.sparkContext.broadcast(mask)
+    told = wanted.sparkSession.sparkContext.broadcast(mask)
+    return lambda k: ((told.value[(k >> 6) & words] >> (k & 63)) & 1).astype(bool)
+
+
+def only(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with ``wanted`` on ``key``, a 64-bit hash; few others are shuffled.
+
+    What :func:`wanted_filter` rules out falls away before the join, which decides.
+    """
+    may = wanted_filter(wanted, key)
 
-    def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k = np.asarray(batch[key])
-            yield batch.filter(pa.array(((told.value[(k >> 6) & words] >> (k & 63)) & 1).astype(bool)))
+            yield batch.filter(pa.array(may(np.asarray(batch[key]))))
 
-    return rows.mapInArrow(may, rows.schema).join(wanted, key)
+    return rows.mapInArrow(thin, rows.schema).join(wanted, key)
 
 
 def free_name(df: DataFrame, name: str) -> str:

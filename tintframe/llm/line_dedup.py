@@ -2,13 +2,15 @@
 
 A line is cut into ``errors + 1`` segments. A line within ``errors`` edits holds one of them
 unchanged, near its place; which substrings can match depends on both lengths. Segments are
-index entries and those substrings are probes; both are dealt by a hash of text, segment
-number and indexed length. Probes that meet entries become candidate pairs unless their
-character counts alone show too many edits. Candidates are verified on the whole lines.
-
-Long lines may also differ by some whole words. Of two lines within those word edits, a run
-of words longer than a window is the same in both, and so is the run's least-hashed sequence
-of words in it; lines that share such a sequence near the same place become candidates too.
+index entries and those substrings are probes, under keys of text, segment number and indexed
+length. Long lines may also differ by some whole words, and hold too many segments for that.
+Of two of them, a run of words longer than a window is the same in both, and so is the run's
+least-hashed sequence of words in it; these sequences are keys, too.
+
+Lines that share a key form a block. A line goes as soon as one earlier line is near it, so
+blocks are not paired up: each line first meets the earliest and the commonest of its blocks.
+Lines that stay then meet all earlier lines of their blocks. Pairs that lengths or tallies of
+words and characters rule out fall away; the others are verified on the texts.
 """
 
 from __future__ import annotations
@@ -18,18 +20,23 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, save
-from .hashing import U, mix, powers
+from .common import discard, free_name, only, save, wanted_filter
+from .hashing import U, mix, powers, words_by_doc
 
 _BLANK = " \t\r\x0b\x0c"
 _ENTRIES_A_SHARD = 1_000_000
 #: Characters hashed and pairs compared at a time.
-_CHARS, _PAIRS = 1 << 18, 1 << 20
+_CHARS, _PAIRS = 1 << 20, 1 << 20
+#: A key of more lines that are hashed together is dealt to several shards.
+_HOT = 64
+#: Lines of a block that meet as many others in one cell; larger blocks meet cell by cell.
+BLOCK_LINES = 8192
 #: Unless a least length is given, one edit is allowed a so many characters, up to the edits.
 _CHARS_AN_EDIT = 20
 #: One word edit is allowed a so many words of the longer line.
@@ -37,21 +44,63 @@ _WORDS_AN_EDIT = 20
 #: Words of the shorter line, of the longer one, in a sequence, and sequences in a window. Two
 #: lines share 10 words in a row in the first class and 13 in the second, of which a window
 #: takes 10 and 13: (n - t) / (t + 1), rounded up, for t = n // 20 edits and n words.
-_CLASSES = ((19, 39, 6, 5), (38, None, 8, 6))
+_CLASSES = ((19, 39, 6, 5), (38, None, 6, 8))
+
+
+def _wordy(errors: int) -> int:
+    """Lines of so many words that stay within ``errors`` character edits share 13 in a row.
+
+    Such an edit touches two words at most, so ``n - 2 * errors`` are left in ``errors + 1`` runs.
+    """
+    return 15 * errors + 13
 
 
 def line_id(line: str) -> int:
     return xxhash.xxh64_intdigest(line.encode()) - (1 << 63)
 
 
-def _lines(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+def _split(text: str | None) -> list[str]:
+    return [line.strip(_BLANK) for line in (text or "").split("\n")]
+
+
+_LINES_DDL = "row long, doc_id long, keys long, lines array<long>, chars array<int>, words array<int>, tally array<long>, bag array<long>"
+
+
+def _lines(batches: Iterator[pa.RecordBatch], least: int, errors: int) -> Iterator[pa.RecordBatch]:
+    """Per text, of each line: id (null if blank), characters, words, tallies of both."""
     for batch in batches:
-        ids = [[line_id(s) if len(s := line.strip(_BLANK)) >= least else None for line in (t or "").split("\n")] for t in batch["text"].to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch["row"], batch["doc_id"], pa.array(ids, pa.list_(pa.int64()))], names=["row", "doc_id", "lines"])
+        split = [_split(t) for t in batch["text"].to_pylist()]
+        flat = [line for lines in split for line in lines]
+        ids = [line_id(s) if len(s) >= least else None for s in flat]
+        chars, bag, words = np.fromiter(map(len, flat), np.int64, len(flat)), np.zeros(len(flat), U), np.zeros(len(flat), np.int64)
+        for first, hashes, counts in words_by_doc([line.encode() for line in flat]):
+            words[first : first + len(counts)] = counts
+            bag[first : first + len(counts)] = _bags(hashes, counts)
+        tally = np.zeros(len(flat), U)
+        short = np.flatnonzero((words < _wordy(errors)) & (chars > 0))
+        for at, hi in _slices(chars[short]):
+            some = short[at:hi]
+            codes = np.frombuffer("".join([flat[i] for i in some]).encode("utf-32-le", "surrogatepass"), np.uint32)
+            tally[some] = _tallies(codes, np.cumsum(chars[some]) - chars[some])
+        offsets = pa.array(np.cumsum([0, *map(len, split)]), pa.int32())
+        lists = lambda x, t: pa.ListArray.from_arrays(offsets, pa.array(x, t))  # noqa: B023, E731
+        ends = np.asarray(offsets)
+        keys = np.add.reduceat(np.append(words // 4 + 12, 0), ends[:-1]) if len(split) else []
+        columns = [pa.array(keys, pa.int64()), lists(ids, pa.int64()), lists(chars, pa.int32()), lists(words, pa.int32()), lists(tally.view(np.int64), pa.int64()), lists(bag.view(np.int64), pa.int64())]
+        yield pa.RecordBatch.from_arrays([batch["row"], batch["doc_id"], *columns], names=[x.split()[0] for x in _LINES_DDL.split(", ")])
+
+
+def _slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Neighbours of ``_CHARS`` together, or alone if they are larger."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(ends):
+        hi = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _CHARS, "right")))
+        yield at, hi
+        at = hi
 
 
 def _distinct(batch: pa.RecordBatch, least: int) -> list[str]:
-    found = dict.fromkeys(line.strip(_BLANK) for t in batch["text"].to_pylist() if t for line in t.split("\n"))
+    found = dict.fromkeys(line for t in batch["text"].to_pylist() if t for line in _split(t))
     return [line for line in found if len(line) >= least]
 
 
@@ -65,8 +114,15 @@ def _tallies(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+def _bags(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The same of the words of each line, which come end to end."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    seen = np.bincount(owner * 16 + (mix(hashes) >> U(60)).astype(np.int64), minlength=16 * len(counts)).reshape(-1, 16)
+    return ((seen.astype(U) & U(15)) << (U(4) * np.arange(16, dtype=U))).sum(axis=1, dtype=U)
+
+
 def tally_gap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A lower bound of the summed differences of two lines' character counts."""
+    """A lower bound of the summed differences of two lines' counts."""
     gap = np.zeros(len(a), np.int64)
     for k in range(16):
         d = (((a >> U(4 * k)) - (b >> U(4 * k))) & U(15)).astype(np.int64)
@@ -119,6 +175,8 @@ def entries(lines: list[str], errors: int, graded: bool = False) -> tuple[np.nda
                 indexed = lengths[asking] - extra
                 p, size = segment(indexed, edits, i)
                 for shift in range(max(-i, extra - (edits - i)), min(i, extra + (edits - i)) + 1):
+                    if not extra and not shift:  # the line's own segment
+                        continue
                     fits = (p + shift >= 0) & (p + shift + size <= lengths[asking]) & (size > 0)
                     put(asking[fits], (p + shift)[fits], size[fits], i, indexed[fits], True)
     if not keys:
@@ -126,136 +184,208 @@ def entries(lines: list[str], errors: int, graded: bool = False) -> tuple[np.nda
     return np.concatenate(keys), np.concatenate(which), np.concatenate(probes), _tallies(codes, at)
 
 
-def anchors(lines: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of the least-hashed word sequences of every window: key, line number, place in the line."""
-    lengths = np.fromiter(map(len, lines), np.int64, len(lines))
     found = [(np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    for c, (least, most, size, window) in enumerate(_CLASSES):
-        mine = np.flatnonzero((lengths >= least) & (lengths <= (most or lengths.max(initial=0))))
-        codes = np.array([xxhash.xxh64_intdigest(w.encode()) for i in mine for w in lines[i]], U)
-        if not len(codes):
-            continue
-        key = np.full(len(codes) - size + 1, c + 1, U)
-        for i in range(size):
-            key = mix(key + codes[i : i + len(key)])
-        windows = np.lib.stride_tricks.sliding_window_view(key, window)
-        ends = np.cumsum(lengths[mine])
-        owner = np.searchsorted(ends, np.arange(len(windows)), "right")
-        whole = np.flatnonzero(np.arange(len(windows)) + size + window - 1 <= ends[owner])
-        at = np.unique(windows[whole].argmin(axis=1) + whole)
-        owner = np.searchsorted(ends, at, "right")
-        found.append((key[at], mine[owner], at - (ends - lengths[mine])[owner]))
+    for begin, hashes, counts in words_by_doc(lines):
+        for c, (least, most, size, window) in enumerate(_CLASSES):
+            mine = (counts >= least) & (counts <= (most or counts.max(initial=0)))
+            codes, lengths = hashes[np.repeat(mine, counts)], counts[mine]
+            if not len(codes):
+                continue
+            key = np.full(len(codes) - size + 1, c + 1, U)
+            for i in range(size):
+                key = mix(key + codes[i : i + len(key)])
+            windows = np.lib.stride_tricks.sliding_window_view(key, window)
+            ends = np.cumsum(lengths)
+            owner = np.repeat(np.arange(len(lengths)), lengths)[: len(windows)]
+            whole = np.flatnonzero(np.arange(len(windows)) + size + window - 1 <= ends[owner])
+            at = np.unique(windows[whole].argmin(axis=1) + whole)
+            owner = np.searchsorted(ends, at, "right")
+            found.append((key[at], begin + np.flatnonzero(mine)[owner], at - (ends - lengths)[owner]))
     return tuple(map(np.concatenate, zip(*found, strict=True)))
 
 
-_ANCHOR_DDL = "key long, id long, at int, words int"
-
-
-def _anchors(least: int):
-    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            some = [line for line in _distinct(batch, least) if len(line.split()) >= _CLASSES[0][0]]
-            split = [line.split() for line in some]
-            ids, words = (np.fromiter(x, np.int64, len(some)) for x in (map(line_id, some), map(len, split)))
-            key, which, at = anchors(split)
-            columns = (key.view(np.int64), ids[which], at.astype(np.int32), words[which].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "id", "at", "words"])
-
-    return put
-
+_ENTRY_DDL = "shard int, id array<long>, rank array<float>, which array<int>, key array<long>, at array<int>"
 
-def _share_words(base: DataFrame, least: int) -> DataFrame:
-    """Pairs of line ids that share a sequence of words where the allowed word edits leave it."""
-    put = base.select("text").mapInArrow(_anchors(least), _ANCHOR_DDL).repartition("key").dropDuplicates()
-    p, q = put.alias("p"), put.alias("q")
-    before = F.abs(F.col("p.at") - F.col("q.at"))
-    after = F.abs(F.col("p.words") - F.col("p.at") - F.col("q.words") + F.col("q.at"))
-    near = before + after <= F.floor(F.greatest("p.words", "q.words") / _WORDS_AN_EDIT)
-    met = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.id") < F.col("q.id")) & near)
-    return met.select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
 
+def _deal(least: int, errors: int, graded: bool, shards: int):
+    """Keys of a batch's lines by shard.
 
-_ENTRY_DDL = "shard int, key array<long>, id array<long>, tally array<long>, probe array<boolean>"
+    ``at`` is the place of a sequence of words, or -1, doubled, and odd for keys that are dealt
+    to several shards: of their lines one goes to the key's own shard.
+    """
 
+    def keyed(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        data = [line.encode() for line in lines]
+        key, which, at = anchors(data)
+        short = [i for i, line in enumerate(data) if len(line.split()) < _wordy(errors)] if errors else []
+        own, owner, _, _ = entries([lines[i] for i in short], errors, graded) if short else (key[:0], which[:0], None, None)
+        return np.concatenate([key, own]), np.concatenate([which, np.array(short, np.int64)[owner]]), np.concatenate([at, np.full(len(own), -1)])
 
-def _deal(least: int, errors: int, graded: bool, shards: int):
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lines = _distinct(batch, least)
-            lo = 0
-            while lo < len(lines):
-                hi, chars = lo, 0
-                while hi < len(lines) and (hi == lo or chars + len(lines[hi]) <= _CHARS):
-                    chars += len(lines[hi])
-                    hi += 1
+            rank: dict[str, float] = {}
+            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                now = math.inf if doc_id is None else float(doc_id)
+                for line in _split(text):
+                    if len(line) >= least and now < rank.get(line, math.nan) or line not in rank:
+                        rank[line] = now
+            lines = [line for line in rank if len(line) >= least]
+            for lo, hi in _slices(np.fromiter(map(len, lines), np.int64, len(lines))):
                 some = lines[lo:hi]
-                lo = hi
-                key, which, probe, tally = entries(some, errors, graded)
-                ids = np.fromiter(map(line_id, some), np.int64, len(some))
-                shard = (mix(key ^ U(0x9FB21C651E98DF25)) % U(shards)).astype(np.int64)
-                order = np.argsort(shard, kind="stable")
+                key, which, at = keyed(some)
+                ids, ranks = np.fromiter(map(line_id, some), np.int64, len(some)), np.array([rank[x] for x in some], np.float32)
+                _, first, back, seen = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+                hot = seen[back] > _HOT
+                away = hot.copy()
+                away[first] = False
+                shard = (mix(key ^ U(0x9FB21C651E98DF25) ^ np.where(away, mix(ids[which].view(U)), U(0))) % U(shards)).astype(np.int64)
+                order = np.lexsort((which, shard))
                 cuts = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1))
                 for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                     mine = order[a:b]
-                    columns = [key[mine].view(np.int64), ids[which[mine]], tally[which[mine]].view(np.int64), probe[mine]]
-                    yield pa.RecordBatch.from_arrays([pa.array([shard[mine[0]]], pa.int32()), *(pa.array([c], pa.list_(t)) for c, t in zip(columns, [*[pa.int64()] * 3, pa.bool_()], strict=True))], names=["shard", "key", "id", "tally", "probe"])
+                    present, local = np.unique(which[mine], return_inverse=True)
+                    columns = [(ids[present], pa.int64()), (ranks[present], pa.float32()), (local.astype(np.int32), pa.int32()), (key[mine].view(np.int64), pa.int64()), ((2 * at[mine] + hot[mine]).astype(np.int32), pa.int32())]
+                    yield pa.RecordBatch.from_arrays([pa.array([shard[mine[0]]], pa.int32()), *(pa.array([c], pa.list_(t)) for c, t in columns)], names=[x.split()[0] for x in _ENTRY_DDL.split(", ")])
 
     return deal
 
 
-def _meet(errors: int):
-    """Entries of a shard to candidate pairs of line ids."""
-
-    def pairs(key, ids, tally, probe) -> Iterator[pa.RecordBatch]:
-        order = np.lexsort((ids, probe, key))
-        key, ids, tally, probe = (x[order] for x in (key, ids, tally, probe))
+#: What a shard tells: two lines of a block, of which one is its first or commonest, or a line
+#: of a block of more under its key, with its place in the line.
+STAR, MEMBER = 0, 1
+_MET_DDL = "kind int, a long, b long, at int"
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries of a shard to what it tells of its blocks."""
+
+    def tell(kind: int, a: np.ndarray, b: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(at.astype(np.int32))], names=["kind", "a", "b", "at"])
+
+    def blocks(key, ids, rank, at) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((at, ids, key))
+        key, ids, rank, at = (x[order] for x in (key, ids, rank, at))
+        line = np.cumsum(np.concatenate([[True], (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])])) - 1
+        starts = np.flatnonzero(np.diff(line, prepend=-1))
+        # a row a line of a block: its least rank, and how many batches hold it
+        least, times = np.minimum.reduceat(rank, starts), np.diff(np.append(starts, len(key)))
+        group = np.cumsum(np.concatenate([[True], key[starts][1:] != key[starts][:-1]])) - 1
+        size, hot = np.bincount(group), np.bincount(group, weights=np.maximum.reduceat(at & 1, starts)) > 0
+        pairs = []
+        for rule in ((ids[starts], least), (least, -times)):
+            order = np.lexsort((*rule, group))
+            pivot = ids[starts][order[np.cumsum(size) - size]]
+            a, b = pivot[group], ids[starts]
+            pairs.append(np.stack([np.minimum(a, b), np.maximum(a, b)])[:, a != b])
+        a, b = np.unique(np.hstack(pairs), axis=1)
+        yield tell(STAR, a, b, np.full(len(a), -1))
+        held = ((size > 2) | hot)[group][line]
         new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (ids[1:] != ids[:-1]) | (probe[1:] != probe[:-1])
-        key, ids, tally, probe = (x[new] for x in (key, ids, tally, probe))
-        cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        size = np.diff(np.append(cuts, len(key)))
-        indexed = np.add.reduceat((~probe).astype(np.int64), cuts)
-        group = np.repeat(np.arange(len(cuts)), size)
-        asks = np.flatnonzero(probe & (indexed[group] > 0))
-        load = np.cumsum(indexed[group[asks]])
-        at, held = 0, []
-        while at < len(asks):
-            upto = max(at + 1, int(np.searchsorted(load, (load[at - 1] if at else 0) + _PAIRS, "right")))
-            some = asks[at:upto]
-            at = upto
-            n = indexed[group[some]]
-            for lo in range(0, int(n.sum()), _PAIRS):  # one probe may meet more than fits
-                flat = np.arange(lo, min(int(n.sum()), lo + _PAIRS))
-                ends = np.cumsum(n)
-                owner = np.searchsorted(ends, flat, "right")
-                a = some[owner]
-                b = cuts[group[a]] + flat - (ends - n)[owner]
-                keep = ids[a] != ids[b]
-                a, b = a[keep], b[keep]
-                near = tally_gap(tally[a], tally[b]) <= 2 * errors
-                x, y = ids[a[near]], ids[b[near]]
-                held.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
-            if sum(h.shape[1] for h in held) > _PAIRS:
-                held = [np.unique(np.hstack(held), axis=1)]
-                if held[0].shape[1] > _PAIRS // 2:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held.pop()], names=["a", "b"])
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(np.hstack(held), axis=1)], names=["a", "b"])
+        new[1:] = (line[1:] != line[:-1]) | (at[1:] >> 1 != at[:-1] >> 1)
+        held &= new
+        yield tell(MEMBER, key[held].view(np.int64), ids[held], at[held] >> 1)
+
+    now, held = None, []
+    for batch in batches:
+        for i, shard in enumerate(batch["shard"].to_pylist()):
+            if shard != now and held:
+                yield from blocks(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                held = []
+            now = shard
+            ids, rank, which, key, at = (np.asarray(batch[c][i].values) for c in ("id", "rank", "which", "key", "at"))
+            held.append((key.view(U), ids[which], rank[which], at))
+    if held:
+        yield from blocks(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+
+def _may(errors: int, graded: bool, chars, words, tally, bag, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether lengths and tallies leave room for lines ``a`` and ``b`` to be near."""
+    n, m, p, q = np.maximum(chars[a], chars[b]), np.minimum(chars[a], chars[b]), np.maximum(words[a], words[b]), np.minimum(words[a], words[b])
+    edits, swaps = allowed(n, errors, graded), p // _WORDS_AN_EDIT
+    close = n - m <= edits
+    near = p - q <= swaps
+    some = np.flatnonzero(close | near)
+    gap = tally_gap(bag[a[some]], bag[b[some]])
+    short = p[some] < _wordy(errors)
+    own = np.full(len(some), 0)
+    own[short] = tally_gap(tally[a[some[short]]], tally[b[some[short]]])
+    out = np.zeros(len(a), bool)
+    out[some] = close[some] & (gap <= 3 * edits[some]) & (own <= 2 * edits[some]) | near[some] & (gap <= 2 * swaps[some])
+    return out
+
+
+def _facts(batch: pa.RecordBatch, suffix: str = "") -> tuple[np.ndarray, ...]:
+    chars, words = (np.asarray(batch[c + suffix]).astype(np.int64) for c in ("chars", "words"))
+    return chars, words, *(np.asarray(batch[c + suffix]).view(U) for c in ("tally", "bag"))
+
+
+def _thin(errors: int, graded: bool):
+    """Pairs with the facts of both lines to those that may be near."""
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            facts = [np.concatenate(x) for x in zip(_facts(batch, "_a"), _facts(batch, "_b"), strict=True)]
+            at = np.arange(batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(_may(errors, graded, *facts, at, at + batch.num_rows)))
+
+    return thin
+
+
+def _all_earlier(errors: int, graded: bool):
+    """Members of cells to pairs: each line that asks with all that it may be near to.
+
+    Rows come sorted by cell; ``asks`` tells those that ask from those that are asked.
+    """
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+    def pairs(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+        cell, ids, at, doc, row, place = (np.asarray(table[c]) for c in ("cell", "id", "at", "doc", "row", "place"))
+        unknown, asks = (table[c].to_numpy(zero_copy_only=False).astype(bool) for c in ("unknown", "asks"))
+        chars, words, tally, bag = _facts(table)
+        order = np.lexsort((place, row, doc, unknown, cell))  # those before a row in its cell are earlier
+        cell, ids, at, asks, chars, words, tally, bag = (x[order] for x in (cell, ids, at, asks, chars, words, tally, bag))
+        held = np.flatnonzero(~asks)
+        begin = np.searchsorted(held, np.flatnonzero(np.diff(cell, prepend=cell[0] - 1) != 0))
+        begin = begin[np.cumsum(np.diff(cell, prepend=cell[0]) != 0)]
+        asked = np.flatnonzero(asks)
+        n = np.searchsorted(held, asked) - begin[asked]
+        asked, n = asked[n > 0], n[n > 0]
+        ends, found = np.cumsum(n), []
+        for lo in range(0, int(n.sum()), _PAIRS):
+            flat = np.arange(lo, min(int(n.sum()), lo + _PAIRS))
+            owner = np.searchsorted(ends, flat, "right")
+            a = asked[owner]
+            b = held[begin[a] + flat - (ends - n)[owner]]
+            most = np.maximum(np.maximum(words[a], words[b]) // _WORDS_AN_EDIT, errors)
+            near = (at[a] < 0) | (np.abs(at[a] - at[b]) + np.abs(words[a] - at[a] - words[b] + at[b]) <= most)
+            near &= ids[a] != ids[b]
+            a, b = a[near], b[near]
+            may = _may(errors, graded, chars, words, tally, bag, a, b)
+            a, b = ids[a[may]], ids[b[may]]
+            found.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1))
+        if found:
+            a, b = np.unique(np.hstack(found), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            for i, shard in enumerate(batch["shard"].to_pylist()):
-                if shard != now and held:
-                    yield from pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))
-                    held = []
-                now = shard
-                key, ids, tally = (np.asarray(batch[c][i].values) for c in ("key", "id", "tally"))
-                held.append((key.view(U), ids, tally.view(U), batch["probe"][i].values.to_numpy(zero_copy_only=False)))
+            if not batch.num_rows:
+                continue
+            cell = np.asarray(batch["cell"])
+            cut = int(np.searchsorted(cell, cell[-1])) if cell[0] != cell[-1] else 0
+            if size > 200_000 and (cut or held and held[-1]["cell"][-1].as_py() != cell[0]):
+                yield from pairs([*held, batch.slice(0, cut)] if cut else held)
+                held, size = [], 0
+                batch = batch.slice(cut)
+            held.append(batch)
+            size += batch.num_rows
         if held:
-            yield from pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield from pairs(held)
 
-    return meet
+    return run
 
 
 def within(longer: list[str], shorter: list[str], errors: int) -> np.ndarray:
@@ -346,7 +476,7 @@ def _verify(errors: int, graded: bool):
                     lo = hi
                     keep[some] = within([both[i][0] for i in some], [both[i][1] for i in some], e)
             for i in np.flatnonzero(~keep):
-                p, q = sorted(map(str.split, both[i]), key=len, reverse=True)
+                p, q = sorted((x.encode().split() for x in both[i]), key=len, reverse=True)
                 if (e := len(p) // _WORDS_AN_EDIT) and (Counter(p) - Counter(q)).total() <= e:
                     code = {w: c for c, w in enumerate(dict.fromkeys(p + q))}
                     keep[i] = words_within([code[w] for w in p], [code[w] for w in q], e)
@@ -366,54 +496,97 @@ def duplicate_lines(docs: DataFrame, *, errors: int = 2, least: int | None = Non
     no earlier line. Lines are what newlines separate, compared without blanks at both ends;
     blank ones are never dropped. A line goes if an earlier one equals it, or is within the
     edits or the word edits that the longer of both allows: one edit a 20 characters, up to
-    ``errors``; one edit of words (what white space separates) a 20 words, without a limit.
-    Given ``least``, lines of fewer characters are never dropped and drop none, and all others
-    may have ``errors`` edits. Earlier means the lesser doc_id (null
+    ``errors``; one edit of words (what ASCII white space separates) a 20 words, without a
+    limit. Given ``least``, lines of fewer characters are never dropped and drop none, and all
+    others may have ``errors`` edits. Earlier means the lesser doc_id (null
     last, ties by hash of the row), then the lesser place. Each line is judged on the input,
     so a line also goes if only a dropped one is near it. Null texts have one empty line.
-    Rows equal in id and text are one. An empty table gives no rows.
+    Rows equal in id and text are one. An empty table gives no rows. Near lines are verified
+    on their texts; that lines are equal, and that rows are, holds on 64-bit hashes.
     """
     graded = least is None
     least = 1 if least is None else least
     assert 0 <= errors <= 20 and (graded or least > errors)
     base = _base(docs)
-    lines = save(base.mapInArrow(lambda b: _lines(b, least), "row long, doc_id long, lines array<long>").dropDuplicates(["row"]), "lines")
-    total = lines.agg(F.sum(F.size("lines"))).first()[0] or 0
-    each = (errors + 1) * (errors + 3)
-    shards = max(1, math.ceil(total * each / _ENTRIES_A_SHARD))
-    dealt = base.select("text").mapInArrow(_deal(least, errors, graded, shards), _ENTRY_DDL).repartition(shards, "shard").sortWithinPartitions("shard")
-    pairs = save(dealt.mapInArrow(_meet(errors), "a long, b long").union(_share_words(base, least)).distinct(), "pairs")
-
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = _distinct(batch, least)
-            yield pa.RecordBatch.from_arrays([pa.array([line_id(x) for x in found], pa.int64()), pa.array(found, pa.string())], names=["id", "line"])
-
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    known = save(base.select("text").mapInArrow(texts, "id long, line string").join(wanted, "id", "left_semi").dropDuplicates(["id"]), "candidate-lines")
-    side = lambda c: known.select(F.col("id").alias(c), F.col("line").alias(f"line_{c}"))
-    links = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify(errors, graded), "a long, b long")
-
-    placed = lines.select("row", "doc_id", F.posexplode("lines").alias("at", "id")).filter(F.col("id").isNotNull())
-    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row", "at")
-    firsts = save(placed.groupBy("id").agg(F.min(order).alias("first"), F.count("*").alias("n")), "first-places")
-    place = lambda c: firsts.select(F.col("id").alias(c), F.col("first").alias(f"first_{c}"))
-    later = links.join(place("a"), "a").join(place("b"), "b").select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct()
-    told = firsts.join(later.withColumn("near", F.lit(True)), "id", "left").filter((F.col("n") > 1) | F.col("near")).select("id", F.col("first.row").alias("first_row"), F.col("first.at").alias("first_at"), F.coalesce("near", F.lit(False)).alias("near"))
-    first = (F.col("row") == F.col("first_row")) & (F.col("at") == F.col("first_at"))
-    gone = placed.join(told, "id").filter(~first | F.col("near")).groupBy("row").agg(F.sort_array(F.collect_list("at")).alias("removed"), F.sort_array(F.collect_list(F.when(first, F.col("at")))).alias("near"))
+    lines = save(base.mapInArrow(lambda b: _lines(b, least, errors), _LINES_DDL).dropDuplicates(["row"]), "lines")
+    shards = max(1, math.ceil((lines.agg(F.sum("keys")).first()[0] or 0) / _ENTRIES_A_SHARD))
+    dealt = base.select("doc_id", "text").mapInArrow(_deal(least, errors, graded, shards), _ENTRY_DDL)
+    met = save(dealt.repartitionById(shards, "shard").sortWithinPartitions("shard").mapInArrow(_meet, _MET_DDL).distinct(), "blocks")
+    star, members = met.filter(F.col("kind") == STAR).select("a", "b"), met.filter(F.col("kind") == MEMBER)
+
+    each = lines.select("row", "doc_id", F.posexplode(F.arrays_zip("lines", "chars", "words", "tally", "bag")).alias("at", "x")).select("row", "doc_id", "at", "x.*").filter(F.col("lines").isNotNull())
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row", "at")).alias("first")
+    firsts = save(each.groupBy(F.col("lines").alias("id")).agg(first, F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("chars", "words", "tally", "bag"))), "first-places")
+    asked = star.select(F.col("a").alias("id")).union(star.select("b")).union(members.select("b")).distinct()
+    facts = save(only(firsts.drop("n"), asked, "id").select("id", F.col("first.unknown").alias("unknown"), F.coalesce("first.doc_id", F.lit(0)).alias("doc"), F.col("first.row").alias("row"), F.col("first.at").alias("place"), "chars", "words", "tally", "bag"), "facts")
+    order = F.struct("unknown", "doc", "row", "place")
+
+    def later(pairs: DataFrame, name: str) -> DataFrame:
+        """``id`` of the later line of each pair that is near on the texts."""
+        pairs = save(pairs, f"{name}-candidates")
+        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        may = wanted_filter(wanted, "id")
+
+        def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = _distinct(batch, least)
+                ids = np.fromiter(map(line_id, found), np.int64, len(found))
+                keep = np.flatnonzero(may(ids))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array([found[i] for i in keep], pa.string())], names=["id", "line"])
+
+        known = save(base.select("text").mapInArrow(texts, "id long, line string").dropDuplicates(["id"]), f"{name}-lines")
+        side = lambda c: known.select(F.col("id").alias(c), F.col("line").alias(f"line_{c}"))
+        links = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify(errors, graded), "a long, b long")
+        place = lambda c: facts.select(F.col("id").alias(c), order.alias(f"first_{c}"))
+        found = save(links.join(place("a"), "a").join(place("b"), "b").select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct(), name)
+        discard(pairs, known)
+        return found
+
+    side = lambda c: facts.select(F.col("id").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("chars", "words", "tally", "bag")))
+    gone = later(star.join(side("a"), "a").join(side("b"), "b").mapInArrow(_thin(errors, graded), "a long, b long"), "later")
+
+    placed = members.select(F.col("a").alias("key"), F.col("b").alias("id"), "at").join(gone.withColumn("gone", F.lit(True)), "id", "left")
+    placed = save(placed.withColumn("open", F.col("gone").isNull()).drop("gone"), "members")
+    sized = placed.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.col("open").cast("long")).alias("u")).filter("u > 0")
+    pieces = lambda c: F.ceil(F.col(c) / BLOCK_LINES).cast("long")
+    sized = save(sized.select("key", pieces("u").alias("ask_pieces"), pieces("m").alias("pieces")), "open-blocks")
+    still = placed.join(sized, "key").withColumn("h", F.xxhash64("id"))
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias("other")
+    cell = lambda p, q: F.xxhash64("key", p, q).alias("cell")
+    asking = still.filter("open").select("*", spread("pieces")).select(cell(F.pmod("h", "ask_pieces"), F.col("other")), "id", "at", F.lit(True).alias("asks"))
+    holding = still.select("*", spread("ask_pieces")).select(cell(F.col("other"), F.pmod("h", "pieces")), "id", "at", F.lit(False).alias("asks"))
+    cells = asking.union(holding).join(facts, "id").repartition("cell").sortWithinPartitions("cell")
+    more = later(cells.mapInArrow(_all_earlier(errors, graded), "a long, b long").distinct(), "more-later")
+
+    near = gone.union(more).distinct().withColumn("near", F.lit(True))
+    told = firsts.select("id", "n", "first").join(near, "id", "left").filter((F.col("n") > 1) | F.col("near"))
+    told = save(told.select("id", F.col("first.row").alias("first_row"), F.col("first.at").alias("first_at"), F.coalesce("near", F.lit(False)).alias("near")), "told")
+    here = (F.col("row") == F.col("first_row")) & (F.col("at") == F.col("first_at"))
+    where = lines.select("row", F.posexplode("lines").alias("at", "id")).filter(F.col("id").isNotNull())
+    drop = where.join(told, "id").filter(~here | F.col("near")).select("row", "at", here.alias("here"))
+    drop = drop.groupBy("row").agg(F.sort_array(F.collect_list("at")).alias("removed"), F.sort_array(F.collect_list(F.when(F.col("here"), F.col("at")))).alias("near"))
     none = F.array().cast("array<int>")
-    out = save(lines.join(gone, "row", "left").select("row", "doc_id", F.size("lines").alias("n_lines"), F.coalesce("removed", none).alias("removed"), F.coalesce("near", none).alias("near")), "verdicts")
-    discard(lines, pairs, known, firsts)
+    out = save(lines.join(drop, "row", "left").select("row", "doc_id", F.size("lines").alias("n_lines"), F.coalesce("removed", none).alias("removed"), F.coalesce("near", none).alias("near")), "verdicts")
+    discard(lines, met, firsts, facts, gone, placed, sized, more, told)
     return out
 
 
 def drop_lines(docs: DataFrame, **settings) -> DataFrame:
     """``docs`` with duplicate lines taken out of ``text``; all rows and columns stay.
 
-    A null text stays null. Rows equal in id and text come out alike.
+    A null text stays null. Rows equal in id and text come out alike. Other columns are kept
+    whatever their names.
     """
-    gone = duplicate_lines(docs, **settings).filter(F.size("removed") > 0).select(F.col("row").alias("__row"), F.col("removed").alias("__removed"))
-    marked = docs.withColumn("__row", F.xxhash64(F.col("doc_id"), F.col("text"))).join(gone, "__row", "left")
-    rest = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__removed", i))
-    return marked.withColumn("text", F.when(F.col("__removed").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))).drop("__row", "__removed").select(docs.columns)
+    row, places = free_name(docs, "row"), free_name(docs, "removed")
+    gone = duplicate_lines(docs, **settings).filter(F.size("removed") > 0).select(F.col("row").alias(row), F.col("removed").alias(places))
+
+    @F.pandas_udf("string")
+    def cut(text: pd.Series, removed: pd.Series) -> pd.Series:
+        def rest(t: str, at: np.ndarray) -> str:
+            drop = set(at.tolist())
+            return "\n".join([line for i, line in enumerate(t.split("\n")) if i not in drop])
+
+        return pd.Series([t if at is None else rest(t, at) for t, at in zip(text, removed, strict=True)], dtype=object)
+
+    marked = docs.withColumn(row, F.xxhash64(F.col("doc_id"), F.col("text"))).join(gone, row, "left")
+    return marked.withColumn("text", F.when(F.col(places).isNull(), F.col("text")).otherwise(cut(F.col("text"), F.col(places)))).select(docs.columns)

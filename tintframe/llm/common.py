@@ -94,6 +94,16 @@ def only(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     return rows.mapInArrow(thin, rows.schema).join(wanted, key)
 
 
+def both_sides(pairs: DataFrame, values: DataFrame, key: str, value: str) -> DataFrame:
+    """``a, b`` and the value of each: one row a pair whose keys both have one.
+
+    A value is shuffled once for each pair that it is in, and not with those it is in none of.
+    """
+    side = lambda c: F.first(F.when(F.col(key) == F.col(c), F.col(value)), ignorenulls=True).alias(f"{value}_{c}")
+    met = pairs.select("a", "b", F.explode(F.array("a", "b")).alias(key)).join(values, key)
+    return met.groupBy("a", "b").agg(side("a"), side("b"))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not use, in any case of letters."""
     used = {c.lower() for c in df.columns}

@@ -19,6 +19,19 @@ def _roots(up: DataFrame) -> DataFrame:
             return up
 
 
+def hooked(edges: DataFrame) -> DataFrame:
+    """``edges(a, b)`` to ``node, component``, each within one component, if not always whole.
+
+    One round: every node goes where the hooks to its least neighbour, and on, end.
+    """
+    both = edges.select("a", "b").union(edges.select("b", "a"))
+    near = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near"))
+    up = _roots(save(near.select("node", F.least("node", "near").alias("root")), "hooks"))
+    out = save(up.select("node", F.col("root").alias("component")), "labels")
+    discard(up)
+    return out
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``edges(a, b)`` to ``node, component``: the least node reachable, per node of an edge.
 

@@ -11,8 +11,9 @@ groups, the counts of the groups are coordinates, and the summed minima of two v
 the overlap of their sets. One tree serves all blocks of a task, whatever their sizes. The
 first search is greedy: every node enters the trees of a few of its blocks and asks for one
 earlier partner of high bound. What links on the whole sets is one component, and a block
-within one component needs no more work. The second search takes all other blocks and finds
-every pair across components that the bound allows; those are verified, too.
+within one component needs no more work. A second greedy search across components takes the
+other blocks. The third takes those still open and finds every pair across components that
+the bound allows; those are verified, too.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, free_name, only, save
-from .components import components
+from .common import both_sides, discard, free_name, only, save
+from .components import components, hooked
 from .hashing import U, mix, words_by_doc
 
 #: Dimensions of a count vector.
@@ -307,21 +308,17 @@ def _tree_pairs(threshold: Fraction, greedy: bool):
 
 
 def _verify(width: int, threshold: Fraction):
-    """Pairs with both texts to those that reach the threshold; sets are made once a slice."""
+    """Pairs with both texts to those that reach the threshold."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep: list[bool] = []
-            known: dict[int, np.ndarray] = {}
             for lo in range(0, batch.num_rows, 256):
                 some = batch.slice(lo, 256)
-                a, b = some["a"].to_pylist(), some["b"].to_pylist()
-                texts = dict(zip([*a, *b], [*some["text_a"], *some["text_b"]], strict=True))
-                known = {i: s for i, s in known.items() if i in texts}
-                new = [i for i in texts if i not in known]
-                known |= zip(new, shingle_sets([texts[i].as_py() or b"" for i in new], width), strict=True)
-                for x, y in zip(a, b, strict=True):
-                    x, y = known[x], known[y]
+                texts = dict(zip([*some["a"].to_pylist(), *some["b"].to_pylist()], [*some["text_a"], *some["text_b"]], strict=True))
+                sets = dict(zip(texts, shingle_sets([t.as_py() or b"" for t in texts.values()], width), strict=True))
+                for a, b in zip(some["a"].to_pylist(), some["b"].to_pylist(), strict=True):
+                    x, y = sets[a], sets[b]
                     common = len(np.intersect1d(x, y, assume_unique=True))
                     keep.append(common * threshold.denominator >= threshold.numerator * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -330,8 +327,13 @@ def _verify(width: int, threshold: Fraction):
 
 
 def _vectors(width: int):
+    """Texts of nodes with their count vectors; each node once a task."""
+
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
+            new = [not (node in seen or seen.add(node)) for node in batch["node"].to_pylist()]
+            batch = batch.filter(pa.array(new, pa.bool_()))
             counts = [count_vector(s).astype("<u4").tobytes() for s in shingle_sets(_texts(batch), width)]
             yield pa.RecordBatch.from_arrays([batch["node"], pa.array(counts, pa.binary()), batch["text"]], names=["node", "counts", "text"])
 
@@ -369,40 +371,57 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, threshold: Fraction =
     members = save(keys.repartitionById(shards, "shard").sortWithinPartitions("shard").mapInArrow(_blocks(threshold, frequent), _MEMBER_DDL), "blocks")
 
     wanted = save(members.select("node").distinct().join(classes.select("node", "row"), "node"), "suspect-rows")
-    suspects = only(base.select("row", "text"), wanted, "row").dropDuplicates(["node"]).select("node", "text")
+    suspects = only(base.select("row", "text"), wanted, "row").select("node", "text")
     suspects = save(suspects.mapInArrow(_vectors(width), "node long, counts binary, text binary"), "suspects")
-    vectors = suspects.select("node", "counts")
 
     def links(points: DataFrame, greedy: bool, name: str) -> DataFrame:
         """Pairs of nodes in the cells of ``points`` that reach the threshold on whole sets."""
-        points = save(points.join(vectors, "node"), f"{name}-points")
+        points = save(points.join(suspects.select("node", "counts"), "node"), f"{name}-points")
         tasks = max(1, math.ceil(points.count() / _POINTS))
         pairs = save(points.repartition(tasks, "cell").mapInArrow(_tree_pairs(threshold, greedy), "a long, b long").distinct(), f"{name}-candidates")
-        side = lambda c: suspects.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
-        found = save(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify(width, threshold), "a long, b long"), name)
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        texts = only(suspects.select("node", "text"), nodes, "node")
+        found = save(both_sides(pairs, texts, "node", "text").mapInArrow(_verify(width, threshold), "a long, b long"), name)
         discard(points, pairs)
         return found
 
+    def open_members(parts: DataFrame) -> DataFrame:
+        """Members of the blocks that hold several components, and into how many pieces to cut these."""
+        placed = members.join(parts, "node", "left").select("block", "node", "n", "indexed", F.coalesce("component", "node").alias("component"))
+        placed = save(placed, "placed")
+        sized = placed.groupBy("block").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
+        sized = save(sized.select("block", F.ceil(F.col("members") / BLOCK_ROWS).cast("long").alias("pieces")), "open-blocks")
+        still = save(placed.join(sized, "block"), "open-members")
+        discard(placed, sized)
+        return still
+
+    # a large block is dealt in pieces; what that keeps apart is left to the third search
+    piece = F.when(F.coalesce("pieces", F.lit(1)) == 1, F.col("block")).otherwise(F.xxhash64("block", F.pmod(F.xxhash64("node"), F.col("pieces")))).alias("cell")
     chosen = members.groupBy("node", "n").agg(*(F.min(F.struct(F.xxhash64("block", F.lit(i)).alias("h"), "block")).alias(f"b{i}") for i in range(FIRST_BLOCKS)))
-    chosen = chosen.select("node", "n", F.explode(F.array_distinct(F.array(*(F.col(f"b{i}.block") for i in range(FIRST_BLOCKS))))).alias("cell"))
-    sizes = chosen.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("pieces")).filter("pieces > 1")
-    # a large block is dealt in pieces; what that keeps apart is left to the second search
-    piece = F.when(F.col("pieces").isNull(), F.col("cell")).otherwise(F.xxhash64("cell", F.pmod(F.xxhash64("node"), F.col("pieces"))))
-    first = chosen.join(sizes, "cell", "left").select("node", "n", piece.alias("cell"), F.col("node").alias("component"), F.lit(0).alias("side"), F.lit(True).alias("indexed"))
+    chosen = chosen.select("node", "n", F.explode(F.array_distinct(F.array(*(F.col(f"b{i}.block") for i in range(FIRST_BLOCKS))))).alias("block"))
+    large = chosen.groupBy("block").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("pieces")).filter("pieces > 1")
+    first = chosen.join(large, "block", "left").select("node", "n", piece, F.col("node").alias("component"), F.lit(0).alias("side"), F.lit(True).alias("indexed"))
     found = links(first, True, "links")
-    parts = components(found)
+    parts = hooked(found)
+
+    still = open_members(parts)
+    second = links(still.select("node", "n", piece, "component", F.lit(0).alias("side"), "indexed"), True, "more-links")
+    discard(still, parts)
+    parts = components(found.union(second))
 
-    placed = members.join(parts, "node", "left").select("block", "node", "n", "indexed", F.coalesce("component", "node").alias("component"))
-    placed = save(placed, "placed")
-    sized = placed.groupBy("block").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-    sized = save(sized.select("block", F.ceil(F.col("members") / BLOCK_ROWS).cast("long").alias("pieces")), "open-blocks")
-    open_blocks = placed.join(sized, "block").withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")))
+    still = open_members(parts)
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("other")
     low, high = F.least("piece", "other"), F.greatest("piece", "other")
     side = F.when(low == high, 0).when(F.col("piece") < F.col("other"), 1).otherwise(2).alias("side")
-    cells = open_blocks.select("*", other).select("node", "n", "indexed", "component", F.xxhash64("block", low, high).alias("cell"), side)
-    more = links(cells, False, "more-links")
-    final = components(found.union(more))
+    cells = still.select("*", F.pmod(F.xxhash64("node"), F.col("pieces")).alias("piece"), other).select("node", "n", "indexed", "component", F.xxhash64("block", low, high).alias("cell"), side)
+    third = links(cells, False, "last-links")
+    # what the last links join are whole components
+    at = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"part_{c}"))
+    joined = third.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("part_a", "a").alias("a"), F.coalesce("part_b", "b").alias("b"))
+    over = components(joined).select(F.col("node").alias("component"), F.col("component").alias("part"))
+    final = parts.join(over, "component", "left").select("node", F.coalesce("part", "component").alias("component"))
+    lone = over.select(F.col("component").alias("node"), F.col("part").alias("component")).join(parts.select("node"), "node", "left_anti")
+    final = final.union(lone)
 
     named = classes.join(final.withColumnRenamed("component", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
     named = save(named, "named")
@@ -410,7 +429,7 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, threshold: Fraction =
     told = save(named.join(least.drop("rows"), "part").select(F.col("node").alias("told"), "component_id"), "components")
     # a row alone in its component is its own; only the others are looked up
     out = rows.join(told, F.col("node") == F.col("told"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("told").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "row")
-    discard(classes, members, wanted, suspects, placed, sized, found, more, parts, named)
+    discard(classes, members, wanted, suspects, still, found, second, third, parts, named)
     return out
 
 

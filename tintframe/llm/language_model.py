@@ -1,11 +1,13 @@
-"""An interpolated modified Kneser-Ney model of word pairs, counted in Spark.
-
-Words are 64-bit hashes. Tasks turn texts into sorted runs of distinct pairs and deal them
-to a square grid of shards: by the context's leading bits down, by the word's across, so
-that the pairs of a frequent context or word spread over a whole row or column. A shard's
-task merges its runs, writes the pairs as arrays sorted by hash, and sends what it knows of
-its contexts and words to one of the tasks that own a range of words; these write sorted
-arrays too. Scoring tasks map the files and look tokens up by binary search.
+"""An interpolated modified Kneser-Ney model of word sequences, counted in Spark.
+
+Words are 64-bit hashes. Tasks turn texts into runs of distinct n-grams and deal them to a
+square grid of shards: by the words between first and last down, by the first word across, so
+that the n-grams of a frequent word spread over many shards, and yet all n-grams of a context
+meet in one. A shard's task merges its runs, writes the n-grams and their contexts as arrays
+sorted by hash, and deals the n-grams less their first word, with the number of their first
+words, as the next lower order. Word pairs are dealt by context and by word; what a shard
+knows of its contexts and words goes to one of the tasks that own a range of words, which
+write sorted arrays too. Scoring tasks map the files and look n-grams up by binary search.
 """
 
 from __future__ import annotations
@@ -13,8 +15,6 @@ from __future__ import annotations
 import functools
 import io
 import math
-import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -29,11 +29,13 @@ from .hashing import U, mix, words_by_doc
 
 #: What no word hashes to but by chance: before the first and after the last word.
 BEGIN, END = U(0x243F6A8885A308D3), U(0x13198A2E03707344)
-_PAIRS = pa.schema([("shard", pa.int32()), ("u", pa.list_(pa.int64())), ("w", pa.list_(pa.int64())), ("c", pa.list_(pa.int32()))])
-_PAIRS_DDL = "shard int, u array<long>, w array<long>, c array<int>"
+#: Records of a shard, packed; or, without data, a level's number of n-grams by count.
+_DEALT_DDL = "shard int, data binary, met array<long>"
+_DEALT = pa.schema([("shard", pa.int32()), ("data", pa.binary()), ("met", pa.list_(pa.int64()))])
 _PART_COLUMNS = ("c", "cont", "cu", "n1", "n2", "n3")
 _PARTS_DDL = "owner int, word array<long>, " + ", ".join(f"{x} array<int>" for x in _PART_COLUMNS) + ", met array<long>"
-_STATS = ("tokens", "vocabulary", "pair_types", *(f"pairs_{i}" for i in range(1, 5)), *(f"conts_{i}" for i in range(1, 5)), "conts_more", "pairs_more")
+_STATS = ("level", "tokens", "vocabulary", "types", "n1", "n2", "n3", "n4", "more")
+_MET = 6
 #: Tokens of a run; rows of shuffled arrays hold no more than this many items.
 _RUN = 2_000_000
 
@@ -48,57 +50,127 @@ def _fold(keys: tuple[np.ndarray, ...], sums: list[np.ndarray]) -> tuple[list[np
     return [k[at] for k in keys], [np.add.reduceat(s[order], at) if len(at) else s[:0] for s in sums]
 
 
-def _sequence(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Contexts and tokens of texts end to end, each text with its end; where texts start."""
-    ends = np.cumsum(counts + 1) - 1
-    tokens = np.empty(len(hashes) + len(counts), U)
-    tokens[np.arange(len(hashes)) + np.repeat(np.arange(len(counts)), counts)] = hashes
-    tokens[ends] = END
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    starts = ends - counts
-    before[starts] = BEGIN
-    return before, tokens, starts
+def gram_key(words: list[np.ndarray]) -> np.ndarray:
+    """One hash of each sequence of word hashes, given word by word."""
+    key = np.full(len(words[0]), len(words), U)
+    for w in words:
+        key = mix(key * U(0xD6E8FEB86659FD93) + w)
+    return key
+
+
+def _sequence(hashes: np.ndarray, counts: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts end to end, each between BEGINs and its END; places of the tokens; texts' firsts among these."""
+    pad = order - 1
+    sizes = counts + 1 + pad
+    starts = np.cumsum(sizes) - sizes
+    whole = np.full(int(sizes.sum()), BEGIN, U)
+    whole[np.arange(len(hashes)) + np.repeat(starts + pad - (np.cumsum(counts) - counts), counts)] = hashes
+    whole[starts + sizes - 1] = END
+    token = np.ones(len(whole), bool)
+    token[(starts[:, None] + np.arange(pad)).reshape(-1)] = False
+    return whole, np.flatnonzero(token), np.cumsum(counts + 1) - (counts + 1)
 
 
 def _top(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
 
 
+def shard_of(words: list[np.ndarray], bits: int) -> np.ndarray:
+    """The shard of each n-gram and of its context; a pair's depends on its word as well."""
+    down, across = (words[0], words[1]) if len(words) == 2 else (words[1] if len(words) == 3 else gram_key(words[1:-1]), words[0])
+    return _top(down, bits) << bits | _top(across, bits)
+
+
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return [t or b"" for t in batch["text"].to_pylist()]
 
 
-def _runs(bits: int):
-    def run(us: list, ws: list) -> Iterator[pa.RecordBatch]:
-        u, w = np.concatenate(us), np.concatenate(ws)
-        shard = (_top(u, bits) << bits) | _top(w, bits)
-        (w, u, shard), (c,) = _fold((w, u, shard), [np.ones(len(u), np.int64)])
-        cuts = np.flatnonzero(np.diff(shard, prepend=-1, append=-1))
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            one = lambda a, kind: pa.array([a[lo:hi]], pa.list_(kind))  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([pa.array([shard[lo]], pa.int32()), one(u.view(np.int64), pa.int64()), one(w.view(np.int64), pa.int64()), one(c.astype(np.int32), pa.int32())], schema=_PAIRS)
+def _like_to_like(codes: list[np.ndarray]) -> np.ndarray:
+    """An order by the words in the middle, then the first, then the last."""
+    columns = [*codes[1:-1], codes[0], codes[-1]]
+    bits = max(1, max(int(c.max(initial=0)).bit_length() for c in columns))
+    if bits * len(columns) > 63:
+        return np.lexsort(columns[::-1])
+    return np.argsort(functools.reduce(lambda a, c: a << bits | c, [c.astype(np.int64) for c in columns]), kind="stable")
+
+
+def pack(words: np.ndarray, codes: list[np.ndarray], numbers: list[np.ndarray]) -> bytes:
+    """Records of words, given by their places in ``words``, and numbers; byte planes, compressed."""
+    known, local = np.unique(np.concatenate(codes), return_inverse=True)
+    n = len(codes[0])
+    columns = np.concatenate([local, *numbers]).astype("<u4").reshape(-1, n)
+    planes = np.ascontiguousarray(columns.view(np.uint8).reshape(len(columns), n, 4).transpose(0, 2, 1))
+    head = np.array([len(known), n, len(codes), len(numbers)], "<i8")
+    return head.tobytes() + words[known].astype("<u8").tobytes() + pa.Codec("zstd", compression_level=1).compress(planes.tobytes(), asbytes=True)
+
+
+def unpack(data: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The words' hashes and the numbers of :func:`pack`."""
+    known, n, k, m = np.frombuffer(data, "<i8", 4)
+    words = np.frombuffer(data, "<u8", known, 32).astype(U)
+    planes = np.frombuffer(pa.decompress(data[32 + 8 * known :], int(4 * n * (k + m)), "zstd"), np.uint8)
+    columns = np.ascontiguousarray(planes.reshape(k + m, 4, n).transpose(0, 2, 1)).view("<u4").reshape(k + m, n)
+    return [words[c] for c in columns[:k]], [c.astype(np.int64) for c in columns[k:]]
+
+
+def _deal(words: np.ndarray, codes: list[np.ndarray], numbers: list[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
+    """Distinct records to packed rows, a row a shard."""
+    shard = shard_of([words[c] for c in codes], bits)
+    order = np.argsort(shard, kind="stable")
+    cuts = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1))
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        mine = order[lo:hi]
+        data = pack(words, [c[mine] for c in codes], [x[mine] for x in numbers])
+        yield pa.RecordBatch.from_arrays([pa.array([shard[mine[0]]], pa.int32()), pa.array([data], pa.binary()), pa.array([[]], pa.list_(pa.int64()))], schema=_DEALT)
+
+
+def _runs(order: int, bits: int):
+    def run(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        lengths = np.cumsum([0, *(len(whole) for whole, _ in held[:-1])])
+        places = np.concatenate([at + start for (_, at), start in zip(held, lengths, strict=True)])
+        words, codes = np.unique(np.concatenate([whole for whole, _ in held]), return_inverse=True)
+        grams = [codes[places - back] for back in range(order - 1, -1, -1)]
+        by = _like_to_like(grams)
+        grams = [g[by] for g in grams]
+        new = np.ones(len(by), bool)
+        new[1:] = np.logical_or.reduce([g[1:] != g[:-1] for g in grams])
+        at = np.flatnonzero(new)
+        yield from _deal(words, [g[at] for g in grams], [np.diff(np.append(at, len(by)))], bits)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        us, ws, held = [], [], 0
+        held, size = [], 0
         for batch in batches:
             for _, hashes, counts in words_by_doc(_texts(batch)):
-                u, w, _ = _sequence(hashes, counts)
-                us.append(u)
-                ws.append(w)
-                held += len(u)
-                if held >= _RUN:
-                    yield from run(us, ws)
-                    us, ws, held = [], [], 0
+                whole, places, _ = _sequence(hashes, counts, order)
+                held.append((whole, places))
+                size += len(places)
+                if size >= _RUN:
+                    yield from run(held)
+                    held, size = [], 0
         if held:
-            yield from run(us, ws)
+            yield from run(held)
 
     return runs
 
 
+#: Stores by the names that Spark has for them, where Arrow has others.
+_SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+def _store(folder: str) -> tuple[pafs.FileSystem, str]:
+    """Arrow's file system and path for a folder that Spark names."""
+    scheme, colon, rest = folder.partition(":")
+    if scheme == "dbfs":
+        return pafs.LocalFileSystem(), "/dbfs/" + rest.lstrip("/")
+    try:
+        return pafs.FileSystem.from_uri(_SCHEMES.get(scheme, scheme) + colon + rest if colon else folder)
+    except pa.ArrowInvalid as wrong:
+        raise ValueError(f"the model's arrays can't be kept under {folder}: name a shared folder that Arrow reads, too") from wrong
+
+
 def _write(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
     """Arrays to ``folder/name.field.npy``; a rerun task replaces its files with the same."""
-    store, root = pafs.FileSystem.from_uri(folder)
+    store, root = _store(folder)
     store.create_dir(root, recursive=True)
     for field, array in arrays.items():
         data = io.BytesIO()
@@ -123,10 +195,87 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str, fields: tuple[str, ...]
         yield now, [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
-def _small(counts: np.ndarray) -> dict[str, np.ndarray]:
+def _small(name: str, counts: np.ndarray) -> dict[str, np.ndarray]:
     """Counts in a byte each; those of 255 and more as places and values beside them."""
     big = np.flatnonzero(counts >= 255)
-    return {"count": np.minimum(counts, 255).astype(np.uint8), "big_at": big, "big": counts[big]}
+    return {name: np.minimum(counts, 255).astype(np.uint8), f"{name}_big_at": big, f"{name}_big": counts[big]}
+
+
+def _keys(keys: np.ndarray) -> dict[str, np.ndarray]:
+    """Sorted 64-bit keys: where each value of some leading bits starts, and the next 32 bits.
+
+    There are about 16 keys to a value, so that 32 bits tell keys apart but once in some
+    hundred million look-ups.
+    """
+    bits = max(0, len(keys).bit_length() - 4)
+    starts = np.searchsorted(_top(keys, bits), np.arange((1 << bits) + 1))
+    return {"start": starts.astype(np.uint32), "key": (keys << U(bits) >> U(32)).astype(np.uint32)}
+
+
+def _met(level: int, counts: np.ndarray) -> list[int]:
+    return [level, *(int((counts == i).sum()) for i in range(1, 5)), int((counts > 2).sum())]
+
+
+def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, list]]:
+    """Shard by shard the packed records; rows without data come with no shard, as they are."""
+    now, held = None, []
+    for batch in batches:
+        for shard, data, met in zip(batch["shard"].to_pylist(), batch["data"], batch["met"].to_pylist(), strict=True):
+            if not data.is_valid:
+                yield None, met
+                continue
+            if shard != now and held:
+                yield now, held
+                held = []
+            now = shard
+            held.append(data.as_py())
+    if held:
+        yield now, held
+
+
+def _merged(held: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
+    """Distinct records of a shard by key: words, keys, summed numbers."""
+    words, numbers = zip(*map(unpack, held), strict=True)
+    words, numbers = [np.concatenate(x) for x in zip(*words, strict=True)], [np.concatenate(x) for x in zip(*numbers, strict=True)]
+    key = gram_key(words)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return [w[order[at]] for w in words], key[at], [np.add.reduceat(x[order], at) for x in numbers]
+
+
+def _runs_of(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by key, and where in it a new key starts."""
+    order = np.argsort(key, kind="stable")
+    return order, np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+
+
+def _merge_grams(level: int, bits: int, folder: str):
+    """Write a level's n-grams (of three words and more) and contexts; deal the next lower level."""
+
+    def tell(met: list[int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([None], pa.binary()), pa.array([met], pa.list_(pa.int64()))], schema=_DEALT)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, held in _by_shard(batches):
+            if shard is None:
+                yield tell(held)
+                continue
+            words, key, (c, *raw) = _merged(held)
+            raw = raw[0] if raw else c
+            _write(folder, f"grams{level}-{shard}", _keys(key) | _small("count", c))
+            yield tell(_met(level, c))
+            context = gram_key(words[:-1])
+            order, at = _runs_of(context)
+            total, *kinds = (np.add.reduceat(x[order].astype(np.int64), at) for x in (c, c == 1, c == 2, c > 2))
+            _write(folder, f"contexts{level}-{shard}", _keys(context[order][at]) | _small("cu", total) | {k: v for i, x in enumerate(kinds, 1) for k, v in _small(f"n{i}", x).items()})
+            order, at = _runs_of(gram_key(words[1:]))
+            known, codes = np.unique(np.concatenate([w[order[at]] for w in words[1:]]), return_inverse=True)
+            codes, numbers = list(codes.reshape(level - 1, -1)), [np.diff(np.append(at, len(order))), np.add.reduceat(raw[order], at)]
+            by = _like_to_like(codes)
+            yield from _deal(known, [x[by] for x in codes], [x[by] for x in numbers], bits)
+
+    return merge
 
 
 def _merge_pairs(bits: int, folder: str):
@@ -138,15 +287,16 @@ def _merge_pairs(bits: int, folder: str):
             yield pa.RecordBatch.from_arrays([pa.array([owner], pa.int32()), pa.array([words[some].view(np.int64)], pa.list_(pa.int64())), *columns, pa.array([met if not lo else []], pa.list_(pa.int64()))], names=["owner", "word", *_PART_COLUMNS, "met"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, (u, w, c) in _groups(batches, "shard", ("u", "w", "c")):
-            (w, u), (c,) = _fold((w.view(U), u.view(U)), [c.astype(np.int64)])
-            key = pair_key(u, w)
-            order = np.argsort(key)
-            _write(folder, f"pairs-{shard}", {"key": key[order], **_small(c[order])})
-            met = [*(int((c == i).sum()) for i in range(1, 5)), int((c > 2).sum())]
+        for shard, held in _by_shard(batches):
+            if shard is None:
+                yield from parts(0, np.zeros(0, U), held)
+                continue
+            (u, w), key, (c, *raw) = _merged(held)
+            raw = raw[0] if raw else c
+            _write(folder, f"grams2-{shard}", _keys(key) | _small("count", c))
             (owned,), (cu, n1, n2, n3) = _fold((u,), [c, *(x.astype(np.int64) for x in (c == 1, c == 2, c > 2))])
-            yield from parts(shard >> bits, owned, met, cu=cu, n1=n1, n2=n2, n3=n3)
-            (owned,), (cw, cont) = _fold((w,), [c, np.ones(len(c), np.int64)])
+            yield from parts(shard >> bits, owned, _met(2, c), cu=cu, n1=n1, n2=n2, n3=n3)
+            (owned,), (cw, cont) = _fold((w,), [raw, np.ones(len(c), np.int64)])
             yield from parts(shard & ((1 << bits) - 1), owned, [], c=cw, cont=cont)
 
     return merge
@@ -158,17 +308,13 @@ def _merge_words(folder: str):
             (word,), sums = _fold((word.view(U),), [s.astype(np.int64) for s in sums])
             named = dict(zip(_PART_COLUMNS, sums, strict=True))
             _write(folder, f"words-{owner}", {"key": word, **named})
-            c, cont, pairs = named["c"], named["cont"], met.reshape(-1, 5).sum(axis=0)
-            row = [c.sum(), (c > 0).sum(), cont.sum(), *pairs[:4], *((cont == i).sum() for i in range(1, 5)), (cont > 2).sum(), pairs[4]]
-            yield pa.RecordBatch.from_arrays([pa.array([int(x)], pa.int64()) for x in row], names=list(_STATS))
+            c, cont = named["c"], named["cont"]
+            rows = [[1, c.sum(), (c > 0).sum(), cont.sum(), *_met(1, cont)[1:]], *([level, 0, 0, 0, *n] for level, *n in met.reshape(-1, _MET).tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array([int(x) for x in column], pa.int64()) for column in zip(*rows, strict=True)], names=list(_STATS))
 
     return merge
 
 
-def pair_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return mix(u * U(0xD6E8FEB86659FD93) + w)
-
-
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     """Modified Kneser-Ney discounts from counts of counts; fixed ones where a count is 0."""
     if not (n1 and n2 and n3 and n4):
@@ -177,40 +323,81 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.0), top) for d, top in ((1 - 2 * y * n2 / n1, 1), (2 - 3 * y * n3 / n2, 2), (3 - 4 * y * n4 / n3, 3)))
 
 
-def train(docs: DataFrame, *, shard_bytes: int = 16 << 20) -> dict:
+def train(docs: DataFrame, *, order: int = 3, shard_bytes: int = 16 << 20) -> dict:
     """Count ``text`` and write the model's files; return what a scoring task needs of it.
 
-    The files lie in the shared folder. Null texts are empty ones and count their end.
-    ``shard_bytes`` of text make a shard on average, so shards grow in number, not in size.
+    N-grams have up to ``order`` words, 2 at least; below the highest order what counts is
+    the number of different words before. The files lie in the shared folder. Null texts are
+    empty ones and count their end. ``shard_bytes`` of text make a shard on average, so
+    shards grow in number, not in size. Words and n-grams are told apart by hashes: words by
+    64 bits, n-grams within a shard by 48 and more.
     """
+    if order < 2:
+        raise ValueError("an n-gram has a context")
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(0, math.ceil(math.log(max(1, size / shard_bytes), 4)))
     folder = f"{scratch_dir(spark)}/tintframe/{uuid.uuid4().hex}-kneser-ney"
-    runs = texts.mapInArrow(_runs(bits), _PAIRS_DDL).repartition(4**bits, "shard").sortWithinPartitions("shard")
-    parts = runs.mapInArrow(_merge_pairs(bits, folder), _PARTS_DDL).repartition(2**bits, "owner").sortWithinPartitions("owner")
-    stats = save(parts.mapInArrow(_merge_words(folder), ", ".join(f"{x} long" for x in _STATS)), "counts")
-    total = stats.agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in _STATS)).first().asDict()
-    return total | {"folder": folder, "bits": bits, "pair_discounts": discounts(*(total[f"pairs_{i}"] for i in range(1, 5))), "word_discounts": discounts(*(total[f"conts_{i}"] for i in range(1, 5)))}
+    dealt = texts.mapInArrow(_runs(order, bits), _DEALT_DDL)
+    sorted_by = lambda df, n, key: df.repartitionById(n, key).sortWithinPartitions(key)
+    for level in range(order, 2, -1):
+        dealt = sorted_by(dealt, 4**bits, "shard").mapInArrow(_merge_grams(level, bits, folder), _DEALT_DDL)
+    parts = sorted_by(dealt, 4**bits, "shard").mapInArrow(_merge_pairs(bits, folder), _PARTS_DDL)
+    stats = save(sorted_by(parts, 2**bits, "owner").mapInArrow(_merge_words(folder), ", ".join(f"{x} long" for x in _STATS)), "counts")
+    rows = {r.level: r.asDict() for r in stats.groupBy("level").agg(*(F.sum(x).alias(x) for x in _STATS[1:])).collect()}
+    none = dict.fromkeys(_STATS, 0)
+    of = lambda level: rows.get(level, none)
+    cuts = [discounts(*(of(level)[f"n{i}"] for i in range(1, 5))) for level in range(1, order + 1)]
+    return of(1) | {"folder": folder, "bits": bits, "order": order, "discounts": cuts}
 
 
 @functools.lru_cache(maxsize=4096)
 def _mapped(folder: str, name: str) -> np.ndarray | None:
-    """A file of the model mapped to memory; one in a remote store is copied here first."""
-    store, root = pafs.FileSystem.from_uri(folder)
+    """A file of the model mapped to memory; one in a remote store is read into it."""
+    store, root = _store(folder)
     path = f"{root}/{name}.npy"
-    if store.get_file_info(path).type == pafs.FileType.NotFound:
+    info = store.get_file_info(path)
+    if info.type == pafs.FileType.NotFound:
         return None
     if not isinstance(store, pafs.LocalFileSystem):
-        with store.open_input_stream(path) as there, tempfile.NamedTemporaryFile(delete=False) as here:
-            while some := there.read(1 << 22):
-                here.write(some)
-        path = here.name
-        mapped = np.load(path, mmap_mode="r")
-        os.unlink(path)  # the mapping keeps it
-        return mapped
-    return np.load(path, mmap_mode="r") if store.get_file_info(path).size > 128 else np.load(path)
+        with store.open_input_stream(path) as there:
+            return np.load(io.BytesIO(there.read()))
+    return np.load(path, mmap_mode="r") if info.size > 128 else np.load(path)
+
+
+class Table:
+    """Sorted keys of a shard with numbers beside them, as :func:`_keys` and :func:`_small` write them."""
+
+    def __init__(self, folder: str, name: str):
+        self.load = lambda field: _mapped(folder, f"{name}.{field}")
+        self.start = self.load("start")
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """Places of the wanted keys, or -1: a binary search of all at once."""
+        if self.start is None or not self.start[-1]:
+            return np.full(len(wanted), -1)
+        keys, bits = self.load("key"), (len(self.start) - 1).bit_length() - 1
+        lead, rest = _top(wanted, bits), (wanted << U(bits) >> U(32)).astype(np.uint32)
+        lo, end = self.start[lead].astype(np.int64), self.start[lead + 1].astype(np.int64)
+        hi = end
+        for _ in range(int((hi - lo).max(initial=0)).bit_length()):
+            open_ = lo < hi
+            middle = (lo + hi) >> 1
+            less = open_ & (keys[np.minimum(middle, len(keys) - 1)] < rest)
+            lo, hi = np.where(less, middle + 1, lo), np.where(open_ & ~less, middle, hi)
+        hit = (lo < end) & (keys[np.minimum(lo, len(keys) - 1)] == rest)
+        return np.where(hit, lo, -1)
+
+    def numbers(self, field: str, at: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(at), np.int64)
+        known = at >= 0
+        if known.any():
+            found = self.load(field)[at[known]].astype(np.int64)
+            if (big := found == 255).any():
+                found[big] = self.load(f"{field}_big")[np.searchsorted(self.load(f"{field}_big_at"), at[known][big])]
+            out[known] = found
+        return out
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -225,9 +412,9 @@ class Model:
 
     def __init__(self, model: dict):
         self.m = model
-        self.pair_d, self.word_d = (np.array([0.0, *model[k]]) for k in ("pair_discounts", "word_discounts"))
-        types, v = model["pair_types"], model["vocabulary"]
-        spare = self.word_d[1] * model["conts_1"] + self.word_d[2] * model["conts_2"] + self.word_d[3] * model["conts_more"]
+        self.d = [np.array([0.0, *d]) for d in model["discounts"]]
+        types, v = model["types"], model["vocabulary"]
+        spare = self.d[0][1:] @ [model["n1"], model["n2"], model["more"]]
         self.uniform = (spare / types if types else 1.0) / (v + 1)
 
     def _words(self, h: np.ndarray, fields: tuple[str, ...]) -> list[np.ndarray]:
@@ -244,39 +431,40 @@ class Model:
                 x[mine[known]] = _mapped(self.m["folder"], f"words-{o}.{field}")[at[known]]
         return out
 
-    def _pairs(self, u: np.ndarray, w: np.ndarray) -> np.ndarray:
-        counts, bits = np.zeros(len(u), np.int64), self.m["bits"]
-        shard = (_top(u, bits) << bits) | _top(w, bits)
-        key = pair_key(u, w)
+    def _grams(self, words: list[np.ndarray]) -> list[np.ndarray]:
+        """Counts of n-grams; of three words and more, the four numbers of their contexts too."""
+        level, shard, key = len(words), shard_of(words, self.m["bits"]), gram_key(words)
+        context = gram_key(words[:-1]) if level > 2 else None
+        out = [np.zeros(len(key), np.int64) for _ in range(1 if context is None else 5)]
         order = np.lexsort((key, shard))
         cuts = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1))
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             mine = order[lo:hi]
-            load = lambda field: _mapped(self.m["folder"], f"pairs-{shard[mine[0]]}.{field}")  # noqa: B023, E731
-            if (keys := load("key")) is None:
-                continue
-            at = _find(keys, key[mine])
-            mine, at = mine[at >= 0], at[at >= 0]
-            found = np.asarray(load("count")[at]).astype(np.int64)
-            if (big := found == 255).any():
-                found[big] = load("big")[np.searchsorted(load("big_at"), at[big])]
-            counts[mine] = found
-        return counts
+            grams = Table(self.m["folder"], f"grams{level}-{shard[mine[0]]}")
+            out[0][mine] = grams.numbers("count", grams.find(key[mine]))
+            if context is not None:
+                contexts = Table(self.m["folder"], f"contexts{level}-{shard[mine[0]]}")
+                at = contexts.find(context[mine])
+                for x, field in zip(out[1:], ("cu", "n1", "n2", "n3"), strict=True):
+                    x[mine] = contexts.numbers(field, at)
+        return out
 
     def score(self, hashes: np.ndarray, texts: np.ndarray) -> list[np.ndarray]:
         """Per text: tokens, known tokens, base score, score."""
-        before, tokens, starts = _sequence(hashes, texts)
-        words, back = np.unique(np.concatenate([tokens, before]), return_inverse=True)
+        order = self.m["order"]
+        whole, places, starts = _sequence(hashes, texts, order)
+        words, back = np.unique(whole, return_inverse=True)
         c, cont, cu, n1, n2, n3 = self._words(words, _PART_COLUMNS)
-        n, v, types = (self.m[k] for k in ("tokens", "vocabulary", "pair_types"))
-        own, ctx = back[: len(tokens)], back[len(tokens) :]
+        n, v, types = (self.m[k] for k in ("tokens", "vocabulary", "types"))
+        own, before = back[places], back[places - 1]
         base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
-        single = np.maximum(cont - self.word_d[np.minimum(cont, 3)], 0) / max(1, types) + self.uniform
-        spare = self.pair_d[1] * n1 + self.pair_d[2] * n2 + self.pair_d[3] * n3
-        pairs = self._pairs(before, tokens)
-        seen = cu[ctx] > 0
-        over = np.maximum(cu[ctx], 1)
-        p = np.where(seen, np.maximum(pairs - self.pair_d[np.minimum(pairs, 3)], 0) / over + spare[ctx] / over * single[own], single[own])
+        p = (np.maximum(cont - self.d[0][np.minimum(cont, 3)], 0) / max(1, types) + self.uniform)[own]
+        for level in range(2, order + 1):
+            count, *context = self._grams([whole[places - i] for i in range(level - 1, -1, -1)])
+            total, *kinds = context or [x[before] for x in (cu, n1, n2, n3)]
+            d, over = self.d[level - 1], np.maximum(total, 1)
+            spare = d[1] * kinds[0] + d[2] * kinds[1] + d[3] * kinds[2]
+            p = np.where(total > 0, np.maximum(count - d[np.minimum(count, 3)], 0) / over + spare / over * p, p)
         return [texts + 1, np.add.reduceat((c > 0)[own].astype(np.int64), starts), np.add.reduceat(base[own], starts), np.add.reduceat(np.log10(p), starts)]
 
 

@@ -47,3 +47,59 @@ def test_windows_hold_every_byte():
     text = bytes(range(1, 200))
     codes = language_id.windows(text, 64).reshape(-1)
     assert codes[codes != 256].astype(np.uint8).tobytes() == text
+
+
+def plain(net, code):
+    """The forward pass of one window, place by place and filter by filter."""
+    at = lambda i: net.embed[code[i] if i < len(code) else 256]
+    best = []
+    for f in range(net.conv.shape[1]):
+        width = int(net.mask[:, f].sum()) // net.dim
+        best.append(max(sum(float(at(i + j) @ net.conv[j * net.dim : (j + 1) * net.dim, f]) for j in range(width)) for i in range(len(code))) + float(net.bias[f]))
+    logits = np.maximum(best, 0) @ net.out + net.out_bias
+    return logits - np.log(np.exp(logits).sum())
+
+
+def small_net():
+    rng = np.random.default_rng(4)
+    net = language_id.ByteConvNet(3, window=17, widths=(2, 3, 4), filters=2, embedding=3, seed=9)
+    for k in ("embed", "conv", "bias", "out", "out_bias"):
+        setattr(net, k, getattr(net, k).astype(np.float64))
+    net.bias += rng.normal(0, 0.1, len(net.bias))
+    codes = rng.integers(97, 110, (6, 17)).astype(np.int16)
+    codes[5, 9:] = 256
+    return net, codes, rng.integers(0, 3, 6)
+
+
+def test_forward_pass_against_plain_loops():
+    net, codes, _ = small_net()
+    assert np.allclose(net.log_probabilities(codes), [plain(net, c) for c in codes])
+
+
+def test_gradients_against_differences():
+    net, codes, labels = small_net()
+    loss = lambda: -net.log_probabilities(codes)[np.arange(6), labels].mean()
+    rng = np.random.default_rng(8)
+    for name, gradient in net.gradients(codes, labels).items():
+        weights = getattr(net, name).reshape(-1)
+        spots = np.flatnonzero(gradient.reshape(-1))
+        for i in rng.choice(spots, min(12, len(spots)), replace=False):
+            was, step = weights[i], 1e-6
+            weights[i] = was + step
+            over = loss()
+            weights[i] = was - step
+            slope = (over - loss()) / (2 * step)
+            weights[i] = was
+            assert abs(slope - gradient.reshape(-1)[i]) < 1e-6
+
+
+def test_letters():
+    assert not any(map(language_id.has_letter, ["", "12 _ ! \u00bd \u00b2 \u2462 \u0301"]))
+    assert all(map(language_id.has_letter, ["1a", "\u00df", "\u4e2d", "\u00aa"]))
+
+
+def test_many_copies_do_not_crowd_out_a_language(spark):
+    docs = [(i, "the shun and ing wor", "aa") for i in range(5000)] + [(5000 + i, f"schung keit ach {i}", "cc") for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    langs, _ = language_id.fit(df, sample_docs=20, epochs=1)
+    assert langs == ["aa", "cc"]

@@ -7,7 +7,6 @@ mean log-probability of its windows, weighted by their bytes, so that whole text
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +18,6 @@ from pyspark.sql import functions as F
 from .common import fold
 
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 #: Windows that one matrix product takes: bounds a task's memory.
 _TOGETHER = 128
 
@@ -59,8 +57,30 @@ class ByteConvNet:
             parts.append(logits - np.log(np.exp(logits).sum(axis=1, keepdims=True)))
         return np.vstack(parts)
 
+    def gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean cross-entropy; only each filter's best place counts."""
+        patches, response, pooled = self._pooled(x)
+        hidden = np.maximum(pooled, 0)
+        logits = hidden @ self.out + self.out_bias
+        p = np.exp(logits - logits.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        p[np.arange(len(y)), y] -= 1
+        p /= len(y)
+        inner = (p @ self.out.T) * (pooled > 0)
+        best = response.argmax(axis=1)
+        rows = (np.arange(len(x))[:, None] * self.window + best).reshape(-1)
+        chosen = patches[rows].reshape(len(x), best.shape[1], -1)
+        g_conv = np.einsum("bf,bfk->kf", inner, chosen) * self.mask
+        padded = np.pad(x, ((0, 0), (0, self.reach - 1)), constant_values=256)
+        g_patch = (inner[:, :, None] * self.conv.T[None]).reshape(len(x), best.shape[1], self.reach, self.dim)
+        g_embed = np.zeros_like(self.embed)
+        for j in range(self.reach):
+            np.add.at(g_embed, np.take_along_axis(padded, best + j, 1), g_patch[:, :, j])
+        g_embed[256] = 0
+        return {"embed": g_embed, "conv": g_conv, "bias": inner.sum(axis=0), "out": hidden.T @ p, "out_bias": p.sum(axis=0)}
+
     def train(self, codes: np.ndarray, labels: np.ndarray, *, epochs: int = 4, batch: int = 64, rate: float = 0.003, seed: int = 7) -> None:
-        """Adam on the cross-entropy; only each filter's best place gets a gradient."""
+        """Adam on the cross-entropy."""
         rng = np.random.default_rng(seed)
         names = ("embed", "conv", "bias", "out", "out_bias")
         first, second = ({k: np.zeros_like(getattr(self, k)) for k in names} for _ in range(2))
@@ -69,31 +89,17 @@ class ByteConvNet:
             order = rng.permutation(len(codes))
             for lo in range(0, len(order), batch):
                 some, step = order[lo : lo + batch], step + 1
-                x, y = codes[some], labels[some]
-                patches, response, pooled = self._pooled(x)
-                hidden = np.maximum(pooled, 0)
-                logits = hidden @ self.out + self.out_bias
-                p = np.exp(logits - logits.max(axis=1, keepdims=True))
-                p /= p.sum(axis=1, keepdims=True)
-                p[np.arange(len(y)), y] -= 1
-                p /= len(y)
-                inner = (p @ self.out.T) * (pooled > 0)
-                best = response.argmax(axis=1)
-                rows = (np.arange(len(x))[:, None] * self.window + best).reshape(-1)
-                chosen = patches[rows].reshape(len(x), best.shape[1], -1)
-                g_conv = np.einsum("bf,bfk->kf", inner, chosen) * self.mask
-                padded = np.pad(x, ((0, 0), (0, self.reach - 1)), constant_values=256)
-                g_patch = (inner[:, :, None] * self.conv.T[None]).reshape(len(x), best.shape[1], self.reach, self.dim)
-                g_embed = np.zeros_like(self.embed)
-                for j in range(self.reach):
-                    np.add.at(g_embed, np.take_along_axis(padded, best + j, 1), g_patch[:, :, j])
-                g_embed[256] = 0
-                for k, g in zip(names, (g_embed, g_conv, inner.sum(axis=0), hidden.T @ p, p.sum(axis=0)), strict=True):
+                for k, g in self.gradients(codes[some], labels[some]).items():
                     first[k] = 0.9 * first[k] + 0.1 * g
                     second[k] = 0.999 * second[k] + 0.001 * g * g
                     getattr(self, k)[...] -= rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of the text is a letter: digits, numerals and marks are not."""
+    return any(map(str.isalpha, text))
+
+
 def windows(text: bytes, length: int) -> np.ndarray:
     """All bytes of a text in rows of ``length``, the last one padded."""
     n = max(1, -(-len(text) // length))
@@ -118,18 +124,22 @@ def _spread(windows_a_text: int, length: int):
 def fit(docs: DataFrame, *, sample_docs: int = 4000, windows_a_text: int = 4, window: int = 192, epochs: int = 4, seed: int = 3) -> tuple[list[str], ByteConvNet] | None:
     """Train on a bounded sample of the rows with text and lang; None if there are none.
 
-    ``sample_docs`` texts at most are drawn, as many of each language, those with the least
-    hash of id and text; ``windows_a_text`` windows of each, spread over the whole text, come
-    to the driver.
+    ``sample_docs`` distinct texts at most are drawn, as many of each language, those of the
+    least hashes; ``windows_a_text`` windows of each, spread over the whole text, come to the
+    driver. Of more languages than ``sample_docs`` those with the most rows are learned.
+    Copies of a text are one, however many there are.
     """
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / (1 << 30)).alias("draw"))
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample_docs).collect()}
-    if not counts:
+    known = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64("text").alias("draw"))
+    langs = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample_docs)
+    learned = [r.lang for r in langs.collect()]
+    if not learned:
         return None
-    each = max(1, sample_docs // len(counts))
-    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 2 * each / n + 50 / n))))
-    near = known.filter(F.col("draw") < share[F.col("lang")])
-    picked = near.withColumn("at", F.row_number().over(W.partitionBy("lang").orderBy("draw", "text"))).filter(F.col("at") <= each)
+    each = sample_docs // len(learned)
+    # the hash of each language's last drawn text, from the hashes alone; then those texts
+    ranked = known.select("lang", "draw").distinct().withColumn("at", F.row_number().over(W.partitionBy("lang").orderBy("draw")))
+    cuts = [(r.lang, r.cut) for r in ranked.filter(F.col("at") <= each).groupBy("lang").agg(F.max("draw").alias("cut")).collect() if r.lang in set(learned)]
+    cut = F.broadcast(docs.sparkSession.createDataFrame(cuts, "lang string, cut long"))
+    picked = known.join(cut, "lang").filter(F.col("draw") <= F.col("cut")).groupBy("lang", "draw").agg(F.min("text").alias("text"))
     rows = picked.select("lang", F.col("text").cast("binary").alias("text")).mapInArrow(_spread(windows_a_text, window), "lang string, codes binary").collect()
     rows.sort()
     langs = sorted({r.lang for r in rows})
@@ -168,7 +178,7 @@ def predict(docs: DataFrame, model: tuple[list[str], ByteConvNet] | None) -> Dat
 
             size = 0
             for at, text in enumerate(texts):
-                if model and text and _LETTER.search(text):
+                if model and text and has_letter(text):
                     held.append((at, text.encode()))
                     size += len(text)
                     if size > 1 << 18:
@@ -183,6 +193,13 @@ def predict(docs: DataFrame, model: tuple[list[str], ByteConvNet] | None) -> Dat
 
 
 def identify(docs: DataFrame, **settings) -> DataFrame:
-    """Learn from the rows outside fold 0 and predict every row."""
-    split = docs.withColumn("held_out", fold(F.col("doc_id")) == 0)
+    """Learn from the rows outside fold 0 and predict every row: doc_id, held_out, lang_pred, score.
+
+    ``docs`` has doc_id, text and lang; other columns are not read, so their names can't
+    clash. Null ids are in fold 0. Rows whose lang or text is null, or whose text has no
+    letter, are not learned from; the latter two are predicted as ``und`` with score 0.
+    Repeated rows get the same. Of languages with equal probability the first by name is
+    predicted. An empty table gives no rows.
+    """
+    split = docs.select("doc_id", "text", "lang", (fold(F.col("doc_id")) == 0).alias("held_out"))
     return predict(split, fit(split.filter(~F.col("held_out")), **settings))

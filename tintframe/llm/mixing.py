@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WORD, save
+from .common import WORD, free_name, save
 
 #: Hexadecimal digits of the hash that make the uniform draw: 52 bits, exact in a double.
 DRAW_DIGITS = 13
@@ -35,7 +35,7 @@ def source_targets(sizes: DataFrame, *, share: float, weights: tuple[float, ...]
     ``cap`` times its source's size; what is cut off goes to the others by weight. The level
     at which that settles is found directly: with sources by ``cap / weight``, the first
     whose cap is not below its part of what the earlier ones leave over. Windows over all
-    rows see one row per source only.
+    rows see one row per source only, in one task: fit for up to some million sources.
     """
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     ranked = totals.withColumn("rank", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())))
@@ -81,10 +81,8 @@ def mix(docs: DataFrame, *, share: float = 1.5, weights: tuple[float, ...] = (3.
     """
     sizes = docs.select("source", word_count(F.col("text")).alias("size"))
     rates = save(source_targets(sizes, share=share, weights=weights, cap=cap), "rates")
-    rate = rates.select(F.col("source").alias("__source"), F.col("rate").alias("__rate"))
-    extra = (draw(docs["doc_id"], seed) < F.col("__rate") - F.floor("__rate")).cast("long")
-    return (
-        docs.join(rate, docs["source"].eqNullSafe(F.col("__source")))
-        .withColumn("__copy", F.explode(F.array_repeat(F.lit(0), (F.floor("__rate") + extra).cast("int"))))
-        .drop("__source", "__rate", "__copy")
-    )
+    source, rate, copy = (free_name(docs, x) for x in ("rated_source", "rate", "copy"))
+    rated = docs.join(rates.select(F.col("source").alias(source), F.col("rate").alias(rate)), F.col("source").eqNullSafe(F.col(source)))
+    extra = (draw(F.col("doc_id"), seed) < F.col(rate) - F.floor(rate)).cast("long")
+    copies = F.array_repeat(F.lit(0), (F.floor(rate) + extra).cast("int"))
+    return rated.withColumn(copy, F.explode(copies)).drop(source, rate, copy)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, free_name, only, save, wanted_filter
+from .common import both_sides, discard, free_name, only, save, wanted_filter
 from .hashing import U, mix, powers, words_by_doc
 
 _BLANK = " \t\r\x0b\x0c"
@@ -253,16 +253,16 @@ def _deal(least: int, errors: int, graded: bool, shards: int):
 
 
 #: What a shard tells: two lines of a block, of which one is its first or commonest, or a line
-#: of a block of more under its key, with its place in the line.
+#: of a block of more under its key, with its first and last place in the line.
 STAR, MEMBER = 0, 1
-_MET_DDL = "kind int, a long, b long, at int"
+_MET_DDL = "kind int, a long, b long, at int, upto int"
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Entries of a shard to what it tells of its blocks."""
 
-    def tell(kind: int, a: np.ndarray, b: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(at.astype(np.int32))], names=["kind", "a", "b", "at"])
+    def tell(kind: int, a: np.ndarray, b: np.ndarray, at: np.ndarray, upto: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(at.astype(np.int32)), pa.array(upto.astype(np.int32))], names=[x.split()[0] for x in _MET_DDL.split(", ")])
 
     def blocks(key, ids, rank, at) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((at, ids, key))
@@ -280,12 +280,9 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = pivot[group], ids[starts]
             pairs.append(np.stack([np.minimum(a, b), np.maximum(a, b)])[:, a != b])
         a, b = np.unique(np.hstack(pairs), axis=1)
-        yield tell(STAR, a, b, np.full(len(a), -1))
-        held = ((size > 2) | hot)[group][line]
-        new = np.ones(len(key), bool)
-        new[1:] = (line[1:] != line[:-1]) | (at[1:] >> 1 != at[:-1] >> 1)
-        held &= new
-        yield tell(MEMBER, key[held].view(np.int64), ids[held], at[held] >> 1)
+        yield tell(STAR, a, b, np.full(len(a), -1), np.full(len(a), -1))
+        held = ((size > 2) | hot)[group]
+        yield tell(MEMBER, key[starts][held].view(np.int64), ids[starts][held], np.minimum.reduceat(at, starts)[held] >> 1, np.maximum.reduceat(at, starts)[held] >> 1)
 
     now, held = None, []
     for batch in batches:
@@ -341,33 +338,37 @@ def _all_earlier(errors: int, graded: bool):
 
     def pairs(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
-        cell, ids, at, doc, row, place = (np.asarray(table[c]) for c in ("cell", "id", "at", "doc", "row", "place"))
+        cell, ids, at, upto, doc, row, place = (np.asarray(table[c]) for c in ("cell", "id", "at", "upto", "doc", "row", "place"))
         unknown, asks = (table[c].to_numpy(zero_copy_only=False).astype(bool) for c in ("unknown", "asks"))
         chars, words, tally, bag = _facts(table)
-        order = np.lexsort((place, row, doc, unknown, cell))  # those before a row in its cell are earlier
-        cell, ids, at, asks, chars, words, tally, bag = (x[order] for x in (cell, ids, at, asks, chars, words, tally, bag))
-        held = np.flatnonzero(~asks)
-        begin = np.searchsorted(held, np.flatnonzero(np.diff(cell, prepend=cell[0] - 1) != 0))
-        begin = begin[np.cumsum(np.diff(cell, prepend=cell[0]) != 0)]
-        asked = np.flatnonzero(asks)
-        n = np.searchsorted(held, asked) - begin[asked]
-        asked, n = asked[n > 0], n[n > 0]
-        ends, found = np.cumsum(n), []
-        for lo in range(0, int(n.sum()), _PAIRS):
-            flat = np.arange(lo, min(int(n.sum()), lo + _PAIRS))
-            owner = np.searchsorted(ends, flat, "right")
-            a = asked[owner]
-            b = held[begin[a] + flat - (ends - n)[owner]]
-            most = np.maximum(np.maximum(words[a], words[b]) // _WORDS_AN_EDIT, errors)
-            near = (at[a] < 0) | (np.abs(at[a] - at[b]) + np.abs(words[a] - at[a] - words[b] + at[b]) <= most)
-            near &= ids[a] != ids[b]
-            a, b = a[near], b[near]
-            may = _may(errors, graded, chars, words, tally, bag, a, b)
-            a, b = ids[a[may]], ids[b[may]]
-            found.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1))
-        if found:
-            a, b = np.unique(np.hstack(found), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        rank = np.empty(len(ids), np.int64)
+        rank[np.lexsort((place, row, doc, unknown))] = np.arange(len(ids))
+        at, upto = at.astype(np.int64), upto.astype(np.int64)
+        group = np.unique(cell, return_inverse=True)[1]
+        reach = np.maximum(words // (_WORDS_AN_EDIT - 1) + 1, errors)  # no partner allows more word edits
+        wide = upto > at  # a sequence at several places of a line
+        found = [np.empty((2, 0), np.int64)]
+        for asked, held, near in ((asks & ~wide, ~asks & ~wide, True), (asks & ~wide, ~asks & wide, False), (asks & wide, ~asks, False)):
+            asked, held = np.flatnonzero(asked), np.flatnonzero(held)
+            spot = group * (1 << 32) + (at + 1 if near else 0)  # in a cell by place, where lines have one
+            held = held[np.argsort(spot[held], kind="stable")]
+            apart = reach[asked] if near else 0
+            begin, end = np.searchsorted(spot[held], spot[asked] - apart), np.searchsorted(spot[held], spot[asked] + apart, "right")
+            n = end - begin
+            ends = np.cumsum(n)
+            for lo in range(0, int(n.sum()), _PAIRS):
+                flat = np.arange(lo, min(int(n.sum()), lo + _PAIRS))
+                owner = np.searchsorted(ends, flat, "right")
+                a, b = asked[owner], held[begin[owner] + flat - (ends - n)[owner]]
+                gap = lambda p, q, r, s: np.maximum(np.maximum(p - s, r - q), 0)
+                shift = gap(at[a], upto[a], at[b], upto[b]) + gap(words[a] - upto[a], words[a] - at[a], words[b] - upto[b], words[b] - at[b])
+                ok = (group[a] == group[b]) & (rank[b] < rank[a]) & (ids[a] != ids[b]) & ((at[a] < 0) | (shift <= np.maximum(np.maximum(words[a], words[b]) // _WORDS_AN_EDIT, errors)))
+                a, b = a[ok], b[ok]
+                may = _may(errors, graded, chars, words, tally, bag, a, b)
+                a, b = ids[a[may]], ids[b[may]]
+                found.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1))
+        a, b = np.unique(np.hstack(found), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -535,8 +536,7 @@ def duplicate_lines(docs: DataFrame, *, errors: int = 2, least: int | None = Non
                 yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array([found[i] for i in keep], pa.string())], names=["id", "line"])
 
         known = save(base.select("text").mapInArrow(texts, "id long, line string").dropDuplicates(["id"]), f"{name}-lines")
-        side = lambda c: known.select(F.col("id").alias(c), F.col("line").alias(f"line_{c}"))
-        links = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify(errors, graded), "a long, b long")
+        links = both_sides(pairs, known, "id", "line").mapInArrow(_verify(errors, graded), "a long, b long")
         place = lambda c: facts.select(F.col("id").alias(c), order.alias(f"first_{c}"))
         found = save(links.join(place("a"), "a").join(place("b"), "b").select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct(), name)
         discard(pairs, known)
@@ -545,7 +545,7 @@ def duplicate_lines(docs: DataFrame, *, errors: int = 2, least: int | None = Non
     side = lambda c: facts.select(F.col("id").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("chars", "words", "tally", "bag")))
     gone = later(star.join(side("a"), "a").join(side("b"), "b").mapInArrow(_thin(errors, graded), "a long, b long"), "later")
 
-    placed = members.select(F.col("a").alias("key"), F.col("b").alias("id"), "at").join(gone.withColumn("gone", F.lit(True)), "id", "left")
+    placed = members.select(F.col("a").alias("key"), F.col("b").alias("id"), "at", "upto").join(gone.withColumn("gone", F.lit(True)), "id", "left")
     placed = save(placed.withColumn("open", F.col("gone").isNull()).drop("gone"), "members")
     sized = placed.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.col("open").cast("long")).alias("u")).filter("u > 0")
     pieces = lambda c: F.ceil(F.col(c) / BLOCK_LINES).cast("long")
@@ -553,8 +553,8 @@ def duplicate_lines(docs: DataFrame, *, errors: int = 2, least: int | None = Non
     still = placed.join(sized, "key").withColumn("h", F.xxhash64("id"))
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias("other")
     cell = lambda p, q: F.xxhash64("key", p, q).alias("cell")
-    asking = still.filter("open").select("*", spread("pieces")).select(cell(F.pmod("h", "ask_pieces"), F.col("other")), "id", "at", F.lit(True).alias("asks"))
-    holding = still.select("*", spread("ask_pieces")).select(cell(F.col("other"), F.pmod("h", "pieces")), "id", "at", F.lit(False).alias("asks"))
+    asking = still.filter("open").select("*", spread("pieces")).select(cell(F.pmod("h", "ask_pieces"), F.col("other")), "id", "at", "upto", F.lit(True).alias("asks"))
+    holding = still.select("*", spread("ask_pieces")).select(cell(F.col("other"), F.pmod("h", "pieces")), "id", "at", "upto", F.lit(False).alias("asks"))
     cells = asking.union(holding).join(facts, "id").repartition("cell").sortWithinPartitions("cell")
     more = later(cells.mapInArrow(_all_earlier(errors, graded), "a long, b long").distinct(), "more-later")
 

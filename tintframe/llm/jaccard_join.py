@@ -1,10 +1,9 @@
 """Jaccard self-join of shingle sets: prefix blocks, count-vector R-trees, verification.
 
 Equal sets are one node from the start. Two sets as similar as the threshold share a key among
-each one's first ``n - ceil(t * n) + 1`` shingles in any order that all sets agree on, of
-which the smaller one's lies in its still shorter index prefix. Here that order is by hash,
-with the shingles that are frequent within a batch of documents last. Sets that share such a
-key form a block.
+each one's first ``n - ceil(t * n) + 1`` shingles in any order that all sets agree on. Here
+that order is by hash, with the shingles that are frequent within a batch of documents last.
+Sets that share such a key form a block.
 
 Pairs come from R-trees over points ``(block, size, count vector)``: shingles are hashed to
 groups, the counts of the groups are coordinates, and the summed minima of two vectors bound
@@ -13,7 +12,7 @@ first search is greedy: every node enters the trees of a few of its blocks and a
 earlier partner of high bound. What links on the whole sets is one component, and a block
 within one component needs no more work. A second greedy search across components takes the
 other blocks. The third takes those still open and finds every pair across components that
-the bound allows; those are verified, too.
+the bound allows; those that share enough of their first shingles are verified, too.
 """
 
 from __future__ import annotations
@@ -104,19 +103,16 @@ def _profile(width: int):
     return profile
 
 
-def prefix(s: np.ndarray, frequent: np.ndarray, threshold: Fraction) -> tuple[np.ndarray, int]:
-    """The keys of a set, its first shingles in the common order; how many are its index prefix.
-
-    A pair shares a key of both, which is in the index prefix of the smaller set.
-    """
+def prefix(s: np.ndarray, frequent: np.ndarray, threshold: Fraction) -> np.ndarray:
+    """The keys of a set: its first shingles in the common order."""
     n = len(s)
     if not n:
-        return s, 0
+        return s
     if len(frequent):
         at = np.searchsorted(frequent, s)
         at[at == len(frequent)] = 0
         s = s[np.argsort(frequent[at] == s, kind="stable")]
-    return s[: n - math.ceil(threshold * n) + 1], n - math.ceil(2 * threshold / (1 + threshold) * n) + 1
+    return s[: n - math.ceil(threshold * n) + 1]
 
 
 _KEYS_DDL = "shard int, node array<long>, size array<int>, at array<int>, key array<long>"
@@ -131,8 +127,7 @@ def _keys(width: int, threshold: Fraction, shards: int, frequent):
             if not distinct:
                 continue
             own = [prefix(s, often, threshold) for s in distinct.values()]
-            key, at = np.concatenate([k for k, _ in own]), np.repeat(np.arange(len(own)), [len(k) for k, _ in own])
-            indexed = np.concatenate([np.arange(len(k)) < q for k, q in own])
+            key, at = np.concatenate(own), np.repeat(np.arange(len(own)), [*map(len, own)])
             nodes, sizes = np.array([*distinct], np.int64), np.array([*map(len, distinct.values())], np.int32)
             salt = mix(nodes.view(U))[at] % U(1)
             if len(often):  # the rows of a hot key go to several shards
@@ -145,45 +140,43 @@ def _keys(width: int, threshold: Fraction, shards: int, frequent):
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 mine = order[lo:hi]
                 present, local = np.unique(at[mine], return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array([shard[mine[0]]], pa.int32()), pa.array([nodes[present]], pa.list_(pa.int64())), pa.array([sizes[present]], pa.list_(pa.int32())), pa.array([(2 * local + indexed[mine]).astype(np.int32)], pa.list_(pa.int32())), pa.array([key[mine].view(np.int64)], pa.list_(pa.int64()))], names=["shard", "node", "size", "at", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array([shard[mine[0]]], pa.int32()), pa.array([nodes[present]], pa.list_(pa.int64())), pa.array([sizes[present]], pa.list_(pa.int32())), pa.array([local.astype(np.int32)], pa.list_(pa.int32())), pa.array([key[mine].view(np.int64)], pa.list_(pa.int64()))], names=["shard", "node", "size", "at", "key"])
 
     return keys
 
 
-_MEMBER_DDL = "block long, node long, n int, indexed boolean"
+_MEMBER_DDL = "block long, node long, n int, times int"
 
 
 def _blocks(threshold: Fraction, frequent):
-    """Keys of a shard to the members of its blocks; of blocks with the same members one stays."""
+    """Keys of a shard to the members of its blocks; blocks with the same members are one, ``times`` over."""
 
     def block(rows: list) -> pa.RecordBatch:
-        key, node, size, indexed = (np.concatenate(x) for x in zip(*rows, strict=True))
-        order = np.lexsort((~indexed, size, node, key))
-        key, node, size, indexed = (x[order] for x in (key, node, size, indexed))
+        key, node, size = (np.concatenate(x) for x in zip(*rows, strict=True))
+        order = np.lexsort((node, size, key))
+        key, node, size = (x[order] for x in (key, node, size))
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-        key, node, size, indexed = (x[new] for x in (key, node, size, indexed))
-        order = np.lexsort((~indexed, size, key))
-        key, node, size, indexed = (x[order] for x in (key, node, size, indexed))
-        group = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]])) - 1
-        # the largest indexed set of the block below or at each row's size, if not too small
-        base = group * (1 << 40)
-        held = np.flatnonzero(indexed)
-        below = np.searchsorted((base + size)[held], base + size) - 1
-        fits = (below >= 0) & (group[held[below]] == group) & (size[held[below]] * threshold.denominator >= size * threshold.numerator) if len(held) else np.zeros(len(key), bool)
-        keep = indexed | fits
-        key, node, size, indexed, group = (x[keep] for x in (key, node, size, indexed, group))
-        cuts = np.flatnonzero(np.diff(group, prepend=-1))
-        width = np.diff(np.append(cuts, len(key)))
-        mark = mix(node.view(U) * U(2) + indexed + mix(node.view(U)))
-        sums = np.add.reduceat(mark, cuts) if len(cuts) else mark
+        key, node, size = (x[new] for x in (key, node, size))
         often, pieces = frequent.value
-        hot = np.isin(key[cuts].view(U), often[pieces > 1])
-        sums[hot] = mix(key[cuts][hot].view(U))  # a hot block is in pieces, so it is like no other
-        first = np.zeros(len(cuts), bool)
-        first[np.unique(sums, return_index=True)[1]] = True
-        keep = np.repeat(first & ((width > 1) | hot), width)
-        return pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(node[keep]), pa.array(size[keep].astype(np.int32)), pa.array(indexed[keep])], names=["block", "node", "n", "indexed"])
+        hot = often[pieces > 1]
+        # a set whose neighbours by size are too large or small has no partner here
+        fits = (key[1:] == key[:-1]) & (size[:-1] * threshold.denominator >= size[1:] * threshold.numerator)
+        keep = np.isin(key.view(U), hot)
+        keep[1:] |= fits
+        keep[:-1] |= fits
+        key, node, size = (x[keep] for x in (key, node, size))
+        cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        width = np.diff(np.append(cuts, len(key)))
+        sums = np.add.reduceat(mix(node.view(U)), cuts) if len(cuts) else node.view(U)
+        whole = np.isin(key[cuts].view(U), hot)
+        sums[whole] = mix(key[cuts][whole].view(U))  # a hot block is in pieces, so it is like no other
+        _, first, seen = np.unique(sums, return_index=True, return_counts=True)
+        times = np.zeros(len(cuts), np.int32)
+        times[first] = seen
+        times = np.repeat(times, width)
+        keep = times > 0
+        return pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(node[keep]), pa.array(size[keep].astype(np.int32)), pa.array(times[keep])], names=["block", "node", "n", "times"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
@@ -194,7 +187,7 @@ def _blocks(threshold: Fraction, frequent):
                     rows = []
                 now = shard
                 at = np.asarray(batch["at"][i].values)
-                rows.append((np.asarray(batch["key"][i].values), np.asarray(batch["node"][i].values)[at >> 1], np.asarray(batch["size"][i].values)[at >> 1].astype(np.int64), (at & 1) > 0))
+                rows.append((np.asarray(batch["key"][i].values), np.asarray(batch["node"][i].values)[at], np.asarray(batch["size"][i].values)[at].astype(np.int64)))
         if rows:
             yield block(rows)
 
@@ -272,37 +265,53 @@ class CountTree:
         return one.order[one.pairs(own, threshold)[1]]
 
 
-def _points(table: pa.Table) -> tuple[np.ndarray, ...]:
-    node, n, block, part, side = (np.asarray(table[c].combine_chunks()).astype(np.int64) for c in ("node", "n", "cell", "component", "side"))
-    indexed = np.asarray(table["indexed"].combine_chunks().to_numpy(zero_copy_only=False)).astype(bool)
-    vectors = np.frombuffer(b"".join(table["counts"].to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int32)
-    return node, n, block, part, side, indexed, vectors
+def least_shared(n: np.ndarray, m: np.ndarray, threshold: Fraction) -> np.ndarray:
+    """The least number of keys that two such sets have in common.
+
+    Of the shingles they share, those up to where the first prefix ends are keys of both; at
+    most as many follow as that set has behind its prefix.
+    """
+    p, q = threshold.numerator, threshold.denominator
+    return least_overlap(n, m, threshold) + (-p * np.maximum(n, m)) // q + 1
+
+
+_PAIR_DDL = "a long, b long, shared long, least long"
 
 
 def _tree_pairs(threshold: Fraction, greedy: bool):
-    """The points of a task to pairs of nodes; the whole partition is one tree."""
+    """The points of a task to pairs of nodes; the whole partition is one tree.
+
+    ``shared`` counts the keys whose cells of this task hold the pair, ``least`` what it needs.
+    """
+
+    def summed(found: list[np.ndarray]) -> np.ndarray:
+        a, b, shared, least = np.hstack(found)
+        order = np.lexsort((b, a))
+        a, b, shared, least = (x[order] for x in (a, b, shared, least))
+        at = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
+        return np.stack([a[at], b[at], np.add.reduceat(shared, at) if len(at) else shared, least[at]])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches) or [])  if (batches := list(batches)) else None
+        rows = list(batches)
+        table = pa.Table.from_batches(rows) if rows else None
         if table is None or not table.num_rows:
             return
-        node, n, block, part, side, indexed, vectors = _points(table)
+        node, n, block, part, side, times = (np.asarray(table[c].combine_chunks()).astype(np.int64) for c in ("node", "n", "cell", "component", "side", "times"))
+        vectors = np.frombuffer(b"".join(table["counts"].to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int32)
         tree = CountTree(n, vectors, block, part)
-        node, side, indexed = node[tree.order], side[tree.order], indexed[tree.order]
-        found = [np.empty((2, 0), np.int64)]
+        node, side, times = node[tree.order], side[tree.order], times[tree.order]
+        found = [np.empty((4, 0), np.int64)]
         asked = np.flatnonzero(side < 2)
         for lo in range(0, len(asked), _QUERIES):
             some = asked[lo : lo + _QUERIES]
             for earlier, mine in ((True, some[side[some] == 0]), (False, some[side[some] == 1])):
                 a, b = tree.pairs(mine, threshold, earlier=earlier, greedy=greedy)
-                smaller = np.where(tree.n[a] < tree.n[b], indexed[a], np.where(tree.n[a] > tree.n[b], indexed[b], indexed[a] & indexed[b]))
-                ok = (node[a] != node[b]) & (side[b] == (0 if earlier else 2)) & (smaller | greedy)
-                found.append(np.unique(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])])[:, ok], axis=1))
+                ok = (node[a] != node[b]) & (side[b] == (0 if earlier else 2))
+                a, b = a[ok], b[ok]
+                found.append(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b]), times[a], least_shared(tree.n[a], tree.n[b], threshold)]))
             if sum(f.shape[1] for f in found) > 1 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(np.hstack(found), axis=1)], names=["a", "b"])
-                found = []
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(np.hstack(found), axis=1)], names=["a", "b"])
+                found = [summed(found)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in summed(found)], names=[x.split()[0] for x in _PAIR_DDL.split(", ")])
 
     return pairs
 
@@ -378,7 +387,10 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, threshold: Fraction =
         """Pairs of nodes in the cells of ``points`` that reach the threshold on whole sets."""
         points = save(points.join(suspects.select("node", "counts"), "node"), f"{name}-points")
         tasks = max(1, math.ceil(points.count() / _POINTS))
-        pairs = save(points.repartition(tasks, "cell").mapInArrow(_tree_pairs(threshold, greedy), "a long, b long").distinct(), f"{name}-candidates")
+        met = points.repartition(tasks, "cell").mapInArrow(_tree_pairs(threshold, greedy), _PAIR_DDL)
+        # only the last search meets every key that a pair shares
+        met = met if greedy else met.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("least").alias("least")).filter("shared >= least")
+        pairs = save(met.select("a", "b").distinct(), f"{name}-candidates")
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         texts = only(suspects.select("node", "text"), nodes, "node")
         found = save(both_sides(pairs, texts, "node", "text").mapInArrow(_verify(width, threshold), "a long, b long"), name)
@@ -387,7 +399,7 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, threshold: Fraction =
 
     def open_members(parts: DataFrame) -> DataFrame:
         """Members of the blocks that hold several components, and into how many pieces to cut these."""
-        placed = members.join(parts, "node", "left").select("block", "node", "n", "indexed", F.coalesce("component", "node").alias("component"))
+        placed = members.join(parts, "node", "left").select("block", "node", "n", "times", F.coalesce("component", "node").alias("component"))
         placed = save(placed, "placed")
         sized = placed.groupBy("block").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
         sized = save(sized.select("block", F.ceil(F.col("members") / BLOCK_ROWS).cast("long").alias("pieces")), "open-blocks")
@@ -400,12 +412,12 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, threshold: Fraction =
     chosen = members.groupBy("node", "n").agg(*(F.min(F.struct(F.xxhash64("block", F.lit(i)).alias("h"), "block")).alias(f"b{i}") for i in range(FIRST_BLOCKS)))
     chosen = chosen.select("node", "n", F.explode(F.array_distinct(F.array(*(F.col(f"b{i}.block") for i in range(FIRST_BLOCKS))))).alias("block"))
     large = chosen.groupBy("block").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("pieces")).filter("pieces > 1")
-    first = chosen.join(large, "block", "left").select("node", "n", piece, F.col("node").alias("component"), F.lit(0).alias("side"), F.lit(True).alias("indexed"))
+    first = chosen.join(large, "block", "left").select("node", "n", piece, F.col("node").alias("component"), F.lit(0).alias("side"), F.lit(1).alias("times"))
     found = links(first, True, "links")
     parts = hooked(found)
 
     still = open_members(parts)
-    second = links(still.select("node", "n", piece, "component", F.lit(0).alias("side"), "indexed"), True, "more-links")
+    second = links(still.select("node", "n", piece, "component", F.lit(0).alias("side"), "times"), True, "more-links")
     discard(still, parts)
     parts = components(found.union(second))
 
@@ -413,7 +425,7 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, threshold: Fraction =
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("other")
     low, high = F.least("piece", "other"), F.greatest("piece", "other")
     side = F.when(low == high, 0).when(F.col("piece") < F.col("other"), 1).otherwise(2).alias("side")
-    cells = still.select("*", F.pmod(F.xxhash64("node"), F.col("pieces")).alias("piece"), other).select("node", "n", "indexed", "component", F.xxhash64("block", low, high).alias("cell"), side)
+    cells = still.select("*", F.pmod(F.xxhash64("node"), F.col("pieces")).alias("piece"), other).select("node", "n", "times", "component", F.xxhash64("block", low, high).alias("cell"), side)
     third = links(cells, False, "last-links")
     # what the last links join are whole components
     at = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"part_{c}"))

@@ -38,7 +38,7 @@ def changed(rng, line, n):
 
 def test_banded_check_against_the_full_table():
     rng = random.Random(3)
-    for errors in (0, 1, 2, 3, 7):
+    for errors in (0, 1, 2, 3, 7, 20, 30):
         pairs = []
         for _ in range(300):
             a = "".join(rng.choice("abé") for _ in range(rng.randrange(errors + 1, 40)))

@@ -80,18 +80,22 @@ def wanted_filter(wanted: DataFrame, key: str) -> Callable[[np.ndarray], np.ndar
     return lambda k: ((told.value[(k >> 6) & words] >> (k & 63)) & 1).astype(bool)
 
 
-def only(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """``rows`` joined with ``wanted`` on ``key``, a 64-bit hash; few others are shuffled.
-
-    What :func:`wanted_filter` rules out falls away before the join, which decides.
-    """
-    may = wanted_filter(wanted, key)
+def thinned(rows: DataFrame, may: Callable[[np.ndarray], np.ndarray], key: str) -> DataFrame:
+    """``rows`` without most of those that a :func:`wanted_filter` on ``key`` rules out."""
 
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(may(np.asarray(batch[key]))))
 
-    return rows.mapInArrow(thin, rows.schema).join(wanted, key)
+    return rows.mapInArrow(thin, rows.schema)
+
+
+def only(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with ``wanted`` on ``key``, a 64-bit hash; few others are shuffled.
+
+    What :func:`wanted_filter` rules out falls away before the join, which decides.
+    """
+    return thinned(rows, wanted_filter(wanted, key), key).join(wanted, key)
 
 
 def both_sides(pairs: DataFrame, values: DataFrame, key: str, value: str) -> DataFrame:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import both_sides, discard, free_name, only, save, wanted_filter
+from .common import both_sides, discard, free_name, save, thinned, wanted_filter
 from .hashing import U, mix, powers, words_by_doc
 
 _BLANK = " \t\r\x0b\x0c"
@@ -63,19 +63,22 @@ def _split(text: str | None) -> list[str]:
     return [line.strip(_BLANK) for line in (text or "").split("\n")]
 
 
-_LINES_DDL = "row long, doc_id long, keys long, lines array<long>, chars array<int>, words array<int>, tally array<long>, bag array<long>"
+_FACTS = ("chars", "words", "tally", "bag", "sack")
+_LINES_DDL = "row long, doc_id long, keys long, lines array<long>, chars array<int>, words array<int>, tally array<long>, bag array<long>, sack array<long>"
 
 
 def _lines(batches: Iterator[pa.RecordBatch], least: int, errors: int) -> Iterator[pa.RecordBatch]:
-    """Per text, of each line: id (null if blank), characters, words, tallies of both."""
+    """Per text, of each line: id (null if blank), characters, words, a tally of those and two of these."""
     for batch in batches:
         split = [_split(t) for t in batch["text"].to_pylist()]
         flat = [line for lines in split for line in lines]
         ids = [line_id(s) if len(s) >= least else None for s in flat]
-        chars, bag, words = np.fromiter(map(len, flat), np.int64, len(flat)), np.zeros(len(flat), U), np.zeros(len(flat), np.int64)
+        chars, words = np.fromiter(map(len, flat), np.int64, len(flat)), np.zeros(len(flat), np.int64)
+        bag, sack = np.zeros(len(flat), U), np.zeros(len(flat), U)
         for first, hashes, counts in words_by_doc([line.encode() for line in flat]):
             words[first : first + len(counts)] = counts
-            bag[first : first + len(counts)] = _bags(hashes, counts)
+            bag[first : first + len(counts)] = _bags(mix(hashes), counts)
+            sack[first : first + len(counts)] = _bags(mix(hashes + U(1)), counts)
         tally = np.zeros(len(flat), U)
         short = np.flatnonzero((words < _wordy(errors)) & (chars > 0))
         for at, hi in _slices(chars[short]):
@@ -86,7 +89,7 @@ def _lines(batches: Iterator[pa.RecordBatch], least: int, errors: int) -> Iterat
         lists = lambda x, t: pa.ListArray.from_arrays(offsets, pa.array(x, t))  # noqa: B023, E731
         ends = np.asarray(offsets)
         keys = np.add.reduceat(np.append(words // 4 + 12, 0), ends[:-1]) if len(split) else []
-        columns = [pa.array(keys, pa.int64()), lists(ids, pa.int64()), lists(chars, pa.int32()), lists(words, pa.int32()), lists(tally.view(np.int64), pa.int64()), lists(bag.view(np.int64), pa.int64())]
+        columns = [pa.array(keys, pa.int64()), lists(ids, pa.int64()), lists(chars, pa.int32()), lists(words, pa.int32()), lists(tally.view(np.int64), pa.int64()), lists(bag.view(np.int64), pa.int64()), lists(sack.view(np.int64), pa.int64())]
         yield pa.RecordBatch.from_arrays([batch["row"], batch["doc_id"], *columns], names=[x.split()[0] for x in _LINES_DDL.split(", ")])
 
 
@@ -117,7 +120,7 @@ def _tallies(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 def _bags(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The same of the words of each line, which come end to end."""
     owner = np.repeat(np.arange(len(counts)), counts)
-    seen = np.bincount(owner * 16 + (mix(hashes) >> U(60)).astype(np.int64), minlength=16 * len(counts)).reshape(-1, 16)
+    seen = np.bincount(owner * 16 + (hashes >> U(60)).astype(np.int64), minlength=16 * len(counts)).reshape(-1, 16)
     return ((seen.astype(U) & U(15)) << (U(4) * np.arange(16, dtype=U))).sum(axis=1, dtype=U)
 
 
@@ -219,7 +222,8 @@ def _deal(least: int, errors: int, graded: bool, shards: int):
     def keyed(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         data = [line.encode() for line in lines]
         key, which, at = anchors(data)
-        short = [i for i, line in enumerate(data) if len(line.split()) < _wordy(errors)] if errors else []
+        wordy = _wordy(errors)
+        short = [i for i, line in enumerate(data) if len(line) < 2 * wordy or len(line.split()) < wordy] if errors else []
         own, owner, _, _ = entries([lines[i] for i in short], errors, graded) if short else (key[:0], which[:0], None, None)
         return np.concatenate([key, own]), np.concatenate([which, np.array(short, np.int64)[owner]]), np.concatenate([at, np.full(len(own), -1)])
 
@@ -297,50 +301,54 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from blocks(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
-def _may(errors: int, graded: bool, chars, words, tally, bag, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether lengths and tallies leave room for lines ``a`` and ``b`` to be near."""
+def _may(errors: int, graded: bool, chars, words, tally, bag, sack, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How far apart in words the tallies hold lines ``a`` and ``b`` at least, or -1 if too far to be near."""
     n, m, p, q = np.maximum(chars[a], chars[b]), np.minimum(chars[a], chars[b]), np.maximum(words[a], words[b]), np.minimum(words[a], words[b])
     edits, swaps = allowed(n, errors, graded), p // _WORDS_AN_EDIT
-    close = n - m <= edits
-    near = p - q <= swaps
+    close, near = n - m <= edits, p - q <= swaps
     some = np.flatnonzero(close | near)
     gap = tally_gap(bag[a[some]], bag[b[some]])
+    live = np.flatnonzero(gap <= np.maximum(3 * edits[some], 2 * swaps[some]))
+    some, gap = some[live], np.maximum(gap[live], tally_gap(sack[a[some[live]]], sack[b[some[live]]]))
     short = p[some] < _wordy(errors)
-    own = np.full(len(some), 0)
+    own = np.zeros(len(some), np.int64)
     own[short] = tally_gap(tally[a[some[short]]], tally[b[some[short]]])
-    out = np.zeros(len(a), bool)
-    out[some] = close[some] & (gap <= 3 * edits[some]) & (own <= 2 * edits[some]) | near[some] & (gap <= 2 * swaps[some])
+    ok = close[some] & (gap <= 3 * edits[some]) & (own <= 2 * edits[some]) | near[some] & (gap <= 2 * swaps[some])
+    out = np.full(len(a), -1, np.int64)
+    out[some[ok]] = gap[ok]
     return out
 
 
 def _facts(batch: pa.RecordBatch, suffix: str = "") -> tuple[np.ndarray, ...]:
-    chars, words = (np.asarray(batch[c + suffix]).astype(np.int64) for c in ("chars", "words"))
-    return chars, words, *(np.asarray(batch[c + suffix]).view(U) for c in ("tally", "bag"))
+    chars, words = (np.asarray(batch[c + suffix]).astype(np.int64) for c in _FACTS[:2])
+    return chars, words, *(np.asarray(batch[c + suffix]).view(U) for c in _FACTS[2:])
 
 
 def _thin(errors: int, graded: bool):
-    """Pairs with the facts of both lines to those that may be near."""
+    """Pairs with the facts of both lines to those that may be near, as they come."""
 
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             facts = [np.concatenate(x) for x in zip(_facts(batch, "_a"), _facts(batch, "_b"), strict=True)]
             at = np.arange(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(_may(errors, graded, *facts, at, at + batch.num_rows)))
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(_may(errors, graded, *facts, at, at + batch.num_rows) >= 0))
 
     return thin
 
 
-def _all_earlier(errors: int, graded: bool):
-    """Members of cells to pairs: each line that asks with all that it may be near to.
+def _earlier(errors: int, graded: bool, greedy: bool):
+    """Members of cells to pairs: each line that asks, second, with the earlier ones that may be near.
 
-    Rows come sorted by cell; ``asks`` tells those that ask from those that are asked.
+    Rows come sorted by cell; ``asks`` tells those that ask from those that are asked. A greedy
+    search takes of each cell only the one by whose tallies a line is nearest.
     """
 
     def pairs(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
         cell, ids, at, upto, doc, row, place = (np.asarray(table[c]) for c in ("cell", "id", "at", "upto", "doc", "row", "place"))
         unknown, asks = (table[c].to_numpy(zero_copy_only=False).astype(bool) for c in ("unknown", "asks"))
-        chars, words, tally, bag = _facts(table)
+        facts = _facts(table)
+        words = facts[1]
         rank = np.empty(len(ids), np.int64)
         rank[np.lexsort((place, row, doc, unknown))] = np.arange(len(ids))
         at, upto = at.astype(np.int64), upto.astype(np.int64)
@@ -360,13 +368,18 @@ def _all_earlier(errors: int, graded: bool):
                 flat = np.arange(lo, min(int(n.sum()), lo + _PAIRS))
                 owner = np.searchsorted(ends, flat, "right")
                 a, b = asked[owner], held[begin[owner] + flat - (ends - n)[owner]]
-                gap = lambda p, q, r, s: np.maximum(np.maximum(p - s, r - q), 0)
-                shift = gap(at[a], upto[a], at[b], upto[b]) + gap(words[a] - upto[a], words[a] - at[a], words[b] - upto[b], words[b] - at[b])
+                off = lambda p, q, r, s: np.maximum(np.maximum(p - s, r - q), 0)
+                shift = off(at[a], upto[a], at[b], upto[b]) + off(words[a] - upto[a], words[a] - at[a], words[b] - upto[b], words[b] - at[b])
                 ok = (group[a] == group[b]) & (rank[b] < rank[a]) & (ids[a] != ids[b]) & ((at[a] < 0) | (shift <= np.maximum(np.maximum(words[a], words[b]) // _WORDS_AN_EDIT, errors)))
                 a, b = a[ok], b[ok]
-                may = _may(errors, graded, chars, words, tally, bag, a, b)
-                a, b = ids[a[may]], ids[b[may]]
-                found.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1))
+                gap = _may(errors, graded, *facts, a, b)
+                a, b, gap = a[gap >= 0], b[gap >= 0], gap[gap >= 0]
+                if greedy:
+                    order = np.lexsort((rank[b], gap, a))
+                    a, b = a[order], b[order]
+                    best = np.diff(a, prepend=-1) != 0
+                    a, b = a[best], b[best]
+                found.append(np.unique(np.stack([ids[b], ids[a]]), axis=1))
         a, b = np.unique(np.hstack(found), axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
@@ -458,6 +471,27 @@ def words_within(longer: list[int], shorter: list[int], errors: int) -> bool:
     return bool(row[n - m + errors] <= errors)
 
 
+def _verify_words(both: list[tuple[str, str]], keep: np.ndarray) -> None:
+    """Mark the pairs not yet kept that are within their word edits, a word being one sign."""
+    signs: dict[bytes, str] = {}
+    waiting: dict[int, list[tuple[int, str, str]]] = {}
+    for i in np.flatnonzero(~keep):
+        p, q = sorted((x.encode().split() for x in both[i]), key=len, reverse=True)
+        e = len(p) // _WORDS_AN_EDIT
+        if not e or len(p) - len(q) > e or (Counter(p) - Counter(q)).total() > e:
+            continue
+        if e > 30 or len(signs) > 1_000_000:  # beyond the band of one 64-bit word, or of signs
+            code = {w: c for c, w in enumerate(dict.fromkeys(p + q))}
+            keep[i] = words_within([code[w] for w in p], [code[w] for w in q], e)
+            continue
+        p, q = ("".join([signs.setdefault(w, chr(len(signs))) for w in x]) for x in (p, q))
+        waiting.setdefault(e, []).append((i, p, q))
+    for e, some in waiting.items():
+        some.sort(key=lambda x: len(x[1]))
+        for lo, hi in _slices(np.array([len(p) for _, p, _ in some])):
+            keep[[i for i, _, _ in some[lo:hi]]] = within([p for _, p, _ in some[lo:hi]], [q for _, _, q in some[lo:hi]], e)
+
+
 def _verify(errors: int, graded: bool):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -476,11 +510,7 @@ def _verify(errors: int, graded: bool):
                     some = order[lo:hi]
                     lo = hi
                     keep[some] = within([both[i][0] for i in some], [both[i][1] for i in some], e)
-            for i in np.flatnonzero(~keep):
-                p, q = sorted((x.encode().split() for x in both[i]), key=len, reverse=True)
-                if (e := len(p) // _WORDS_AN_EDIT) and (Counter(p) - Counter(q)).total() <= e:
-                    code = {w: c for c, w in enumerate(dict.fromkeys(p + q))}
-                    keep[i] = words_within([code[w] for w in p], [code[w] for w in q], e)
+            _verify_words(both, keep)
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return verify
@@ -512,53 +542,64 @@ def duplicate_lines(docs: DataFrame, *, errors: int = 2, least: int | None = Non
     lines = save(base.mapInArrow(lambda b: _lines(b, least, errors), _LINES_DDL).dropDuplicates(["row"]), "lines")
     shards = max(1, math.ceil((lines.agg(F.sum("keys")).first()[0] or 0) / _ENTRIES_A_SHARD))
     dealt = base.select("doc_id", "text").mapInArrow(_deal(least, errors, graded, shards), _ENTRY_DDL)
-    met = save(dealt.repartitionById(shards, "shard").sortWithinPartitions("shard").mapInArrow(_meet, _MET_DDL).distinct(), "blocks")
+    met = save(dealt.repartitionById(shards, "shard").sortWithinPartitions("shard").mapInArrow(_meet, _MET_DDL), "blocks")
     star, members = met.filter(F.col("kind") == STAR).select("a", "b"), met.filter(F.col("kind") == MEMBER)
 
-    each = lines.select("row", "doc_id", F.posexplode(F.arrays_zip("lines", "chars", "words", "tally", "bag")).alias("at", "x")).select("row", "doc_id", "at", "x.*").filter(F.col("lines").isNotNull())
+    each = lines.select("row", "doc_id", F.posexplode(F.arrays_zip("lines", *_FACTS)).alias("at", "x")).select("row", "doc_id", "at", "x.*").filter(F.col("lines").isNotNull())
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row", "at")).alias("first")
-    firsts = save(each.groupBy(F.col("lines").alias("id")).agg(first, F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("chars", "words", "tally", "bag"))), "first-places")
-    asked = star.select(F.col("a").alias("id")).union(star.select("b")).union(members.select("b")).distinct()
-    facts = save(only(firsts.drop("n"), asked, "id").select("id", F.col("first.unknown").alias("unknown"), F.coalesce("first.doc_id", F.lit(0)).alias("doc"), F.col("first.row").alias("row"), F.col("first.at").alias("place"), "chars", "words", "tally", "bag"), "facts")
-    order = F.struct("unknown", "doc", "row", "place")
+    firsts = save(each.groupBy(F.col("lines").alias("id")).agg(first, F.count("*").alias("n"), *(F.first(c).alias(c) for c in _FACTS)), "first-places")
+    asked = star.select(F.col("a").alias("id")).union(star.select("b")).union(members.select("b"))
+    place = (F.col("first.unknown").alias("unknown"), F.coalesce("first.doc_id", F.lit(0)).alias("doc"), F.col("first.row").alias("row"), F.col("first.at").alias("place"))
+    facts = save(thinned(firsts.select("id", *place, *_FACTS), wanted_filter(asked, "id"), "id"), "facts")
 
     def later(pairs: DataFrame, name: str) -> DataFrame:
-        """``id`` of the later line of each pair that is near on the texts."""
+        """``id`` of the second line of each pair, the later one, that is near on the texts."""
         pairs = save(pairs, f"{name}-candidates")
-        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        may = wanted_filter(wanted, "id")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+        # a line's text is taken where it comes first
+        may, may_row = wanted_filter(wanted, "id"), wanted_filter(facts.join(wanted.distinct(), "id", "left_semi"), "row")
 
         def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = _distinct(batch, least)
+                found = _distinct(batch.filter(pa.array(may_row(np.asarray(batch["row"])))), least)
                 ids = np.fromiter(map(line_id, found), np.int64, len(found))
                 keep = np.flatnonzero(may(ids))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array([found[i] for i in keep], pa.string())], names=["id", "line"])
 
-        known = save(base.select("text").mapInArrow(texts, "id long, line string").dropDuplicates(["id"]), f"{name}-lines")
-        links = both_sides(pairs, known, "id", "line").mapInArrow(_verify(errors, graded), "a long, b long")
-        place = lambda c: facts.select(F.col("id").alias(c), order.alias(f"first_{c}"))
-        found = save(links.join(place("a"), "a").join(place("b"), "b").select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct(), name)
+        known = save(base.select("row", "text").mapInArrow(texts, "id long, line string").dropDuplicates(["id"]), f"{name}-lines")
+        found = both_sides(pairs, known, "id", "line").mapInArrow(_verify(errors, graded), "a long, b long")
+        found = save(found.select(F.col("b").alias("id")).distinct(), name)
         discard(pairs, known)
         return found
 
-    side = lambda c: facts.select(F.col("id").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("chars", "words", "tally", "bag")))
-    gone = later(star.join(side("a"), "a").join(side("b"), "b").mapInArrow(_thin(errors, graded), "a long, b long"), "later")
-
-    placed = members.select(F.col("a").alias("key"), F.col("b").alias("id"), "at", "upto").join(gone.withColumn("gone", F.lit(True)), "id", "left")
-    placed = save(placed.withColumn("open", F.col("gone").isNull()).drop("gone"), "members")
-    sized = placed.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.col("open").cast("long")).alias("u")).filter("u > 0")
-    pieces = lambda c: F.ceil(F.col(c) / BLOCK_LINES).cast("long")
-    sized = save(sized.select("key", pieces("u").alias("ask_pieces"), pieces("m").alias("pieces")), "open-blocks")
-    still = placed.join(sized, "key").withColumn("h", F.xxhash64("id"))
-    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias("other")
-    cell = lambda p, q: F.xxhash64("key", p, q).alias("cell")
-    asking = still.filter("open").select("*", spread("pieces")).select(cell(F.pmod("h", "ask_pieces"), F.col("other")), "id", "at", "upto", F.lit(True).alias("asks"))
-    holding = still.select("*", spread("ask_pieces")).select(cell(F.col("other"), F.pmod("h", "pieces")), "id", "at", "upto", F.lit(False).alias("asks"))
-    cells = asking.union(holding).join(facts, "id").repartition("cell").sortWithinPartitions("cell")
-    more = later(cells.mapInArrow(_all_earlier(errors, graded), "a long, b long").distinct(), "more-later")
-
-    near = gone.union(more).distinct().withColumn("near", F.lit(True))
+    side = lambda c: facts.select(F.col("id").alias(c), F.struct("unknown", "doc", "row", "place").alias(f"first_{c}"), *(F.col(x).alias(f"{x}_{c}") for x in _FACTS))
+    met_first = star.distinct().join(side("a"), "a").join(side("b"), "b")
+    swapped = F.col("first_a") > F.col("first_b")
+    met_first = met_first.select(F.when(swapped, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swapped, F.col("a")).otherwise(F.col("b")).alias("b"), *(f"{x}_{c}" for x in _FACTS for c in "ab"))
+    gone = later(met_first.mapInArrow(_thin(errors, graded), "a long, b long"), "later")
+
+    def still(placed: DataFrame, gone: DataFrame, greedy: bool, name: str) -> tuple[DataFrame, DataFrame]:
+        """The blocks that hold lines which stay, and what of these goes after all."""
+        placed = placed.join(gone.withColumn("gone", F.lit(True)), "id", "left")
+        placed = save(placed.select("key", "id", "at", "upto", (F.col("open") & F.col("gone").isNull()).alias("open")), f"{name}-members")
+        sized = placed.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.col("open").cast("long")).alias("u")).filter("u > 0")
+        pieces = lambda c: F.ceil(F.col(c) / BLOCK_LINES).cast("long")
+        sized = save(sized.select("key", pieces("u").alias("ask_pieces"), pieces("m").alias("pieces")), f"{name}-blocks")
+        held = placed.join(sized, "key").withColumn("h", F.xxhash64("id"))
+        spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias("other")
+        cell = lambda p, q: F.xxhash64("key", p, q).alias("cell")
+        asking = held.filter("open").select("*", spread("pieces")).select(cell(F.pmod("h", "ask_pieces"), F.col("other")), "id", "at", "upto", F.lit(True).alias("asks"))
+        holding = held.select("*", spread("ask_pieces")).select(cell(F.col("other"), F.pmod("h", "pieces")), "id", "at", "upto", F.lit(False).alias("asks"))
+        cells = asking.union(holding).join(facts, "id").repartition("cell").sortWithinPartitions("cell")
+        more = later(cells.mapInArrow(_earlier(errors, graded, greedy), "a long, b long").distinct(), name)
+        discard(sized)
+        return placed, more
+
+    placed = members.select(F.col("a").alias("key"), F.col("b").alias("id"), "at", "upto", F.lit(True).alias("open"))
+    open_once, second = still(placed, gone, True, "second")
+    open_twice, third = still(open_once, second, False, "third")
+
+    near = gone.union(second).union(third).distinct().withColumn("near", F.lit(True))
     told = firsts.select("id", "n", "first").join(near, "id", "left").filter((F.col("n") > 1) | F.col("near"))
     told = save(told.select("id", F.col("first.row").alias("first_row"), F.col("first.at").alias("first_at"), F.coalesce("near", F.lit(False)).alias("near")), "told")
     here = (F.col("row") == F.col("first_row")) & (F.col("at") == F.col("first_at"))
@@ -567,7 +608,7 @@ def duplicate_lines(docs: DataFrame, *, errors: int = 2, least: int | None = Non
     drop = drop.groupBy("row").agg(F.sort_array(F.collect_list("at")).alias("removed"), F.sort_array(F.collect_list(F.when(F.col("here"), F.col("at")))).alias("near"))
     none = F.array().cast("array<int>")
     out = save(lines.join(drop, "row", "left").select("row", "doc_id", F.size("lines").alias("n_lines"), F.coalesce("removed", none).alias("removed"), F.coalesce("near", none).alias("near")), "verdicts")
-    discard(lines, met, firsts, facts, gone, placed, sized, more, told)
+    discard(lines, met, firsts, facts, gone, open_once, second, open_twice, third, told)
     return out
 
 

@@ -30,8 +30,9 @@ from .common import both_sides, discard, free_name, only, save
 from .components import components, hooked
 from .hashing import U, mix, words_by_doc
 
-#: Dimensions of a count vector.
-GROUPS = 128
+#: Dimensions of a count vector: with about 16 shingles to a group and fewer, its bound tells
+#: sets that share a part from sets that are alike.
+GROUPS = 512
 #: Members of a block that meet in one cell; larger blocks are cut and joined piece by piece.
 BLOCK_ROWS = 4096
 #: How many frequent shingles are ordered last, at most: 8 bytes each in every task.
@@ -72,7 +73,18 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
 
 
 def count_vector(s: np.ndarray) -> np.ndarray:
-    return np.bincount((mix(s) >> U(57)).astype(np.int64), minlength=GROUPS)
+    return np.bincount((mix(s) >> U(55)).astype(np.int64), minlength=GROUPS)
+
+
+def packed(counts: np.ndarray) -> bytes:
+    """A count vector in a byte a group, or in four if a count needs them."""
+    return counts.astype(np.uint8 if counts.max() < 256 else "<u4").tobytes()
+
+
+def unpacked(vectors: list[bytes]) -> np.ndarray:
+    kinds = [np.frombuffer(v, np.uint8 if len(v) == GROUPS else "<u4") for v in vectors]
+    small = all(len(v) == GROUPS for v in vectors)
+    return np.array(kinds, np.uint16 if small else np.int64).reshape(-1, GROUPS)
 
 
 _PROFILE_DDL = "frequent boolean, row long, doc_id long, n long, node long"
@@ -297,7 +309,7 @@ def _tree_pairs(threshold: Fraction, greedy: bool):
         if table is None or not table.num_rows:
             return
         node, n, block, part, side, times = (np.asarray(table[c].combine_chunks()).astype(np.int64) for c in ("node", "n", "cell", "component", "side", "times"))
-        vectors = np.frombuffer(b"".join(table["counts"].to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int32)
+        vectors = unpacked(table["counts"].to_pylist())
         tree = CountTree(n, vectors, block, part)
         node, side, times = node[tree.order], side[tree.order], times[tree.order]
         found = [np.empty((4, 0), np.int64)]
@@ -343,7 +355,7 @@ def _vectors(width: int):
         for batch in batches:
             new = [not (node in seen or seen.add(node)) for node in batch["node"].to_pylist()]
             batch = batch.filter(pa.array(new, pa.bool_()))
-            counts = [count_vector(s).astype("<u4").tobytes() for s in shingle_sets(_texts(batch), width)]
+            counts = [packed(count_vector(s)) for s in shingle_sets(_texts(batch), width)]
             yield pa.RecordBatch.from_arrays([batch["node"], pa.array(counts, pa.binary()), batch["text"]], names=["node", "counts", "text"])
 
     return vectors

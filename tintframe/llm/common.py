@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 import tempfile
 import uuid
@@ -108,6 +110,27 @@ def both_sides(pairs: DataFrame, values: DataFrame, key: str, value: str) -> Dat
     return met.groupBy("a", "b").agg(side("a"), side("b"))
 
 
+def _give_back() -> None:
+    """Hand freed memory back to the system, where its C library can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def lean(run: Callable, rows: int | None = None) -> Callable:
+    """``run`` for mapInArrow, on batches of ``rows`` at most, leaving a small worker behind.
+
+    Spark keeps Python workers for later tasks, and with them what they have not given back.
+    """
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows)) if rows else batches
+        yield from run(cut)
+        _give_back()
+
+    return wrapped
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not use, in any case of letters."""
     used = {c.lower() for c in df.columns}

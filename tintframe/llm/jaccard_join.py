@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import both_sides, discard, free_name, only, save
+from .common import both_sides, discard, free_name, lean, only, save
 from .components import components, hooked
 from .hashing import U, mix, words_by_doc
 
@@ -42,8 +42,8 @@ HOT = 20_000
 #: Blocks of a node that take part in the first search.
 FIRST_BLOCKS = 3
 _KEYS_A_SHARD = 500_000
-#: Points of a task's tree, on average; queries and pairs handled at a time.
-_POINTS, _QUERIES, _PAIRS = 60_000, 8192, 8192
+#: Points of a task's tree, on average; queries, pairs and texts handled at a time.
+_POINTS, _QUERIES, _PAIRS, _ROWS = 40_000, 8192, 4096, 4096
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -379,7 +379,7 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, threshold: Fraction =
     """
     spark = docs.sparkSession
     base = _rows(docs)
-    profile = save(base.mapInArrow(_profile(width), _PROFILE_DDL), "profiles")
+    profile = save(base.mapInArrow(lean(_profile(width)), _PROFILE_DDL), "profiles")
     often = profile.filter("frequent").groupBy(F.col("row").alias("shingle")).agg(F.sum("n").alias("df")).orderBy(F.desc("df"), "shingle").limit(FREQUENT).toArrow()
     shingle, df = (np.asarray(often[c].combine_chunks()) for c in ("shingle", "df"))
     order = np.argsort(shingle.view(U))
@@ -388,24 +388,24 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, threshold: Fraction =
     classes = save(rows.filter("n > 0").groupBy("node").agg(F.min("row").alias("row"), F.min("doc_id").alias("least_id"), F.count("*").alias("rows")), "classes")
     total = rows.agg(F.sum("n")).first()[0] or 0
     shards = max(1, math.ceil((1 - threshold) * total / _KEYS_A_SHARD))
-    keys = base.select("text").mapInArrow(_keys(width, threshold, shards, frequent), _KEYS_DDL)
-    members = save(keys.repartitionById(shards, "shard").sortWithinPartitions("shard").mapInArrow(_blocks(threshold, frequent), _MEMBER_DDL), "blocks")
+    keys = base.select("text").mapInArrow(lean(_keys(width, threshold, shards, frequent), _ROWS), _KEYS_DDL)
+    members = save(keys.repartitionById(shards, "shard").sortWithinPartitions("shard").mapInArrow(lean(_blocks(threshold, frequent)), _MEMBER_DDL), "blocks")
 
     wanted = save(members.select("node").distinct().join(classes.select("node", "row"), "node"), "suspect-rows")
     suspects = only(base.select("row", "text"), wanted, "row").select("node", "text")
-    suspects = save(suspects.mapInArrow(_vectors(width), "node long, counts binary, text binary"), "suspects")
+    suspects = save(suspects.mapInArrow(lean(_vectors(width), _ROWS), "node long, counts binary, text binary"), "suspects")
 
     def links(points: DataFrame, greedy: bool, name: str) -> DataFrame:
         """Pairs of nodes in the cells of ``points`` that reach the threshold on whole sets."""
         points = save(points.join(suspects.select("node", "counts"), "node"), f"{name}-points")
         tasks = max(1, math.ceil(points.count() / _POINTS))
-        met = points.repartition(tasks, "cell").mapInArrow(_tree_pairs(threshold, greedy), _PAIR_DDL)
+        met = points.repartition(tasks, "cell").mapInArrow(lean(_tree_pairs(threshold, greedy)), _PAIR_DDL)
         # only the last search meets every key that a pair shares
         met = met if greedy else met.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("least").alias("least")).filter("shared >= least")
         pairs = save(met.select("a", "b").distinct(), f"{name}-candidates")
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         texts = only(suspects.select("node", "text"), nodes, "node")
-        found = save(both_sides(pairs, texts, "node", "text").mapInArrow(_verify(width, threshold), "a long, b long"), name)
+        found = save(both_sides(pairs, texts, "node", "text").mapInArrow(lean(_verify(width, threshold), _ROWS), "a long, b long"), name)
         discard(points, pairs)
         return found
 

@@ -26,13 +26,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import both_sides, discard, free_name, save, thinned, wanted_filter
+from .common import both_sides, discard, free_name, lean, save, thinned, wanted_filter
 from .hashing import U, mix, powers, words_by_doc
 
 _BLANK = " \t\r\x0b\x0c"
 _ENTRIES_A_SHARD = 1_000_000
 #: Characters hashed and pairs compared at a time.
-_CHARS, _PAIRS = 1 << 20, 1 << 20
+_CHARS, _PAIRS = 1 << 19, 1 << 19
+#: Texts, or pairs of lines, handled at a time.
+_ROWS = 4096
 #: A key of more lines that are hashed together is dealt to several shards.
 _HOT = 64
 #: Lines of a block that meet as many others in one cell; larger blocks meet cell by cell.
@@ -539,10 +541,10 @@ def duplicate_lines(docs: DataFrame, *, errors: int = 2, least: int | None = Non
     least = 1 if least is None else least
     assert 0 <= errors <= 20 and (graded or least > errors)
     base = _base(docs)
-    lines = save(base.mapInArrow(lambda b: _lines(b, least, errors), _LINES_DDL).dropDuplicates(["row"]), "lines")
+    lines = save(base.mapInArrow(lean(lambda b: _lines(b, least, errors), _ROWS), _LINES_DDL).dropDuplicates(["row"]), "lines")
     shards = max(1, math.ceil((lines.agg(F.sum("keys")).first()[0] or 0) / _ENTRIES_A_SHARD))
-    dealt = base.select("doc_id", "text").mapInArrow(_deal(least, errors, graded, shards), _ENTRY_DDL)
-    met = save(dealt.repartitionById(shards, "shard").sortWithinPartitions("shard").mapInArrow(_meet, _MET_DDL), "blocks")
+    dealt = base.select("doc_id", "text").mapInArrow(lean(_deal(least, errors, graded, shards), _ROWS), _ENTRY_DDL)
+    met = save(dealt.repartitionById(shards, "shard").sortWithinPartitions("shard").mapInArrow(lean(_meet), _MET_DDL), "blocks")
     star, members = met.filter(F.col("kind") == STAR).select("a", "b"), met.filter(F.col("kind") == MEMBER)
 
     each = lines.select("row", "doc_id", F.posexplode(F.arrays_zip("lines", *_FACTS)).alias("at", "x")).select("row", "doc_id", "at", "x.*").filter(F.col("lines").isNotNull())
@@ -566,8 +568,8 @@ def duplicate_lines(docs: DataFrame, *, errors: int = 2, least: int | None = Non
                 keep = np.flatnonzero(may(ids))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array([found[i] for i in keep], pa.string())], names=["id", "line"])
 
-        known = save(base.select("row", "text").mapInArrow(texts, "id long, line string").dropDuplicates(["id"]), f"{name}-lines")
-        found = both_sides(pairs, known, "id", "line").mapInArrow(_verify(errors, graded), "a long, b long")
+        known = save(base.select("row", "text").mapInArrow(lean(texts, _ROWS), "id long, line string").dropDuplicates(["id"]), f"{name}-lines")
+        found = both_sides(pairs, known, "id", "line").mapInArrow(lean(_verify(errors, graded), _ROWS), "a long, b long")
         found = save(found.select(F.col("b").alias("id")).distinct(), name)
         discard(pairs, known)
         return found
@@ -591,7 +593,7 @@ def duplicate_lines(docs: DataFrame, *, errors: int = 2, least: int | None = Non
         asking = held.filter("open").select("*", spread("pieces")).select(cell(F.pmod("h", "ask_pieces"), F.col("other")), "id", "at", "upto", F.lit(True).alias("asks"))
         holding = held.select("*", spread("ask_pieces")).select(cell(F.col("other"), F.pmod("h", "pieces")), "id", "at", "upto", F.lit(False).alias("asks"))
         cells = asking.union(holding).join(facts, "id").repartition("cell").sortWithinPartitions("cell")
-        more = later(cells.mapInArrow(_earlier(errors, graded, greedy), "a long, b long").distinct(), name)
+        more = later(cells.mapInArrow(lean(_earlier(errors, graded, greedy)), "a long, b long").distinct(), name)
         discard(sized)
         return placed, more
 

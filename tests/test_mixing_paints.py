@@ -70,7 +70,9 @@ def test_percentages_add_up(spark):
 def test_kmeans_against_numpy(spark):
     rng = np.random.default_rng(9)
     rows = [(i, int(rng.integers(1, 9)), *map(float, rng.uniform((0, -40, -40), (100, 40, 40)))) for i in range(120)]
-    found = palette.kmeans(spark.createDataFrame(rows, "colour_key int, weight long, l double, a double, b double"), 4)
+    ddl = "image_id long, colour_key int, weight long, l double, a double, b double"
+    other = [(7, i, 1, 50.0 + i, 0.0, 0.0) for i in range(9)]  # another image changes nothing
+    found = palette.kmeans(spark.createDataFrame([(3, *r) for r in rows] + other, ddl), 4).filter("image_id = 3")
     data = np.array([r[2:] for r in sorted(rows, key=lambda r: (r[2], r[0]))])
     weight = np.array([r[1] for r in sorted(rows, key=lambda r: (r[2], r[0]))])
     centres = data[[i * 119 // 3 for i in range(4)]]
@@ -83,7 +85,7 @@ def test_kmeans_against_numpy(spark):
 def test_only_measured_paints_can_be_chosen(spark):
     df = mixtures.palette(spark, [0, 1]).unionByName(spark.createDataFrame([(90, "Other", "X", "derived", [1.0] * pigments.BANDS, [1.0] * pigments.BANDS)], pigments.PIGMENT_DDL))
     assert [r.paint_idx for r in mixtures.selectable(df).orderBy("paint_idx").collect()] == [0, 1]
-    names = spark.createDataFrame([("Titanium White",), ("Nothing",)], "name string")
+    names = spark.createDataFrame([("Chalk",), ("Nothing",)], "name string")
     assert [r.paint_idx for r in mixtures.by_names(df, names).collect()] == [0]
     assert mixtures.by_names(df, names.filter("name = 'Nothing'")).count() == 3
 
@@ -99,3 +101,87 @@ def test_equal_colours_share_a_blend(spark):
     rows = [(1, 50.0, 5.0, -3.0), (2, 50.0, 5.0, -3.0), (3, 20.0, 0.0, 0.0)]
     found = {r.id: r for r in recipes.closest_blends(spark.createDataFrame(rows, "id long, l double, a double, b double"), mixtures.palette(spark, [0, 6, 11])).collect()}
     assert sorted(found) == [1, 2, 3] and found[1][1:] == found[2][1:] != found[3][1:]
+
+
+def test_grid_search_against_all_pairs():
+    rng = np.random.default_rng(12)
+    lab = np.round(rng.uniform((0, -90, -90), (100, 90, 90), (4000, 3)), 1)
+    lab = np.vstack([lab, lab[:50]])  # ties go to the first
+    points = np.vstack([rng.uniform((-5, -100, -100), (105, 100, 100), (3000, 3)), lab[::40], [[0, 0, 0], [500.0, 0, 0]]])
+    for weight in (1.0, 1.5):
+        found = nearest.CandidateGrid(np.arange(len(lab)), lab, weight).search(points)
+        gap = lambda p: np.floor(((lab - p) ** 2 * (weight, 1, 1)).sum(axis=1) * 1e8 + 0.5)  # noqa: B023, E731
+        assert found.tolist() == [int(gap(p).argmin()) for p in points]
+
+
+def plain_palette(samples, cands, k):
+    """samples (key, weight, l, a, b) and candidates (index, l, a, b) of one image to chosen indices."""
+    far = lambda p, q: 1.5 * (p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2 + (p[2] - q[2]) ** 2
+    best = lambda p, of: min(range(len(of)), key=lambda i: (round(far(p, of[i]), 8), i))
+    if len(cands) <= k:
+        return [c[0] for c in cands]
+    ordered = sorted(samples, key=lambda s: (s[2], s[0]))
+    centres = [ordered[i * (len(ordered) - 1) // (k - 1)][2:] for i in range(k)]
+    for _ in range(palette.LLOYD_STEPS):
+        mine = [[] for _ in centres]
+        for s in ordered:
+            mine[best(s[2:], centres)].append(s)
+        centres = [tuple(sum(s[1] * s[c] for s in m) / sum(s[1] for s in m) for c in (2, 3, 4)) if m else centre for m, centre in zip(mine, centres, strict=True)]
+    spots = [c[1:] for c in cands]
+    chosen = {max(range(len(cands)), key=lambda i: (spots[i][0], -i)), min(range(len(cands)), key=lambda i: (spots[i][0], i))} | {best(c, spots) for c in centres}
+    for at in [*(best(s[2:], spots) for s in ordered), *range(len(cands))]:
+        if len(chosen) < k:
+            chosen.add(at)
+    return [cands[i][0] for i in sorted(chosen)]
+
+
+def test_each_image_has_its_own_palette(spark):
+    rng = np.random.default_rng(3)
+    cands = mixtures.settled(mixtures.candidates(mixtures.palette(spark, [0, 6, 11])))
+    pixels = [(image, y, x, int(rng.integers(0, 1 << 24)) if image < 3 else 0x808080) for image in range(4) for y in range(6) for x in range(6)]
+    df = spark.createDataFrame(pixels, "image_id long, y int, x int, argb int")
+    listed = [(r.cand_idx, r.l, r.a, r.b) for r in cands.orderBy("cand_idx").collect()]
+    shown = {r.cand_idx: r.argb for r in cands.collect()}
+    got = palette.image_palette(df, cands, 5)
+    samples = palette.histogram(df).collect()
+    for image in range(4):
+        own = [(r.colour_key, r.weight, r.l, r.a, r.b) for r in samples if r.image_id == image]
+        want = [shown[i] for i in plain_palette(own, listed, 5)]
+        assert [r.argb for r in got.filter(f"image_id = {image}").orderBy("cand_idx").collect()] == want
+    alone = palette.image_palette(df.filter("image_id = 1"), cands, 5)
+    assert sorted(map(tuple, alone.collect())) == sorted(map(tuple, got.filter("image_id = 1").collect()))
+
+
+def test_per_pixel_search_uses_exact_colours(spark):
+    cands = spark.createDataFrame([(0, 0x101010), (1, 0x131313)], "cand_idx int, argb int")
+    cands = mixtures.with_argb_lab(cands)
+    df = spark.createDataFrame([(1, 0, 0, 0x101010), (1, 0, 1, 0x131313)], "image_id long, y int, x int, argb int")
+    exact = {r.x: r.cand_idx for r in nearest.resolve_per_pixel(df, cands).collect()}
+    binned = {r.x: r.cand_idx for r in nearest.resolve_once(df, cands).collect()}
+    assert exact == {0: 0, 1: 1} and binned[0] == binned[1]
+
+
+def test_recipes_are_mixed_again_as_shown(spark):
+    paints = mixtures.palette(spark, [0, 6, 11])
+    rows = [(1, 50.0, 5.0, -3.0), (2, 70.0, 20.0, 10.0)]
+    targets = spark.createDataFrame(rows, "id long, l double, a double, b double")
+    by_id = {r.paint_idx: r for r in paints.collect()}
+    for r in recipes.to_match(targets, paints).collect():
+        k, s = (np.array([getattr(by_id[p], c) for p in r.paints]) for c in "ks")
+        lab = recipes._lab_of(np.array([r.percentages]) / 100, k, s)
+        target = np.array(rows[r.id - 1][1:])
+        assert sum(r.percentages) == 100 and r.snapped == pytest.approx(float(recipes._distance(lab, target)[0]))
+        assert r.exact >= 0 and r.chroma_lost >= 0
+
+
+def test_recipes_under_points(spark):
+    paints = mixtures.palette(spark, [0, 6, 11])
+    px = spark.createDataFrame([(1, 0, 0, -8355712), (1, 0, 1, 0x00FFFFFF), (1, 0, 2, -8355712)], "image_id long, y int, x int, argb int")
+    points = spark.createDataFrame([(1, x, 0) for x in (0, 1, 2, 9)], "image_id long, x int, y int")
+    got = {r.x: r.lines for r in recipes.recipes_at(px, points, paints).collect()}
+    assert sorted(got) == [0, 2] and got[0] == got[2]
+    assert got[0][:2] == ["RGB: 128, 128, 128", "Closest mix:"] and any(x.startswith("Match: ") for x in got[0])
+    shares = [int(x.split("%")[0]) for x in got[0][2:] if "% " in x]
+    assert sum(shares) == 100 and shares == sorted(shares, reverse=True)
+    plain = recipes.recipes_at(px, points, paints.limit(0)).collect()
+    assert {tuple(r.lines) for r in plain} == {("RGB: 128, 128, 128",)}

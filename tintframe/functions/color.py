@@ -1,14 +1,18 @@
 """Colour maths as Column expressions: sRGB, XYZ, Lab, Oklab, distances, remaps, gamut.
 
-Everything stays inside Catalyst; rounding to integers is half to even (``rint``).
+All but the gamut bisection stays inside Catalyst; rounding to integers is half to even
+(``rint``).
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values of the colour spaces.
 WHITE = (0.95047, 1.0, 1.08883)
@@ -93,29 +97,33 @@ def in_gamut(rgb: Triple) -> Column:
     return reduce(lambda s, t: s & t, ((c >= -GAMUT_SLACK) & (c <= 1 + GAMUT_SLACK) for c in rgb))
 
 
+@F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("r", "g", "b", "chroma_lost")]))
+def _compressed(r: pd.Series, g: pd.Series, b: pd.Series) -> pd.DataFrame:
+    apply = lambda matrix, x: np.array(matrix) @ x
+    fits = lambda x: ((x >= -GAMUT_SLACK) & (x <= 1 + GAMUT_SLACK)).all(axis=0)
+    rgb = np.stack([c.to_numpy(np.float64) for c in (r, g, b)])
+    out, lost = rgb.copy(), np.zeros(rgb.shape[1])
+    outside = np.flatnonzero(~fits(rgb))
+    light, along, across = apply(FROM_ROOTS, np.cbrt(apply(TO_CONES, rgb[:, outside])))
+    light, chroma = np.clip(light, 0, 1), np.sqrt(along * along + across * across)
+    ha, hb = (np.divide(c, chroma, out=np.zeros_like(c), where=chroma > 0) for c in (along, across))
+    at = lambda c: apply(FROM_CONES, apply(TO_ROOTS, np.stack([light, ha * c, hb * c])) ** 3)
+    lo, hi = np.zeros_like(chroma), chroma
+    for _ in range(GAMUT_STEPS):
+        middle = 0.5 * (lo + hi)
+        inside = fits(at(middle))
+        lo, hi = np.where(inside, middle, lo), np.where(inside, hi, middle)
+    out[:, outside], lost[outside] = np.clip(at(lo), 0, 1), chroma - lo
+    return pd.DataFrame({"r": out[0], "g": out[1], "b": out[2], "chroma_lost": lost})
+
+
 def compress(r: Column, g: Column, b: Column) -> Column:
     """Struct of r, g, b and chroma_lost: chroma cut at constant hue until the colour fits.
 
-    Colours inside the gamut pass unchanged; only the others run the bisection.
+    Colours inside the gamut pass unchanged. The bisection runs on whole batches: as nested
+    Column expressions its steps are interpreted row by row.
     """
-    light, a, bb = linear_to_oklab((r, g, b))
-    start = F.struct(clamp(light, 0, 1).alias("l"), a.alias("a"), bb.alias("b"), F.sqrt(a * a + bb * bb).alias("c"))
-
-    def search(s: Column) -> Column:
-        at = lambda chroma: oklab_to_linear((s["l"], F.when(s["c"] > 0, s["a"] / s["c"]).otherwise(0.0) * chroma, F.when(s["c"] > 0, s["b"] / s["c"]).otherwise(0.0) * chroma))
-
-        def halve(acc: Column, _: Column) -> Column:
-            middle = 0.5 * (acc["lo"] + acc["hi"])
-            fits = in_gamut(at(middle))
-            return F.struct(F.when(fits, middle).otherwise(acc["lo"]).alias("lo"), F.when(fits, acc["hi"]).otherwise(middle).alias("hi"))
-
-        def finish(acc: Column) -> Column:
-            return F.struct(*(clamp(c, 0, 1).alias(n) for c, n in zip(at(acc["lo"]), "rgb", strict=True)), (s["c"] - acc["lo"]).alias("chroma_lost"))
-
-        return F.aggregate(F.sequence(F.lit(1), F.lit(GAMUT_STEPS)), F.struct(F.lit(0.0).alias("lo"), s["c"].alias("hi")), halve, finish)
-
-    same = F.struct(r.alias("r"), g.alias("g"), b.alias("b"), F.lit(0.0).alias("chroma_lost"))
-    return F.when(in_gamut((r, g, b)), same).otherwise(F.transform(F.array(start), search)[0])
+    return _compressed(r, g, b)
 
 
 def display_colour(r: Column, g: Column, b: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import color, pigments
+from .nearest import collected
 
 PAIR_STEPS, TRIPLE_STEPS = 64, 16
 
@@ -107,6 +108,11 @@ def candidates(paints: DataFrame, *, mother: int | None = None, fraction: float
     return with_argb_lab(numbered)
 
 
+def settled(cands: DataFrame) -> DataFrame:
+    """The candidates as a local table, after a check of their number: later uses cost nothing."""
+    return cands.sparkSession.createDataFrame(collected(cands), cands.schema)
+
+
 def keep_only(cands: DataFrame, predicate: Column) -> DataFrame:
     """Candidates that satisfy the predicate; all of them if none does."""
     kept = cands.filter(predicate)

@@ -1,69 +1,104 @@
-"""Image palettes: colour histogram, weighted k-means with fixed steps, palette selection."""
+"""Image palettes: colour histogram, weighted k-means with fixed steps, palette selection.
+
+A histogram has at most 262,144 rows an image, whatever the image's size, so one task takes
+an image's histogram whole; images are dealt over all tasks.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import color
-from .mixtures import select_candidates
-from .nearest import nearest
+from .nearest import CandidateGrid, collected, lab_of
 
 LLOYD_STEPS = 6
 
 
 def histogram(pixels: DataFrame) -> DataFrame:
-    """colour_key, weight, l, a, b: pixels per 18-bit key; at most 262,144 rows."""
+    """image_id, colour_key, weight, l, a, b: pixels per image and 18-bit key."""
     _, r, g, b = color.channels(F.col("argb"))
-    counted = pixels.groupBy(color.quantise(r, g, b).alias("colour_key")).agg(F.count("*").alias("weight"))
+    counted = pixels.groupBy("image_id", color.quantise(r, g, b).alias("colour_key")).agg(F.count("*").alias("weight"))
     lab = color.rgb_to_lab(*color.key_to_rgb(F.col("colour_key")))
     return counted.select("*", *(c.alias(n) for c, n in zip(lab, "lab", strict=True)))
 
 
-def kmeans(samples: DataFrame, k: int, steps: int = LLOYD_STEPS) -> DataFrame:
-    """centre, l, a, b: ``k`` centres after a fixed number of Lloyd steps.
+def lloyd(lab: np.ndarray, weight: np.ndarray, k: int, steps: int = LLOYD_STEPS) -> np.ndarray:
+    """Centres of samples that come by lightness; seeds are evenly spaced among them.
 
-    Seeds are evenly spaced in the samples by lightness (ties by key); an empty centre stays
-    where it is. Every step is one aggregate; the centres, k rows, pass through the driver.
+    An empty centre stays where it is.
     """
-    spark = samples.sparkSession
-    placed = samples.withColumn("at", F.row_number().over(W.orderBy("l", "colour_key")) - 1).persist()
-    n = placed.count()
-    wanted = [i * (n - 1) // max(k - 1, 1) for i in range(k)] if n else []
-    seeds = {r.at: r for r in placed.filter(F.col("at").isin(wanted)).collect()}
-    centres = [(i, seeds[at].l, seeds[at].a, seeds[at].b) for i, at in enumerate(wanted)]
-    ddl = "cand_idx int, l double, a double, b double"
+    n = len(lab)
+    centres = lab[[i * (n - 1) // max(k - 1, 1) for i in range(k)]] if n else np.empty((0, 3))
     for _ in range(steps if n else 0):
-        owner = nearest(placed, spark.createDataFrame(centres, ddl), key="colour_key", lightness=1.5)
-        mean = [(F.sum(F.col(c) * F.col("weight")) / F.sum("weight")).alias(c) for c in "lab"]
-        moved = {r.cand_idx: r for r in placed.join(owner, "colour_key").groupBy("cand_idx").agg(*mean).collect()}
-        centres = [(i, moved[i].l, moved[i].a, moved[i].b) if i in moved else (i, light, a, b) for i, light, a, b in centres]
-    placed.unpersist()
-    return spark.createDataFrame(centres, ddl).withColumnRenamed("cand_idx", "centre")
+        gap = sum(w * (lab[:, None, c] - centres[None, :, c]) ** 2 for c, w in enumerate((1.5, 1.0, 1.0)))
+        owner = np.floor(gap * 1e8 + 0.5).argmin(axis=1)
+        total = np.bincount(owner, weight, k)
+        mean = np.stack([np.bincount(owner, weight * lab[:, c], k) for c in range(3)], axis=1) / np.maximum(total, 1)[:, None]
+        centres = np.where(total[:, None] > 0, mean, centres)
+    return centres
+
+
+def _samples(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Lab and weights of an image's histogram by lightness, ties by key."""
+    lab, key, weight = lab_of(table), np.asarray(table["colour_key"]), np.asarray(table["weight"]).astype(np.float64)
+    order = np.lexsort((key, lab[:, 0]))
+    return lab[order], weight[order]
+
+
+def kmeans(samples: DataFrame, k: int, steps: int = LLOYD_STEPS) -> DataFrame:
+    """image_id, centre, l, a, b: ``k`` centres of each image after a fixed number of steps."""
+
+    def run(table: pa.Table) -> pa.Table:
+        centres = lloyd(*_samples(table), k, steps)
+        image = pa.array(np.repeat(np.asarray(table["image_id"].slice(0, 1)), len(centres)), pa.int64())
+        return pa.table({"image_id": image, "centre": pa.array(np.arange(len(centres)), pa.int32()), **{c: pa.array(centres[:, i]) for i, c in enumerate("lab")}})
+
+    return samples.groupBy("image_id").applyInArrow(run, "image_id long, centre int, l double, a double, b double")
+
+
+def choose(lab: np.ndarray, weight: np.ndarray, grid: CandidateGrid, k: int) -> list[int]:
+    """Places of the candidates for one image: lightest, darkest and nearest to k centres.
+
+    If fewer than k were found the list is filled up from the samples by lightness, then from
+    the candidates in order. With k candidates or fewer they all stay.
+    """
+    if len(grid.index) <= k:
+        return [*range(len(grid.index))]
+    light = grid.lab[:, 0]
+    chosen = {int(light.argmax()), int(light.argmin())}
+    at = {int(i): place for place, i in enumerate(grid.index)}
+    chosen |= {at[i] for i in grid.search(lloyd(lab, weight, k)).tolist()}
+    for lo in range(0, len(lab), 1024):
+        if len(chosen) >= k:
+            break
+        for i in grid.search(lab[lo : lo + 1024]).tolist():
+            if len(chosen) < k:
+                chosen.add(at[i])
+    for place in range(len(grid.index)):
+        if len(chosen) < k:
+            chosen.add(place)
+    return sorted(chosen)
 
 
 def image_palette(pixels: DataFrame, cands: DataFrame, size: float = 8) -> DataFrame:
-    """Candidates for an abstract of these pixels: lightest, darkest and nearest to k centres.
+    """image_id, cand_idx, argb, l, a, b: each image's candidates for an abstract of it.
 
-    ``k`` is ``size`` rounded and held to 3 to 12; up to ``k + 2`` candidates come out. If
-    fewer than k were found the list is filled up from the samples by lightness, then from the
-    candidates in order. With k candidates or fewer they all stay.
+    ``k`` is ``size`` rounded and held to 3 to 12; up to ``k + 2`` candidates an image come
+    out, numbered anew in their order. Images do not depend on each other.
     """
     k = min(12, max(3, round(size)))
-    if cands.count() <= k:
-        return cands
-    samples = histogram(pixels).persist()
-    light = cands.agg(F.max_by("cand_idx", F.struct("l", (-F.col("cand_idx")).alias("i"))).alias("lightest"), F.min_by("cand_idx", F.struct("l", "cand_idx")).alias("darkest")).first()
-    centres = kmeans(samples, k)
-    chosen = {light.lightest, light.darkest} | {r.cand_idx for r in nearest(centres, cands, key="centre", lightness=1.5).collect()}
-    if len(chosen) < k:
-        fill = nearest(samples, cands, key="colour_key", lightness=1.5).join(samples.select("colour_key", "l"), "colour_key")
-        more = fill.groupBy("cand_idx").agg(F.min(F.struct("l", "colour_key")).alias("first")).orderBy("first").limit(k + len(chosen))
-        rest = cands.select("cand_idx").orderBy("cand_idx").limit(k + len(chosen))
-        for row in [*more.collect(), *rest.collect()]:
-            if len(chosen) >= k:
-                break
-            chosen.add(row.cand_idx)
-    samples.unpersist()
-    return select_candidates(cands, cands.sparkSession.createDataFrame([(i,) for i in sorted(chosen)], "cand_idx int"))
+    table = collected(cands.select("cand_idx", "argb", "l", "a", "b"))
+    argb = dict(zip(table["cand_idx"].to_pylist(), table["argb"].to_pylist(), strict=True))
+    grid = pixels.sparkSession.sparkContext.broadcast(CandidateGrid(np.asarray(table["cand_idx"]).astype(np.int64), lab_of(table), 1.5))
+    shown = pixels.sparkSession.sparkContext.broadcast(argb)
+
+    def run(samples: pa.Table) -> pa.Table:
+        places = choose(*_samples(samples), grid.value, k)
+        image = pa.array(np.repeat(np.asarray(samples["image_id"].slice(0, 1)), len(places)), pa.int64())
+        lab = grid.value.lab[places]
+        return pa.table({"image_id": image, "cand_idx": pa.array(np.arange(len(places)), pa.int32()), "argb": pa.array([shown.value[int(grid.value.index[i])] for i in places], pa.int32()), **{c: pa.array(lab[:, i]) for i, c in enumerate("lab")}})
+
+    return histogram(pixels).groupBy("image_id").applyInArrow(run, "image_id long, cand_idx int, argb int, l double, a double, b double")

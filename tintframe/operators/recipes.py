@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import color, pigments
+from . import mixtures
 
 PAIR_SWEEP, TRIPLE_SWEEP, REFINE_STEPS, REFINEMENTS = 48, 10, 8, 2
 LEAST_SHARE = 0.005
@@ -127,6 +128,61 @@ def percentages(shares: Column) -> Column:
     return step(step(hundred, raised), lifted)
 
 
+def to_match(targets: DataFrame, paints: DataFrame) -> DataFrame:
+    """The best recipes mixed again at the whole percentages that are shown.
+
+    id, paints, percentages, exact, snapped, argb, chroma_lost: ``exact`` is the distance that
+    the solver reached, ``snapped`` that of the shown recipe, whose colour the rest describes.
+    """
+    found = closest_blends(targets, paints).withColumn("percentages", percentages(F.col("shares")))
+    whole = F.transform(F.arrays_zip("paints", "percentages"), lambda p: F.struct(p["paints"].alias("paint_idx"), (p["percentages"] / 100).alias("share")))
+    # equal recipes are mixed once
+    recipes = found.select(F.col("paints").alias("p"), F.col("percentages").alias("q"), whole.alias("parts")).distinct()
+    keyed = recipes.select(F.struct("p", "q").alias("ordinal"), "parts")
+    mixed = mixtures.render(mixtures.mix(keyed, paints)).select("ordinal.p", "ordinal.q", F.col("l").alias("ml"), F.col("a").alias("ma"), F.col("b").alias("mb"), "argb", "chroma_lost")
+    met = targets.select(F.col("id").cast("long"), "l", "a", "b").join(found, "id").join(mixed, (F.col("paints") == F.col("p")) & (F.col("percentages") == F.col("q")))
+    snapped = color.perceptual_distance((F.col("l"), F.col("a"), F.col("b")), (F.col("ml"), F.col("ma"), F.col("mb")))
+    return met.select("id", "paints", "percentages", F.col("distance").alias("exact"), snapped.alias("snapped"), "argb", "chroma_lost")
+
+
+def rgb_line(argb: Column) -> Column:
+    return F.format_string("RGB: %d, %d, %d", *color.channels(argb)[1:])
+
+
+def mix_lines(matches: DataFrame, paints: DataFrame) -> DataFrame:
+    """id, lines: what is said of the closest mixes ``matches`` to the colours ``target``.
+
+    ``matches`` are rows of :func:`to_match` with their packed ``target``.
+    """
+    shares = recipe_lines(matches.withColumn("shares", F.transform("percentages", lambda x: x / 100.0)), paints)
+    lab = lambda argb: color.rgb_to_lab(*color.channels(argb)[1:])
+    seen = matches.select("*", *(c.alias(f"t{n}") for c, n in zip(lab(F.col("target")), "lab", strict=True)), *(c.alias(f"m{n}") for c, n in zip(lab(F.col("argb")), "lab", strict=True)))
+    target, mixed = (tuple(F.col(f"{k}{n}") for n in "lab") for k in "tm")
+    de = color.ciede2000(target, mixed)
+    quality = F.concat(F.lit("Match: "), color.describe_quality(de), F.lit(" (dE "), F.format_string("%.1f", de), F.lit(")"))
+    shift = F.concat(F.lit("Mix reads "), color.describe_shift(target, mixed))
+    vivid = F.when(F.col("chroma_lost") > 0.001, "More vivid than this screen can show")
+    rounded = F.when(F.col("snapped") - F.col("exact") > 0.5, F.format_string("Rounded to whole percent: %.1f \u2192 %.1f", F.col("exact"), F.col("snapped")))
+    told = seen.select("id", rgb_line(F.col("target")).alias("first"), F.array_compact(F.array(quality, shift, vivid, rounded)).alias("rest"))
+    return told.join(shares, "id").select("id", F.concat(F.array("first", F.lit("Closest mix:")), "lines", "rest").alias("lines"))
+
+
+def recipes_at(pixels: DataFrame, points: DataFrame, paints: DataFrame) -> DataFrame:
+    """image_id, x, y, lines: the recipes of the pixels under some ``points(image_id, x, y)``.
+
+    Points outside an image and fully transparent pixels have none; without paints only the
+    colour is told. Each distinct colour is solved once.
+    """
+    asked = points.select("image_id", "x", "y").distinct().join(pixels.select("image_id", "x", "y", "argb"), ["image_id", "x", "y"])
+    seen = asked.filter(F.shiftrightunsigned("argb", 24) != 0).withColumn("id", F.col("argb").bitwiseAND(F.lit(0xFFFFFF)).cast("long"))
+    if not paints.limit(1).count():
+        return seen.select("image_id", "x", "y", F.array(rgb_line(F.col("argb"))).alias("lines"))
+    colours = seen.select("id").distinct()
+    lab = color.rgb_to_lab(*color.channels(F.col("id").cast("int"))[1:])
+    matches = to_match(colours.select("id", *(c.alias(n) for c, n in zip(lab, "lab", strict=True))), paints).withColumn("target", F.col("id").cast("int"))
+    return seen.join(mix_lines(matches, paints), "id").select("image_id", "x", "y", "lines")
+
+
 def recipe_lines(matches: DataFrame, paints: DataFrame) -> DataFrame:
     """id, lines: "60% Name" a paint, the largest first, ties in library order."""
     part = matches.select("id", F.posexplode(F.arrays_zip("paints", percentages(F.col("shares")).alias("pct"))).alias("at", "part"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import filters
-from .nearest import nearest, nearest_to
+from .nearest import nearest, nearest_of_own, nearest_to
 
 
 def label_grid(index: np.ndarray) -> np.ndarray:
@@ -128,18 +128,20 @@ def ground_fill(indexed: DataFrame, cands: DataFrame, mark: float) -> DataFrame:
     """Recolour each image's largest region at the border to a quiet ground of its hue.
 
     The region needs ``ceil(4 * mark ** 2)`` pixels; the first of equal ones is taken.
+    Candidates with an ``image_id`` are those of their own image.
     """
+    own = ["image_id"] if "image_id" in cands.columns else []
     labelled = labels(indexed)
     edge = labelled.groupBy("image_id").agg(F.max("x").alias("mx"), F.max("y").alias("my"))
     border = labelled.join(edge, "image_id").filter("x = 0 or y = 0 or x = mx or y = my").select("image_id", "region_id").distinct()
     touching = areas(labelled).join(border, ["image_id", "region_id"], "left_semi").filter(F.col("area") >= max(1, math.ceil(4 * mark * mark)))
     field = touching.groupBy("image_id").agg(F.max_by(F.struct("region_id", "cand_idx"), F.struct("area", (-F.col("region_id")).alias("r"))).alias("f")).select("image_id", F.col("f.region_id").alias("field"), F.col("f.cand_idx").alias("field_idx"))
-    source = cands.select(F.col("cand_idx").alias("field_idx"), "a", "b")
+    source = cands.select(*own, F.col("cand_idx").alias("field_idx"), "a", "b")
     chroma = F.hypot("a", "b")
     scale = F.when(chroma <= 1e-9, 0.0).otherwise(F.least(0.35 * chroma, F.lit(25.0)) / chroma)
-    wanted = field.select("field_idx").distinct().join(source, "field_idx").select("field_idx", F.lit(58.0).alias("l"), (F.col("a") * scale).alias("a"), (F.col("b") * scale).alias("b"))
-    swap = nearest(wanted, cands, key="field_idx", lightness=1.5).withColumnRenamed("cand_idx", "ground_idx")
-    filled = labelled.join(field.join(swap, "field_idx"), "image_id", "left")
+    wanted = field.select(*own, "field_idx").distinct().join(source, [*own, "field_idx"]).select(*own, "field_idx", F.lit(58.0).alias("l"), (F.col("a") * scale).alias("a"), (F.col("b") * scale).alias("b"))
+    swap = (nearest_of_own if own else nearest)(wanted, cands, key="field_idx", lightness=1.5).withColumnRenamed("cand_idx", "ground_idx")
+    filled = labelled.join(field.join(swap, [*own, "field_idx"]), "image_id", "left")
     return filled.select("image_id", "y", "x", F.when(F.col("region_id") == F.col("field"), F.col("ground_idx")).otherwise(F.col("cand_idx")).alias("cand_idx"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import color, pigments
 from ..operators import filters, mixtures, nearest, palette, recipes, regions, wheel
-from ..sources import fixtures, images
+from ..sources import fixtures, images, pigment_files
 from ..streaming import requests
 from . import oracle_text as sql
 from . import styles
@@ -15,7 +15,8 @@ from . import styles
 FLAGSHIP = "style_realism"
 QUERIES: dict = {}
 ORACLES: dict = {}
-THREE, SIX = [0, 6, 11], [0, 2, 6, 9, 11, 18]
+SIX = [0, 2, 6, 9, 11, 18]
+EVERY = [p[0] for p in pigments.PALETTE]
 MARK = 2.0
 
 
@@ -42,7 +43,7 @@ def _lab(df: DataFrame) -> DataFrame:
 
 
 def _cands(spark: SparkSession, indices: list[int]) -> DataFrame:
-    return mixtures.candidates(mixtures.palette(spark, indices))
+    return mixtures.settled(mixtures.candidates(mixtures.palette(spark, indices)))
 
 
 # ---- colour maths
@@ -179,9 +180,9 @@ def _mix_sql(idx) -> str:
     return f"{sql.pigment_ctes(idx)}, {_ENUM(idx)}, {sql.mix_ctes('parts', 'mx')}"
 
 
-@query(f"WITH {_mix_sql(THREE)} SELECT id AS ordinal, round({_LAB_XYZ[0]}, 6) AS l, round({_LAB_XYZ[1]}, 6) AS a, round({_LAB_XYZ[2]}, 6) AS b FROM mx")
+@query(f"WITH {_mix_sql(EVERY)} SELECT id AS ordinal, round({_LAB_XYZ[0]}, 6) AS l, round({_LAB_XYZ[1]}, 6) AS a, round({_LAB_XYZ[2]}, 6) AS b FROM mx")
 def km_mixtures(spark, sf_dir):
-    paints = mixtures.palette(spark, THREE)
+    paints = mixtures.palette(spark, EVERY)
     mixed = mixtures.mix(mixtures.enumerate_mixtures(paints), paints)
     light, a, b = color.xyz_to_lab(tuple(map(F.col, "xyz")))
     return mixed.select(F.col("ordinal").cast("long"), *r6(l=light, a=a, b=b))
@@ -203,7 +204,7 @@ def mixture_distinct(spark, sf_dir):
 
 @query()
 def mixture_mother_colour(spark, sf_dir):
-    paints = mixtures.palette(spark, THREE)
+    paints = mixtures.palette(spark, EVERY)
     return mixtures.candidates(paints, mother=mixtures.most_neutral(paints), fraction=0.15)
 
 
@@ -215,31 +216,36 @@ def _points(df: DataFrame) -> DataFrame:
     return _lab(df).select("id", "l", F.col("aa").alias("a"), F.col("bb").alias("b"))
 
 
-@query(f"WITH RECURSIVE {COLOURS}, {sql.lab_ctes('colours', 'q')}, {_argb_sql(THREE)} {_nearest_sql('q', '1')}")
+@query(f"WITH RECURSIVE {COLOURS}, {sql.lab_ctes('colours', 'q')}, {_argb_sql(EVERY)} {_nearest_sql('q', '1')}")
 def nearest_unweighted(spark, sf_dir):
-    return nearest.nearest(_points(fixtures.colours(spark, sf_dir)), _cands(spark, THREE), key="id")
+    return nearest.nearest(_points(fixtures.colours(spark, sf_dir)), _cands(spark, EVERY), key="id")
 
 
-@query(f"WITH RECURSIVE {COLOURS}, {sql.lab_ctes('colours', 'q')}, {_argb_sql(THREE)} {_nearest_sql('q', '1.5::DOUBLE')}")
+@query(f"WITH RECURSIVE {COLOURS}, {sql.lab_ctes('colours', 'q')}, {_argb_sql(EVERY)} {_nearest_sql('q', '1.5::DOUBLE')}")
 def nearest_weighted(spark, sf_dir):
-    return nearest.nearest(_points(fixtures.colours(spark, sf_dir)), _cands(spark, THREE), key="id", lightness=1.5)
+    return nearest.nearest(_points(fixtures.colours(spark, sf_dir)), _cands(spark, EVERY), key="id", lightness=1.5)
 
 
 _BIN = f"keyed AS (SELECT image_id, y, x, {_KEY} AS id FROM px), bins AS (SELECT DISTINCT id, (((id >> 12) & 63) * 4 + 2) AS r, (((id >> 6) & 63) * 4 + 2) AS g, ((id & 63) * 4 + 2) AS b FROM keyed), {sql.lab_ctes('bins', 'q')}"
 
 
-@query(f"WITH RECURSIVE {PX}, {_BIN}, {_argb_sql(THREE)}, near AS ({_nearest_sql('q', '1')}) SELECT image_id, y, x, cand_idx FROM keyed JOIN near USING (id)")
+@query(f"WITH RECURSIVE {PX}, {_BIN}, {_argb_sql(EVERY)}, near AS ({_nearest_sql('q', '1')}) SELECT image_id, y, x, cand_idx FROM keyed JOIN near USING (id)")
 def colour_map_joinback(spark, sf_dir):
     px = fixtures.pixels(spark, sf_dir).select("image_id", "y", "x", "argb")
-    return nearest.resolve_once(px, _cands(spark, THREE)).select("image_id", "y", "x", "cand_idx")
+    return nearest.resolve_once(px, _cands(spark, EVERY)).select("image_id", "y", "x", "cand_idx")
+
+
+@query(f"WITH RECURSIVE {PX}, seen AS (SELECT DISTINCT r * 65536 + g * 256 + b AS id, r, g, b FROM px), {sql.lab_ctes('seen', 'q')}, {_argb_sql(SIX)}, near AS ({_nearest_sql('q', '1')}) SELECT image_id, y, x, cand_idx FROM px JOIN near ON near.id = r * 65536 + g * 256 + b")
+def exact_colour_map(spark, sf_dir):
+    px = fixtures.pixels(spark, sf_dir).select("image_id", "y", "x", "argb")
+    return nearest.resolve_per_pixel(px, _cands(spark, SIX)).select("image_id", "y", "x", "cand_idx")
 
 
 _NAMES = ", ".join(f"({p[0]}, '{p[1]}')" for p in pigments.PALETTE)
-_ALL = [p[0] for p in pigments.PALETTE]
 
 
 @query(
-    f"""WITH {sql.pigment_ctes(_ALL)}, names(paint_idx, name) AS (VALUES {_NAMES}),
+    f"""WITH {sql.pigment_ctes(EVERY)}, names(paint_idx, name) AS (VALUES {_NAMES}),
 own AS (SELECT paint_idx * 2 + t AS id, paint_idx, t FROM names, (SELECT unnest([0, 1]) AS t)),
 pb2 AS (SELECT * FROM pb UNION ALL SELECT -1, band, 0::DOUBLE, 1::DOUBLE FROM bands),
 parts AS (SELECT id, paint_idx, CASE t WHEN 0 THEN 1::DOUBLE ELSE 0.5::DOUBLE END AS share FROM own UNION ALL SELECT id, -1, CASE t WHEN 0 THEN 0::DOUBLE ELSE 0.5::DOUBLE END FROM own),
@@ -255,7 +261,11 @@ def paint_family_groups(spark, sf_dir):
     return mixtures.families(mixtures.palette(spark)).select("name", "family", "rank", F.round("lightness", 6).alias("lightness"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {sql.pigment_ctes(SIX)}, own AS (SELECT p.paint_idx AS first, q.paint_idx AS second, x::INT AS x, (p.paint_idx * 100 + q.paint_idx) * 100 + x AS id
+  FROM pig p JOIN pig q ON p.paint_idx < q.paint_idx, (SELECT unnest(range(48)) AS x)),
+parts AS (SELECT id, first AS paint_idx, 1 - x / 47.0::DOUBLE AS share FROM own UNION ALL SELECT id, second, x / 47.0::DOUBLE FROM own),
+{sql.mix_ctes('parts', 'mx')}, wide AS (SELECT id, {', '.join(f"{sql.dot(row, 'xyz')} AS {n}" for row, n in zip(color.FROM_XYZ, 'rgb', strict=True))} FROM mx), {sql.gamut_ctes('wide', 'm')}
+SELECT first, second, x, (-16777216 + {sql.encode('r')} * 65536 + {sql.encode('g')} * 256 + {sql.encode('b')})::INT AS argb FROM own JOIN m USING (id)""")
 def gradient_strips(spark, sf_dir):
     return mixtures.gradient_strips(mixtures.palette(spark, SIX), 48)
 
@@ -358,12 +368,13 @@ _LABELS = f"""{_INDEX_SQL}, reach(image_id, y, x, cand_idx, root) AS (
 lab AS (SELECT image_id, y, x, cand_idx, dense_rank() OVER (PARTITION BY image_id ORDER BY root) - 1 AS region_id FROM rooted)"""
 
 
-@query()
+@query(f"WITH RECURSIVE {_LABELS} SELECT image_id, y, x, cand_idx, region_id FROM lab")
 def region_labels(spark, sf_dir):
     return regions.labels(_indexed(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_LABELS}, area AS (SELECT image_id, region_id, count(*) AS n FROM lab GROUP BY ALL)
+SELECT image_id, count(*) AS regions, sum(CASE WHEN n < 4 THEN n ELSE 0 END) / sum(n)::DOUBLE AS fraction FROM area GROUP BY image_id""")
 def region_area_stats(spark, sf_dir):
     labelled = regions.labels(_indexed(spark, sf_dir))
     return regions.count_regions(labelled).join(regions.small_fraction(labelled, 4), "image_id")
@@ -374,12 +385,19 @@ def small_region_merge(spark, sf_dir):
     return regions.merge_small(_indexed(spark, sf_dir), MARK)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_LABELS}, few(cand_idx, l, a, b) AS (VALUES (0, 20.0, 0.0, 0.0), (1, 30.0, 0.0, 0.0), (2, 60.0, 30.0, 10.0)),
+area AS (SELECT image_id, region_id, any_value(cand_idx) AS cand_idx, count(*) AS n, bool_or(x IN (0, 7) OR y IN (0, 7)) AS edge FROM lab GROUP BY image_id, region_id),
+field AS (SELECT image_id, arg_max(region_id, n * 1000 - region_id) AS region_id, arg_max(cand_idx, n * 1000 - region_id) AS cand_idx FROM area WHERE edge AND n >= 4 GROUP BY image_id),
+want AS (SELECT cand_idx, 58.0 AS l, a * f AS a, b * f AS b FROM (SELECT *, CASE WHEN sqrt(a * a + b * b) <= 1e-9 THEN 0 ELSE least(0.35 * sqrt(a * a + b * b), 25) / sqrt(a * a + b * b) END AS f FROM few)),
+swap AS (SELECT w.cand_idx, arg_min(c.cand_idx, round(1.5 * pow(w.l - c.l, 2) + pow(w.a - c.a, 2) + pow(w.b - c.b, 2), 8) * 10 + c.cand_idx) AS ground FROM want w, few c GROUP BY w.cand_idx)
+SELECT p.image_id, p.y, p.x, CASE WHEN f.region_id = p.region_id THEN s.ground ELSE p.cand_idx END AS cand_idx FROM lab p LEFT JOIN field f ON f.image_id = p.image_id LEFT JOIN swap s ON s.cand_idx = f.cand_idx""")
 def ground_fill(spark, sf_dir):
     return regions.ground_fill(_indexed(spark, sf_dir), _few(spark), 1.0)
 
 
-@query()
+@query(f"""WITH {_MASK}, line AS (SELECT arg_min(cand_idx, 1.5 * pow(l - 35, 2) + pow(a - 5, 2) + pow(b + 15, 2)) AS paint FROM few),
+wide AS (SELECT p.image_id, p.y, p.x, bool_or(q.boundary) AS boundary FROM mask p JOIN mask q ON q.image_id = p.image_id AND abs(q.x - p.x) <= 1 AND abs(q.y - p.y) <= 1 GROUP BY p.image_id, p.y, p.x)
+SELECT i.image_id, i.y, i.x, CASE WHEN w.boundary THEN line.paint ELSE i.cand_idx END AS cand_idx FROM ind i JOIN wide w USING (image_id, y, x), line""")
 def contour_lines(spark, sf_dir):
     return regions.contour_lines(_indexed(spark, sf_dir), _few(spark), MARK).select("image_id", "y", "x", "cand_idx")
 
@@ -394,7 +412,7 @@ def kmeans_palette(spark, sf_dir):
 
 @query()
 def image_palette(spark, sf_dir):
-    return palette.image_palette(fixtures.pixels(spark, sf_dir), _cands(spark, SIX), 8)
+    return palette.image_palette(fixtures.pixels(spark, sf_dir), _cands(spark, EVERY), 8)
 
 
 @query(
@@ -432,6 +450,25 @@ def recipe_lines(spark, sf_dir):
     return recipes.recipe_lines(recipes.closest_blends(_targets(spark, sf_dir), paints), paints)
 
 
+@query()
+def recipe_matches(spark, sf_dir):
+    """The recipes of every part's colour, mixed again as they are shown."""
+    return recipes.to_match(_targets(spark, sf_dir), mixtures.palette(spark, SIX))
+
+
+@query()
+def pixel_recipes(spark, sf_dir):
+    """What is told of a pixel near the middle of every image."""
+    px = fixtures.pixels(spark, sf_dir).select("image_id", "y", "x", "argb")
+    points = px.select("image_id", F.lit(3).alias("x"), F.lit(4).alias("y")).distinct()
+    return recipes.recipes_at(px, points, mixtures.palette(spark, SIX))
+
+
+@query()
+def paint_manifest(spark, sf_dir):
+    return pigment_files.manifest(mixtures.palette(spark))
+
+
 _DISC = """square AS (SELECT y, x, x - 15.5::DOUBLE AS dx, y - 15.5::DOUBLE AS dy FROM (SELECT unnest(range(32))::INT AS y), (SELECT unnest(range(32))::INT AS x)),
 disc AS (SELECT *, sqrt(dx * dx + dy * dy) AS d FROM square)"""
 
@@ -467,7 +504,7 @@ def wheel_lines(spark, sf_dir):
 def _style(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         style = styles.by_name(name)
-        cands = styles.style_candidates(style, mixtures.palette(spark, THREE)).persist()
+        cands = mixtures.settled(styles.style_candidates(style, mixtures.palette(spark)))
         px = fixtures.pixels(spark, sf_dir).select("image_id", "y", "x", "argb")
         return styles.render(px, style, cands, mark=MARK)
 
@@ -477,7 +514,7 @@ def _style(name: str):
 def _realism_sql() -> str:
     """The whole Realism chain: guided filter, bins, nearest candidate, composition."""
     shown = f"shown8 AS ({_CODED}), keyed AS (SELECT image_id, y, x, {_KEY} AS id FROM shown8), bins AS (SELECT DISTINCT id, (((id >> 12) & 63) * 4 + 2) AS r, (((id >> 6) & 63) * 4 + 2) AS g, ((id & 63) * 4 + 2) AS b FROM keyed), {sql.lab_ctes('bins', 'q')}"
-    return f"WITH RECURSIVE {PX}, {_GUIDED}, {shown}, {_argb_sql(THREE)}, near AS ({_nearest_sql('q', '1')}) SELECT k.image_id, k.y, k.x, n.cand_idx, (-16777216 + c.r * 65536 + c.g * 256 + c.b)::INT AS argb FROM keyed k JOIN near n USING (id) JOIN cand c USING (cand_idx)"
+    return f"WITH RECURSIVE {PX}, {_GUIDED}, {shown}, {_argb_sql(EVERY)}, near AS ({_nearest_sql('q', '1')}) SELECT k.image_id, k.y, k.x, n.cand_idx, (-16777216 + c.r * 65536 + c.g * 256 + c.b)::INT AS argb FROM keyed k JOIN near n USING (id) JOIN cand c USING (cand_idx)"
 
 
 for _name in styles.STYLES:

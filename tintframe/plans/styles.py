@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import color
@@ -29,6 +30,23 @@ class Parameter:
         return min(max(value, self.least), self.most)
 
 
+STEPS = 100
+
+
+def to_position(p: Parameter, value: float) -> int:
+    """The slider position, of ``STEPS``, that shows a value."""
+    return round((value - p.least) / (p.most - p.least) * STEPS)
+
+
+def to_value(p: Parameter, position: int) -> float:
+    return p.least + position / STEPS * (p.most - p.least)
+
+
+def caption(p: Parameter, value: float) -> str:
+    """Label, the value with two decimals at most, and unit."""
+    return f"{p.label}: {f'{value:.2f}'.rstrip('0').rstrip('.')} {p.unit}".rstrip()
+
+
 # The stages' parameters.
 PARAMETERS = {
     p.id: p
@@ -70,6 +88,7 @@ def _merge(indexed: DataFrame, cands: DataFrame, mark: float) -> DataFrame:
     return regions.merge_small(indexed, mark)
 
 
+# Each style's mark scale and what it sets the parameters to.
 STYLES = {
     s.name: s
     for s in (
@@ -109,8 +128,8 @@ def style_candidates(style: Style, paints: DataFrame) -> DataFrame:
 def render(pixels: DataFrame, style: Style, cands: DataFrame, *, mark: float, blur: int | None = None) -> DataFrame:
     """image_id, y, x, cand_idx, argb of the images after the style; alpha is the source's.
 
-    ``pixels`` has image_id, y, x, argb. An image-aware palette is made for all given images
-    together. ``mark`` is the base mark in pixels, which the style scales without rounding.
+    ``pixels`` has image_id, y, x, argb. An image-aware palette is made for each image, whose
+    ``cand_idx`` then count its own candidates. ``mark`` is the base mark in pixels, which the style scales without rounding.
     """
     size = mark * style.mark_scale
     floor = filters.guided(pixels.select("image_id", "y", "x", "argb"), radius=max(round(size / 2), 1), edge=style.value("edge"), iterations=int(style.value("strength")))
@@ -119,7 +138,11 @@ def render(pixels: DataFrame, style: Style, cands: DataFrame, *, mark: float, bl
         cands = palette.image_palette(blurred, cands, style.value("colours"))
     remap = None
     if style.remaps:
-        ceiling = cands.agg(F.max(F.hypot("a", "b"))).first()[0] or 0.0
+        if style.abstract:
+            cands = cands.withColumn("ceiling", F.max(F.hypot("a", "b")).over(W.partitionBy("image_id")))
+            ceiling = F.col("ceiling")
+        else:
+            ceiling = cands.agg(F.max(F.hypot("a", "b"))).first()[0] or 0.0
         remap = lambda lab: color.remap(lab, ceiling, contrast=style.value("contrast"), key=style.value("key"), gain=style.value("chroma"))
     indexed = nearest.resolve_once(blurred, cands, remap).select("image_id", "y", "x", "cand_idx")
     for stage in style.post:
@@ -129,24 +152,23 @@ def render(pixels: DataFrame, style: Style, cands: DataFrame, *, mark: float, bl
 
 def compose(pixels: DataFrame, indexed: DataFrame, cands: DataFrame) -> DataFrame:
     """Candidate colours under the source's alpha."""
-    shown = indexed.join(cands.select("cand_idx", F.col("argb").alias("paint")), "cand_idx")
+    by = ["image_id", "cand_idx"] if "image_id" in cands.columns else ["cand_idx"]
+    shown = indexed.join(cands.select(*by, F.col("argb").alias("paint")), by)
     source = pixels.select("image_id", "y", "x", F.col("argb").alias("source"))
     alpha = F.col("source").bitwiseAND(F.lit(-(1 << 24)))
     return source.join(shown, ["image_id", "y", "x"]).select("image_id", "y", "x", "cand_idx", alpha.bitwiseOR(F.col("paint").bitwiseAND(F.lit(0xFFFFFF))).alias("argb"))
 
 
 class Cache:
-    """The last few persisted candidate sets, by paints, style parameters that build them."""
+    """The last few candidate sets, by paints and the style parameters that build them."""
 
     def __init__(self, room: int = 4):
         self.room, self.held = room, {}
 
     def candidates(self, style: Style, paints: DataFrame) -> DataFrame:
-        key = (tuple(r.paint_idx for r in paints.orderBy("paint_idx").collect()), style.value("mother") if style.abstract else 0.0)
-        if key in self.held:
-            self.held[key] = self.held.pop(key)
-        else:
-            self.held[key] = style_candidates(style, paints).persist()
-            if len(self.held) > self.room:
-                self.held.pop(next(iter(self.held))).unpersist()
+        rows = paints.orderBy("paint_idx").collect()
+        key = (tuple((r.paint_idx, tuple(r.k), tuple(r.s)) for r in rows), style.value("mother") if style.abstract else 0.0)
+        self.held[key] = self.held.pop(key) if key in self.held else mixtures.settled(style_candidates(style, paints))
+        if len(self.held) > self.room:
+            self.held.pop(next(iter(self.held)))
         return self.held[key]

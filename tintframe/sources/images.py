@@ -192,6 +192,11 @@ def derive_pigments(spectra: DataFrame, known: DataFrame) -> DataFrame:
     return new.select("name", F.transform(pigments.resample(F.col("r")), pigments.absorption).alias("k"), ones.alias("s"))
 
 
+def by_name():
+    """The order in which derived paints are added to a palette, a short list."""
+    return W.orderBy("name")
+
+
 def grid_segments(sizes: DataFrame, parts: int) -> DataFrame:
     """image_id, axis, at: the dividers of a grid of ``parts`` by ``parts``, borders included."""
     at = sizes.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts))).alias("i"))

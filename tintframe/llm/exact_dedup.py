@@ -80,14 +80,18 @@ def directory(keys: DataFrame, *, capacity: int, key_bits: int = KEY_BITS, doubl
 
     The first depth is the least at which ``capacity`` keys a bucket would hold them all at
     half load. Every prefix of that depth is one bucket; a bucket over ``capacity`` splits
-    by one more bit, and so on for ``doublings`` bits. What still overflows then holds many
-    entries of one key, which no bit can split; its owner chains them.
+    by one more bit, and so on. Bits are looked at ``doublings`` at a time, until what still
+    overflows holds entries of one key, which no bit can split; its owner chains them.
     """
     n = keys.count()
     start = min(key_bits, max(0, math.ceil(math.log2(max(1, 2 * n / capacity)))))
     deepest = min(key_bits, start + doublings)
     prefix = lambda column, depth: F.shiftright(column, deepest - depth)
-    leaves = keys.groupBy(F.shiftright("key", key_bits - deepest).alias("leaf")).agg(F.count("*").alias("n"))
+    while True:
+        leaves = keys.groupBy(F.shiftright("key", key_bits - deepest).alias("leaf")).agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+        if deepest == key_bits or not leaves.filter((F.col("n") > capacity) & (F.col("lo") < F.col("hi"))).limit(1).count():
+            break
+        deepest = min(key_bits, deepest + doublings)
     loads = leaves.withColumn("root", prefix(F.col("leaf"), start))
     depth = F.lit(deepest)
     for d in range(deepest - 1, start - 1, -1):
@@ -97,7 +101,7 @@ def directory(keys: DataFrame, *, capacity: int, key_bits: int = KEY_BITS, doubl
     shift = (F.lit(deepest) - F.col("depth")).cast("int")
     first_leaf = F.call_function("shiftleft", F.call_function("shiftright", F.col("leaf"), shift), shift)
     out = placed.select("leaf", first_leaf.alias("bucket"))
-    out.leaf_shift = key_bits - deepest
+    out.leaf_bits, out.leaf_shift = deepest, key_bits - deepest
     return out
 
 
@@ -111,7 +115,9 @@ def index(docs: DataFrame, *, capacity: int = 4096, key_bits: int = KEY_BITS) ->
     where = save(pages, "directory")
     addressed = entries.withColumn("leaf", F.shiftright("key", pages.leaf_shift)).join(where, "leaf")
     owners = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    owned = addressed.repartition(owners, "bucket").sortWithinPartitions("bucket", "key", "entry")
+    # an owner takes a range of keys, that is of neighbouring buckets
+    owner = F.floor(F.col("bucket") / F.lit(float(1 << pages.leaf_bits)) * owners).cast("int").alias("owner")
+    owned = addressed.select("*", owner).repartitionById(owners, "owner").sortWithinPartitions("key", "entry")
     slots = save(owned.select("entry", "key", "bytes", "members", "last_doc", "last_row").mapInArrow(_chain, _SLOT_DDL), "slots")
     discard(where)
     return postings.select("row", "doc_id", "entry", "sha256"), slots

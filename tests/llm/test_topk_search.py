@@ -41,3 +41,11 @@ def test_large_components_stay_exact(spark):
 def test_no_rows(spark):
     df = spark.createDataFrame([], DDL)
     assert topk_search.top_k(df, df).count() == 0
+
+
+def test_repeated_ids_and_clashing_names(spark):
+    data = [(0, [1.0, 0.0], 7), (0, [1.0, 0.0], 7), (5, [0.5, 0.5], 7), (5, [0.5, 0.5], 7), (6, [2.0, 0.0], 7), (6, [0.0, 2.0], 7)]
+    df = spark.createDataFrame([(*d, 1, 2) for d in data], DDL + ", shard int, rank int")
+    got = [tuple(r) for r in topk_search.top_k(df, df.filter("vec_id = 0"), k=4).orderBy("rank").collect()]
+    # each row but the query's own id counts; ties go to the smaller id
+    assert got == [(0, 1, 6, 1024 * 2048), (0, 2, 5, 1024 * 512), (0, 3, 5, 1024 * 512), (0, 4, 6, 0)]

@@ -143,7 +143,7 @@ def _search(k: int, first_leaf_only: bool):
     return search
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 10, scale: float = 1024.0, shard_rows: int = 16_384, block_rows: int = 1024, leaf: int = 64) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 10, scale: float = 1024.0, shard_rows: int = 16_384, block_rows: int = 16_384, leaf: int = 64) -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's ``k`` highest scores, all if fewer.
 
     Both tables have ``vec_id`` and ``embedding``. Components become ``floor(scale * x)``,
@@ -156,8 +156,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 10, scale: float =
     are no rows.
 
     Every query has to meet every shard, so each shard's tree is read by each block of
-    queries: work grows with queries times shards, and pruning is what lowers it. No task
-    holds more than one tree and one block.
+    queries: work grows with queries times shards, and pruning is what lowers it. What moves
+    is least where a tree and a block are of one size, as they are here. No task holds more
+    than one tree and one block. The k-th score is shared once, after the first pass.
     """
     sound = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~F.coalesce(F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(False))
     clean = lambda df: df.filter(sound).select(F.col("vec_id").cast("long"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))

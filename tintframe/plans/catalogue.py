@@ -209,7 +209,10 @@ def mixture_mother_colour(spark, sf_dir):
 
 
 def _nearest_sql(points: str, weight: str) -> str:
-    return f"SELECT q.id, min(struct_pack(d := round({weight} * (q.l - c.l) * (q.l - c.l) + (q.aa - c.aa) * (q.aa - c.aa) + (q.bb - c.bb) * (q.bb - c.bb), 9), i := c.cand_idx)).i AS cand_idx FROM {points} q, cand c GROUP BY q.id"
+    """The nearest candidate of each point; a few candidates bound how far off in lightness it can be."""
+    d = f"round({weight} * (q.l - c.l) * (q.l - c.l) + (q.aa - c.aa) * (q.aa - c.aa) + (q.bb - c.bb) * (q.bb - c.bb), 9)"
+    bound = f"(SELECT q.id, q.l, q.aa, q.bb, sqrt((min({d}) + 1e-6) / {weight}) AS off FROM {points} q, cand c WHERE c.cand_idx % 40 = 0 GROUP BY ALL)"
+    return f"SELECT q.id, min(struct_pack(d := {d}, i := c.cand_idx)).i AS cand_idx FROM {bound} q JOIN cand c ON c.l BETWEEN q.l - q.off AND q.l + q.off GROUP BY q.id"
 
 
 def _points(df: DataFrame) -> DataFrame:

@@ -18,11 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import save
+from .common import lean, save
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("part", pa.int64()), ("leftover", pa.bool_())])
 _DDL = "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long, part long, leftover boolean"
 _ID_BYTES = 4
+#: Texts handled at a time.
+_ROWS = 2048
 #: A task hands on its rows once it has this many.
 _ROWS_OUT = 4096
 
@@ -153,7 +155,7 @@ def pack(docs: DataFrame, *, length: int = 2048, end_id: int | None = 1, tokeniz
     path = tokenizer_path or tokens.default_path()
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     level, made = 0, []
-    table = save(rows.mapInArrow(_first(path, end_id, length, keep_open, max_gap, keep_ids), _DDL), "pieces-0")
+    table = save(rows.mapInArrow(lean(_first(path, end_id, length, keep_open, max_gap, keep_ids), _ROWS), _DDL), "pieces-0")
     while True:
         made.append(table.filter(~F.col("leftover")))
         rest = table.filter("leftover")

@@ -135,7 +135,8 @@ def render(pixels: DataFrame, style: Style, cands: DataFrame, *, mark: float, bl
     floor = filters.guided(pixels.select("image_id", "y", "x", "argb"), radius=max(round(size / 2), 1), edge=style.value("edge"), iterations=int(style.value("strength")))
     blurred = filters.gaussian(floor, int(style.value("blur") if blur is None else PARAMETERS["blur"].hold(blur)))
     if style.abstract:
-        cands = palette.image_palette(blurred, cands, style.value("colours"))
+        # every later step reads the palettes, which stand on the filtered images
+        cands = palette.image_palette(blurred, cands, style.value("colours")).persist()
     remap = None
     if style.remaps:
         if style.abstract:

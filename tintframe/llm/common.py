@@ -131,6 +131,16 @@ def lean(run: Callable, rows: int | None = None) -> Callable:
     return wrapped
 
 
+def bites(data: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """``data`` in pieces of about ``size`` bytes, cut at spaces."""
+    at = 0
+    while at < len(data):
+        cut = data.find(b" ", at + size)
+        end = len(data) if cut < 0 else cut
+        yield data[at:end]
+        at = end
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not use, in any case of letters."""
     used = {c.lower() for c in df.columns}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, language_id, language_model, line_dedup, mixing, packing, quality, suffix_dedup, topk_search
+from . import divergence, exact_dedup, jaccard_join, language_id, language_model, line_dedup, mixing, packing, quality, suffix_dedup, topk_search
 from .common import documents, fold
 
 
@@ -126,5 +126,39 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(docs, model)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_jaccard_join, op3_packing, op4_language_id, op5_line_dedup, op6_exact_dedup, op7_mixing, op8_topk_search, op9_quality, op10_language_model)}
-ORACLES = {"op2_jaccard_join": OP2_SQL, "op6_exact_dedup": OP6_SQL, "op7_mixing": OP7_SQL, "op8_topk_search": OP8_SQL}
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(documents(spark, sf_dir))
+
+
+OP13_SQL = r"""
+WITH named AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), words AS (SELECT row, lang, source, unnest(w) AS term FROM named
+), counted AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT row) AS df FROM words GROUP BY ALL
+), kept AS (SELECT lang, term, sum(n)::HUGEINT AS total FROM counted GROUP BY ALL HAVING sum(df) >= 30
+), langs AS (SELECT lang, count(*)::HUGEINT AS v, sum(total)::HUGEINT AS n FROM kept GROUP BY lang
+), groups AS (SELECT DISTINCT lang, source FROM named
+), cells AS (
+  SELECT g.lang, g.source, k.term, k.total, coalesce(c.n, 0)::HUGEINT AS n
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN counted c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), sizes AS (SELECT lang, source, sum(n)::HUGEINT AS size FROM cells GROUP BY ALL
+), shares AS (
+  SELECT c.lang, c.source, c.term, c.n, 1 + (1000000000::HUGEINT * (c.n + 5)) // (s.size + 5 * l.v) AS p, 1 + (1000000000::HUGEINT * (c.total + 5)) // (l.n + 5 * l.v) AS q
+  FROM cells c JOIN sizes s USING (lang, source) JOIN langs l USING (lang)
+), apart AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+), terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value FROM shares WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_jaccard_join, op3_packing, op4_language_id, op5_line_dedup, op6_exact_dedup, op7_mixing, op8_topk_search, op9_quality, op10_language_model, op13_source_divergence)}
+ORACLES = {"op2_jaccard_join": OP2_SQL, "op6_exact_dedup": OP6_SQL, "op7_mixing": OP7_SQL, "op8_topk_search": OP8_SQL, "op13_source_divergence": OP13_SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, exact_dedup, jaccard_join, language_id, language_model, line_dedup, mixing, packing, quality, suffix_dedup, topk_search
+from . import collocations, decontamination, divergence, exact_dedup, jaccard_join, language_id, language_model, line_dedup, mixing, packing, quality, suffix_dedup, topk_search
 from .common import documents, fold
 
 
@@ -126,6 +126,70 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(docs, model)
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.find_passages(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["length"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
+OP11_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), items AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), windows AS (
+  SELECT DISTINCT item, least(len(w), 10) AS n, unnest([array_to_string(w[i : i + least(len(w), 10) - 1], ' ') for i in range(1, len(w) - least(len(w), 10) + 2)]) AS x FROM items WHERE len(w) > 0
+), sizes AS (SELECT DISTINCT n FROM windows
+), places AS (
+  SELECT row, n, unnest(range(1, len(w) - n + 2)) AS i, unnest([array_to_string(w[i : i + n - 1], ' ') for i in range(1, len(w) - n + 2)]) AS x FROM docs, sizes
+), met AS (SELECT p.row, p.i, p.n, v.item FROM places p JOIN windows v ON p.n = v.n AND p.x = v.x
+), hit AS (SELECT row, count(DISTINCT k) AS n_hit FROM (SELECT row, unnest(range(i, i + n)) AS k FROM met) GROUP BY row
+), found AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT row, item FROM met) GROUP BY row
+)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT AS n_hit, coalesce(f.n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(f.names, '')) AS items_sha256, h.n_hit IS NOT NULL AS contaminated
+FROM docs d LEFT JOIN hit h USING (row) LEFT JOIN found f USING (row)
+"""
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
+  FROM documents
+), lists AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces
+), sizes AS (SELECT lang, sum(len(w))::BIGINT AS n FROM lists GROUP BY lang
+), grams AS (
+  SELECT lang, k, unnest([array_to_string(w[i : i + k - 1], ' ') for i in range(1, len(w) - k + 2)]) AS g FROM lists, (SELECT unnest([1, 2, 3]) AS k)
+), f AS (SELECT lang, k, g, count(*)::HUGEINT AS f FROM grams GROUP BY ALL HAVING count(*) >= 10
+), cuts AS (
+  SELECT lang, k, g, f AS a, unnest(range(1, k)) AS cut, string_split(g, ' ') AS w FROM f WHERE k > 1
+), scored AS (
+  SELECT c.lang, c.k, c.g, c.a, c.cut, h.f AS l, t.f AS r, (1000000::HUGEINT * c.a * c.a) // (h.f * t.f) AS score
+  FROM cuts c JOIN f h ON h.lang = c.lang AND h.g = array_to_string(list_slice(c.w, 1, c.cut), ' ') JOIN f t ON t.lang = c.lang AND t.g = array_to_string(list_slice(c.w, c.cut + 1, c.k), ' ')
+), best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1
+), inner_parts AS (
+  SELECT lang, f, string_split(g, ' ') AS w, unnest([1, 2]) AS i FROM f WHERE k = 3
+), covered AS (SELECT lang, array_to_string(list_slice(w, i, i + 1), ' ') AS g, max(f) AS longer FROM inner_parts GROUP BY ALL
+), stays AS (SELECT b.* FROM best b LEFT JOIN covered c USING (lang, g) WHERE c.longer IS NULL OR 100 * c.longer < 50 * b.a
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank FROM stays)
+SELECT lang, rank::INT AS rank, g AS phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000
+"""
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(documents(spark, sf_dir))
 
@@ -160,5 +224,5 @@ WITH named AS (
 SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50
 """
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_jaccard_join, op3_packing, op4_language_id, op5_line_dedup, op6_exact_dedup, op7_mixing, op8_topk_search, op9_quality, op10_language_model, op13_source_divergence)}
-ORACLES = {"op2_jaccard_join": OP2_SQL, "op6_exact_dedup": OP6_SQL, "op7_mixing": OP7_SQL, "op8_topk_search": OP8_SQL, "op13_source_divergence": OP13_SQL}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_jaccard_join, op3_packing, op4_language_id, op5_line_dedup, op6_exact_dedup, op7_mixing, op8_topk_search, op9_quality, op10_language_model, op11_decontamination, op12_collocations, op13_source_divergence)}
+ORACLES = {"op2_jaccard_join": OP2_SQL, "op6_exact_dedup": OP6_SQL, "op7_mixing": OP7_SQL, "op8_topk_search": OP8_SQL, "op11_decontamination": OP11_SQL, "op12_collocations": OP12_SQL, "op13_source_divergence": OP13_SQL}

@@ -14,7 +14,7 @@ def brute(vectors, queries, k):
     out = []
     for q, v in sound:
         if q in queries:
-            found = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in sound if i != q and len(w) == len(v))[:k]
+            found = sorted((-min(max(sum(a * b for a, b in zip(v, w, strict=True)), -(2**63)), 2**63 - 1), i) for i, w in sound if i != q and len(w) == len(v))[:k]
             out += [(q, rank, i, -score) for rank, (score, i) in enumerate(found, 1)]
     return sorted(out)
 
@@ -38,6 +38,15 @@ def test_large_components_stay_exact(spark):
     assert sorted(map(tuple, got.collect())) == brute(data, {0}, 10)
 
 
+def test_scores_beyond_64_bits_are_held(spark):
+    rng = np.random.default_rng(9)
+    data = [(i, [float(x) for x in np.float32(rng.normal(size=3) * 10.0 ** rng.integers(0, 37))], 0) for i in range(120)]
+    data += [(200 + i, [s * 1e15, 1.0, 0.0], 0) for i, s in enumerate((1, -1, 1, -1))]
+    df = spark.createDataFrame(data, DDL).repartition(3)
+    got = topk_search.top_k(df, df.filter("vec_id % 10 = 0"), k=9, shard_rows=40, block_rows=5, leaf=4)
+    assert sorted(map(tuple, got.collect())) == brute([(i, np.float32(v).tolist(), s) for i, v, s in data], {i for i, *_ in data if i % 10 == 0}, 9)
+
+
 def test_no_rows(spark):
     df = spark.createDataFrame([], DDL)
     assert topk_search.top_k(df, df).count() == 0

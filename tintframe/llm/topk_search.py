@@ -28,6 +28,7 @@ from .common import discard, save
 _HIT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 _HIT_DDL = "query_id long, vec_id long, score long"
 _EXACT = 2.0**53
+_LEAST, _MOST = -(2**63), 2**63 - 1
 
 
 class BallTree:
@@ -71,7 +72,7 @@ class BallTree:
         if self.largest * float(np.abs(query).max(initial=0.0)) * len(query) < _EXACT:
             return (self.vectors[lo:hi] @ query).astype(np.int64).tolist()
         whole = [int(x) for x in query]
-        return [sum(int(a) * b for a, b in zip(v, whole, strict=True)) for v in self.vectors[lo:hi]]
+        return [min(max(sum(int(a) * b for a, b in zip(v, whole, strict=True)), _LEAST), _MOST) for v in self.vectors[lo:hi]]
 
     def search(self, query_id: int, query: np.ndarray, k: int, floor: int | None, first_leaf_only: bool) -> list[tuple[int, int]]:
         """Up to ``k`` pairs ``(score, -vec_id)``; all that could be among the k best over ``floor``."""
@@ -80,7 +81,7 @@ class BallTree:
         def bound(node: int) -> float:
             centre, radius = self.nodes[node][:2]
             value = float(centre @ query) + norm * radius
-            return value + 1e-9 * (abs(value) + norm * (radius + self.largest)) + 1e-6
+            return max(value + 1e-9 * (abs(value) + norm * (radius + self.largest)) + 1e-6, float(_LEAST))
 
         best: list[tuple[int, int]] = []
         queue = [(-bound(0), 0)]
@@ -147,7 +148,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 10, scale: float =
     """``query_id, rank, vec_id, score``: each query's ``k`` highest scores, all if fewer.
 
     Both tables have ``vec_id`` and ``embedding``. Components become ``floor(scale * x)``,
-    x as double; scores are exact integer inner products. Ties go to the smaller vec_id.
+    x as double; scores are exact integer inner products, held to the range of 64 bits: a
+    score beyond it is the nearest that a long has. Ties go to the smaller vec_id.
     Candidates are all rows of ``vectors`` but those with the query's own id, of the same
     vector length. Rows whose id or vector is null, or whose vector holds null, NaN or an
     infinity, take no part; an empty vector scores 0 against empty vectors. Repeated rows

@@ -1,3 +1,5 @@
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +9,7 @@ from tintframe.operators import mixtures, nearest, palette, recipes
 from tintframe.plans import catalogue
 
 
-@pytest.mark.parametrize(("paints", "rows"), [([0], 1), ([0, 6], 65), ([0, 6, 11], 297), ([0, 2, 6, 9, 11, 18], 3051)])
+@pytest.mark.parametrize(("paints", "rows"), [([5], 1), ([4, 9], 65), ([4, 9, 14], 297), ([1, 4, 7, 10, 13, 14], 3051)])
 def test_number_of_mixtures(spark, paints, rows):
     every = mixtures.enumerate_mixtures(mixtures.palette(spark, paints))
     assert every.count() == rows == every.select("ordinal").distinct().count()
@@ -16,21 +18,21 @@ def test_number_of_mixtures(spark, paints, rows):
 
 
 def test_a_mother_colour_keeps_shares_whole(spark):
-    every = mixtures.blend_into(mixtures.enumerate_mixtures(mixtures.palette(spark, [0, 6])), 6, 0.25)
+    every = mixtures.blend_into(mixtures.enumerate_mixtures(mixtures.palette(spark, [4, 9])), 9, 0.25)
     totals = every.select(F.aggregate("parts", F.lit(0.0), lambda s, p: s + p["share"]).alias("t"))
     assert all(r.t == pytest.approx(1) for r in totals.collect())
     with pytest.raises(ValueError):
-        mixtures.blend_into(every, 6, 1.5)
+        mixtures.blend_into(every, 9, 1.5)
 
 
 def test_keeping_falls_back_to_everything(spark):
-    cands = mixtures.candidates(mixtures.palette(spark, [0, 6])).persist()
+    cands = mixtures.candidates(mixtures.palette(spark, [4, 9])).persist()
     assert mixtures.keep_only(cands, F.col("l") > 1000).count() == cands.count()
     assert 0 < mixtures.keep_only(cands, F.col("l") > 80).count() < cands.count()
 
 
 def test_nearest_against_all_pairs(spark):
-    cands = mixtures.candidates(mixtures.palette(spark, [0, 6, 11])).persist()
+    cands = mixtures.candidates(mixtures.palette(spark, [4, 9, 14])).persist()
     listed = np.array([(r.l, r.a, r.b) for r in cands.orderBy("cand_idx").collect()])
     rng = np.random.default_rng(2)
     points = [(i, *map(float, p)) for i, p in enumerate(rng.uniform((0, -60, -60), (100, 60, 60), (200, 3)))]
@@ -43,7 +45,7 @@ def test_nearest_against_all_pairs(spark):
 
 
 def test_a_paint_is_its_own_best_recipe(spark):
-    paints = mixtures.palette(spark, [0, 3, 6, 11, 18])
+    paints = mixtures.palette(spark, [2, 5, 9, 13, 17])
     own = mixtures.mix(paints.select(F.col("paint_idx").alias("own"), F.array(F.struct("paint_idx", F.lit(1.0).alias("share"))).alias("parts")), paints, "own")
     lab = mixtures.render(own).select(F.col("own").cast("long").alias("id"), "l", "a", "b")
     for r in recipes.closest_blends(lab, paints).collect():
@@ -51,8 +53,8 @@ def test_a_paint_is_its_own_best_recipe(spark):
 
 
 def test_recipes_recover_known_mixtures(spark):
-    paints = mixtures.palette(spark, [0, 6, 11])
-    ladder = [(0, 6, 0.5), (6, 11, 0.25), (0, 11, 0.75)]
+    paints = mixtures.palette(spark, [4, 9, 14])
+    ladder = [(4, 9, 0.5), (9, 14, 0.25), (4, 14, 0.75)]
     rows = [(i, [(p, s), (q, 1 - s)]) for i, (p, q, s) in enumerate(ladder)]
     mixed = mixtures.mix(spark.createDataFrame(rows, "id long, parts array<struct<paint_idx: int, share: double>>"), paints, "id")
     for r in recipes.closest_blends(mixtures.render(mixed).select("id", "l", "a", "b"), paints).collect():
@@ -60,6 +62,43 @@ def test_recipes_recover_known_mixtures(spark):
         assert r.paints == sorted((p, q)) and r.shares[r.paints.index(p)] == pytest.approx(s, abs=0.01)
 
 
+def plain_match(paints, target):
+    """The best recipe by a sweep of every subset and two finer ones around its best, one by one."""
+    k, s = (np.array([p[i] for p in paints]) for i in (1, 2))
+    best = None
+    for size, steps in ((1, 1), (2, recipes.PAIR_SWEEP), (3, recipes.TRIPLE_SWEEP)):
+        for subset in itertools.combinations(range(len(paints)), size):
+            lab = lambda shares: recipes._lab_of(np.array(shares), k[list(subset)], s[list(subset)])  # noqa: B023, E731
+            tried = [x for x in itertools.product(*[np.arange(steps + 1) / steps] * (size - 1)) if sum(x) <= 1 + 1e-9]
+            at, d, window = None, np.inf, 1 / steps
+            for _ in range(1 if size == 1 else 1 + recipes.REFINEMENTS):
+                shares = [(*x, max(0.0, 1 - sum(x))) for x in tried]
+                gap = recipes._distance(lab(shares), target)
+                if gap.min() < d:
+                    at, d = shares[int(gap.argmin())], float(gap.min())
+                fine = np.linspace(-window, window, recipes.REFINE_STEPS + 1)
+                tried = [x for x in itertools.product(*(np.clip(u + fine, 0, 1) for u in at[:-1])) if sum(x) <= 1 + 1e-12]
+                window /= 4
+            if best is None or d < best[0] - 1e-12:
+                best = (d, subset, at)
+    d, subset, shares = best
+    keep = [i for i in range(len(subset)) if shares[i] >= recipes.LEAST_SHARE]
+    return [subset[i] for i in keep], [shares[i] / sum(shares[j] for j in keep) for i in keep], d
+
+
+@pytest.mark.parametrize("count", [1, 2, 3, 7, 18])
+def test_batches_with_bounds_against_a_plain_search(count):
+    palette_ = [(p[0], p[4], p[5]) for p in pigments.PALETTE]
+    paints = [(i, *p[1:]) for i, p in enumerate(palette_[:: max(1, 18 // count)][:count])]
+    rng = np.random.default_rng(count)
+    solver = recipes.Solver(paints)
+    mixed = [recipes._lab_of(rng.dirichlet(np.ones(len(paints)) * 0.3)[None], *(np.array([p[i] for p in paints]) for i in (1, 2)))[0] for _ in range(6)]
+    targets = np.array([*rng.uniform((0, -80, -80), (100, 80, 90), (8 if count > 9 else 40, 3)), *mixed, solver.single[0], solver.single[-1]])
+    for target, got in zip(targets, solver.match(targets), strict=True):
+        want = plain_match(paints, target)
+        assert got[0] == want[0] and got[1] == pytest.approx(want[1], abs=1e-9) and got[2] == pytest.approx(want[2], abs=1e-9)
+
+
 def test_percentages_add_up(spark):
     rng = np.random.default_rng(4)
     shares = [(list(map(float, s / s.sum())),) for s in rng.random((300, 3)) ** 4]
@@ -85,7 +124,7 @@ def test_kmeans_against_numpy(spark):
 def test_only_measured_paints_can_be_chosen(spark):
     df = mixtures.palette(spark, [0, 1]).unionByName(spark.createDataFrame([(90, "Other", "X", "derived", [1.0] * pigments.BANDS, [1.0] * pigments.BANDS)], pigments.PIGMENT_DDL))
     assert [r.paint_idx for r in mixtures.selectable(df).orderBy("paint_idx").collect()] == [0, 1]
-    names = spark.createDataFrame([("Chalk",), ("Nothing",)], "name string")
+    names = spark.createDataFrame([("Mallow",), ("Nothing",)], "name string")
     assert [r.paint_idx for r in mixtures.by_names(df, names).collect()] == [0]
     assert mixtures.by_names(df, names.filter("name = 'Nothing'")).count() == 3
 
@@ -99,7 +138,7 @@ def test_every_colour_asked_for_gets_its_blend(spark, tmp_path):
 
 def test_equal_colours_share_a_blend(spark):
     rows = [(1, 50.0, 5.0, -3.0), (2, 50.0, 5.0, -3.0), (3, 20.0, 0.0, 0.0)]
-    found = {r.id: r for r in recipes.closest_blends(spark.createDataFrame(rows, "id long, l double, a double, b double"), mixtures.palette(spark, [0, 6, 11])).collect()}
+    found = {r.id: r for r in recipes.closest_blends(spark.createDataFrame(rows, "id long, l double, a double, b double"), mixtures.palette(spark, [4, 9, 14])).collect()}
     assert sorted(found) == [1, 2, 3] and found[1][1:] == found[2][1:] != found[3][1:]
 
 
@@ -137,7 +176,7 @@ def plain_palette(samples, cands, k):
 
 def test_each_image_has_its_own_palette(spark):
     rng = np.random.default_rng(3)
-    cands = mixtures.settled(mixtures.candidates(mixtures.palette(spark, [0, 6, 11])))
+    cands = mixtures.settled(mixtures.candidates(mixtures.palette(spark, [4, 9, 14])))
     pixels = [(image, y, x, int(rng.integers(0, 1 << 24)) if image < 3 else 0x808080) for image in range(4) for y in range(6) for x in range(6)]
     df = spark.createDataFrame(pixels, "image_id long, y int, x int, argb int")
     listed = [(r.cand_idx, r.l, r.a, r.b) for r in cands.orderBy("cand_idx").collect()]
@@ -162,7 +201,7 @@ def test_per_pixel_search_uses_exact_colours(spark):
 
 
 def test_recipes_are_mixed_again_as_shown(spark):
-    paints = mixtures.palette(spark, [0, 6, 11])
+    paints = mixtures.palette(spark, [4, 9, 14])
     rows = [(1, 50.0, 5.0, -3.0), (2, 70.0, 20.0, 10.0)]
     targets = spark.createDataFrame(rows, "id long, l double, a double, b double")
     by_id = {r.paint_idx: r for r in paints.collect()}
@@ -175,7 +214,7 @@ def test_recipes_are_mixed_again_as_shown(spark):
 
 
 def test_recipes_under_points(spark):
-    paints = mixtures.palette(spark, [0, 6, 11])
+    paints = mixtures.palette(spark, [4, 9, 14])
     px = spark.createDataFrame([(1, 0, 0, -8355712), (1, 0, 1, 0x00FFFFFF), (1, 0, 2, -8355712)], "image_id long, y int, x int, argb int")
     points = spark.createDataFrame([(1, x, 0) for x in (0, 1, 2, 9)], "image_id long, x int, y int")
     got = {r.x: r.lines for r in recipes.recipes_at(px, points, paints).collect()}

@@ -9,7 +9,7 @@ import pytest
 from tintframe.plans import catalogue
 
 SMALL = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-TABLES = ("part", "lineitem", "events", "embeddings", "pages")
+TABLES = ("part", "lineitem", "supplier", "events", "embeddings", "pages")
 
 
 @pytest.fixture(scope="module")

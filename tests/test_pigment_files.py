@@ -8,7 +8,7 @@ from tintframe.sources import pigment_files
 
 
 def paints(spark):
-    derived = [(19, "Very long derived paint name " * 6, "D-1", "derived", [0.5] * pigments.BANDS, [1.0] * pigments.BANDS)]
+    derived = [(18, "Very long derived paint name " * 6, "D-1", "derived", [0.5] * pigments.BANDS, [1.0] * pigments.BANDS)]
     return mixtures.palette(spark).unionByName(spark.createDataFrame(derived, pigments.PIGMENT_DDL))
 
 
@@ -28,9 +28,9 @@ def test_other_files_are_refused(spark):
 
 
 def test_ingest_adds_new_paints(spark, tmp_path):
-    spectra = spark.createDataFrame([("Slate", ["40"] * 31), ("chalk", ["50"] * 31), ("Ash", ["60"] * 31)], "name string, pct array<string>")
+    spectra = spark.createDataFrame([("Slate", ["40"] * 31), ("mallow", ["50"] * 31), ("Ash", ["60"] * 31)], "name string, pct array<string>")
     pigment_files.ingest(spectra, mixtures.palette(spark), str(tmp_path))
     rows = pigment_files.read(spark, f"{tmp_path}/pigments.bin").orderBy("paint_idx").collect()
-    assert [r.name for r in rows[18:]] == ["Soot", "Ash", "Slate"] and rows[19].provenance == "derived"
+    assert [r.name for r in rows[17:]] == ["Coal", "Ash", "Slate"] and rows[18].provenance == "derived"
     lines = [r.value for r in spark.read.text(f"{tmp_path}/manifest").collect()]
-    assert len(lines) == 21 and lines[0].startswith("Chalk | W-1 | measured | 9")
+    assert len(lines) == 20 and lines[0].startswith("Mallow | G500 | measured | ")

@@ -16,6 +16,15 @@ def axes() -> tuple[WindowSpec, WindowSpec]:
     return W.partitionBy("image_id", "y").orderBy("x"), W.partitionBy("image_id", "x").orderBy("y")
 
 
+def by_image(pixels: DataFrame, whole: bool = True) -> DataFrame:
+    """``pixels`` dealt so that all windows of a filter find theirs together, in one shuffle.
+
+    ``whole`` deals an image to one task, which sorts it anew for each axis and spills what does
+    not fit. That suits many images; with few and very large ones it is better off, and rows
+    and columns are dealt apart at every step.
+    """
+    return pixels.repartition("image_id") if whole else pixels
+
 
 def box(pixels: DataFrame, names: list[str], radius: int) -> DataFrame:
     """Replace columns by their mean over a square, cut at the image's border."""
@@ -37,12 +46,12 @@ def from_linear(pixels: DataFrame) -> DataFrame:
     return pixels.withColumn("argb", color.pack(alpha, *(color.linear_to_byte(F.col(c)) for c in ("lr", "lg", "lb")))).drop("lr", "lg", "lb")
 
 
-def guided(pixels: DataFrame, *, radius: int, edge: float, iterations: int = 1) -> DataFrame:
-    """Self-guided edge-preserving filter of ``argb`` in linear light."""
+def guided(pixels: DataFrame, *, radius: int, edge: float, iterations: int = 1, whole: bool = True) -> DataFrame:
+    """Self-guided edge-preserving filter of ``argb`` in linear light; :func:`by_image` tells of ``whole``."""
     if radius < 1 or iterations < 1:
         return pixels
     names = ["lr", "lg", "lb"]
-    out = to_linear(pixels)
+    out = to_linear(by_image(pixels, whole))
     for _ in range(iterations):
         out = box(out.withColumns({f"m_{n}": F.col(n) for n in names} | {f"q_{n}": F.col(n) * F.col(n) for n in names}), [f"{p}_{n}" for p in "mq" for n in names], radius)
         slope = {n: F.greatest(F.col(f"q_{n}") - F.col(f"m_{n}") * F.col(f"m_{n}"), F.lit(0.0)) for n in names}
@@ -58,17 +67,17 @@ def gaussian_kernel(radius: int) -> list[float]:
     return [v / sum(raw) for v in raw]
 
 
-def gaussian(pixels: DataFrame, radius: int) -> DataFrame:
+def gaussian(pixels: DataFrame, radius: int, *, whole: bool = True) -> DataFrame:
     """Separable Gaussian blur of ``argb`` in linear light, border pixels repeated outwards."""
     if radius < 1:
         return pixels
     kernel, names = gaussian_kernel(radius), ["lr", "lg", "lb"]
-    out = to_linear(pixels)
+    out = to_linear(by_image(pixels, whole))
     for window in axes():
-        whole = window.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+        line = window.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
         sums = {}
         for n in names:
-            first, last = F.first(n).over(whole), F.last(n).over(whole)
+            first, last = F.first(n).over(line), F.last(n).over(line)
             near = lambda o: F.coalesce(F.lag(n, -o).over(window), first) if o < 0 else F.coalesce(F.lead(n, o).over(window), last) if o else F.col(n)  # noqa: B023, E731
             sums[n] = sum(F.lit(k) * near(o) for o, k in enumerate(kernel, -radius))
         out = out.withColumns(sums)

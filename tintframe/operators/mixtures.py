@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import color, pigments
 from .nearest import collected
@@ -12,6 +17,11 @@ from .nearest import collected
 PAIR_STEPS, TRIPLE_STEPS = 64, 16
 
 
+def library_order():
+    """The order of a palette, a short list."""
+    return W.orderBy("paint_idx")
+
+
 def palette(spark: SparkSession, indices: list[int] | None = None) -> DataFrame:
     """The built-in pigments, or those at ``indices``, always in library order."""
     rows = [p for p in pigments.PALETTE if indices is None or p[0] in indices]
@@ -37,10 +47,10 @@ def bands(spark: SparkSession) -> DataFrame:
 def enumerate_mixtures(paints: DataFrame) -> DataFrame:
     """ordinal, parts(paint_idx, share): every paint, pair and triple on its share grid.
 
-    n + 63 C(n, 2) + 105 C(n, 3) rows, in library order. Paints are a short list (19 in the
+    n + 63 C(n, 2) + 105 C(n, 3) rows, in library order. Paints are a short list (18 in the
     library), so that their theta-joins are broadcast.
     """
-    one = paints.select(F.row_number().over(W.orderBy("paint_idx")).alias("i"), "paint_idx")
+    one = paints.select(F.row_number().over(library_order()).alias("i"), "paint_idx")
     n = F.lit(one.count())
     a, b, c = (one.select(F.col("i").alias(x), F.col("paint_idx").alias(f"p{x}")) for x in "abc")
     part = lambda p, s: F.struct(F.col(p).cast("int").alias("paint_idx"), s.cast("double").alias("share"))
@@ -66,18 +76,48 @@ def blend_into(mixtures: DataFrame, mother: int, fraction: float) -> DataFrame:
     return mixtures.withColumn("parts", F.concat(kept, extra))
 
 
+#: Paints that mix at a time; their coefficients travel with the tasks.
+MOST_PAINTS = 256
+_OBSERVERS = np.array(pigments.OBSERVERS).T / pigments.NORM
+
+
 def mix(mixtures: DataFrame, paints: DataFrame, key: str = "ordinal") -> DataFrame:
     """``key``, x, y, z of mixtures given as ``parts``: band sums, reflectance, observer sums.
 
-    Shares are normalised; a mixture without a positive sum has null results.
+    Shares are normalised; a mixture without a positive sum of known paints has null results.
+    The paints are a short list, so a batch of mixtures is a matrix of shares, its band sums
+    are matrix products, and nothing is shuffled.
     """
-    spark = mixtures.sparkSession
-    coefficient = paints.select("paint_idx", F.posexplode(F.arrays_zip("k", "s")).alias("band", "ks"))
-    part = mixtures.select(key, F.explode("parts").alias("part")).select(key, "part.paint_idx", "part.share")
-    sums = part.join(F.broadcast(coefficient), "paint_idx").groupBy(key, "band").agg(*(F.sum(c).alias(n) for n, c in (("k", F.col("share") * F.col("ks.k")), ("s", F.col("share") * F.col("ks.s")), ("total", F.col("share")))))
-    r = pigments.reflectance(F.col("k") / F.nullif("total", F.lit(0.0)), F.col("s") / F.nullif("total", F.lit(0.0)))
-    seen = sums.select(key, "band", r.alias("r")).join(F.broadcast(bands(spark)), "band")
-    return seen.groupBy(key).agg(*((F.sum(F.col(o) * F.col("r")) / pigments.NORM).alias(n) for o, n in (("xbar", "x"), ("ybar", "y"), ("zbar", "z"))))
+    rows = paints.select("paint_idx", "k", "s").orderBy("paint_idx").limit(MOST_PAINTS + 1).collect()
+    if len(rows) > MOST_PAINTS:
+        raise ValueError(f"more than {MOST_PAINTS} paints")
+    known = np.array([r.paint_idx for r in rows], np.int64)
+    k, s = (np.array([r[c] for r in rows]).reshape(-1, pigments.BANDS) for c in "ks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = batch["parts"]
+            lengths = np.diff(parts.offsets.to_numpy())
+            entries = parts.flatten()
+            row = np.repeat(np.arange(len(parts)), np.where(parts.is_valid().to_numpy(zero_copy_only=False), lengths, 0))
+            paint = entries.field("paint_idx").to_numpy(zero_copy_only=False).astype(np.int64)
+            share = entries.field("share").to_numpy(zero_copy_only=False).astype(np.float64)
+            at = np.minimum(np.searchsorted(known, paint), max(0, len(known) - 1))
+            real = known[at] == paint if len(known) else np.zeros(len(paint), bool)
+            shares = np.zeros((len(parts), len(known)))
+            np.add.at(shares, (row[real], at[real]), share[real])
+            total = shares.sum(axis=1)
+            missing = ~(total > 0)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                q = (shares @ k) / np.maximum(shares @ s, pigments.LEAST_SCATTER * total[:, None])
+                r = 1 + q - np.sqrt(q * q + 2 * q)
+                r = (1 - pigments.SAUNDERSON_K1) * (1 - pigments.SAUNDERSON_K2) * r / (1 - pigments.SAUNDERSON_K2 * r)
+            xyz = r @ _OBSERVERS
+            yield pa.RecordBatch.from_arrays([batch[key], *(pa.array(xyz[:, i], mask=missing) for i in range(3))], names=[key, "x", "y", "z"])
+
+    plain = mixtures.select(key, "parts")
+    fields = [plain.schema[key], *(T.StructField(c, T.DoubleType()) for c in "xyz")]
+    return plain.mapInArrow(run, T.StructType(fields))
 
 
 def render(mixed: DataFrame) -> DataFrame:
@@ -98,7 +138,7 @@ def with_argb_lab(df: DataFrame) -> DataFrame:
 def candidates(paints: DataFrame, *, mother: int | None = None, fraction: float = 0.0) -> DataFrame:
     """cand_idx, argb, l, a, b: distinct colours of all mixtures in order of first occurrence.
 
-    Lab is of the 8-bit colour. At most 112,537 rows for the 19 paints of the library.
+    Lab is of the 8-bit colour. At most 95,337 rows for the 18 paints of the library.
     """
     every = enumerate_mixtures(paints)
     if mother is not None:
@@ -119,6 +159,22 @@ def keep_only(cands: DataFrame, predicate: Column) -> DataFrame:
     return kept if kept.limit(1).count() else cands
 
 
+def first_of_each(rendered: DataFrame, by: str) -> DataFrame:
+    """``by``, cand_idx, argb: the distinct colours of each group, numbered by first occurrence.
+
+    ``rendered`` has ``by``, ordinal and argb. Colours are made distinct before they are numbered.
+    """
+    seen = rendered.groupBy(by, "argb").agg(F.min("ordinal").alias("ordinal"))
+    return seen.select(by, (F.row_number().over(W.partitionBy(by).orderBy("ordinal")) - 1).alias("cand_idx"), "argb")
+
+
+def extents(cands: DataFrame | GroupedData) -> DataFrame:
+    """Of candidates, or of each of their groups: their number ``n``, largest ``chroma``, least and
+    largest lightness ``least_l, most_l``, and the first candidate that has each, ``darkest, lightest``."""
+    first = lambda f, sign: f("cand_idx", F.struct("l", (sign * F.col("cand_idx")).alias("i")))
+    return cands.agg(F.count("*").alias("n"), F.max(F.hypot("a", "b")).alias("chroma"), F.min("l").alias("least_l"), F.max("l").alias("most_l"), first(F.min_by, 1).alias("darkest"), first(F.max_by, -1).alias("lightest"))
+
+
 def select_candidates(cands: DataFrame, chosen: DataFrame) -> DataFrame:
     """The candidates listed in ``chosen(cand_idx)``, numbered anew in ascending order."""
     kept = cands.join(chosen.select("cand_idx").distinct(), "cand_idx", "left_semi")
@@ -134,15 +190,20 @@ def most_neutral(paints: DataFrame) -> int:
     return lab.agg(F.min_by("own", score)).first()[0]
 
 
+def strips(pairs: DataFrame, paints: DataFrame, width: int) -> DataFrame:
+    """``pairs`` (first, second, and any other columns) with x, argb: swept from one paint to the other."""
+    at = pairs.select("*", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("x"))
+    share = F.col("x") / float(max(1, width - 1))
+    part = lambda c, s: F.struct(F.col(c).cast("int").alias("paint_idx"), s.alias("share"))
+    keyed = at.select(F.struct(*pairs.columns, "x").alias("ordinal"), F.array(part("first", 1 - share), part("second", share)).alias("parts"))
+    return render(mix(keyed, paints)).select("ordinal.*", "argb")
+
+
 def gradient_strips(paints: DataFrame, width: int) -> DataFrame:
     """first, second, x, argb: every pair of paints swept from one to the other."""
     a = paints.select(F.col("paint_idx").alias("first"))
     b = paints.select(F.col("paint_idx").alias("second"))
-    at = a.join(F.broadcast(b), F.col("first") < F.col("second")).select("*", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("x"))
-    share = F.col("x") / float(max(1, width - 1))
-    part = lambda c, s: F.struct(F.col(c).alias("paint_idx"), s.alias("share"))
-    keyed = at.withColumn("ordinal", F.struct("first", "second", "x")).withColumn("parts", F.array(part("first", 1 - share), part("second", share)))
-    return render(mix(keyed, paints)).select("ordinal.*", "argb")
+    return strips(a.join(F.broadcast(b), F.col("first") < F.col("second")), paints, width)
 
 
 def families(paints: DataFrame) -> DataFrame:

@@ -18,6 +18,8 @@ MOST_CANDIDATES = 112_537
 INDEX_ROOM = 1 << 17
 #: Edge of the cells that points and candidates are sorted into.
 CELL = 6.0
+#: Cells whose few candidates a task keeps.
+KNOWN_CELLS = 4096
 
 
 class CandidateGrid:
@@ -35,12 +37,24 @@ class CandidateGrid:
         self.cells, owner = np.unique(self.cell(self.lab), axis=0, return_inverse=True)
         self.members = np.argsort(owner.reshape(-1), kind="stable")
         self.starts = np.searchsorted(owner.reshape(-1)[self.members], np.arange(len(self.cells) + 1))
+        self.known: dict[tuple, np.ndarray] = {}
 
     def cell(self, lab: np.ndarray) -> np.ndarray:
         return np.floor(lab * self.scale / CELL).astype(np.int64)
 
     def near(self, cell: np.ndarray) -> np.ndarray:
-        """Places of the candidates that can be nearest to a point of the cell, in order."""
+        """Places of the candidates that can be nearest to a point of the cell, in order.
+
+        The last cells asked for are kept, as images of a task ask for much the same ones.
+        """
+        asked = tuple(cell.tolist())
+        if asked not in self.known:
+            if len(self.known) >= KNOWN_CELLS:
+                self.known.pop(next(iter(self.known)))
+            self.known[asked] = self._near(cell)
+        return self.known[asked]
+
+    def _near(self, cell: np.ndarray) -> np.ndarray:
         apart = np.abs(self.cells - cell)
         least, most = np.maximum(apart - 1, 0) * CELL, (apart + 1) * CELL
         may = np.flatnonzero((least**2).sum(axis=1) <= (most**2).sum(axis=1).min())
@@ -119,6 +133,22 @@ def nearest_to(cands: DataFrame, light: float, a: float, b: float, lightness: fl
     return cands.agg(F.min(F.struct(F.round(d, 9).alias("d"), "cand_idx"))["cand_idx"]).first()[0]
 
 
+def key_points(keys: DataFrame, remap=None, *, by: tuple[str, ...] = ("colour_key",)) -> DataFrame:
+    """Lab (``l, a, b``) of 18-bit colour keys, of their bins' centres, after a ``remap``."""
+    lab = color.rgb_to_lab(*color.key_to_rgb(F.col("colour_key")))
+    points = keys.select("*", *(c.alias(n) for c, n in zip(lab, "lab", strict=True)))
+    if remap is None:
+        return points
+    moved = remap(tuple(F.col(c) for c in "lab"))
+    return points.select(*by, *(c.alias(n) for c, n in zip(moved, "lab", strict=True)))
+
+
+def with_key(pixels: DataFrame) -> DataFrame:
+    """``pixels`` with the 18-bit ``colour_key`` of ``argb``."""
+    _, r, g, b = color.channels(F.col("argb"))
+    return pixels.withColumn("colour_key", color.quantise(r, g, b))
+
+
 def resolve_once(pixels: DataFrame, cands: DataFrame, remap=None) -> DataFrame:
     """Pixels with ``cand_idx``, worked out once per 18-bit colour key and joined back.
 
@@ -130,16 +160,11 @@ def resolve_once(pixels: DataFrame, cands: DataFrame, remap=None) -> DataFrame:
     """
     own = "image_id" in cands.columns
     by = ["image_id", "colour_key"] if own else ["colour_key"]
-    _, r, g, b = color.channels(F.col("argb"))
-    keyed = pixels.withColumn("colour_key", color.quantise(r, g, b))
+    keyed = with_key(pixels)
     keys = keyed.select(*by).distinct()
-    lab = color.rgb_to_lab(*color.key_to_rgb(F.col("colour_key")))
-    points = keys.select(*by, *(c.alias(n) for c, n in zip(lab, "lab", strict=True)))
-    if remap is not None:
-        if own:
-            points = points.join(cands.groupBy("image_id").agg(F.max("ceiling").alias("ceiling")), "image_id")
-        moved = remap(tuple(F.col(c) for c in "lab"))
-        points = points.select(*by, *(c.alias(n) for c, n in zip(moved, "lab", strict=True)))
+    if own and remap is not None:
+        keys = keys.join(cands.groupBy("image_id").agg(F.max("ceiling").alias("ceiling")), "image_id")
+    points = key_points(keys, remap, by=tuple(by))
     found = (nearest_of_own if own else nearest)(points, cands, key="colour_key")
     return keyed.join(found, by).drop("colour_key")
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import math
+import pickle
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pandas as pd
@@ -21,8 +24,9 @@ _OBSERVERS = np.array(pigments.OBSERVERS) / pigments.NORM
 
 
 def _lab_of(shares: np.ndarray, k: np.ndarray, s: np.ndarray) -> np.ndarray:
-    """Spectral Lab of rows of shares over the same few paints."""
-    q = (shares @ k) / np.maximum(shares @ s, pigments.LEAST_SCATTER)
+    """Spectral Lab of rows of shares: of the same few paints, or of each row's own."""
+    ks, ss = ((shares @ x if x.ndim == 2 else np.einsum("ij,ijb->ib", shares, x)) for x in (k, s))
+    q = ks / np.maximum(ss, pigments.LEAST_SCATTER)
     r = 1 + q - np.sqrt(q * q + 2 * q)
     r = (1 - pigments.SAUNDERSON_K1) * (1 - pigments.SAUNDERSON_K2) * r / (1 - pigments.SAUNDERSON_K2 * r)
     t = (r @ _OBSERVERS.T) / color.WHITE
@@ -31,75 +35,216 @@ def _lab_of(shares: np.ndarray, k: np.ndarray, s: np.ndarray) -> np.ndarray:
 
 
 def _distance(lab: np.ndarray, target: np.ndarray) -> np.ndarray:
-    return color.LIGHTNESS_WEIGHT * np.abs(lab[:, 0] - target[0]) + np.hypot(lab[:, 1] - target[1], lab[:, 2] - target[2])
+    gap = lab - target
+    return color.LIGHTNESS_WEIGHT * np.abs(gap[..., 0]) + np.hypot(gap[..., 1], gap[..., 2])
 
 
-def _grid(size: int) -> np.ndarray:
-    if size == 1:
-        return np.ones((1, 1))
-    if size == 2:
-        u = np.arange(PAIR_SWEEP + 1) / PAIR_SWEEP
-        return np.stack([u, 1 - u], axis=1)
-    u, v = (x.reshape(-1) / TRIPLE_SWEEP for x in np.meshgrid(*[np.arange(TRIPLE_SWEEP + 1)] * 2, indexing="ij"))
-    return np.stack([u, v, 1 - u - v], axis=1)[u + v <= 1 + 1e-9]
+class _Sweep:
+    """All subsets of one size (two or three paints) on a lattice of shares.
+
+    A subset's coarse sweep, every fourth lattice point, is refined around its best point on
+    the lattice itself, and then a quarter finer within a lattice step, where shares need to be
+    mixed anew. How far such a step leads in Lab, and how far from its second-order form, is
+    measured at the neighbouring lattice points, with a quarter on top.
+    """
+
+    def __init__(self, k: np.ndarray, s: np.ndarray, size: int):
+        self.size, self.k, self.s = size, k, s
+        self.members = np.array(list(combinations(range(len(k)), size)), np.int64).reshape(-1, size)
+        self.steps = REFINE_STEPS // 2 * (PAIR_SWEEP if size == 2 else TRIPLE_SWEEP)
+        n = self.steps
+        places = np.array([(u, n - u) for u in range(n + 1)] if size == 2 else [(u, v) for u in range(n + 1) for v in range(n + 1 - u)])
+        number = {tuple(x): i for i, x in enumerate(places.tolist())}
+        free = places[:, : size - 1]
+        at = lambda x: number.get((x[0], n - x[0]) if size == 2 else tuple(x), -1) if min(x) >= 0 else -1
+        moved = lambda i, by: at([a + b for a, b in zip(free[i].tolist(), by, strict=True)])
+        self.shares = np.column_stack([free, n - free.sum(axis=1)]) / n
+        half = REFINE_STEPS // 2
+        self.coarse = np.flatnonzero((free % half == 0).all(axis=1))
+        offsets = list(product(range(-half, half + 1), repeat=size - 1))
+        self.near = np.array([[j if (j := moved(i, by)) >= 0 else i for by in offsets] for i in self.coarse])
+        self.lab = np.stack([_lab_of(self.shares, k[m], s[m]) for m in self.members]) if len(self.members) else np.empty((0, len(self.shares), 3))
+        here = np.arange(len(free))
+        beside = lambda by: np.array([moved(i, by) for i in here])
+        # a step along each free share to its second order, by the neighbours on both sides or
+        # two on one; their third difference says how far that can be off
+        self.terms: list[tuple[tuple[int, ...], np.ndarray]] = []
+        self.bend = np.zeros(self.lab.shape[:2])
+        for axis in range(size - 1):
+            back2, back, on, on2 = (beside([step * (j == axis) for j in range(size - 1)]) for step in (-2, -1, 1, 2))
+            at_ = lambda to: self.lab[:, to]
+            rise, curve, off = np.zeros(self.lab.shape), np.zeros(self.lab.shape), np.zeros(self.bend.shape)
+            inside = np.flatnonzero((back >= 0) & (on >= 0))
+            rise[:, inside] = (at_(on[inside]) - at_(back[inside])) / 2
+            curve[:, inside] = (at_(on[inside]) + at_(back[inside])) / 2 - at_(inside)
+            for sign, one, two in ((1, on, on2), (-1, back, back2)):
+                edge = np.flatnonzero((back < 0 if sign > 0 else on < 0) & (one >= 0))
+                far = np.where(two[edge] >= 0, two[edge], one[edge])
+                curve[:, edge] = np.where((two[edge] >= 0)[:, None], (at_(far) - 2 * at_(one[edge]) + at_(edge)) / 2, 0)
+                rise[:, edge] = sign * (at_(one[edge]) - at_(edge) - curve[:, edge])
+                third = np.flatnonzero((two >= 0) & (one >= 0) & ((back if sign > 0 else on) >= 0))
+                last = (back if sign > 0 else on)[third]
+                off[:, third] = np.maximum(off[:, third], _distance(at_(two[third]) - 3 * at_(one[third]) + 3 * at_(third) - at_(last), np.zeros(3)))
+            # where a point has no third difference of its own, its neighbours' stand for it
+            spread = off.copy()
+            for to in (back2, back, on, on2):
+                real = np.flatnonzero(to >= 0)
+                spread[:, real] = np.maximum(spread[:, real], off[:, to[real]])
+            self.bend += spread / 6
+            self.terms += [((axis,), rise), ((axis, axis), curve)]
+        if size == 3:
+            signs = ((1, 1, 1), (-1, -1, 1), (1, -1, -1), (-1, 1, -1))
+            corners = [beside(s_[:2]) for s_ in signs]
+            cross, n_met = np.zeros(self.lab.shape), np.zeros(len(here))
+            for (du, dv, sign), to in zip(signs, corners, strict=True):
+                real = np.flatnonzero(to >= 0)
+                straight = sum(math.prod((du, dv)[axis] for axis in axes) * x[:, real] for axes, x in self.terms)
+                cross[:, real] += sign * (self.lab[:, to[real]] - self.lab[:, real] - straight)
+                n_met[real] += 1
+            self.terms.append(((0, 1), cross / np.maximum(n_met, 1)[:, None]))
+        self.terms = [(axes, x.astype(np.float32)) for axes, x in self.terms]
+        self.reach, worst = np.zeros(self.bend.shape), np.zeros(self.bend.shape)
+        for by in product((-1, 0, 1), repeat=size - 1):
+            to = beside(by)
+            real = np.flatnonzero(to >= 0)
+            step = self.lab[:, to[real]] - self.lab[:, real]
+            told = sum(math.prod(by[axis] for axis in axes) * x[:, real] for axes, x in self.terms)
+            for kept, gap in ((self.reach, step), (worst, step - told)):
+                kept[:, real] = np.maximum(kept[:, real], _distance(gap, np.zeros(3)))
+        self.reach = 1.25 * self.reach + 1e-4
+        self.bend = 1.25 * (self.bend + worst) + 1e-4
+
+    def swept(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each subset's best lattice point for a target after one refinement, and its distance."""
+        every = np.arange(len(self.members))
+        first = _distance(self.lab[:, self.coarse], target).argmin(axis=1)
+        around = self.near[first]
+        d = _distance(self.lab[every[:, None], around], target)
+        to = d.argmin(axis=1)
+        own = _distance(self.lab[every, self.coarse[first]], target)
+        better = d[every, to] < own
+        return np.where(better, around[every, to], self.coarse[first]), np.where(better, d[every, to], own)
+
+    def _tried(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Shares within a lattice step of lattice points, and which of them exist."""
+        fine = np.linspace(-1, 1, REFINE_STEPS + 1) / self.steps
+        free = [np.clip(self.shares[at, axis, None] + fine, 0, 1) for axis in range(self.size - 1)]
+        if self.size == 3:
+            n = len(fine)
+            free = [np.repeat(free[0], n, axis=1), np.tile(free[1], (1, n))]
+        rest = 1 - sum(free)
+        return np.maximum(np.stack([*free, rest], axis=2), 0), rest >= -1e-12
+
+    def least(self, subset: np.ndarray, at: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What the second refinement of recipes can reach at best; whether it leaves them as they are.
+
+        That is the distance after steps of second order, less their error, which shrinks with
+        the step.
+        """
+        out, stays = np.empty(len(subset)), np.empty(len(subset), bool)
+        for lo in range(0, len(subset), 512):
+            c, i = subset[lo : lo + 512], at[lo : lo + 512]
+            tried, real = self._tried(i)
+            moved = [(tried[..., axis] - self.shares[i, axis, None]) * self.steps for axis in range(self.size - 1)]
+            lab = self.lab[c, i][:, None]
+            for axes, x in self.terms:
+                lab = lab + math.prod(moved[axis] for axis in axes)[..., None] * x[c, i][:, None]
+            far = np.max(np.abs(moved), axis=0)
+            d = np.where(real, _distance(lab, target[lo : lo + 512, None]) - self.bend[c, i][:, None] * far, np.inf)
+            out[lo : lo + 512] = d.min(axis=1)
+            stays[lo : lo + 512] = np.where(far > 1e-9, d, np.inf).min(axis=1) >= _distance(self.lab[c, i], target[lo : lo + 512])
+        return out, stays
+
+    def refined(self, subset: np.ndarray, at: np.ndarray, d: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distance and shares of recipes after the second refinement."""
+        best, shares = d.copy(), np.maximum(self.shares[at], 0)
+        for lo in range(0, len(subset), 64):
+            some = slice(lo, lo + 64)
+            tried, real = self._tried(at[some])
+            n = tried.shape[1]
+            m = np.repeat(self.members[subset[some]], n, axis=0)
+            lab = _lab_of(tried.reshape(-1, self.size), self.k[m], self.s[m]).reshape(-1, n, 3)
+            gap = np.where(real, _distance(lab, target[some, None]), np.inf)
+            to = gap.argmin(axis=1)
+            found = gap[np.arange(len(to)), to]
+            better = np.flatnonzero(found < best[some])
+            best[some][better] = found[better]
+            shares[some][better] = tried[better, to[better]]
+        return best, shares / shares.sum(axis=1, keepdims=True)
 
 
 class Solver:
-    """Coarse sweeps of every subset, rendered once; finer ones around the best, per colour."""
+    """The best recipe of one to three paints for colours, a batch at a time.
+
+    Every subset is swept and refined on its lattice. The last refinement is made of the most
+    promising subsets first; the others follow only if what they can still gain suffices to
+    beat the best recipe known.
+    """
+
+    #: Recipes refined at a time, the most promising first.
+    RECIPES = 8
 
     def __init__(self, paints: list[tuple[int, list[float], list[float]]]):
         self.index = [p[0] for p in paints]
-        self.k, self.s = (np.array([p[i] for p in paints]) for i in (1, 2))
-        self.subsets = [c for size in (1, 2, 3) for c in combinations(range(len(paints)), size)]
-        self.grids = {size: _grid(size) for size in (1, 2, 3)}
-        self.coarse = [_lab_of(self.grids[len(c)], self.k[list(c)], self.s[list(c)]) for c in self.subsets]
-
-    def solve(self, subset: tuple[int, ...], coarse: np.ndarray, target: np.ndarray) -> tuple[float, np.ndarray]:
-        d = _distance(coarse, target)
-        at = int(d.argmin())
-        best, shares = float(d[at]), self.grids[len(subset)][at]
-        window = 1 / (PAIR_SWEEP if len(subset) == 2 else TRIPLE_SWEEP)
-        for _ in range(REFINEMENTS if len(subset) > 1 else 0):
-            steps = np.linspace(-window, window, REFINE_STEPS + 1)
-            if len(subset) == 2:
-                u = np.clip(shares[0] + steps, 0, 1)
-                tried = np.stack([u, 1 - u], axis=1)
-            else:
-                u, v = (x.reshape(-1) for x in np.meshgrid(np.clip(shares[0] + steps, 0, 1), np.clip(shares[1] + steps, 0, 1), indexing="ij"))
-                tried = np.stack([u, v, 1 - u - v], axis=1)[u + v <= 1 + 1e-12]
-            d = _distance(_lab_of(np.maximum(tried, 0), self.k[list(subset)], self.s[list(subset)]), target)
-            if len(d) and d.min() < best:
-                best, shares = float(d.min()), np.maximum(tried[d.argmin()], 0)
-            window /= 4
-        return best, shares / shares.sum()
-
-    def match(self, target: np.ndarray) -> tuple[list[int], list[float], float]:
-        """Paints, shares and distance; ties go to fewer paints, then to library order."""
-        found = None
-        for subset, coarse in zip(self.subsets, self.coarse, strict=True):
-            d, shares = self.solve(subset, coarse, target)
-            if found is None or d < found[0] - 1e-12:
-                found = (d, subset, shares)
-        d, subset, shares = found
+        k, s = (np.array([p[i] for p in paints]) for i in (1, 2))
+        self.single = _lab_of(np.eye(len(paints)), k, s)
+        self.sweeps = [_Sweep(k, s, size) for size in (2, 3)]
+
+    def match(self, targets: np.ndarray) -> list[tuple[list[int], list[float], float]]:
+        """Paints, shares and distance for each target; ties go to fewer paints, then to library order."""
+        return [self._match(t) for t in targets]
+
+    def _match(self, target: np.ndarray) -> tuple[list[int], list[float], float]:
+        found = [(float(d), (i,), np.ones(1)) for i, d in enumerate(_distance(self.single, target))]
+        swept = [sweep.swept(target) for sweep in self.sweeps]
+        known = min([f[0] for f in found] + [d.min() for _, d in swept if len(d)])
+        for sweep, (at, d) in zip(self.sweeps, swept, strict=True):
+            alike = lambda c: np.broadcast_to(target, (len(c), 3))
+            may = np.flatnonzero(d - sweep.reach[np.arange(len(d)), at] <= known + 1e-9)
+            least, stays = sweep.least(may, at[may], alike(may))
+            settled, open_ = may[stays], np.flatnonzero(~stays)
+            met = [(c, float(d[c]), sweep.shares[at[c]]) for c in settled.tolist() if d[c] <= known + 1e-9]
+            order = open_[np.argsort(least[open_], kind="stable")]
+            for lo in range(0, len(order), self.RECIPES):
+                some = order[lo : lo + self.RECIPES]
+                c = may[some[least[some] <= known + 1e-9]]
+                if not len(c):
+                    break
+                best, shares = sweep.refined(c, at[c], d[c], alike(c))
+                met += zip(c.tolist(), best.tolist(), shares, strict=True)
+                known = min([known, *best.tolist()])
+            found += [(b, tuple(sweep.members[c]), x) for c, b, x in sorted(met, key=lambda m: m[0])]
+        best = found[0]
+        for f in found[1:]:  # some tens are left
+            if f[0] < best[0] - 1e-12:
+                best = f
+        distance, subset, shares = best
         keep = [i for i in range(len(subset)) if shares[i] >= LEAST_SHARE] or [0]
         total = sum(shares[i] for i in keep)
-        return [self.index[subset[i]] for i in keep], [float(shares[i] / total) for i in keep], d
+        return [self.index[subset[i]] for i in keep], [float(shares[i] / total) for i in keep], distance
+
+
+@functools.lru_cache(maxsize=4)
+def _solver(palette: bytes) -> Solver:
+    """One for each palette in a worker, however many tasks it runs."""
+    return Solver(pickle.loads(palette))
 
 
 def closest_blends(targets: DataFrame, paints: DataFrame) -> DataFrame:
     """id, paints, shares, distance: for each colour ``id, l, a, b`` its best recipe.
 
     The palette is a short list and travels with the tasks; distinct targets are dealt over
-    all cores, solved each against all subsets of one to three paints, and joined back.
+    all cores, solved in batches against all subsets of one to three paints, and joined back.
     """
     rows = [(r.paint_idx, r.k, r.s) for r in paints.orderBy("paint_idx").collect()]
     if not 0 < len(rows) <= 64:
         raise ValueError("a palette has 1 to 64 paints")
 
+    told = pickle.dumps(rows)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        solver = Solver(rows)
         for batch in batches:
-            found = [solver.match(np.array(t)) for t in batch[["l", "a", "b"]].itertuples(index=False)]
+            found = _solver(told).match(batch[["l", "a", "b"]].to_numpy())
             yield batch[["l", "a", "b"]].assign(paints=[f[0] for f in found], shares=[f[1] for f in found], distance=[f[2] for f in found])
 
     colours = targets.select("l", "a", "b").distinct().repartition(targets.sparkSession.sparkContext.defaultParallelism, "l", "a", "b")

@@ -8,9 +8,11 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import filters
+from ..sources import scratch
+from . import filters, graph
 from .nearest import nearest, nearest_of_own, nearest_to
 
 
@@ -53,6 +55,54 @@ def labels(indexed: DataFrame) -> DataFrame:
     return cast.groupBy("image_id").applyInPandas(run, "image_id long, y int, x int, cand_idx int, region_id long")
 
 
+#: Bits of a pixel's place that are its column: places are ordered as rows are read.
+_ROW = 31
+
+
+def labels_tiled(indexed: DataFrame, tile: int = 1024) -> DataFrame:
+    """The rows of :func:`labels` for images of any size: a task holds ``tile`` squared pixels.
+
+    Regions are labelled tile by tile and named by their first pixel. Pixels on both sides of a
+    tile's border that are alike make two names equal; connected components over these equalities
+    give each name the least of its component, which is the first pixel of the whole region.
+    Regions are then numbered in the order of their names.
+    """
+    if tile < 1:
+        raise ValueError("a tile has a pixel")
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["y", "x"])
+        local = label_grid(part["cand_idx"].to_numpy().reshape(part["y"].nunique(), -1)).reshape(-1)
+        place = (part["y"].to_numpy().astype(np.int64) << _ROW) | part["x"].to_numpy()
+        first = place[np.unique(local, return_index=True)[1]]
+        return part[["image_id", "y", "x", "cand_idx"]].assign(name=first[local])
+
+    cast = indexed.select("image_id", "y", "x", F.col("cand_idx").cast("int"), F.floor(F.col("y") / tile).alias("ty"), F.floor(F.col("x") / tile).alias("tx"))
+    named = scratch.save(cast.groupBy("image_id", "ty", "tx").applyInPandas(run, "image_id long, y int, x int, cand_idx int, name long"), "tiles")
+    pairs = None
+    for across, along in (("x", "y"), ("y", "x")):
+        here = named.filter(F.col(across) % tile == 0).select("image_id", along, (F.col(across) - 1).alias(across), "cand_idx", F.col("name").alias("u"))
+        there = named.filter(F.col(across) % tile == tile - 1).select("image_id", along, across, "cand_idx", F.col("name").alias("v"))
+        met = here.join(there, ["image_id", along, across, "cand_idx"]).select(F.col("image_id").alias("graph"), "u", "v").distinct()
+        pairs = met if pairs is None else pairs.union(met)
+    same = graph.components(pairs)
+    names = named.select("image_id", "name").distinct().join(same.select(F.col("graph").alias("image_id"), F.col("node").alias("name"), "root"), ["image_id", "name"], "left")
+    rooted = names.withColumn("root", F.coalesce("root", "name"))
+    number = F.dense_rank().over(W.partitionBy("image_id").orderBy("root")) - 1
+    numbered = rooted.select("image_id", "name", number.cast("long").alias("region_id"))
+    return named.join(numbered, ["image_id", "name"]).select("image_id", "y", "x", "cand_idx", "region_id")
+
+
+def adjacency(labelled: DataFrame) -> DataFrame:
+    """image_id, a, b: the pairs ``a < b`` of regions that touch along an edge, each once."""
+    found = None
+    for along, order in (("y", "x"), ("x", "y")):
+        beside = F.lead("region_id").over(W.partitionBy("image_id", along).orderBy(order))
+        met = labelled.select("image_id", F.col("region_id").alias("p"), beside.alias("q")).filter("p <> q")
+        found = met if found is None else found.union(met)
+    return found.select("image_id", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+
+
 def areas(labelled: DataFrame) -> DataFrame:
     """image_id, region_id, cand_idx, area."""
     return labelled.groupBy("image_id", "region_id").agg(F.first("cand_idx").alias("cand_idx"), F.count("*").alias("area"))
@@ -68,23 +118,14 @@ def small_fraction(labelled: DataFrame, least: int) -> DataFrame:
     return areas(labelled).groupBy("image_id").agg((small / F.sum("area")).alias("fraction"))
 
 
-def merge_grid(grid: np.ndarray, least: int) -> np.ndarray:
-    """Give every region under ``least`` pixels to a neighbour, the smallest region first.
+def merge_graph(area: list[int], near: list[set[int]], least: int) -> np.ndarray:
+    """Which region each one ends up in, when every one under ``least`` pixels joins a neighbour.
 
-    It goes to its largest neighbour that is large enough, else to its largest neighbour;
-    ties to the lowest region. A region that is still too small queues again.
+    The smallest region goes first, to its largest neighbour that is large enough, else to its
+    largest neighbour; ties to the lowest region. A region that is still too small queues
+    again. ``area`` and ``near`` are changed.
     """
-    region = label_grid(grid)
-    count = int(region.max()) + 1
-    area = np.bincount(region.reshape(-1), minlength=count).tolist()
-    value = np.empty(count, grid.dtype)
-    value[region.reshape(-1)] = grid.reshape(-1)
-    near: list[set[int]] = [set() for _ in range(count)]
-    for a, b in ((region[:, 1:], region[:, :-1]), (region[1:], region[:-1])):
-        for p, q in {*zip(a[a != b].tolist(), b[a != b].tolist(), strict=True)}:
-            near[p].add(q)
-            near[q].add(p)
-    into = list(range(count))
+    into = list(range(len(area)))
 
     def root(i: int) -> int:
         while into[i] != i:
@@ -106,8 +147,57 @@ def merge_grid(grid: np.ndarray, least: int) -> np.ndarray:
         near[target] |= near[i]
         if area[target] < least:
             heapq.heappush(queue, (area[target], target))
-    final = np.array([root(i) for i in range(count)])
-    return value[final[region]]
+    return np.array([root(i) for i in range(len(area))], np.int64)
+
+
+def merge_grid(grid: np.ndarray, least: int) -> np.ndarray:
+    """A grid of values after its regions under ``least`` pixels are merged by :func:`merge_graph`."""
+    region = label_grid(grid)
+    count = int(region.max()) + 1
+    area = np.bincount(region.reshape(-1), minlength=count).tolist()
+    value = np.empty(count, grid.dtype)
+    value[region.reshape(-1)] = grid.reshape(-1)
+    near: list[set[int]] = [set() for _ in range(count)]
+    for a, b in ((region[:, 1:], region[:, :-1]), (region[1:], region[:-1])):
+        for p, q in {*zip(a[a != b].tolist(), b[a != b].tolist(), strict=True)}:
+            near[p].add(q)
+            near[q].add(p)
+    return value[merge_graph(area, near, least)[region]]
+
+
+def merge_regions(labelled: DataFrame, mark: float) -> DataFrame:
+    """image_id, y, x, cand_idx of labelled pixels after regions under ``ceil(mark ** 2)`` pixels are merged.
+
+    A task takes the graph of an image, its regions' areas and which of them touch, and never
+    its pixels, which get the result by a join. With :func:`labels_tiled` before it an image
+    may be of any size, if its regions fit a worker.
+    """
+    least = math.ceil(mark * mark)
+    pixels = labelled.select("image_id", "y", "x", "cand_idx", "region_id")
+    if least <= 1:
+        return pixels.drop("region_id")
+
+    def run(graph_: pd.DataFrame) -> pd.DataFrame:
+        whole = graph_["b"].isna()
+        sizes = graph_[whole].sort_values("a")  # numbered from 0 without gaps
+        near: list[set[int]] = [set() for _ in range(len(sizes))]
+        for a, b in zip(graph_.loc[~whole, "a"].tolist(), graph_.loc[~whole, "b"].astype(int).tolist(), strict=True):
+            near[a].add(b)
+            near[b].add(a)
+        into = merge_graph(sizes["area"].astype(int).tolist(), near, least)
+        return pd.DataFrame({"image_id": sizes["image_id"].to_numpy(), "region_id": sizes["a"].to_numpy(), "cand_idx": sizes["cand_idx"].astype(int).to_numpy()[into]})
+
+    sizes = areas(labelled)
+    # an image without a small region has nothing to merge, and its graph goes nowhere
+    open_images = sizes.groupBy("image_id").agg(F.min("area").alias("smallest")).filter(F.col("smallest") < least).select(F.col("image_id").alias("open_id"))
+    none = F.lit(None).cast("long")
+    nodes = sizes.select("image_id", F.col("region_id").alias("a"), none.alias("b"), "area", F.col("cand_idx").cast("long").alias("cand_idx"))
+    edges = adjacency(labelled).select("image_id", "a", "b", none.alias("area"), none.alias("cand_idx"))
+    both = nodes.union(edges)
+    graphs = both.join(open_images, both["image_id"] == F.col("open_id"), "left_semi")
+    merged = graphs.groupBy("image_id").applyInPandas(run, "image_id long, region_id long, cand_idx int")
+    met = pixels.join(merged.withColumnRenamed("cand_idx", "merged"), ["image_id", "region_id"], "left")
+    return met.select("image_id", "y", "x", F.coalesce("merged", "cand_idx").alias("cand_idx"))
 
 
 def merge_small(indexed: DataFrame, mark: float) -> DataFrame:

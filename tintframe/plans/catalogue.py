@@ -6,16 +6,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import color, pigments
-from ..operators import filters, mixtures, nearest, palette, recipes, regions, wheel
-from ..sources import fixtures, images, pigment_files
-from ..streaming import requests
+from ..operators import filters, mixtures, nearest, palette, recipes, regions, viewport, wheel
+from ..operators.colour_maps import ColourMaps, map_name
+from ..sources import fixtures, images, pigment_files, scratch
+from ..streaming import requests, scheduler
 from . import oracle_text as sql
-from . import styles
+from . import phases, styles
 
 FLAGSHIP = "style_realism"
 QUERIES: dict = {}
 ORACLES: dict = {}
-SIX = [0, 2, 6, 9, 11, 18]
 EVERY = [p[0] for p in pigments.PALETTE]
 MARK = 2.0
 
@@ -42,8 +42,12 @@ def _lab(df: DataFrame) -> DataFrame:
     return df.select("*", *(c.alias(n) for c, n in zip(color.rgb_to_lab(*_rgb()), ("l", "aa", "bb"), strict=True)))
 
 
-def _cands(spark: SparkSession, indices: list[int]) -> DataFrame:
-    return mixtures.settled(mixtures.candidates(mixtures.palette(spark, indices)))
+#: Candidates of the session, built once for all queries on the same paints.
+_KEPT = styles.Cache()
+
+
+def _cands(spark: SparkSession, style: str = "Realism") -> DataFrame:
+    return _KEPT.candidates(styles.by_name(style), mixtures.palette(spark))
 
 
 # ---- colour maths
@@ -180,12 +184,19 @@ def _mix_sql(idx) -> str:
     return f"{sql.pigment_ctes(idx)}, {_ENUM(idx)}, {sql.mix_ctes('parts', 'mx')}"
 
 
-@query(f"WITH {_mix_sql(EVERY)} SELECT id AS ordinal, round({_LAB_XYZ[0]}, 6) AS l, round({_LAB_XYZ[1]}, 6) AS a, round({_LAB_XYZ[2]}, 6) AS b FROM mx")
+@query(f"WITH {sql.pigment_ctes(EVERY)}, {fixtures.LINES_SQL}, {sql.mix_ctes('parts', 'mx')} SELECT id AS ordinal, round({_LAB_XYZ[0]}, 6) AS l, round({_LAB_XYZ[1]}, 6) AS a, round({_LAB_XYZ[2]}, 6) AS b FROM mx")
 def km_mixtures(spark, sf_dir):
-    paints = mixtures.palette(spark, EVERY)
-    mixed = mixtures.mix(mixtures.enumerate_mixtures(paints), paints)
+    """Every order line as a mixture of paints."""
+    mixed = mixtures.mix(fixtures.recipes_of_lines(spark, sf_dir), mixtures.palette(spark))
     light, a, b = color.xyz_to_lab(tuple(map(F.col, "xyz")))
-    return mixed.select(F.col("ordinal").cast("long"), *r6(l=light, a=a, b=b))
+    return mixed.select("ordinal", *r6(l=light, a=a, b=b))
+
+
+XYZ = "xyz"
+
+
+def _linear_sql(source: str) -> str:
+    return f"wide AS (SELECT id, {', '.join(f'{sql.dot(row, XYZ)} AS {n}' for row, n in zip(color.FROM_XYZ, 'rgb', strict=True))} FROM {source}), {sql.gamut_ctes('wide', 'm')}"
 
 
 def _argb_sql(idx) -> str:
@@ -196,16 +207,43 @@ firsts AS (SELECT rgba, min(id) AS id FROM shown GROUP BY rgba),
 cand0 AS (SELECT (row_number() OVER (ORDER BY id) - 1)::INT AS cand_idx, ((rgba >> 16) & 255)::INT AS r, ((rgba >> 8) & 255)::INT AS g, (rgba & 255)::INT AS b FROM firsts), {sql.lab_ctes('cand0', 'cand')}"""
 
 
-@query(f"WITH RECURSIVE {_argb_sql(SIX)} SELECT cand_idx, r, g, b, round(l, 6) AS l FROM cand")
+@query(f"""WITH RECURSIVE {sql.pigment_ctes(EVERY)}, {fixtures.LINES_SQL}, {sql.mix_ctes('parts', 'mx')}, {_linear_sql('mx')},
+shown AS (SELECT l.supplier, m.id, (-16777216 + {sql.encode('r')} * 65536 + {sql.encode('g')} * 256 + {sql.encode('b')})::INT AS argb FROM m JOIN line l USING (id)),
+firsts AS (SELECT supplier, argb, min(id) AS id FROM shown GROUP BY supplier, argb)
+SELECT supplier, (row_number() OVER (PARTITION BY supplier ORDER BY id) - 1)::INT AS cand_idx, argb FROM firsts""")
 def mixture_distinct(spark, sf_dir):
-    _, r, g, b = color.channels(F.col("argb"))
-    return _cands(spark, SIX).select("cand_idx", r.alias("r"), g.alias("g"), b.alias("b"), F.round("l", 6).alias("l"))
+    """Each supplier's colours, numbered as they come up in its order lines."""
+    lines, paints = fixtures.recipes_of_lines(spark, sf_dir), mixtures.palette(spark)
+    keyed = lines.select(F.struct("supplier", "ordinal").alias("key"), "parts")
+    return mixtures.first_of_each(mixtures.render(mixtures.mix(keyed, paints, "key")).select("key.*", "argb"), "supplier")
 
 
-@query()
+_NEUTRAL_SQL = f"""alone AS (SELECT i AS id, i AS paint_idx, 1::DOUBLE AS share FROM (SELECT unnest({EVERY}) AS i)), {sql.mix_ctes('alone', 'am')},
+awide AS (SELECT id, {', '.join(f'{sql.dot(row, XYZ)} AS {n}' for row, n in zip(color.FROM_XYZ, 'rgb', strict=True))} FROM am), {sql.gamut_ctes('awide', 'ag')},
+abyte AS (SELECT id, {sql.encode('r')} AS r, {sql.encode('g')} AS g, {sql.encode('b')} AS b FROM ag), {sql.lab_ctes('abyte', 'al')},
+mother AS (SELECT id AS paint_idx FROM al ORDER BY sqrt(aa * aa + bb * bb) + 0.10::DOUBLE * abs(l - 50), abs(l - 50), id LIMIT 1)"""
+
+
+@query(f"""WITH RECURSIVE {sql.pigment_ctes(EVERY)}, {fixtures.LINES_SQL}, {_NEUTRAL_SQL},
+shares AS (SELECT id, paint_idx, share / sum(share) OVER (PARTITION BY id) * 0.85::DOUBLE AS share FROM parts UNION ALL SELECT line.id, mother.paint_idx, 0.15::DOUBLE FROM line, mother),
+{sql.mix_ctes('shares', 'mx')}, {_linear_sql('mx')} SELECT id AS ordinal, round({_LAB_XYZ[0]}, 6) AS l, (-16777216 + {sql.encode('m.r')} * 65536 + {sql.encode('m.g')} * 256 + {sql.encode('m.b')})::INT AS argb FROM mx JOIN m USING (id)""")
 def mixture_mother_colour(spark, sf_dir):
-    paints = mixtures.palette(spark, EVERY)
-    return mixtures.candidates(paints, mother=mixtures.most_neutral(paints), fraction=0.15)
+    """Every order line's mixture with 15 % of the palette's most neutral paint."""
+    paints = mixtures.palette(spark)
+    total = F.aggregate("parts", F.lit(0.0), lambda s, p: s + p["share"])
+    whole = F.transform("parts", lambda p: F.struct(p["paint_idx"].alias("paint_idx"), (p["share"] / F.col("total")).alias("share")))
+    lines = fixtures.recipes_of_lines(spark, sf_dir).withColumn("total", total).select("ordinal", whole.alias("parts"))
+    shown = mixtures.render(mixtures.mix(mixtures.blend_into(lines, mixtures.most_neutral(paints), 0.15), paints))
+    return shown.select("ordinal", F.round("l", 6).alias("l"), "argb")
+
+
+@query(f"WITH RECURSIVE {_argb_sql(EVERY)}, stock AS (SELECT p_partkey % 50 AS few FROM part GROUP BY ALL) SELECT few AS share, count(*) AS n, round(max(sqrt(aa * aa + bb * bb)), 6) AS chroma, round(min(l), 6) AS least_l, round(max(l), 6) AS most_l, arg_min(cand_idx, l * 1000000 + cand_idx / 1000000.0) AS darkest, arg_max(cand_idx, l * 1000000 - cand_idx / 1000000.0) AS lightest FROM stock JOIN cand ON cand_idx % 50 = few GROUP BY few")
+def candidate_extents(spark, sf_dir):
+    """Extents of the parts of the candidates that the parts' keys ask for."""
+    few = spark.read.parquet(f"{sf_dir}/part.parquet").select((F.col("p_partkey") % 50).alias("share")).distinct()
+    met = _cands(spark).withColumn("share", F.col("cand_idx") % 50).join(few, "share").groupBy("share")
+    found = mixtures.extents(met)
+    return found.select("share", "n", *r6(chroma=F.col("chroma"), least_l=F.col("least_l"), most_l=F.col("most_l")), "darkest", "lightest")
 
 
 def _nearest_sql(points: str, weight: str) -> str:
@@ -221,27 +259,39 @@ def _points(df: DataFrame) -> DataFrame:
 
 @query(f"WITH RECURSIVE {COLOURS}, {sql.lab_ctes('colours', 'q')}, {_argb_sql(EVERY)} {_nearest_sql('q', '1')}")
 def nearest_unweighted(spark, sf_dir):
-    return nearest.nearest(_points(fixtures.colours(spark, sf_dir)), _cands(spark, EVERY), key="id")
+    return nearest.nearest(_points(fixtures.colours(spark, sf_dir)), _cands(spark), key="id")
 
 
 @query(f"WITH RECURSIVE {COLOURS}, {sql.lab_ctes('colours', 'q')}, {_argb_sql(EVERY)} {_nearest_sql('q', '1.5::DOUBLE')}")
 def nearest_weighted(spark, sf_dir):
-    return nearest.nearest(_points(fixtures.colours(spark, sf_dir)), _cands(spark, EVERY), key="id", lightness=1.5)
+    return nearest.nearest(_points(fixtures.colours(spark, sf_dir)), _cands(spark), key="id", lightness=1.5)
 
 
 _BIN = f"keyed AS (SELECT image_id, y, x, {_KEY} AS id FROM px), bins AS (SELECT DISTINCT id, (((id >> 12) & 63) * 4 + 2) AS r, (((id >> 6) & 63) * 4 + 2) AS g, ((id & 63) * 4 + 2) AS b FROM keyed), {sql.lab_ctes('bins', 'q')}"
 
 
-@query(f"WITH RECURSIVE {PX}, {_BIN}, {_argb_sql(EVERY)}, near AS ({_nearest_sql('q', '1')}) SELECT image_id, y, x, cand_idx FROM keyed JOIN near USING (id)")
+_JOINED_BACK = f"WITH RECURSIVE {PX}, {_BIN}, {_argb_sql(EVERY)}, near AS ({_nearest_sql('q', '1')}) SELECT image_id, y, x, cand_idx FROM keyed JOIN near USING (id)"
+
+
+@query(_JOINED_BACK)
 def colour_map_joinback(spark, sf_dir):
     px = fixtures.pixels(spark, sf_dir).select("image_id", "y", "x", "argb")
-    return nearest.resolve_once(px, _cands(spark, EVERY)).select("image_id", "y", "x", "cand_idx")
+    return nearest.resolve_once(px, _cands(spark)).select("image_id", "y", "x", "cand_idx")
 
 
-@query(f"WITH RECURSIVE {PX}, seen AS (SELECT DISTINCT r * 65536 + g * 256 + b AS id, r, g, b FROM px), {sql.lab_ctes('seen', 'q')}, {_argb_sql(SIX)}, near AS ({_nearest_sql('q', '1')}) SELECT image_id, y, x, cand_idx FROM px JOIN near ON near.id = r * 65536 + g * 256 + b")
+@query(_JOINED_BACK)
+def colour_map_store(spark, sf_dir):
+    """The same by a kept map: the upper halves of all images fill it, whole images then solve the rest only."""
+    px = fixtures.pixels(spark, sf_dir).select("image_id", "y", "x", "argb")
+    cands, maps = _cands(spark), ColourMaps(spark, scratch.folder(spark, "colour-maps"))
+    maps.resolve(px.filter("y < 4"), cands, map_name(cands))
+    return maps.resolve(px, cands, map_name(cands)).select("image_id", "y", "x", "cand_idx")
+
+
+@query(f"WITH RECURSIVE {PX}, seen AS (SELECT DISTINCT r * 65536 + g * 256 + b AS id, r, g, b FROM px), {sql.lab_ctes('seen', 'q')}, {_argb_sql(EVERY)}, near AS ({_nearest_sql('q', '1')}) SELECT image_id, y, x, cand_idx FROM px JOIN near ON near.id = r * 65536 + g * 256 + b")
 def exact_colour_map(spark, sf_dir):
     px = fixtures.pixels(spark, sf_dir).select("image_id", "y", "x", "argb")
-    return nearest.resolve_per_pixel(px, _cands(spark, SIX)).select("image_id", "y", "x", "cand_idx")
+    return nearest.resolve_per_pixel(px, _cands(spark)).select("image_id", "y", "x", "cand_idx")
 
 
 _NAMES = ", ".join(f"({p[0]}, '{p[1]}')" for p in pigments.PALETTE)
@@ -257,20 +307,27 @@ lab AS (SELECT own.paint_idx, own.t, {_LAB_XYZ[0]} AS l, {_LAB_XYZ[1]} AS a, {_L
 j AS (SELECT m.paint_idx, m.l AS mass, CASE WHEN m.l < 30 THEN t.l ELSE m.l END AS l, CASE WHEN m.l < 30 THEN t.a ELSE m.a END AS a, CASE WHEN m.l < 30 THEN t.b ELSE m.b END AS b FROM lab m JOIN lab t USING (paint_idx) WHERE m.t = 0 AND t.t = 1),
 h AS (SELECT *, fmod(degrees(atan2(b, a)) + 360, 360) AS hue FROM j),
 f AS (SELECT paint_idx, mass, CASE WHEN sqrt(a * a + b * b) < 8 THEN CASE WHEN l >= 90 THEN 'Whites' ELSE 'Blacks' END WHEN hue >= 330 OR hue < 45 THEN 'Reds' WHEN hue >= 295 THEN 'Violets'
-  WHEN hue >= 220 THEN 'Blues' WHEN hue >= 130 THEN 'Greens' WHEN hue >= 65 THEN 'Yellows' ELSE 'Oranges' END AS family FROM h)
-SELECT name, family, (row_number() OVER (PARTITION BY family ORDER BY mass DESC, paint_idx))::INT AS rank, round(mass, 6) AS lightness FROM f JOIN names USING (paint_idx)"""
+  WHEN hue >= 220 THEN 'Blues' WHEN hue >= 130 THEN 'Greens' WHEN hue >= 65 THEN 'Yellows' ELSE 'Oranges' END AS family FROM h),
+named AS (SELECT paint_idx, name, family, (row_number() OVER (PARTITION BY family ORDER BY mass DESC, paint_idx))::INT AS rank, round(mass, 6) AS lightness FROM f JOIN names USING (paint_idx))
+SELECT s_nationkey AS nation, name, family, any_value(rank) AS rank, any_value(lightness) AS lightness, count(*) AS suppliers FROM supplier JOIN named ON paint_idx = s_suppkey % {len(EVERY)} GROUP BY ALL"""
 )
 def paint_family_groups(spark, sf_dir):
-    return mixtures.families(mixtures.palette(spark)).select("name", "family", "rank", F.round("lightness", 6).alias("lightness"))
+    """The paints that each nation's suppliers have, with their families."""
+    supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_nationkey").alias("nation"), (F.col("s_suppkey") % len(EVERY)).alias("paint_idx"))
+    named = mixtures.families(mixtures.palette(spark)).withColumn("lightness", F.round("lightness", 6))
+    return supplier.groupBy("nation", "paint_idx").agg(F.count("*").alias("suppliers")).join(named, "paint_idx").select("nation", "name", "family", "rank", "lightness", "suppliers")
 
 
-@query(f"""WITH RECURSIVE {sql.pigment_ctes(SIX)}, own AS (SELECT p.paint_idx AS first, q.paint_idx AS second, x::INT AS x, (p.paint_idx * 100 + q.paint_idx) * 100 + x AS id
-  FROM pig p JOIN pig q ON p.paint_idx < q.paint_idx, (SELECT unnest(range(48)) AS x)),
+@query(f"""WITH RECURSIVE {sql.pigment_ctes(EVERY)}, own AS (SELECT s_suppkey AS supplier, (s_suppkey % {len(EVERY)})::INT AS first, (s_nationkey % {len(EVERY)})::INT AS second, x::INT AS x, s_suppkey * 100 + x AS id
+  FROM supplier, (SELECT unnest(range(48)) AS x)),
 parts AS (SELECT id, first AS paint_idx, 1 - x / 47.0::DOUBLE AS share FROM own UNION ALL SELECT id, second, x / 47.0::DOUBLE FROM own),
-{sql.mix_ctes('parts', 'mx')}, wide AS (SELECT id, {', '.join(f"{sql.dot(row, 'xyz')} AS {n}" for row, n in zip(color.FROM_XYZ, 'rgb', strict=True))} FROM mx), {sql.gamut_ctes('wide', 'm')}
-SELECT first, second, x, (-16777216 + {sql.encode('r')} * 65536 + {sql.encode('g')} * 256 + {sql.encode('b')})::INT AS argb FROM own JOIN m USING (id)""")
+{sql.mix_ctes('parts', 'mx')}, {_linear_sql('mx')}
+SELECT supplier, first, second, x, (-16777216 + {sql.encode('r')} * 65536 + {sql.encode('g')} * 256 + {sql.encode('b')})::INT AS argb FROM own JOIN m USING (id)""")
 def gradient_strips(spark, sf_dir):
-    return mixtures.gradient_strips(mixtures.palette(spark, SIX), 48)
+    """A strip for each supplier, from its own paint to its nation's."""
+    supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    pairs = supplier.select(F.col("s_suppkey").alias("supplier"), *((F.col(c) % len(EVERY)).cast("int").alias(n) for c, n in (("s_suppkey", "first"), ("s_nationkey", "second"))))
+    return mixtures.strips(pairs, mixtures.palette(spark), 48)
 
 
 # ---- filters
@@ -376,6 +433,12 @@ def region_labels(spark, sf_dir):
     return regions.labels(_indexed(spark, sf_dir))
 
 
+@query(f"WITH RECURSIVE {_LABELS} SELECT image_id, y, x, cand_idx, region_id FROM lab")
+def region_labels_tiled(spark, sf_dir):
+    """The same from tiles of 3 by 3 pixels, as of images that do not fit a worker."""
+    return regions.labels_tiled(_indexed(spark, sf_dir), 3)
+
+
 @query(f"""WITH RECURSIVE {_LABELS}, area AS (SELECT image_id, region_id, count(*) AS n FROM lab GROUP BY ALL)
 SELECT image_id, count(*) AS regions, sum(CASE WHEN n < 4 THEN n ELSE 0 END) / sum(n)::DOUBLE AS fraction FROM area GROUP BY image_id""")
 def region_area_stats(spark, sf_dir):
@@ -388,6 +451,12 @@ def small_region_merge(spark, sf_dir):
     return regions.merge_small(_indexed(spark, sf_dir), MARK)
 
 
+@query()
+def region_graph_merge(spark, sf_dir):
+    """The same from tiles and the graph of an image's regions."""
+    return regions.merge_regions(regions.labels_tiled(_indexed(spark, sf_dir), 3), MARK)
+
+
 @query(f"""WITH RECURSIVE {_LABELS}, few(cand_idx, l, a, b) AS (VALUES (0, 20.0, 0.0, 0.0), (1, 30.0, 0.0, 0.0), (2, 60.0, 30.0, 10.0)),
 area AS (SELECT image_id, region_id, any_value(cand_idx) AS cand_idx, count(*) AS n, bool_or(x IN (0, 7) OR y IN (0, 7)) AS edge FROM lab GROUP BY image_id, region_id),
 field AS (SELECT image_id, arg_max(region_id, n * 1000 - region_id) AS region_id, arg_max(cand_idx, n * 1000 - region_id) AS cand_idx FROM area WHERE edge AND n >= 4 GROUP BY image_id),
@@ -415,7 +484,7 @@ def kmeans_palette(spark, sf_dir):
 
 @query()
 def image_palette(spark, sf_dir):
-    return palette.image_palette(fixtures.pixels(spark, sf_dir), _cands(spark, EVERY), 8)
+    return palette.image_palette(fixtures.pixels(spark, sf_dir), _cands(spark), 8)
 
 
 @query(
@@ -443,20 +512,20 @@ def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def closest_blends(spark, sf_dir):
-    """Recipes of a palette of six for a table of colours asked for: every part's."""
-    return recipes.closest_blends(_targets(spark, sf_dir), mixtures.palette(spark, SIX))
+    """Recipes of all paints for a table of colours asked for: every part's."""
+    return recipes.closest_blends(_targets(spark, sf_dir), mixtures.palette(spark, EVERY))
 
 
 @query()
 def recipe_lines(spark, sf_dir):
-    paints = mixtures.palette(spark, SIX)
+    paints = mixtures.palette(spark, EVERY)
     return recipes.recipe_lines(recipes.closest_blends(_targets(spark, sf_dir), paints), paints)
 
 
 @query()
 def recipe_matches(spark, sf_dir):
     """The recipes of every part's colour, mixed again as they are shown."""
-    return recipes.to_match(_targets(spark, sf_dir), mixtures.palette(spark, SIX))
+    return recipes.to_match(_targets(spark, sf_dir), mixtures.palette(spark, EVERY))
 
 
 @query()
@@ -464,41 +533,79 @@ def pixel_recipes(spark, sf_dir):
     """What is told of a pixel near the middle of every image."""
     px = fixtures.pixels(spark, sf_dir).select("image_id", "y", "x", "argb")
     points = px.select("image_id", F.lit(3).alias("x"), F.lit(4).alias("y")).distinct()
-    return recipes.recipes_at(px, points, mixtures.palette(spark, SIX))
+    return recipes.recipes_at(px, points, mixtures.palette(spark, EVERY))
 
 
-@query()
+_INNER = f"(m / ({(1 - pigments.SAUNDERSON_K1) * (1 - pigments.SAUNDERSON_K2)!r}::DOUBLE + {pigments.SAUNDERSON_K2}::DOUBLE * m))"
+
+
+@query(f"""WITH {sql.pigment_ctes(EVERY)},
+said AS (SELECT vec_id AS id, band, round(least(1, abs(embedding[greatest(0, least(30, band - 2)) + 1]::DOUBLE) * 2) * 100, 2) / 100 AS m FROM embeddings, (SELECT unnest(range({pigments.BANDS})) AS band)),
+held AS (SELECT id, band, greatest(1e-6::DOUBLE, least(1 - 1e-9::DOUBLE, {_INNER})) AS r FROM said),
+q AS (SELECT id, band, (1 - r) * (1 - r) / (2 * r) AS q FROM held),
+seen AS (SELECT id, band, {(1 - pigments.SAUNDERSON_K1) * (1 - pigments.SAUNDERSON_K2)!r}::DOUBLE * (1 + q - sqrt(q * q + 2 * q)) / (1 - {pigments.SAUNDERSON_K2}::DOUBLE * (1 + q - sqrt(q * q + 2 * q))) AS r FROM q),
+xyz AS (SELECT id, sum(xb * r) / {pigments.NORM!r}::DOUBLE AS x, sum(yb * r) / {pigments.NORM!r}::DOUBLE AS y, sum(zb * r) / {pigments.NORM!r}::DOUBLE AS z FROM seen JOIN bands USING (band) GROUP BY id)
+SELECT id AS paint_idx, format('Vector {{}} |  | derived | {{:.2f}} | {{:.2f}} | {{:.2f}}', id, {', '.join(sql.lab_columns('x', 'y', 'z'))}) AS value FROM xyz""")
 def paint_manifest(spark, sf_dir):
-    return pigment_files.manifest(mixtures.palette(spark))
+    """Manifest lines of paints derived from spectra, one an embedding."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumn("name", F.concat(F.lit("Vector "), F.col("vec_id").cast("string")))
+    percent = F.transform(F.slice("embedding", 1, 31), lambda x: F.round(F.least(F.lit(1.0), F.abs(x.cast("double")) * 2) * 100, 2).cast("string"))
+    new = images.derive_pigments(rows.select("name", percent.alias("pct")), mixtures.palette(spark))
+    number = F.substring_index("name", " ", -1).cast("long")
+    return pigment_files.manifest(new.select(number.alias("paint_idx"), "name", F.lit("").alias("colour_index"), F.lit("derived").alias("provenance"), "k", "s"))
 
 
-_DISC = """square AS (SELECT y, x, x - 15.5::DOUBLE AS dx, y - 15.5::DOUBLE AS dy FROM (SELECT unnest(range(32))::INT AS y), (SELECT unnest(range(32))::INT AS x)),
-disc AS (SELECT *, sqrt(dx * dx + dy * dy) AS d FROM square)"""
+_ON_WHEEL = lambda n: f"""inside AS (SELECT *, greatest(0, least(1, radius - distance)) AS alpha, CASE WHEN atan2(dy, dx) < 0 THEN atan2(dy, dx) + 2 * pi() ELSE atan2(dy, dx) END * {n} / (2 * pi()) AS pos FROM far WHERE radius - distance > 0),
+turned AS (SELECT *, CASE WHEN floor(pos) >= {n} THEN 0 ELSE floor(pos)::INT END AS lower, CASE WHEN floor(pos) >= {n} THEN 0 ELSE pos - floor(pos) END AS blend, least(distance / radius, 1) AS rim FROM inside),
+w AS (SELECT id, paint, (1 - rim) / {n} + CASE WHEN paint = lower THEN rim * (1 - blend) ELSE 0 END + CASE WHEN paint = (lower + 1) % {n} THEN rim * blend ELSE 0 END AS weight FROM turned, (SELECT unnest(range({n}))::INT AS paint))"""
 
 
-@query(
-    f"""WITH {_DISC}, i AS (SELECT *, CASE WHEN atan2(dy, dx) < 0 THEN atan2(dy, dx) + 2 * pi() ELSE atan2(dy, dx) END * 6 / (2 * pi()) AS pos FROM disc WHERE 16 - d > 0),
-w AS (SELECT y, x, (floor(pos)::INT) % 6 AS lower, CASE WHEN floor(pos) >= 6 THEN 0 ELSE pos - floor(pos) END AS blend, least(d / 16, 1) AS rim FROM i)
-SELECT y, x, paint, round((1 - rim) / 6 + CASE WHEN paint = lower THEN rim * (1 - blend) ELSE 0 END + CASE WHEN paint = (lower + 1) % 6 THEN rim * blend ELSE 0 END, 6) AS weight FROM w, (SELECT unnest(range(6))::INT AS paint)"""
-)
+@query(f"WITH {fixtures.POINTS_SQL}, {_ON_WHEEL(6)} SELECT id, paint, round(weight, 6) AS weight FROM w")
 def wheel_weights(spark, sf_dir):
-    return wheel.weights(spark, 32, 6).select("y", "x", "paint", F.round("weight", 6).alias("weight"))
+    """What a wheel of six paints is made of at each part's point."""
+    return wheel.weights(fixtures.wheel_points(spark, sf_dir), 6).select("id", "paint", F.round("weight", 6).alias("weight"))
 
 
-@query()
+_SIGNED = lambda a: f"(CASE WHEN {a} >= 128 THEN {a} - 256 ELSE {a} END) * 16777216"
+
+
+@query(f"""WITH RECURSIVE {sql.pigment_ctes(EVERY)}, {fixtures.POINTS_SQL}, {_ON_WHEEL(len(EVERY))}, parts AS (SELECT id, paint AS paint_idx, weight AS share FROM w),
+{sql.mix_ctes('parts', 'mx')}, {_linear_sql('mx')}, solid AS (SELECT id, floor(alpha * 255)::INT AS cover, {sql.encode('r')} * 65536 + {sql.encode('g')} * 256 + {sql.encode('b')} AS rgb FROM m JOIN inside USING (id))
+SELECT far.id, far.y, far.x, coalesce({_SIGNED('cover')} + rgb, 0)::INT AS argb FROM far LEFT JOIN solid USING (id)""")
 def paint_wheel(spark, sf_dir):
-    return wheel.paint_wheel(spark, 64, mixtures.palette(spark))
+    """The paint wheel under each part's point."""
+    return wheel.paint_wheel(fixtures.wheel_points(spark, sf_dir), mixtures.palette(spark)).select("id", "y", "x", "argb")
 
 
-@query()
+_HUES = [f"{h}::DOUBLE" for h in wheel.DISPLAY_HUES]
+_TRADITIONAL_SQL = f"""shade AS (SELECT id, y, x, greatest(0, least(1, radius + 0.5 - distance)) AS cover, CASE WHEN degrees(atan2(dx, -dy)) < 0 THEN degrees(atan2(dx, -dy)) + 360 ELSE degrees(atan2(dx, -dy)) END AS artist, least(1::DOUBLE, distance / radius) AS s FROM far),
+turn AS (SELECT *, [{', '.join(_HUES)}][k + 1] + ([{', '.join(_HUES)}][k + 2] - [{', '.join(_HUES)}][k + 1]) * (artist - k * 60.0::DOUBLE) / 60.0::DOUBLE AS hue FROM (SELECT *, least(5, floor(artist / 60)::INT) AS k FROM shade)),
+hsv AS (SELECT *, hue / 60.0::DOUBLE AS h, s * (1 - abs(fmod(hue / 60.0::DOUBLE, 2::DOUBLE) - 1)) AS c FROM turn),
+tone AS (SELECT *, CASE WHEN h < 1 THEN [s, c, 0] WHEN h < 2 THEN [c, s, 0] WHEN h < 3 THEN [0, s, c] WHEN h < 4 THEN [0, c, s] WHEN h < 5 THEN [c, 0, s] ELSE [s, 0, c] END AS v FROM hsv),
+art AS (SELECT id, y, x, CASE WHEN cover > 0 THEN round_even(cover * 255, 0)::INT ELSE 0 END AS a, {', '.join(f'round_even((v[{i + 1}] + 1 - s) * 255, 0)::INT AS {n}' for i, n in enumerate('rgb'))} FROM tone),
+artist AS (SELECT id, y, x, a, r, g, b, CASE WHEN a = 0 AND NOT EXISTS (SELECT 1 FROM shade z WHERE z.id = art.id AND z.cover > 0) THEN 0 ELSE {_SIGNED('a')} + r * 65536 + g * 256 + b END::INT AS argb FROM art)"""
+
+
+@query(f"WITH {fixtures.POINTS_SQL}, {_TRADITIONAL_SQL} SELECT id, y, x, argb FROM artist")
 def traditional_wheel(spark, sf_dir):
-    return wheel.traditional_wheel(spark, 64)
+    """The artists' wheel under each part's point."""
+    return wheel.traditional_wheel(fixtures.wheel_points(spark, sf_dir)).select("id", "y", "x", "argb")
 
 
-@query()
+@query(f"""WITH {fixtures.POINTS_SQL}, {_ON_WHEEL(len(EVERY))}, names(paint, name) AS (VALUES {_NAMES}),
+ranked AS (SELECT id, name, weight, row_number() OVER (PARTITION BY id ORDER BY weight DESC, paint) AS rank FROM w JOIN names USING (paint) WHERE weight > 0),
+top AS (SELECT id, rank::INT AS rank, name || ': ' || round_even(weight * 100, 0)::INT || '%' AS line FROM ranked WHERE rank <= 5 AND weight >= {recipes.LEAST_SHARE}),
+rest AS (SELECT id, count(*) AS n, sum(weight) AS share FROM ranked WHERE NOT (rank <= 5 AND weight >= {recipes.LEAST_SHARE}) GROUP BY id)
+SELECT id, rank, line FROM top UNION ALL SELECT id, 6, '+' || n || ' more: ' || round_even(share * 100, 0)::INT || '%' FROM rest WHERE share >= {recipes.LEAST_SHARE}""")
 def wheel_lines(spark, sf_dir):
-    at = wheel.weights(spark, 16, 7).select((F.col("y") * 16 + F.col("x")).alias("id"), F.col("paint").alias("paint_idx"), "weight")
-    return recipes.wheel_lines(at, mixtures.palette(spark))
+    """What is told of the paint wheel at each part's point."""
+    return wheel.lines(fixtures.wheel_points(spark, sf_dir), mixtures.palette(spark))
+
+
+@query(f"WITH {fixtures.POINTS_SQL}, {_TRADITIONAL_SQL} SELECT id, 1 AS rank, 'RGB: ' || r || ', ' || g || ', ' || b AS line FROM artist WHERE a > 0")
+def hue_lines(spark, sf_dir):
+    """What is told of the artists' wheel at each part's point: the colour only."""
+    return wheel.hue_lines(fixtures.wheel_points(spark, sf_dir))
 
 
 # ---- styles
@@ -507,7 +614,7 @@ def wheel_lines(spark, sf_dir):
 def _style(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         style = styles.by_name(name)
-        cands = mixtures.settled(styles.style_candidates(style, mixtures.palette(spark)))
+        cands = _cands(spark, name)
         px = fixtures.pixels(spark, sf_dir).select("image_id", "y", "x", "argb")
         return styles.render(px, style, cands, mark=MARK)
 
@@ -525,16 +632,18 @@ for _name in styles.STYLES:
 ORACLES["style_realism"] = _realism_sql()
 
 
-@query()
+@query(f"""WITH {PX}, listed AS (SELECT image_id, list((4278190080 + r * 65536 + g * 256 + b)::HUGEINT ORDER BY y, x) AS p FROM px GROUP BY image_id)
+SELECT image_id, lower(lpad(to_hex(list_reduce(list_prepend(14695981039346656037::HUGEINT, p), lambda h, v: (xor(h, v) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)::UBIGINT), 16, '0')) AS checksum FROM listed""")
 def image_checksums(spark, sf_dir):
     return images.checksum(fixtures.pixels(spark, sf_dir))
 
 
-@query("SELECT y, x, (-16777216 + r * 65536 + g * 256 + b)::INT AS argb FROM (SELECT y::INT AS y, x::INT AS x, "
-       + ", ".join(f"greatest(0, least(255, {e} + n)) AS {c}" for c, e in (("r", "x * 255 // 95"), ("g", "y * 255 // 63"), ("b", "(x + y) * 255 // 158")))
-       + " FROM (SELECT x, y, (xor(x * 73856093, y * 19349663) & 15) - 8 AS n FROM (SELECT unnest(range(96)) AS x), (SELECT unnest(range(64)) AS y)))")
+@query("SELECT id AS image_id, y::INT AS y, x::INT AS x, (-16777216 + " + " + ".join(f"greatest(0, least(255, {e} + n)) * {m}" for m, e in ((65536, "x * 255 // greatest(1, w - 1)"), (256, "y * 255 // greatest(1, h - 1)"), (1, "(x + y) * 255 // greatest(1, w + h - 2)")))
+       + ")::INT AS argb FROM (SELECT *, (xor(x * 73856093, y * 19349663) & 15) - 8 AS n FROM (SELECT *, unnest(range(w)) AS x FROM (SELECT *, unnest(range(h)) AS y FROM (SELECT s_suppkey AS id, s_suppkey % 13 + 1 AS w, s_nationkey % 7 + 1 AS h FROM supplier))))")
 def noisy_gradient(spark, sf_dir):
-    return fixtures.noisy_gradient(spark, 96, 64).select("y", "x", "argb")
+    """A gradient for each supplier, of a size of its own."""
+    supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    return fixtures.noisy_gradients(supplier.select(F.col("s_suppkey").alias("image_id"), (F.col("s_suppkey") % 13 + 1).cast("int").alias("width"), (F.col("s_nationkey") % 7 + 1).cast("int").alias("height")))
 
 
 # ---- sources, text and streams
@@ -587,3 +696,47 @@ def cancelled_bursts(spark, sf_dir):
     live = requests.live_bursts(fixtures.requests(spark, sf_dir), "6 hours")
     return requests.passes(live).select("key", _micros("start").alias("start_us"), "generation", "pass")
 
+
+
+_HOUR = 3_600_000
+_DURATIONS = {"gap": 2 * _HOUR, "preview": _HOUR, "full": 6 * _HOUR}
+_KINDS_SQL = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fixtures.SESSION_KINDS.items())
+_SCHEDULE_SQL = f"""WITH e AS (SELECT user_id AS key, epoch_ms(ts) AS ms, event_id AS generation, value AS payload, CASE event_type {_KINDS_SQL} ELSE 'change' END AS kind FROM events),
+g AS (SELECT *, coalesce(last_value(CASE WHEN kind IN ('begin', 'end') THEN kind END IGNORE NULLS) OVER w = 'begin', false) AS closed,
+  last_value(CASE WHEN kind IN ('load', 'change') THEN generation END IGNORE NULLS) OVER w AS set_last,
+  sum(CASE WHEN kind = 'end' THEN 1 ELSE 0 END) OVER w - CASE WHEN kind = 'end' THEN 1 ELSE 0 END AS operation FROM e WINDOW w AS (PARTITION BY key ORDER BY ms, generation)),
+o AS (SELECT *, bool_or(kind = 'load' AND closed) OVER (PARTITION BY key, operation) AS owed FROM g),
+a AS (SELECT *, CASE WHEN kind = 'end' THEN owed ELSE kind IN ('load', 'change') AND NOT closed END AS asks, CASE WHEN kind = 'end' THEN owed ELSE kind <> 'change' OR NOT closed END AS stops FROM o),
+u AS (SELECT *, min(CASE WHEN stops THEN ms END) OVER (PARTITION BY key ORDER BY ms, generation ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS until FROM a)
+SELECT u.key, u.set_last AS generation, round(e.payload, 6) AS payload, f.pass, u.ms + f.wait AS shown_ms
+FROM u JOIN e ON e.key = u.key AND e.generation = u.set_last, (VALUES ('preview', {_DURATIONS["gap"] + _DURATIONS["preview"]}), ('full', {sum(_DURATIONS.values())})) f(pass, wait)
+WHERE u.asks AND (u.until IS NULL OR u.ms + f.wait <= u.until)"""
+
+
+@query(_SCHEDULE_SQL)
+def render_schedule(spark, sf_dir):
+    """The frames that every session shows, by windows over its events."""
+    return scheduler.schedule(fixtures.sessions(spark, sf_dir), **_DURATIONS).withColumn("payload", F.round("payload", 6))
+
+
+@query(_SCHEDULE_SQL)
+def render_schedule_stream(spark, sf_dir):
+    """The same frames from the state machine, to which the events come as a stream."""
+    frames = scheduler.drained(fixtures.sessions(spark, sf_dir), lambda s: scheduler.scheduled(s, **_DURATIONS), scheduler.FRAMES_DDL, scratch.folder(spark, "sessions"))
+    return frames.withColumn("payload", F.round("payload", 6))
+
+
+@query(f"WITH RECURSIVE {fixtures.GESTURES_SQL} SELECT key, generation, round(s, 6) AS scale, round(x, 4) AS offset_x, round(y, 4) AS offset_y FROM v WHERE n > 0")
+def viewports(spark, sf_dir):
+    """Every user's view after each of their events, taken as gestures."""
+    seen = viewport.views(fixtures.gestures(spark, sf_dir))
+    return seen.select("key", "generation", F.round("scale", 6).alias("scale"), *(F.round(c, 4).alias(c) for c in ("offset_x", "offset_y")))
+
+
+@query(f"WITH {PX} SELECT unnest(['pre-map', 'colour map', 'post-map', 'compose']) AS phase, (SELECT count(*) FROM px) AS rows")
+def render_phases(spark, sf_dir):
+    """Rows of the phases of a Realism render of all images; ``benchmark`` tells seconds, too."""
+    taken = phases.Phases(spark)
+    px = fixtures.pixels(spark, sf_dir).select("image_id", "y", "x", "argb")
+    styles.render(px, styles.by_name("Realism"), _cands(spark), mark=MARK, phases=taken)
+    return taken.table().select("phase", "rows")

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import color
 from ..operators import filters, mixtures, nearest, palette, regions
+from ..operators.colour_maps import ColourMaps, map_name
+from ..sources import scratch
 
 Stage = Callable[[DataFrame, DataFrame, float], DataFrame]
 
@@ -125,30 +127,38 @@ def style_candidates(style: Style, paints: DataFrame) -> DataFrame:
     return mixtures.candidates(paints)
 
 
-def render(pixels: DataFrame, style: Style, cands: DataFrame, *, mark: float, blur: int | None = None) -> DataFrame:
+def render(pixels: DataFrame, style: Style, cands: DataFrame, *, mark: float, blur: int | None = None, maps: ColourMaps | None = None, phases=None) -> DataFrame:
     """image_id, y, x, cand_idx, argb of the images after the style; alpha is the source's.
 
     ``pixels`` has image_id, y, x, argb. An image-aware palette is made for each image, whose
-    ``cand_idx`` then count its own candidates. ``mark`` is the base mark in pixels, which the style scales without rounding.
+    ``cand_idx`` then count its own candidates. ``mark`` is the base mark in pixels, which the
+    style scales without rounding. ``maps`` keeps what keys lead to for later renders; palettes
+    of single images are not kept. ``phases`` takes the phases ``pre-map``, ``colour map``,
+    ``post-map`` and ``compose``.
     """
+    take = phases.take if phases is not None else lambda name, df, key=None: df  # noqa: ARG005
     size = mark * style.mark_scale
     floor = filters.guided(pixels.select("image_id", "y", "x", "argb"), radius=max(round(size / 2), 1), edge=style.value("edge"), iterations=int(style.value("strength")))
-    blurred = filters.gaussian(floor, int(style.value("blur") if blur is None else PARAMETERS["blur"].hold(blur)))
+    blurred = take("pre-map", filters.gaussian(floor, int(style.value("blur") if blur is None else PARAMETERS["blur"].hold(blur))))
     if style.abstract:
-        # every later step reads the palettes, which stand on the filtered images
-        cands = palette.image_palette(blurred, cands, style.value("colours")).persist()
-    remap = None
+        # the palettes and the keys both stand on the filtered images, all later steps on the palettes
+        blurred = scratch.save(blurred, "blurred")
+        cands = scratch.save(palette.image_palette(blurred, cands, style.value("colours")), "palettes")
+    remap, told = None, ()
     if style.remaps:
         if style.abstract:
             cands = cands.withColumn("ceiling", F.max(F.hypot("a", "b")).over(W.partitionBy("image_id")))
             ceiling = F.col("ceiling")
         else:
             ceiling = cands.agg(F.max(F.hypot("a", "b"))).first()[0] or 0.0
-        remap = lambda lab: color.remap(lab, ceiling, contrast=style.value("contrast"), key=style.value("key"), gain=style.value("chroma"))
-    indexed = nearest.resolve_once(blurred, cands, remap).select("image_id", "y", "x", "cand_idx")
+        told = tuple(style.value(name) for name in ("contrast", "key", "chroma"))
+        remap = lambda lab: color.remap(lab, ceiling, contrast=told[0], key=told[1], gain=told[2])
+    kept = maps is not None and not style.abstract
+    resolved = maps.resolve(blurred, cands, map_name(cands, *told), remap) if kept else nearest.resolve_once(blurred, cands, remap)
+    indexed = take("colour map", resolved.select("image_id", "y", "x", "cand_idx"), "cand_idx")
     for stage in style.post:
         indexed = stage(indexed, cands, size)
-    return compose(pixels, indexed, cands)
+    return take("compose", compose(pixels, take("post-map", indexed, "cand_idx"), cands))
 
 
 def compose(pixels: DataFrame, indexed: DataFrame, cands: DataFrame) -> DataFrame:
@@ -168,7 +178,7 @@ class Cache:
 
     def candidates(self, style: Style, paints: DataFrame) -> DataFrame:
         rows = paints.orderBy("paint_idx").collect()
-        key = (tuple((r.paint_idx, tuple(r.k), tuple(r.s)) for r in rows), style.value("mother") if style.abstract else 0.0)
+        key = (paints.sparkSession.sparkContext.applicationId, tuple((r.paint_idx, tuple(r.k), tuple(r.s)) for r in rows), style.value("mother") if style.abstract else 0.0)
         self.held[key] = self.held.pop(key) if key in self.held else mixtures.settled(style_candidates(style, paints))
         if len(self.held) > self.room:
             self.held.pop(next(iter(self.held)))

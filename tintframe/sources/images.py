@@ -16,19 +16,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import color, pigments
+from . import decoders
 
 NATIVE = ("Png", "Jpeg", "Gif", "Bmp", "Tiff")
-# ISO media brands of still images.
-AVIF_BRANDS = ("avif", "avis")
-HEIF_BRANDS = ("heic", "heix", "hevc", "hevx", "heim", "heis", "hevm", "hevs", "mif1", "msf1")
-
 
 def image_format(content: Column) -> Column:
     """Format of an encoded image by its first bytes."""
     n = F.octet_length(content)
     head = lambda at, size: F.hex(F.substring(content, at + 1, size))
     brand = F.decode(F.substring(content, 9, 4), "ISO-8859-1")
-    iso = F.when(n < 12, "Unknown").when(brand.isin(*AVIF_BRANDS), "Avif").when(brand.isin(*HEIF_BRANDS), "Heif").otherwise("Unknown")
+    iso = F.when(n < 12, "Unknown").when(brand.isin(*decoders.AVIF_BRANDS), "Avif").when(brand.isin(*decoders.HEIF_BRANDS), "Heif").otherwise("Unknown")
     return (
         F.when(content.isNull() | (n < 4), "Unknown")
         .when(head(0, 8) == "89504E470D0A1A0A", "Png")
@@ -52,26 +49,16 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content", image_format(F.col("content")).alias("format"))
 
 
-def decode_bmp(data: bytes) -> np.ndarray:
-    """Packed colours of an uncompressed 24 or 32 bit BMP."""
-    start, _, width, height, _, depth, packing = struct.unpack_from("<IIiiHHI", data, 10)
-    if data[:2] != b"BM" or depth not in (24, 32) or packing not in (0, 3):
-        raise ValueError("not an uncompressed 24 or 32 bit BMP")
-    step = (width * depth // 8 + 3) // 4 * 4
-    rows = np.frombuffer(data, np.uint8, step * abs(height), start).reshape(abs(height), step)[:, : width * depth // 8]
-    px = rows.reshape(abs(height), width, depth // 8).astype(np.uint32)
-    alpha = px[..., 3] if depth == 32 else np.uint32(255)
-    argb = (alpha << np.uint32(24)) | (px[..., 2] << np.uint32(16)) | (px[..., 1] << np.uint32(8)) | px[..., 0]
-    return (argb[::-1] if height > 0 else argb).astype(np.uint32).view(np.int32)
-
-
 def decode(files: DataFrame) -> DataFrame:
-    """``image_id, content`` to ``image_id, y, x, argb``; only BMP can be decoded here."""
+    """``image_id, content`` to ``image_id, y, x, argb``; a file that cannot be decoded raises.
+
+    ``image_source.load`` tells of such files instead.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for image_id, content in zip(batch["image_id"], batch["content"], strict=True):
-                argb = decode_bmp(content)
+                argb = decoders.decode(content, decoders.sniff(content))
                 y, x = np.indices(argb.shape, dtype=np.int32)
                 yield pd.DataFrame({"image_id": image_id, "y": y.reshape(-1), "x": x.reshape(-1), "argb": argb.reshape(-1)})
 

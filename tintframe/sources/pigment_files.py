@@ -96,12 +96,18 @@ def write(paints: DataFrame, path: str) -> None:
     stream.close()
 
 
+def masstone(k: Column, s: Column) -> tuple[Column, Column, Column]:
+    """XYZ of a paint by itself, from its arrays of absorption and scattering."""
+    r = F.zip_with(k, s, pigments.reflectance)
+    seen = lambda observer: F.aggregate(F.zip_with(r, F.array(*map(F.lit, observer)), lambda x, o: x * o), F.lit(0.0), lambda a, x: a + x) / pigments.NORM
+    return tuple(map(seen, pigments.OBSERVERS))
+
+
 def manifest(paints: DataFrame) -> DataFrame:
-    """One text line a paint, in order: name, colour index, provenance and masstone Lab."""
-    own = paints.select(F.col("paint_idx").alias("own"), F.array(F.struct("paint_idx", F.lit(1.0).alias("share"))).alias("parts"))
-    lab = color.xyz_to_lab(tuple(F.col(c) for c in "xyz"))
-    line = images.manifest_line(F.col("name"), F.col("colour_index"), F.col("provenance"), lab)
-    return mixtures.mix(own, paints, "own").join(paints, F.col("own") == F.col("paint_idx")).select("paint_idx", line.alias("value"))
+    """paint_idx, value: one text line a paint: name, colour index, provenance and masstone Lab."""
+    seen = paints.select("*", *(c.alias(f"_{n}") for c, n in zip(masstone(F.col("k"), F.col("s")), "xyz", strict=True)))
+    lab = color.xyz_to_lab(tuple(F.col(f"_{c}") for c in "xyz"))
+    return seen.select("paint_idx", images.manifest_line(F.col("name"), F.col("colour_index"), F.col("provenance"), lab).alias("value"))
 
 
 def write_manifest(paints: DataFrame, path: str) -> None:

@@ -1,16 +1,13 @@
-"""Render requests as a stream: debounce, latest wins, cancel, preview then full."""
+"""Render requests by bursts, on tables and streams: debounce, latest wins, preview then full.
 
-from __future__ import annotations
+``scheduler`` has the whole machine, with cancel, gate and one render in flight.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SETTLED_DDL = "key long, generation long, payload double, pass string"
-
-
 def debounce(requests: DataFrame, gap: str) -> DataFrame:
     """key, start, end, n, generation, payload: one row a burst, with its latest request.
 
@@ -37,90 +34,3 @@ def passes(bursts: DataFrame) -> DataFrame:
 def latest_values(changes: DataFrame) -> DataFrame:
     """key, kind, generation, payload: the last value of each key and kind."""
     return changes.groupBy("key", "kind").agg(F.max_by("payload", "generation").alias("payload"), F.max("generation").alias("generation")).select("key", "kind", "generation", "payload")
-
-
-def _rows(batches: Iterator[pd.DataFrame]) -> Iterator:
-    """Requests in order of their generations, with the time of each in milliseconds."""
-    whole = pd.concat(list(batches))
-    for row in whole.sort_values("generation").itertuples():
-        yield int(row.ts.timestamp() * 1000), row
-
-
-def in_flight(stream: DataFrame, busy_ms: int) -> DataFrame:
-    """key, generation, payload, started: which requests of a stream run, each for ``busy_ms``.
-
-    At most one is in flight a key, and at most one waits for it: a newer request takes the
-    waiting one's place. ``started`` is the start in milliseconds. State of a key: when its
-    run ends, and what waits. The last waiting one starts when the watermark passes that end.
-    """
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        until, generation, payload = state.get if state.exists else (-1, -1, 0.0)
-        started = []
-
-        def start(at: int, generation: int, payload: float) -> int:
-            started.append((key[0], generation, payload, at))
-            return at + busy_ms
-
-        if state.hasTimedOut:
-            state.remove()
-            if generation >= 0:
-                until, generation = start(until, generation, payload), -1
-        else:
-            for now, row in _rows(batches):
-                if generation >= 0 and until <= now:
-                    until, generation = start(until, generation, payload), -1
-                if until <= now:
-                    until = start(now, int(row.generation), float(row.payload))
-                else:
-                    generation, payload = int(row.generation), float(row.payload)
-        if until > state.getCurrentWatermarkMs():
-            state.update((until, generation, payload))
-            state.setTimeoutTimestamp(until)
-        yield pd.DataFrame(started, columns=["key", "generation", "payload", "started"])
-
-    return stream.groupBy("key").applyInPandasWithState(step, "key long, generation long, payload double, started long", "until long, generation long, payload double", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def settle(stream: DataFrame, gap_ms: int) -> DataFrame:
-    """The debouncer with cancel and a gate as a stateful stream operator.
-
-    ``cancel`` drops what is pending. ``begin`` closes the gate, behind which changes are
-    ignored, until ``end`` opens it. ``load`` drops what is pending and asks for a render of
-    its own; behind the gate that waits for the ``end``. Any other kind replaces what is
-    pending; ``gap_ms`` of event time after the last of a burst it comes out as a preview and
-    a full row. State of a key: the pending generation and payload, whether the gate is
-    closed, and what waits behind it.
-    """
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        generation, payload, closed, held, held_payload = state.get if state.exists else (-1, 0.0, False, -1, 0.0)
-        if state.hasTimedOut:
-            state.remove()
-            if closed:
-                state.update((-1, 0.0, True, held, held_payload))
-            if generation >= 0:
-                yield pd.DataFrame({"key": [key[0]] * 2, "generation": [generation] * 2, "payload": [payload] * 2, "pass": ["preview", "full"]})
-            return
-        last = 0
-        for now, row in _rows(batches):
-            last = max(last, now)
-            if row.kind in ("cancel", "load"):
-                generation = held = -1
-            if row.kind == "begin":
-                closed = True
-            elif row.kind == "end":
-                closed = False
-                if held >= 0:
-                    generation, payload, held = held, held_payload, -1
-            elif row.kind == "load" and closed:
-                held, held_payload = int(row.generation), float(row.payload)
-            elif row.kind != "cancel" and not closed:
-                generation, payload = int(row.generation), float(row.payload)
-        state.update((generation, payload, closed, held, held_payload))
-        if generation >= 0:
-            state.setTimeoutTimestamp(max(last + gap_ms, state.getCurrentWatermarkMs() + 1))
-
-    return stream.groupBy("key").applyInPandasWithState(step, SETTLED_DDL, "generation long, payload double, closed boolean, held long, held_payload double", "append", GroupStateTimeout.EventTimeTimeout)

@@ -224,3 +224,28 @@ def test_recipes_under_points(spark):
     assert sum(shares) == 100 and shares == sorted(shares, reverse=True)
     plain = recipes.recipes_at(px, points, paints.limit(0)).collect()
     assert {tuple(r.lines) for r in plain} == {("RGB: 128, 128, 128",)}
+
+
+def test_extents_of_candidates(spark):
+    rows = [(0, 50.0, 3.0, 4.0), (1, 90.0, 0.0, 0.0), (2, 10.0, 0.0, 1.0), (3, 90.0, 0.0, 2.0), (4, 10.0, 0.0, 0.0)]
+    r = mixtures.extents(spark.createDataFrame(rows, "cand_idx int, l double, a double, b double")).first()
+    assert (r.n, r.chroma, r.least_l, r.most_l, r.darkest, r.lightest) == (5, 5.0, 10.0, 90.0, 2, 1)
+
+
+def test_mixing_against_plain_sums(spark):
+    paints = mixtures.palette(spark, [3, 8, 15])
+    rng = np.random.default_rng(6)
+    rows = [(i, [(int(p), float(x)) for p, x in zip(rng.choice([3, 8, 15, 99], 4), rng.random(4), strict=True)]) for i in range(40)] + [(100, [(3, 0.0)]), (101, []), (102, None), (103, [(99, 1.0)])]
+    df = spark.createDataFrame(rows, "ordinal long, parts array<struct<paint_idx: int, share: double>>").repartition(3)
+    got = {r.ordinal: (r.x, r.y, r.z) for r in mixtures.mix(df, paints).collect()}
+    for i, parts in rows:
+        known = [(p, x) for p, x in parts or [] if p != 99]
+        total = sum(x for _, x in known)
+        if not total:
+            assert got[i] == (None, None, None)
+            continue
+        k, s = (np.sum([x / total * np.array(pigments.PALETTE[p][c]) for p, x in known], axis=0) for c in (4, 5))
+        q = k / np.maximum(s, pigments.LEAST_SCATTER)
+        inner = 1 + q - np.sqrt(q * q + 2 * q)
+        r = (1 - pigments.SAUNDERSON_K1) * (1 - pigments.SAUNDERSON_K2) * inner / (1 - pigments.SAUNDERSON_K2 * inner)
+        assert got[i] == pytest.approx([float(r @ np.array(o)) / pigments.NORM for o in pigments.OBSERVERS])

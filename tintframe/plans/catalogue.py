@@ -701,7 +701,7 @@ def cancelled_bursts(spark, sf_dir):
 _HOUR = 3_600_000
 _DURATIONS = {"gap": 2 * _HOUR, "preview": _HOUR, "full": 6 * _HOUR}
 _KINDS_SQL = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fixtures.SESSION_KINDS.items())
-_SCHEDULE_SQL = f"""WITH e AS (SELECT user_id AS key, epoch_ms(ts) AS ms, event_id AS generation, value AS payload, CASE event_type {_KINDS_SQL} ELSE 'change' END AS kind FROM events),
+_SCHEDULE_SQL = f"""WITH e AS (SELECT user_id AS key, epoch_us(ts) // 1000 AS ms, event_id AS generation, value AS payload, CASE event_type {_KINDS_SQL} ELSE 'change' END AS kind FROM events),
 g AS (SELECT *, coalesce(last_value(CASE WHEN kind IN ('begin', 'end') THEN kind END IGNORE NULLS) OVER w = 'begin', false) AS closed,
   last_value(CASE WHEN kind IN ('load', 'change') THEN generation END IGNORE NULLS) OVER w AS set_last,
   sum(CASE WHEN kind = 'end' THEN 1 ELSE 0 END) OVER w - CASE WHEN kind = 'end' THEN 1 ELSE 0 END AS operation FROM e WINDOW w AS (PARTITION BY key ORDER BY ms, generation)),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import functools
+import shutil
 import tempfile
 import uuid
 
@@ -23,21 +24,30 @@ def root(spark: SparkSession) -> str:
     return shared or _own_folder()
 
 
-def remove(spark: SparkSession, path: str) -> None:
+def _store(spark: SparkSession, path: str) -> tuple:
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()), there
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    store, there = _store(spark, path)
+    store.delete(there, True)
 
 
 @functools.cache
 def _folder(spark: SparkSession, application: str) -> str:
     path = f"{root(spark)}/tintframe-{application}"
-    atexit.register(_end, spark, path)
+    store, there = _store(spark, path)
+    atexit.register(_end, spark, path, there.toUri().getPath() if store.getUri().getScheme() == "file" else None)
     return path
 
 
-def _end(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+def _end(spark: SparkSession, path: str, local: str | None) -> None:
+    """Remove the application's folder; after the session's end only one that the driver sees as well."""
+    if spark.sparkContext._jsc is not None:
         remove(spark, path)
+    elif local:
+        shutil.rmtree(local, ignore_errors=True)
 
 
 def folder(spark: SparkSession, name: str) -> str:

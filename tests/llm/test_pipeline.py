@@ -45,3 +45,34 @@ def test_stages_in_turn_against_brute_force(spark, tmp_path):
     assert sum(r.length for r in packed) == sum(r.doc_tokens * copies[r.doc_id] for r in {r.doc_id: r for r in packed}.values())
     assert once and packing.pack(spark.createDataFrame(unique)).count() > 0
     check(packing.pack(spark.createDataFrame(unique)).collect(), [(r.doc_id, r.text) for r in unique], 2048)
+
+
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, row long, Removed string, copy int, rate double, score double"
+
+
+def run_on(spark, path, docs, labels):
+    spark.createDataFrame([(*d, 1, "x", 2, 3.0, 4.0) for d in docs], CLASHING).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    at, seen = spark.read.parquet(f"{path}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES:
+        at = save(stage(spark, at, str(path)), name.replace(" ", "-"))
+        seen.append(at)
+    return seen
+
+
+def test_nulls_repeats_and_clashing_names(spark, tmp_path):
+    docs = [(i, "\n".join(GOOD.format(f"{i}y{j}", i * j % 31) for j in range(3)) if i % 3 else "$$$ BUY NOW " * 4, "en" if i % 2 else None, f"s{i % 3}" if i % 5 else None, 1) for i in range(60)]
+    docs += [docs[4], docs[4], (None, docs[7][1], None, None, None), (None, None, None, None, None), (900, None, "en", "s1", 0), (901, "", "en", "s1", 0), (902, " \n\n ", "en", "s1", 3)]
+    seen = run_on(spark, tmp_path, docs, [(i, int(i % 3 > 0), 0) for i in range(60)] + [(None, 1, 0), (5, None, None)])
+    for stage in seen[:4]:
+        assert stage.columns == [c.split()[0] for c in CLASHING.split(", ")]
+        assert {tuple(r)[5:] for r in stage.collect()} == {(1, "x", 2, 3.0, 4.0)}
+    good = {r.doc_id for r in seen[0].collect()}
+    assert {i for i in range(60) if i % 3} <= good and not {i for i in range(60) if i % 3 == 0} & good
+    once = Counter(r.doc_id for r in seen[2].collect())
+    assert once[4] == 1 and {r.doc_id for r in seen[4].collect()} <= {r.doc_id for r in seen[3].collect()}
+
+
+def test_empty_tables(spark, tmp_path):
+    seen = run_on(spark, tmp_path, [], [])
+    assert [s.count() for s in seen] == [0] * 5

@@ -4,9 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import functools
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,35 +11,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import scratch
+
 #: A word of the contracts: a run of anything but space, tab, newline, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-@functools.cache
-def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="tintframe-")
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names.
-
-    Where none is set a folder of our own serves a local master; executors elsewhere would not
-    see it, so that is an error.
-    """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-    return shared or f"file://{_own_folder()}"
-
-
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
-    This cuts the lineage: a lost executor costs only the tasks that read the table.
+    This cuts the lineage: a lost executor costs only the tasks that read the table. The
+    tables of an application lie in one folder, which goes when its driver ends in order.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/tintframe/{uuid.uuid4().hex}-{name}"
+    path = scratch.folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     again = spark.read.schema(df.schema).parquet(path)
     again.saved_at = path
@@ -56,9 +39,7 @@ def discard(*saved: DataFrame) -> None:
     asking for that here keeps the shuffles of a long job from piling up on the disks.
     """
     for df in saved:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.saved_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        scratch.remove(df.sparkSession, df.saved_at)
     if saved:
         saved[0].sparkSession._jvm.System.gc()
 

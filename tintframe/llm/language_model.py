@@ -24,7 +24,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, scratch_dir
+from ..sources import scratch
+from .common import save
 from .hashing import U, mix, words_by_doc
 
 #: What no word hashes to but by chance: before the first and after the last word.
@@ -338,7 +339,7 @@ def train(docs: DataFrame, *, order: int = 3, shard_bytes: int = 16 << 20) -> di
     texts = docs.select(F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(0, math.ceil(math.log(max(1, size / shard_bytes), 4)))
-    folder = f"{scratch_dir(spark)}/tintframe/{uuid.uuid4().hex}-kneser-ney"
+    folder = scratch.folder(spark, "kneser-ney")
     dealt = texts.mapInArrow(_runs(order, bits), _DEALT_DDL)
     sorted_by = lambda df, n, key: df.repartitionById(n, key).sortWithinPartitions(key)
     for level in range(order, 2, -1):

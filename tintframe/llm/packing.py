@@ -12,7 +12,9 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +25,8 @@ from .common import lean, save
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("part", pa.int64()), ("leftover", pa.bool_())])
 _DDL = "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long, part long, leftover boolean"
 _ID_BYTES = 4
-#: Texts handled at a time.
-_ROWS = 2048
+#: Texts handled at a time, and bytes of them that are tokenised at once.
+_ROWS, _BITE = 512, 1 << 20
 #: A task hands on its rows once it has this many.
 _ROWS_OUT = 4096
 
@@ -112,15 +114,24 @@ def _pack(pieces: Iterator[tuple], windows: Windows, base: int, part: int, *, la
         yield batch()
 
 
-def _first(path: str, end_id: int | None, length: int, keep_open: int, max_gap: int, keep_ids: bool, bite: int = 256):
+def _bites(whole: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of about ``_BITE`` bytes of text; a longer text comes alone."""
+    sizes = pc.fill_null(pc.binary_length(whole["text"]), 0).to_numpy()
+    at = 0
+    while at < whole.num_rows:
+        n = max(1, int(np.searchsorted(np.cumsum(sizes[at : at + _ROWS]), _BITE, "right")))
+        yield whole.slice(at, n)
+        at += n
+
+
+def _first(path: str, end_id: int | None, length: int, keep_open: int, max_gap: int, keep_ids: bool):
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.tokenizer(path).encode
         end = b"" if end_id is None else end_id.to_bytes(_ID_BYTES, "little")
 
         def pieces():
             for whole in batches:
-                for at in range(0, whole.num_rows, bite):
-                    some = whole.slice(at, bite)
+                for some in _bites(whole):
                     texts = [t or "" for t in some["text"].to_pylist()]
                     for doc_id, ids in zip(some["doc_id"].to_pylist(), encode(texts), strict=True):
                         ids += end

@@ -278,3 +278,17 @@ def test_sink_commits_all_or_nothing(spark, tmp_path):
         with pytest.raises(Exception):
             wrong.write.format("images").mode("append").save(f"{tmp_path}/none")
         assert os.listdir(f"{tmp_path}/none") == []
+
+
+def test_first_usable_content(spark):
+    png_, text = images.png(np.zeros((1, 1), np.int32)), b"plain text"
+    rows = [(1, png_, None), (2, text, png_), (3, None, None), (4, b"", png_), (5, text, text)]
+    df = spark.createDataFrame([(i, *(None if x is None else bytearray(x) for x in c)) for i, *c in rows], "id int, a binary, b binary")
+    got = {r.id: r.c for r in df.select("id", images.first_usable(F.col("a"), F.col("b")).alias("c")).collect()}
+    assert {i: bytes(c) if c is not None else None for i, c in got.items()} == {1: png_, 2: png_, 3: None, 4: png_, 5: None}
+
+
+def test_where_a_page_has_its_picture(spark):
+    rows = [("http://x/a.html", "<img src='ftp://y/z.png'><IMG alt=q src=\"https://y/z.gif\">"), ("https://x/a.PNG?w=1", "<p>"), ("ftp://x/a.png", ""), ("http://x/a.png.html", None), (None, None)]
+    df = spark.createDataFrame(rows, "url string, html string")
+    assert [r[0] for r in df.select(images.page_source(F.col("url"), F.col("html"))).collect()] == ["https://y/z.gif", "https://x/a.PNG?w=1", None, None, None]

@@ -184,3 +184,9 @@ def resolve_per_pixel(pixels: DataFrame, cands: DataFrame, remap=None, *, lightn
         moved = remap(tuple(F.col(c) for c in "lab"))
         points = points.select("rgb", *(c.alias(n) for c, n in zip(moved, "lab", strict=True)))
     return keyed.join(nearest(points, cands, key="rgb", lightness=lightness), "rgb").drop("rgb")
+
+
+def map_colours(colours: DataFrame, cands: DataFrame) -> DataFrame:
+    """id, argb: what single colours ``id, argb`` are drawn in, by their bins as pixels are; opaque."""
+    found = resolve_once(colours.select("id", "argb"), cands).select("id", "cand_idx")
+    return found.join(cands.select("cand_idx", F.col("argb").bitwiseOR(F.lit(-(1 << 24))).alias("argb")), "cand_idx").select("id", "argb")

@@ -288,6 +288,13 @@ def colour_map_store(spark, sf_dir):
     return maps.resolve(px, cands, map_name(cands)).select("image_id", "y", "x", "cand_idx")
 
 
+@query(f"WITH RECURSIVE {COLOURS}, px AS (SELECT id AS image_id, 0 AS y, 0 AS x, r, g, b FROM colours), {_BIN}, {_argb_sql(EVERY)}, near AS ({_nearest_sql('q', '1')}) SELECT image_id AS id, (-16777216 + c.r * 65536 + c.g * 256 + c.b)::INT AS argb FROM keyed JOIN near USING (id) JOIN cand c USING (cand_idx)")
+def mapped_colours(spark, sf_dir):
+    """What each part's colour is drawn in."""
+    argb = color.pack(F.lit(255), *_rgb())
+    return nearest.map_colours(fixtures.colours(spark, sf_dir).select("id", argb.alias("argb")), _cands(spark))
+
+
 @query(f"WITH RECURSIVE {PX}, seen AS (SELECT DISTINCT r * 65536 + g * 256 + b AS id, r, g, b FROM px), {sql.lab_ctes('seen', 'q')}, {_argb_sql(EVERY)}, near AS ({_nearest_sql('q', '1')}) SELECT image_id, y, x, cand_idx FROM px JOIN near ON near.id = r * 65536 + g * 256 + b")
 def exact_colour_map(spark, sf_dir):
     px = fixtures.pixels(spark, sf_dir).select("image_id", "y", "x", "argb")
@@ -655,6 +662,13 @@ def page_images(spark, sf_dir):
     return pages.select("page_id", images.query_value(F.col("url"), "id").alias("id"), F.size(images.image_sources(F.col("html"))).alias("images"))
 
 
+@query(r"""SELECT page_id, coalesce(list_filter(regexp_extract_all(html, '(?i)<img\b[^>]*?\bsrc\s*=\s*["'']([^"'']+)["'']', 1), lambda u: regexp_matches(u, '(?i)^https?://'))[1],
+CASE WHEN regexp_matches(url, '(?i)^https?://[^?#]*\.(png|jpe?g|jfif|bmp|gif|tiff?|webp|avif|hei[cf]|psd)([?#]|$)') THEN url END) AS source FROM pages""")
+def page_sources(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return pages.select("page_id", images.page_source(F.col("url"), F.col("html")).alias("source"))
+
+
 @query("""SELECT image_id, axis, n * i / 4.0::DOUBLE AS at FROM (SELECT DISTINCT vec_id AS image_id FROM embeddings), (SELECT unnest(['x', 'y']) AS axis, 8 AS n), (SELECT unnest(range(5)) AS i)""")
 def grid_segments(spark, sf_dir):
     sizes = fixtures.pixels(spark, sf_dir).select("image_id").distinct().select("image_id", F.lit(8).alias("width"), F.lit(8).alias("height"))

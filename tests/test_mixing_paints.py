@@ -249,3 +249,33 @@ def test_mixing_against_plain_sums(spark):
         inner = 1 + q - np.sqrt(q * q + 2 * q)
         r = (1 - pigments.SAUNDERSON_K1) * (1 - pigments.SAUNDERSON_K2) * inner / (1 - pigments.SAUNDERSON_K2 * inner)
         assert got[i] == pytest.approx([float(r @ np.array(o)) / pigments.NORM for o in pigments.OBSERVERS])
+
+
+def test_few_recipes_are_refined_and_none_too_few(monkeypatch):
+    solver = recipes.Solver([(p[0], p[4], p[5]) for p in pigments.PALETTE])
+    refined, plain = [], recipes._Sweep.refined
+    monkeypatch.setattr(recipes._Sweep, "refined", lambda sweep, c, *args: refined.append(len(c)) or plain(sweep, c, *args))
+    swept, coarse = [], recipes._Sweep.swept
+    monkeypatch.setattr(recipes._Sweep, "swept", lambda sweep, *args: swept.append(len(args[0])) or coarse(sweep, *args))
+    targets = np.random.default_rng(31).uniform((5, -60, -60), (95, 60, 60), (40, 3))
+    got = solver.match(targets)
+    # of 969 subsets a colour
+    assert sum(refined) < 60 * len(targets) and 0 < sum(swept) < 400 * len(targets)
+    monkeypatch.undo()
+    for target, match in zip(targets[::4], got[::4], strict=True):
+        least = recipes._distance(solver.single, target).min()
+        for sweep in solver.sweeps:
+            c, one = np.arange(len(sweep.members)), np.broadcast_to(target, (len(sweep.members), 3))
+            first, own = sweep.first(target[None])
+            least = min(least, sweep.refined(c, *sweep.swept(c, first[0], own[0], one), one)[0].min())
+        assert match[2] == pytest.approx(least, abs=1e-9)
+
+
+def test_colours_solved_together_do_not_depend_on_each_other():
+    solver = recipes.Solver([(p[0], p[4], p[5]) for p in pigments.PALETTE[::2]])
+    targets = np.random.default_rng(32).uniform((0, -90, -90), (100, 90, 90), (300, 3))
+    together = solver.match(targets)
+    for i in range(0, 300, 17):
+        alone = solver.match(targets[i : i + 1])[0]
+        assert together[i][0] == alone[0] and together[i][1] == pytest.approx(alone[1], abs=1e-9) and together[i][2] == pytest.approx(alone[2], abs=1e-9)
+    assert solver.match(targets[:0]) == []

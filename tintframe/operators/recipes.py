@@ -26,6 +26,10 @@ _OBSERVERS = np.array(pigments.OBSERVERS) / pigments.NORM
 def _lab_of(shares: np.ndarray, k: np.ndarray, s: np.ndarray) -> np.ndarray:
     """Spectral Lab of rows of shares: of the same few paints, or of each row's own."""
     ks, ss = ((shares @ x if x.ndim == 2 else np.einsum("ij,ijb->ib", shares, x)) for x in (k, s))
+    return _lab_of_sums(ks, ss)
+
+
+def _lab_of_sums(ks: np.ndarray, ss: np.ndarray) -> np.ndarray:
     q = ks / np.maximum(ss, pigments.LEAST_SCATTER)
     r = 1 + q - np.sqrt(q * q + 2 * q)
     r = (1 - pigments.SAUNDERSON_K1) * (1 - pigments.SAUNDERSON_K2) * r / (1 - pigments.SAUNDERSON_K2 * r)
@@ -113,62 +117,126 @@ class _Sweep:
                 kept[:, real] = np.maximum(kept[:, real], _distance(gap, np.zeros(3)))
         self.reach = 1.25 * self.reach + 1e-4
         self.bend = 1.25 * (self.bend + worst) + 1e-4
-
-    def swept(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each subset's best lattice point for a target after one refinement, and its distance."""
+        # steps within a lattice step; those beyond a border lead nowhere
+        by = [x for x in product(np.linspace(-1, 1, REFINE_STEPS + 1), repeat=size - 1) if any(x)]
+        self.length, self.fine = np.abs(by).max(axis=1), np.array(by) / self.steps
+        self.moves = np.array([[math.prod(x[axis] for axis in axes) for x in by] for axes, _ in self.terms])
+        self.exist = self._steps(here)[1]
+        self.planes = [np.ascontiguousarray(self.lab[..., c]) for c in range(3)]
+        self.swatch = [np.ascontiguousarray(self.lab[:, self.coarse, c]) for c in range(3)]
+        self._bounds()
+
+    def _bounds(self) -> None:
+        """How far the refinements lead from a coarse point; a direction across each lattice point's surface.
+
+        Along ``across`` a step of first order does not move the colour, so that only the
+        second order and its error, ``slack``, take from the distance measured that way. Its
+        length is 1 in the dual of the distance's norm.
+        """
+        rises = [x for axes, x in self.terms if len(axes) == 1]
+        across = np.cross(*rises) if self.size == 3 else np.zeros(self.lab.shape, np.float32)
+        length = np.maximum(np.abs(across[..., 0]) / color.LIGHTNESS_WEIGHT, np.hypot(across[..., 1], across[..., 2]))
+        self.across = (across / np.maximum(length, 1e-9)[..., None]).astype(np.float32)
+        bent = sum(np.abs((self.across * x).sum(axis=-1)) for axes, x in self.terms if len(axes) == 2)
+        self.slack = (bent + self.bend + 1e-3).astype(np.float32)
+        # what the refinements of a coarse point can reach lies in a box along the axes and in
+        # a slab along its own direction
+        axes_ = np.eye(3, dtype=np.float32) / np.float32([color.LIGHTNESS_WEIGHT, 1, 1])
+        self.within = np.empty((len(self.members), len(self.coarse), 4, 2))
+        for i in range(len(self.members)):
+            sides = np.concatenate([np.broadcast_to(axes_, (len(self.coarse), 3, 3)), self.across[i, self.coarse, None]], axis=1)
+            across = lambda x: sides @ x[i].astype(np.float32).T  # noqa: B023, E731
+            seen = np.take_along_axis(across(self.lab), self.near[:, None], axis=2)
+            play = np.take_along_axis(sum(np.abs(across(x)) for _, x in self.terms), self.near[:, None], axis=2) + self.bend[i, self.near][:, None] + 2e-3
+            self.within[i] = np.stack([(seen - play).min(axis=2), (seen + play).max(axis=2)], axis=2)
+
+    def first(self, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each subset's best coarse point for each target, as its place in ``coarse``, and its distance."""
+        at, d = np.empty((len(targets), len(self.members)), np.int64), np.empty((len(targets), len(self.members)))
+        light, side = np.empty(self.swatch[0].shape), np.empty(self.swatch[0].shape)
         every = np.arange(len(self.members))
-        first = _distance(self.lab[:, self.coarse], target).argmin(axis=1)
-        around = self.near[first]
-        d = _distance(self.lab[every[:, None], around], target)
-        to = d.argmin(axis=1)
-        own = _distance(self.lab[every, self.coarse[first]], target)
-        better = d[every, to] < own
-        return np.where(better, around[every, to], self.coarse[first]), np.where(better, d[every, to], own)
-
-    def _tried(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Shares within a lattice step of lattice points, and which of them exist."""
-        fine = np.linspace(-1, 1, REFINE_STEPS + 1) / self.steps
-        free = [np.clip(self.shares[at, axis, None] + fine, 0, 1) for axis in range(self.size - 1)]
-        if self.size == 3:
-            n = len(fine)
-            free = [np.repeat(free[0], n, axis=1), np.tile(free[1], (1, n))]
-        rest = 1 - sum(free)
-        return np.maximum(np.stack([*free, rest], axis=2), 0), rest >= -1e-12
-
-    def least(self, subset: np.ndarray, at: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """What the second refinement of recipes can reach at best; whether it leaves them as they are.
+        for i, (tl, ta, tb) in enumerate(targets):
+            # in two buffers, which stay in the cache
+            np.subtract(self.swatch[1], ta, out=light)
+            np.multiply(light, light, out=light)
+            np.subtract(self.swatch[2], tb, out=side)
+            np.multiply(side, side, out=side)
+            np.add(light, side, out=side)
+            np.sqrt(side, out=side)
+            np.subtract(self.swatch[0], tl, out=light)
+            np.abs(light, out=light)
+            np.multiply(light, color.LIGHTNESS_WEIGHT, out=light)
+            np.add(light, side, out=side)
+            at[i] = side.argmin(axis=1)
+            d[i] = side[every, at[i]]
+        return at, d
+
+    def swept(self, subset: np.ndarray, first: np.ndarray, own: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The best lattice points of subsets after a refinement of their coarse points, and their distances."""
+        at, d = self.coarse[first], own.copy()
+        for lo in range(0, len(subset), 256):
+            some = slice(lo, lo + 256)
+            around = self.near[first[some]]
+            light, a, b = (x[subset[some, None], around] - target[some, c, None] for c, x in enumerate(self.planes))
+            gap = color.LIGHTNESS_WEIGHT * np.abs(light) + np.sqrt(a * a + b * b)
+            to = gap.argmin(axis=1)
+            row = np.arange(len(to))
+            better = gap[row, to] < own[some]
+            at[some] = np.where(better, around[row, to], at[some])
+            d[some] = np.where(better, gap[row, to], own[some])
+        return at, d
+
+    def may_come(self, subset: np.ndarray, first: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """A quick bound on what both refinements of coarse points can reach at best."""
+        lo, hi = np.moveaxis(self.within[subset, first], 2, 0)
+        across = (self.across[subset, self.coarse[first]] * target).sum(axis=1)
+        seen = np.column_stack([target / (color.LIGHTNESS_WEIGHT, 1, 1), across])
+        gap = np.maximum(np.maximum(lo - seen, seen - hi), 0)
+        return np.maximum(color.LIGHTNESS_WEIGHT**2 * gap[:, 0] + np.hypot(gap[:, 1], gap[:, 2]), gap[:, 3])
+
+    def may_reach(self, subset: np.ndarray, at: np.ndarray, d: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """A quick bound on what the second refinement of recipes can reach at best."""
+        gap = target - self.lab[subset, at]
+        seen = np.abs((gap * self.across[subset, at]).sum(axis=1)) - self.slack[subset, at]
+        # the direction in which the distance is measured
+        side = np.column_stack([color.LIGHTNESS_WEIGHT * np.sign(gap[:, 0]), gap[:, 1:] / np.maximum(np.hypot(gap[:, 1], gap[:, 2]), 1e-9)[:, None]])
+        play = sum(np.abs((side * x[subset, at]).sum(axis=1)) for _, x in self.terms)
+        return np.maximum(seen, d - np.minimum(play + self.bend[subset, at] + 1e-3, self.reach[subset, at]))
+
+    def _steps(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Shares of the second refinement's steps from lattice points, and which of them exist."""
+        free = self.shares[at, None, :-1] + self.fine
+        rest = 1 - free.sum(axis=2)
+        real = (free >= -1e-12).all(axis=2) & (free <= 1 + 1e-12).all(axis=2) & (rest >= -1e-12)
+        return np.maximum(np.concatenate([np.minimum(free, 1), rest[..., None]], axis=2), 0), real
+
+    def least(self, subset: np.ndarray, at: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """What the second refinement of recipes can reach at best.
 
         That is the distance after steps of second order, less their error, which shrinks with
         the step.
         """
-        out, stays = np.empty(len(subset)), np.empty(len(subset), bool)
-        for lo in range(0, len(subset), 512):
-            c, i = subset[lo : lo + 512], at[lo : lo + 512]
-            tried, real = self._tried(i)
-            moved = [(tried[..., axis] - self.shares[i, axis, None]) * self.steps for axis in range(self.size - 1)]
-            lab = self.lab[c, i][:, None]
-            for axes, x in self.terms:
-                lab = lab + math.prod(moved[axis] for axis in axes)[..., None] * x[c, i][:, None]
-            far = np.max(np.abs(moved), axis=0)
-            d = np.where(real, _distance(lab, target[lo : lo + 512, None]) - self.bend[c, i][:, None] * far, np.inf)
-            out[lo : lo + 512] = d.min(axis=1)
-            stays[lo : lo + 512] = np.where(far > 1e-9, d, np.inf).min(axis=1) >= _distance(self.lab[c, i], target[lo : lo + 512])
-        return out, stays
+        out = np.empty(len(subset))
+        for lo in range(0, len(subset), 256):
+            c, i = subset[lo : lo + 256], at[lo : lo + 256]
+            told = np.stack([x[c, i] for _, x in self.terms], axis=2).astype(np.float64)
+            gap = (told.reshape(-1, len(self.terms)) @ self.moves).reshape(len(c), 3, -1) + (self.lab[c, i] - target[lo : lo + 256])[..., None]
+            least = color.LIGHTNESS_WEIGHT * np.abs(gap[:, 0]) + np.sqrt(gap[:, 1] ** 2 + gap[:, 2] ** 2) - self.bend[c, i][:, None] * self.length
+            out[lo : lo + 256] = np.where(self.exist[i], least, np.inf).min(axis=1)
+        return out
 
     def refined(self, subset: np.ndarray, at: np.ndarray, d: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distance and shares of recipes after the second refinement."""
         best, shares = d.copy(), np.maximum(self.shares[at], 0)
-        for lo in range(0, len(subset), 64):
-            some = slice(lo, lo + 64)
-            tried, real = self._tried(at[some])
-            n = tried.shape[1]
-            m = np.repeat(self.members[subset[some]], n, axis=0)
-            lab = _lab_of(tried.reshape(-1, self.size), self.k[m], self.s[m]).reshape(-1, n, 3)
-            gap = np.where(real, _distance(lab, target[some, None]), np.inf)
-            to = gap.argmin(axis=1)
-            found = gap[np.arange(len(to)), to]
-            better = np.flatnonzero(found < best[some])
-            best[some][better] = found[better]
+        for lo in range(0, len(subset), 8):
+            some = slice(lo, lo + 8)
+            tried, real = self._steps(at[some])
+            m = self.members[subset[some]]
+            lab = _lab_of_sums((tried @ self.k[m]).reshape(-1, self.k.shape[1]), (tried @ self.s[m]).reshape(-1, self.k.shape[1]))
+            gap = np.where(real, _distance(lab.reshape(*real.shape, 3), target[some, None]), np.inf)
+            row, to = np.arange(len(gap)), gap.argmin(axis=1)
+            better = np.flatnonzero(gap[row, to] < best[some])
+            best[some][better] = gap[better, to[better]]
             shares[some][better] = tried[better, to[better]]
         return best, shares / shares.sum(axis=1, keepdims=True)
 
@@ -176,13 +244,15 @@ class _Sweep:
 class Solver:
     """The best recipe of one to three paints for colours, a batch at a time.
 
-    Every subset is swept and refined on its lattice. The last refinement is made of the most
-    promising subsets first; the others follow only if what they can still gain suffices to
-    beat the best recipe known.
+    Every subset is swept on its lattice. The refinements are made of the most promising
+    subsets first, and of the others only if what they can still gain suffices to beat the best
+    recipe known.
     """
 
-    #: Recipes refined at a time, the most promising first.
-    RECIPES = 8
+    #: Colours solved at a time, and how many of a colour's recipes come first.
+    COLOURS, FIRST = 128, 16
+    #: Ranks of a colour's recipes, the most promising first, that are mixed at a time.
+    TURNS = ((0, 1), (1, 3), (3, 8), (8, 1 << 30))
 
     def __init__(self, paints: list[tuple[int, list[float], list[float]]]):
         self.index = [p[0] for p in paints]
@@ -192,28 +262,56 @@ class Solver:
 
     def match(self, targets: np.ndarray) -> list[tuple[list[int], list[float], float]]:
         """Paints, shares and distance for each target; ties go to fewer paints, then to library order."""
-        return [self._match(t) for t in targets]
-
-    def _match(self, target: np.ndarray) -> tuple[list[int], list[float], float]:
-        found = [(float(d), (i,), np.ones(1)) for i, d in enumerate(_distance(self.single, target))]
-        swept = [sweep.swept(target) for sweep in self.sweeps]
-        known = min([f[0] for f in found] + [d.min() for _, d in swept if len(d)])
-        for sweep, (at, d) in zip(self.sweeps, swept, strict=True):
-            alike = lambda c: np.broadcast_to(target, (len(c), 3))
-            may = np.flatnonzero(d - sweep.reach[np.arange(len(d)), at] <= known + 1e-9)
-            least, stays = sweep.least(may, at[may], alike(may))
-            settled, open_ = may[stays], np.flatnonzero(~stays)
-            met = [(c, float(d[c]), sweep.shares[at[c]]) for c in settled.tolist() if d[c] <= known + 1e-9]
-            order = open_[np.argsort(least[open_], kind="stable")]
-            for lo in range(0, len(order), self.RECIPES):
-                some = order[lo : lo + self.RECIPES]
-                c = may[some[least[some] <= known + 1e-9]]
-                if not len(c):
-                    break
-                best, shares = sweep.refined(c, at[c], d[c], alike(c))
-                met += zip(c.tolist(), best.tolist(), shares, strict=True)
-                known = min([known, *best.tolist()])
-            found += [(b, tuple(sweep.members[c]), x) for c, b, x in sorted(met, key=lambda m: m[0])]
+        return [x for lo in range(0, len(targets), self.COLOURS) for x in self._match(targets[lo : lo + self.COLOURS])]
+
+    def _match(self, targets: np.ndarray) -> list[tuple[list[int], list[float], float]]:
+        alone = _distance(self.single, targets[:, None])
+        found = [[(d, (i,), np.ones(1)) for i, d in enumerate(row)] for row in alone.tolist()]
+        known = alone.min(axis=1)
+        firsts = [sweep.first(targets) for sweep in self.sweeps]
+        for _, d in firsts:
+            known = np.minimum(known, d.min(axis=1, initial=np.inf))
+        lattice = []
+        for sweep, (first, own) in zip(self.sweeps, firsts, strict=True):
+            rows = []
+            if len(sweep.members):
+                n = min(self.FIRST, len(sweep.members))
+                early = np.zeros(own.shape, bool)
+                np.put_along_axis(early, np.argpartition(own, n - 1, axis=1)[:, :n], True, axis=1)
+                t, c = np.indices(own.shape).reshape(2, -1)
+                least = sweep.may_come(c, first.ravel(), targets[t]).reshape(own.shape)
+                for turn in (early, ~early):
+                    c, t = np.nonzero((turn & (least <= known[:, None] + 1e-9)).T)  # a subset at a time, whose lattice stays in the cache
+                    at, d = sweep.swept(c, first[t, c], own[t, c], targets[t])
+                    np.minimum.at(known, t, d)
+                    rows.append((t, c, at, d))
+            lattice.append(rows)
+        for sweep, rows in zip(self.sweeps, lattice, strict=True):
+            if not rows:
+                continue
+            t, c, at, d = (np.concatenate(x) for x in zip(*rows, strict=True))
+            least = sweep.may_reach(c, at, d, targets[t])
+            order = np.lexsort((least, t))
+            t, c, at, d, least = t[order], c[order], at[order], d[order], least[order]
+            best, how = d.copy(), np.maximum(sweep.shares[at], 0)
+            place = np.arange(len(t)) - np.searchsorted(t, t)
+            for turn in (place < self.FIRST, place >= self.FIRST):
+                may = np.flatnonzero(turn & (least <= known[t] + 1e-9))
+                low = sweep.least(c[may], at[may], targets[t[may]])
+                may, low = may[low < d[may]], low[low < d[may]]  # the others stay as they are
+                order = np.lexsort((low, t[may]))
+                may, low = may[order], low[order]
+                rank = np.arange(len(may)) - np.searchsorted(t[may], t[may])
+                for lo, hi in self.TURNS:
+                    some = may[(lo <= rank) & (rank < hi) & (low <= known[t[may]] + 1e-9)]
+                    best[some], how[some] = sweep.refined(c[some], at[some], d[some], targets[t[some]])
+                    np.minimum.at(known, t[some], best[some])
+            met = np.flatnonzero(best <= known[t] + 1e-9)
+            for i in met[np.argsort(best[met], kind="stable")].tolist():
+                found[t[i]].append((float(best[i]), tuple(sweep.members[c[i]].tolist()), how[i] / how[i].sum()))
+        return [self._told(f) for f in found]
+
+    def _told(self, found: list) -> tuple[list[int], list[float], float]:
         best = found[0]
         for f in found[1:]:  # some tens are left
             if f[0] < best[0] - 1e-12:

@@ -6,24 +6,26 @@ import heapq
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources import scratch
-from . import filters, graph
+from . import batches, filters, graph
 from .nearest import nearest, nearest_of_own, nearest_to
 
 
-def label_grid(index: np.ndarray) -> np.ndarray:
-    """4-connected regions of equal value, numbered by their first pixel in row order."""
-    height, width = index.shape
-    flat = index.reshape(-1)
-    place = np.arange(flat.size).reshape(height, width)
-    root = np.arange(flat.size)
-    across, along = index[:, 1:] == index[:, :-1], index[1:] == index[:-1]
-    edges = np.concatenate([np.stack([place[:, 1:][across], place[:, :-1][across]]), np.stack([place[1:][along], place[:-1][along]])], axis=1)
+def _rooted(value: np.ndarray, width: np.ndarray, across: np.ndarray, along: np.ndarray) -> np.ndarray:
+    """The first place of each place's 4-connected region of equal value.
+
+    ``across`` and ``along`` tell which places have one to their right and, ``width`` on, below.
+    """
+    root = np.arange(value.size)
+    right, below = np.flatnonzero(across), np.flatnonzero(along)
+    edges = np.concatenate([np.stack([right + 1, right]), np.stack([below + width[below], below])], axis=1)
+    edges = edges[:, value[edges[0]] == value[edges[1]]]
     while edges.size:
         low = np.minimum(root[edges[0]], root[edges[1]])
         before = root.copy()
@@ -33,26 +35,51 @@ def label_grid(index: np.ndarray) -> np.ndarray:
             root = root[root]
         if np.array_equal(root, before):
             break
+    return root
+
+
+def label_grid(index: np.ndarray) -> np.ndarray:
+    """4-connected regions of equal value, numbered by their first pixel in row order."""
+    height, width = index.shape
+    place = np.arange(index.size)
+    root = _rooted(index.reshape(-1), np.full(index.size, width), place % width < width - 1, place < index.size - width)
     return np.unique(root, return_inverse=True)[1].reshape(height, width)
 
 
-def _grid(image: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
-    image = image.sort_values(["y", "x"])
-    return image, image["cand_idx"].to_numpy().reshape(image["y"].nunique(), -1)
+class _Images:
+    """Rectangles of pixels in one table, sorted by ``keys``, y and x."""
+
+    def __init__(self, table: pa.Table, keys: list[str]):
+        self.y, self.x, self.value = (table[c].to_numpy() for c in ("y", "x", "cand_idx"))
+        self.starts = batches.starts_of(table, keys)
+        lines = batches.starts_of(table, [*keys, "y"])
+        sizes = np.diff(self.starts)
+        self.image = np.repeat(np.arange(len(sizes)), sizes)
+        self.width = np.repeat(np.diff(lines), np.diff(lines))
+        if (self.width != self.width[self.starts[:-1]][self.image]).any():
+            raise ValueError("an image's lines have the same number of pixels each")
+        self.across = np.ones(len(self.y), bool)
+        self.across[lines[1:] - 1] = False
+        self.along = np.arange(len(self.y)) + self.width < self.starts[1:][self.image]
+
+    def rooted(self) -> np.ndarray:
+        return _rooted(self.value, self.width, self.across, self.along)
 
 
 def labels(indexed: DataFrame) -> DataFrame:
     """``image_id, y, x, cand_idx, region_id`` of images given as ``cand_idx`` per pixel.
 
-    One task labels an image, so an image has to fit a worker.
+    One task labels an image, so an image has to fit a worker; small ones are labelled together.
     """
 
-    def run(image: pd.DataFrame) -> pd.DataFrame:
-        image, grid = _grid(image)
-        return image[["image_id", "y", "x", "cand_idx"]].assign(region_id=label_grid(grid).reshape(-1))
+    def run(table: pa.Table) -> pa.Table:
+        images = _Images(table, ["image_id"])
+        number = np.unique(images.rooted(), return_inverse=True)[1].astype(np.int64)
+        # an image's first pixel has its first region
+        return table.append_column("region_id", pa.array(number - number[images.starts[:-1]][images.image]))
 
-    cast = indexed.select("image_id", "y", "x", F.col("cand_idx").cast("int"))
-    return cast.groupBy("image_id").applyInPandas(run, "image_id long, y int, x int, cand_idx int, region_id long")
+    cast = indexed.select(F.col("image_id").cast("long"), F.col("y").cast("int"), F.col("x").cast("int"), F.col("cand_idx").cast("int"))
+    return batches.map_groups(cast, ["image_id"], ["y", "x"], run, "image_id long, y int, x int, cand_idx int, region_id long")
 
 
 #: Bits of a pixel's place that are its column: places are ordered as rows are read.
@@ -70,15 +97,14 @@ def labels_tiled(indexed: DataFrame, tile: int = 1024) -> DataFrame:
     if tile < 1:
         raise ValueError("a tile has a pixel")
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["y", "x"])
-        local = label_grid(part["cand_idx"].to_numpy().reshape(part["y"].nunique(), -1)).reshape(-1)
-        place = (part["y"].to_numpy().astype(np.int64) << _ROW) | part["x"].to_numpy()
-        first = place[np.unique(local, return_index=True)[1]]
-        return part[["image_id", "y", "x", "cand_idx"]].assign(name=first[local])
+    keys = ["image_id", "ty", "tx"]
+
+    def run(table: pa.Table) -> pa.Table:
+        place = (table["y"].to_numpy().astype(np.int64) << _ROW) | table["x"].to_numpy()
+        return table.select(["image_id", "y", "x", "cand_idx"]).append_column("name", pa.array(place[_Images(table, keys).rooted()]))
 
-    cast = indexed.select("image_id", "y", "x", F.col("cand_idx").cast("int"), F.floor(F.col("y") / tile).alias("ty"), F.floor(F.col("x") / tile).alias("tx"))
-    named = scratch.save(cast.groupBy("image_id", "ty", "tx").applyInPandas(run, "image_id long, y int, x int, cand_idx int, name long"), "tiles")
+    cast = indexed.select(F.col("image_id").cast("long"), F.col("y").cast("int"), F.col("x").cast("int"), F.col("cand_idx").cast("int"), F.floor(F.col("y") / tile).alias("ty"), F.floor(F.col("x") / tile).alias("tx"))
+    named = scratch.save(batches.map_groups(cast, keys, ["y", "x"], run, "image_id long, y int, x int, cand_idx int, name long"), "tiles")
     pairs = None
     for across, along in (("x", "y"), ("y", "x")):
         here = named.filter(F.col(across) % tile == 0).select("image_id", along, (F.col(across) - 1).alias(across), "cand_idx", F.col("name").alias("u"))
@@ -152,17 +178,25 @@ def merge_graph(area: list[int], near: list[set[int]], least: int) -> np.ndarray
 
 def merge_grid(grid: np.ndarray, least: int) -> np.ndarray:
     """A grid of values after its regions under ``least`` pixels are merged by :func:`merge_graph`."""
-    region = label_grid(grid)
+    width, place = grid.shape[1], np.arange(grid.size)
+    return _merged(grid.reshape(-1), label_grid(grid).reshape(-1), np.full(grid.size, width), place % width < width - 1, place < grid.size - width, least).reshape(grid.shape)
+
+
+def _merged(value: np.ndarray, region: np.ndarray, width: np.ndarray, across: np.ndarray, along: np.ndarray, least: int) -> np.ndarray:
+    """The values after merging; places lie as in :func:`_rooted`. Images do not touch, so one graph holds them all."""
     count = int(region.max()) + 1
-    area = np.bincount(region.reshape(-1), minlength=count).tolist()
-    value = np.empty(count, grid.dtype)
-    value[region.reshape(-1)] = grid.reshape(-1)
+    area = np.bincount(region, minlength=count).tolist()
+    own = np.empty(count, value.dtype)
+    own[region] = value
+    right, below = np.flatnonzero(across), np.flatnonzero(along)
+    a = np.concatenate([region[right], region[below]])
+    b = np.concatenate([region[right + 1], region[below + width[below]]])
     near: list[set[int]] = [set() for _ in range(count)]
-    for a, b in ((region[:, 1:], region[:, :-1]), (region[1:], region[:-1])):
-        for p, q in {*zip(a[a != b].tolist(), b[a != b].tolist(), strict=True)}:
-            near[p].add(q)
-            near[q].add(p)
-    return value[merge_graph(area, near, least)[region]]
+    pair = np.unique((a * count + b)[a != b])
+    for p, q in zip((pair // count).tolist(), (pair % count).tolist(), strict=True):
+        near[p].add(q)
+        near[q].add(p)
+    return own[merge_graph(area, near, least)[region]]
 
 
 def merge_regions(labelled: DataFrame, mark: float) -> DataFrame:
@@ -177,25 +211,26 @@ def merge_regions(labelled: DataFrame, mark: float) -> DataFrame:
     if least <= 1:
         return pixels.drop("region_id")
 
-    def run(graph_: pd.DataFrame) -> pd.DataFrame:
-        whole = graph_["b"].isna()
-        sizes = graph_[whole].sort_values("a")  # numbered from 0 without gaps
-        near: list[set[int]] = [set() for _ in range(len(sizes))]
-        for a, b in zip(graph_.loc[~whole, "a"].tolist(), graph_.loc[~whole, "b"].astype(int).tolist(), strict=True):
-            near[a].add(b)
-            near[b].add(a)
-        into = merge_graph(sizes["area"].astype(int).tolist(), near, least)
-        return pd.DataFrame({"image_id": sizes["image_id"].to_numpy(), "region_id": sizes["a"].to_numpy(), "cand_idx": sizes["cand_idx"].astype(int).to_numpy()[into]})
+    def run(table: pa.Table) -> pa.Table:
+        # an image's regions are numbered from 0 without gaps
+        starts = batches.starts_of(table, ["image_id"])
+        base = np.repeat(starts[:-1], np.diff(starts))
+        beside = table["beside"].combine_chunks()
+        of = pc.list_parent_indices(beside).to_numpy()
+        near: list[set[int]] = [set() for _ in range(table.num_rows)]
+        for p, q in zip(of.tolist(), (base[of] + pc.list_flatten(beside).to_numpy()).tolist(), strict=True):
+            near[p].add(q)
+            near[q].add(p)
+        into = merge_graph(table["area"].to_pylist(), near, least)
+        return pa.table({"image_id": table["image_id"], "region_id": table["region_id"], "cand_idx": pa.array(table["cand_idx"].to_numpy()[into], pa.int32())})
 
     sizes = areas(labelled)
     # an image without a small region has nothing to merge, and its graph goes nowhere
-    open_images = sizes.groupBy("image_id").agg(F.min("area").alias("smallest")).filter(F.col("smallest") < least).select(F.col("image_id").alias("open_id"))
-    none = F.lit(None).cast("long")
-    nodes = sizes.select("image_id", F.col("region_id").alias("a"), none.alias("b"), "area", F.col("cand_idx").cast("long").alias("cand_idx"))
-    edges = adjacency(labelled).select("image_id", "a", "b", none.alias("area"), none.alias("cand_idx"))
-    both = nodes.union(edges)
-    graphs = both.join(open_images, both["image_id"] == F.col("open_id"), "left_semi")
-    merged = graphs.groupBy("image_id").applyInPandas(run, "image_id long, region_id long, cand_idx int")
+    open_images = sizes.groupBy("image_id").agg(F.min("area").alias("smallest")).filter(F.col("smallest") < least).select("image_id")
+    beside = adjacency(labelled).groupBy("image_id", F.col("a").alias("region_id")).agg(F.collect_list("b").alias("beside"))
+    graphs = sizes.join(open_images, "image_id", "left_semi").join(beside, ["image_id", "region_id"], "left")
+    typed = graphs.select(F.col("image_id").cast("long"), "region_id", F.col("cand_idx").cast("int"), "area", F.coalesce("beside", F.array().cast("array<bigint>")).alias("beside"))
+    merged = batches.map_groups(typed, ["image_id"], ["region_id"], run, "image_id long, region_id long, cand_idx int")
     met = pixels.join(merged.withColumnRenamed("cand_idx", "merged"), ["image_id", "region_id"], "left")
     return met.select("image_id", "y", "x", F.coalesce("merged", "cand_idx").alias("cand_idx"))
 
@@ -206,12 +241,14 @@ def merge_small(indexed: DataFrame, mark: float) -> DataFrame:
     if least <= 1:
         return indexed
 
-    def run(image: pd.DataFrame) -> pd.DataFrame:
-        image, grid = _grid(image)
-        return image.assign(cand_idx=merge_grid(grid, least).reshape(-1))
+    def run(table: pa.Table) -> pa.Table:
+        images = _Images(table, ["image_id"])
+        region = np.unique(images.rooted(), return_inverse=True)[1]
+        merged = _merged(images.value, region, images.width, images.across, images.along, least)
+        return table.set_column(table.schema.get_field_index("cand_idx"), "cand_idx", pa.array(merged, pa.int32()))
 
     typed = indexed.withColumn("cand_idx", F.col("cand_idx").cast("int"))
-    return typed.groupBy("image_id").applyInPandas(run, typed.schema)
+    return batches.map_groups(typed, ["image_id"], ["y", "x"], run, typed.schema)
 
 
 def ground_fill(indexed: DataFrame, cands: DataFrame, mark: float) -> DataFrame:

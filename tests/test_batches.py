@@ -3,7 +3,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tintframe.operators import batches, regions
+from tintframe.operators import batches, mixtures, palette, regions
 
 
 @pytest.mark.parametrize("size", [1, 2, 3, 5, 100])
@@ -33,3 +33,14 @@ def test_many_images_are_labelled_at_a_time(spark):
         grids.setdefault(r.image_id, np.zeros((3, 3), int))[r.y, r.x] = r.cand_idx
     for r in regions.labels(df).filter("image_id % 10 = 0").collect():
         assert r.region_id == regions.label_grid(grids[r.image_id])[r.y, r.x]
+
+
+def test_palettes_of_many_images_come_from_one_call(spark):
+    cands = mixtures.with_argb_lab(spark.createDataFrame([(i, i * 0x0B0D11 % (1 << 24)) for i in range(60)], "cand_idx int, argb int"))
+    df = spark.range(400).select(F.explode(F.sequence(F.lit(0), F.lit(15))).alias("i"), F.col("id").alias("image_id")).selectExpr("image_id", "cast(i div 4 as int) y", "cast(i % 4 as int) x", "cast(pmod(hash(image_id, i), 1 << 24) as int) argb")
+    got = palette.image_palette(df, cands, 5)
+    assert "FlatMapGroups" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = sorted(map(tuple, got.collect()))
+    alone = palette.image_palette(df.filter("image_id = 37"), cands, 5).collect()
+    assert sorted(map(tuple, alone)) == [r for r in rows if r[0] == 37]
+    assert {r[0] for r in rows} == set(range(400))

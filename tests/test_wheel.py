@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tintframe.functions import pigments
 from tintframe.operators import mixtures, recipes, wheel
@@ -78,3 +79,15 @@ def test_wheel_files_hold_the_wheels(spark):
     for name, d in (("small.png", 5), ("large.png", 8)):
         px = decoders.decode_png(files[name])
         assert {(r.y, r.x): r.argb for r in wheel.paint_wheel(wheel.disc(spark, d), paints).collect()} == {at: int(v) for at, v in np.ndenumerate(px)}
+
+
+def test_lines_of_a_point_are_told_within_its_row(spark):
+    paints = mixtures.palette(spark, [1, 4, 9, 14])
+    points = wheel.disc(spark, 9).withColumn("id", F.col("y").cast("long") * 9 + F.col("x"))
+    told = wheel.lines(points, paints)
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan and "Sort" not in plan
+    # the same from rows of weights
+    at = F.element_at(F.array(*map(F.lit, [1, 4, 9, 14])), F.col("paint") + 1)
+    rows = recipes.wheel_lines(wheel.weights(points, 4).select("id", at.alias("paint_idx"), "weight"), paints)
+    assert sorted(map(tuple, told.collect())) == sorted(map(tuple, rows.collect())) != []

@@ -434,12 +434,27 @@ def recipe_lines(matches: DataFrame, paints: DataFrame) -> DataFrame:
     return named.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]).alias("lines"))
 
 
-def wheel_lines(weights: DataFrame, paints: DataFrame, named: int = 5) -> DataFrame:
-    """id, rank, line: the largest shares by name, the rest summed up in a last line."""
-    rank = F.row_number().over(W.partitionBy("id").orderBy(F.desc("weight"), "paint_idx"))
-    ranked = weights.filter("weight > 0").withColumn("rank", rank).join(paints.select("paint_idx", "name"), "paint_idx")
-    shown = (F.col("rank") <= named) & (F.col("weight") >= LEAST_SHARE)
+def largest_lines(parts: Column, named: int = 5) -> Column:
+    """Array of rank and line: the largest of ``parts(paint_idx, name, weight)`` by name, the rest summed up in a last line."""
+    before = lambda p, q: F.when((p["weight"] > q["weight"]) | ((p["weight"] == q["weight"]) & (p["paint_idx"] < q["paint_idx"])), -1).otherwise(1)
+    order = lambda p, q: F.when((p["weight"] == q["weight"]) & (p["paint_idx"] == q["paint_idx"]), 0).otherwise(before(p, q))
+    ranked = F.array_sort(F.filter(parts, lambda p: p["weight"] > 0), order)
     percent = lambda w: F.concat(F.rint(w * 100).cast("int").cast("string"), F.lit("%"))
-    top = ranked.filter(shown).select("id", "rank", F.concat("name", F.lit(": "), percent(F.col("weight"))).alias("line"))
-    rest = ranked.filter(~shown).groupBy("id").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).filter(F.col("w") >= LEAST_SHARE)
-    return top.union(rest.select("id", F.lit(named + 1).alias("rank"), F.concat(F.lit("+"), F.col("n").cast("string"), F.lit(" more: "), percent(F.col("w"))).alias("line")))
+    shown = lambda p, i: (i < named) & (p["weight"] >= LEAST_SHARE)
+
+    def told(of: Column) -> Column:
+        line = lambda p, i: F.struct((i + 1).alias("rank"), F.concat(p["name"], F.lit(": "), percent(p["weight"])).alias("line"))
+        top = F.transform(F.filter(of, shown), line)
+        rest = F.filter(of, lambda p, i: ~shown(p, i))
+        sum_ = F.aggregate(rest, F.lit(0.0), lambda s, p: s + p["weight"])
+        last = F.struct(F.lit(named + 1).alias("rank"), F.concat(F.lit("+"), F.size(rest).cast("string"), F.lit(" more: "), percent(sum_)).alias("line"))
+        return F.concat(top, F.filter(F.array(last), lambda _: sum_ >= LEAST_SHARE))
+
+    return F.transform(F.array(ranked), told)[0]
+
+
+def wheel_lines(weights: DataFrame, paints: DataFrame, named: int = 5) -> DataFrame:
+    """id, rank, line: :func:`largest_lines` of the rows ``id, paint_idx, weight``."""
+    met = weights.join(paints.select("paint_idx", "name"), "paint_idx")
+    parts = met.groupBy("id").agg(F.collect_list(F.struct("paint_idx", "name", "weight")).alias("parts"))
+    return parts.select("id", F.inline(largest_lines(F.col("parts"), named)))

@@ -94,11 +94,16 @@ def traditional_wheel(points: DataFrame) -> DataFrame:
 def lines(points: DataFrame, paints: DataFrame, named: int = 5) -> DataFrame:
     """id, rank, line: what is told of the points ``id, y, x, diameter`` of a paint wheel.
 
-    The largest shares by name and the rest in a last line; nothing outside the disc.
+    The largest shares by name and the rest in a last line; nothing outside the disc. A point
+    has all it needs in its row, so nothing is shuffled or sorted.
     """
-    listed = paints.select("paint_idx", (F.row_number().over(mixtures.library_order()) - 1).alias("paint"))
-    met = weights(points, listed.count()).join(F.broadcast(listed), "paint")
-    return recipes.wheel_lines(met.select("id", "paint_idx", "weight"), paints, named)
+    listed = paints.select("paint_idx", "name", F.row_number().over(mixtures.library_order()).alias("n")).orderBy("n").limit(mixtures.MOST_PAINTS).collect()
+    if not listed:
+        return points.sparkSession.createDataFrame([], "id long, rank int, line string")
+    own = lambda c, i: F.when(F.lit(i) == F.col(c), F.col(f"{c}_share")).otherwise(0.0)
+    weight = lambda i: F.col("centre_share") / len(listed) + own("lower", i) + own("upper", i)
+    parts = F.array(*(F.struct(F.lit(p.paint_idx).alias("paint_idx"), F.lit(p.name).alias("name"), weight(i).alias("weight")) for i, p in enumerate(listed)))
+    return wedges(points, len(listed)).filter("alpha > 0").select("id", parts.alias("parts")).select("id", F.inline(recipes.largest_lines(F.col("parts"), named)))
 
 
 def hue_lines(points: DataFrame) -> DataFrame:

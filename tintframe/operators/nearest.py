@@ -18,8 +18,10 @@ MOST_CANDIDATES = 112_537
 INDEX_ROOM = 1 << 17
 #: Edge of the cells that points and candidates are sorted into.
 CELL = 6.0
-#: Cells whose few candidates a task keeps.
-KNOWN_CELLS = 4096
+#: Places of candidates that a task keeps for the last cells, 8 bytes each.
+KNOWN_PLACES = 1 << 20
+#: Pairs of a point and a candidate measured at a time.
+PAIRS = 1 << 17
 
 
 class CandidateGrid:
@@ -38,6 +40,7 @@ class CandidateGrid:
         self.members = np.argsort(owner.reshape(-1), kind="stable")
         self.starts = np.searchsorted(owner.reshape(-1)[self.members], np.arange(len(self.cells) + 1))
         self.known: dict[tuple, np.ndarray] = {}
+        self.kept = 0
 
     def cell(self, lab: np.ndarray) -> np.ndarray:
         return np.floor(lab * self.scale / CELL).astype(np.int64)
@@ -49,9 +52,10 @@ class CandidateGrid:
         """
         asked = tuple(cell.tolist())
         if asked not in self.known:
-            if len(self.known) >= KNOWN_CELLS:
-                self.known.pop(next(iter(self.known)))
             self.known[asked] = self._near(cell)
+            self.kept += len(self.known[asked])
+            while self.kept > KNOWN_PLACES and len(self.known) > 1:
+                self.kept -= len(self.known.pop(next(iter(self.known))))
         return self.known[asked]
 
     def _near(self, cell: np.ndarray) -> np.ndarray:
@@ -73,8 +77,9 @@ class CandidateGrid:
         cuts = np.searchsorted(owner.reshape(-1)[order], np.arange(len(cells) + 1))
         for cell, lo, hi in zip(cells, cuts[:-1], cuts[1:], strict=True):
             some = self.near(cell)
-            for at in range(lo, hi, 4096):
-                mine = order[at : min(hi, at + 4096)]
+            wide = max(1, PAIRS // len(some))
+            for at in range(lo, hi, wide):
+                mine = order[at : min(hi, at + wide)]
                 d = lab[mine][:, None, :] - self.lab[some][None, :, :]
                 squared = self.lightness * d[..., 0] * d[..., 0] + d[..., 1] * d[..., 1] + d[..., 2] * d[..., 2]
                 out[mine] = self.index[some[np.floor(squared * 1e8 + 0.5).argmin(axis=1)]]

@@ -94,10 +94,11 @@ def dilate(pixels: DataFrame, name: str, radius: int) -> DataFrame:
 def contour_mask(indexed: DataFrame, cands: DataFrame, least: float = 12.0) -> DataFrame:
     """Add ``boundary``: whether a 4-neighbour's colour is ``least`` or more away in Lab.
 
-    The candidates' table has a bounded size and meets the pixels in a plain equi-join.
+    The candidates' table has a bounded size, ``MOST_CANDIDATES`` rows for one palette, and is
+    broadcast: dealt by candidate, the pixels of a common one would all meet in one task.
     """
     side = cands.select("cand_idx", *(F.col(c).alias(f"c_{c}") for c in "lab"))
-    out = indexed.join(side, "cand_idx")
+    out = indexed.join(F.broadcast(side), "cand_idx")
     strong = F.lit(False)
     for window in axes():
         for step in (-1, 1):

@@ -1,4 +1,4 @@
-"""Memory of the nearest search and dealing of the contour mask."""
+"""Memory of the nearest search, dealing of the contour mask and of filtered images."""
 
 import tracemalloc
 
@@ -37,3 +37,10 @@ def test_contour_mask_does_not_deal_pixels_by_candidate(spark):
     many = filters.contour_mask(pixels(1 << 40), cands)
     assert "hashpartitioning(cand_idx" not in many._jdf.queryExecution().executedPlan().toString()
     assert filters.contour_mask(pixels(400), cands).filter("boundary").count() == 400
+
+
+def test_filters_take_more_tasks_for_more_pixels(spark, monkeypatch):
+    monkeypatch.setattr(filters, "PIXELS_A_TASK", 100)
+    pixels = spark.range(4000).selectExpr("id div 100 as image_id", "cast(id % 100 div 10 as int) as y", "cast(id % 10 as int) as x", "cast(id as int) as argb")
+    assert filters.by_image(pixels).rdd.getNumPartitions() == 40
+    assert filters.guided(pixels, radius=1, edge=0.1).count() == 4000

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from ..functions import color
 
 
+#: Pixels that a task filters, on average: each of its sorts, a dozen for a style, holds them.
+PIXELS_A_TASK = 200_000
+
+
 def axes() -> tuple[WindowSpec, WindowSpec]:
     """Windows along an image's rows and along its columns."""
     return W.partitionBy("image_id", "y").orderBy("x"), W.partitionBy("image_id", "x").orderBy("y")
@@ -21,9 +25,13 @@ def by_image(pixels: DataFrame, whole: bool = True) -> DataFrame:
 
     ``whole`` deals an image to one task, which sorts it anew for each axis and spills what does
     not fit. That suits many images; with few and very large ones it is better off, and rows
-    and columns are dealt apart at every step.
+    and columns are dealt apart at every step. Tasks grow in number with the pixels, which are
+    counted: Spark's own merging of partitions goes by their packed size, a fraction of a sort's.
     """
-    return pixels.repartition("image_id") if whole else pixels
+    if not whole:
+        return pixels
+    tasks = math.ceil(pixels.count() / PIXELS_A_TASK)
+    return pixels.repartition(max(pixels.sparkSession.sparkContext.defaultParallelism, tasks), "image_id")
 
 
 def box(pixels: DataFrame, names: list[str], radius: int) -> DataFrame:

@@ -93,3 +93,35 @@ def test_components_of_a_long_chain_in_any_order(spark):
     edges = spark.createDataFrame([*zip(ids[:-1], ids[1:], strict=True), (5000, 5001), (6000, 6000)], "a long, b long")
     got = {r.node: r.component for r in components.components(edges).collect()}
     assert got == dict.fromkeys(range(3000), 0) | {5000: 5000, 5001: 5000, 6000: 6000}
+
+
+def test_least_need_is_a_lower_bound():
+    rng, t = np.random.default_rng(5), Fraction(3, 4)
+    for _ in range(200):
+        n = np.sort(rng.integers(1, 60, 8))
+        fits = lambda i, j: i != j and n[i] >= t * n[j] and n[j] >= t * n[i]  # noqa: B023, E731
+        want = [min((int(jaccard_join.least_shared(n[[i]], n[[j]], t)[0]) for j in range(8) if fits(i, j)), default=None) for i in range(8)]
+        got = jaccard_join._least_need(n, np.zeros(8, np.int64), t)
+        assert all(w is None or 1 <= g <= max(w, 1) <= g + 1 for g, w in zip(got.tolist(), want, strict=True))
+
+
+def test_few_shared_keys_make_no_suspects(spark, monkeypatch):
+    """Sets with a single key in common are no suspects; blocks of several shards with like members are one."""
+    rows, plain = {}, jaccard_join.save
+
+    def counted(df, name):
+        out = plain(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard_join, "save", counted)
+    monkeypatch.setattr(jaccard_join, "_KEYS_A_SHARD", 100)
+    rng = random.Random(6)
+    text = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    shared = [text(5) for _ in range(400)]
+    docs = [" ".join(sum((text(12) + shared[rng.randrange(400)] for _ in range(6)), [])) for _ in range(60)]
+    near = text(200)
+    docs += [" ".join(near), " ".join([*near[:-1], "other"])]
+    got = jaccard_join.jaccard_components(spark.createDataFrame([*enumerate(docs)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: min(i, 60) for i in range(62)}
+    assert rows["suspects"] == 2 and rows["blocks"] == 2

@@ -25,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from .common import both_sides, discard, free_name, lean, only, save
+from .common import both_sides, discard, free_name, lean, only, save, thinned, wanted_filter
 from .components import components, hooked
 from .hashing import U, mix, words_by_doc
 
@@ -157,11 +158,34 @@ def _keys(width: int, threshold: Fraction, shards: int, frequent):
     return keys
 
 
-_MEMBER_DDL = "block long, node long, n int, times int"
+def _least_need(n: np.ndarray, group: np.ndarray, threshold: Fraction) -> np.ndarray:
+    """The least number of keys that a member of a block shares with any partner there.
+
+    Members come sorted by block and size. Of the smaller sets the smallest that fits needs
+    least, of the larger ones the largest; for these, what rounding adds is left out.
+    """
+    p, q = threshold.numerator, threshold.denominator
+    at, spot = np.arange(len(n)), group << 32
+    low = np.searchsorted(spot + n, spot - (-n * p) // q)
+    high = np.searchsorted(spot + n, spot + n * q // p, "right") - 1
+    need = np.full(len(n), np.iinfo(np.int32).max, np.int64)
+    some = low < at
+    need[some] = least_shared(n[some], n[low[some]], threshold)
+    some = high > at
+    m = n[high[some]]
+    need[some] = np.minimum(need[some], 1 - ((p + q) * (p * m + q - 1) - p * q * (n[some] + m)) // (q * (p + q)))
+    return np.maximum(need, 1)
+
+
+#: ``need`` is the least number of keys that the node shares with any partner of the block.
+_MEMBER_DDL = "block long, node long, n int, times int, need int"
 
 
 def _blocks(threshold: Fraction, frequent):
-    """Keys of a shard to the members of its blocks; blocks with the same members are one, ``times`` over."""
+    """Keys of a shard to the members of its blocks; blocks with the same members are one, ``times`` over.
+
+    A block is named by its members, so that those of other shards can join it.
+    """
 
     def block(rows: list) -> pa.RecordBatch:
         key, node, size = (np.concatenate(x) for x in zip(*rows, strict=True))
@@ -186,9 +210,11 @@ def _blocks(threshold: Fraction, frequent):
         _, first, seen = np.unique(sums, return_index=True, return_counts=True)
         times = np.zeros(len(cuts), np.int32)
         times[first] = seen
-        times = np.repeat(times, width)
+        times, named = np.repeat(times, width), np.repeat(sums, width).view(np.int64)
         keep = times > 0
-        return pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(node[keep]), pa.array(size[keep].astype(np.int32)), pa.array(times[keep])], names=["block", "node", "n", "times"])
+        need = _least_need(size, np.repeat(np.arange(len(cuts)), width), threshold)
+        need[np.repeat(whole, width)] = 1  # a piece does not show all partners
+        return pa.RecordBatch.from_arrays([pa.array(named[keep]), pa.array(node[keep]), pa.array(size[keep].astype(np.int32)), pa.array(times[keep]), pa.array(need[keep].astype(np.int32))], names=["block", "node", "n", "times", "need"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
@@ -389,9 +415,17 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, threshold: Fraction =
     total = rows.agg(F.sum("n")).first()[0] or 0
     shards = max(1, math.ceil((1 - threshold) * total / _KEYS_A_SHARD))
     keys = base.select("text").mapInArrow(lean(_keys(width, threshold, shards, frequent), _ROWS), _KEYS_DDL)
-    members = save(keys.repartitionById(shards, "shard").sortWithinPartitions("shard").mapInArrow(lean(_blocks(threshold, frequent)), _MEMBER_DDL), "blocks")
-
-    wanted = save(members.select("node").distinct().join(classes.select("node", "row"), "node"), "suspect-rows")
+    met = save(keys.repartitionById(shards, "shard").sortWithinPartitions("shard").mapInArrow(lean(_blocks(threshold, frequent)), _MEMBER_DDL), "met-blocks")
+    # a node with a partner is in at least as many blocks as some of these ask for
+    shared = F.sum("times").over(W.partitionBy("node").orderBy("need"))
+    able = met.select("node", "need", "times").withColumn("shared", shared).filter("shared >= need").select("node").distinct()
+    able = save(able, "able")
+    # blocks of several shards with the same members are one, too
+    members = thinned(met.drop("need"), wanted_filter(able, "node"), "node").groupBy("block", "node").agg(F.first("n").alias("n"), F.sum("times").cast("int").alias("times"))
+    members = save(members, "blocks")
+    discard(met)
+
+    wanted = save(able.join(classes.select("node", "row"), "node"), "suspect-rows")
     suspects = only(base.select("row", "text"), wanted, "row").select("node", "text")
     suspects = save(suspects.mapInArrow(lean(_vectors(width), _ROWS), "node long, counts binary, text binary"), "suspects")
 
@@ -453,7 +487,7 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, threshold: Fraction =
     told = save(named.join(least.drop("rows"), "part").select(F.col("node").alias("told"), "component_id"), "components")
     # a row alone in its component is its own; only the others are looked up
     out = rows.join(told, F.col("node") == F.col("told"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("told").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "row")
-    discard(classes, members, wanted, suspects, still, found, second, third, parts, named)
+    discard(classes, members, able, wanted, suspects, still, found, second, third, parts, named)
     return out
 
 

@@ -3,7 +3,8 @@
 Equal sets are one node from the start. Two sets as similar as the threshold share a key among
 each one's first ``n - ceil(t * n) + 1`` shingles in any order that all sets agree on. Here
 that order is by hash, with the shingles that are frequent within a batch of documents last.
-Sets that share such a key form a block.
+Sets that share such a key form a block. How many keys a pair shares at least depends on its
+sizes; a set that is in fewer blocks than any partner in them asks for has none and falls out.
 
 Pairs come from R-trees over points ``(block, size, count vector)``: shingles are hashed to
 groups, the counts of the groups are coordinates, and the summed minima of two vectors bound

@@ -122,3 +122,51 @@ def test_word_edits_grow_with_the_line(spark):
     assert 15 < sum(map(len, want.values())) < 55
     got = line_dedup.duplicate_lines(spark.createDataFrame(docs, "doc_id long, text string"))
     assert {r.doc_id: r.removed for r in got.collect()} == want
+
+
+def test_packed_entries_come_back():
+    rng = np.random.default_rng(5)
+    ids, ranks, counts = rng.integers(-(2**62), 2**62, 5), np.array([0, 1, 70, 2.0**20, np.inf], np.float32), np.array([1, 3, 1, 300, 2])
+    key, at = rng.integers(0, 2**64, 307, np.uint64), rng.integers(-2, 2**20, 307)
+    got = line_dedup._unpack(line_dedup._pack(ids, ranks, counts, key, at))
+    want = key & np.uint64(2**48 - 1), np.repeat(ids, counts), np.repeat(ranks, counts), at
+    assert all(np.array_equal(x, y) for x, y in zip(got, want, strict=True))
+
+
+def test_fine_tallies_bound_the_word_edits():
+    rng = random.Random(12)
+    for n in (1, 40, 300):
+        a = [rng.randrange(2**60) for _ in range(n)]
+        for e in (0, 1, n // 20, n):
+            b = list(a)
+            for at in rng.sample(range(n), min(e, n)):
+                b[at] = rng.randrange(2**60)
+            sets = line_dedup._fine_bags(line_dedup.mix(np.array(a + b, np.uint64)), np.array([n, n]))
+            assert line_dedup.fine_gap(sets[:1], sets[1:])[0] <= 2 * min(e, n)
+    apart = line_dedup._fine_bags(line_dedup.mix(np.arange(200, dtype=np.uint64)), np.array([100, 100]))
+    assert line_dedup.fine_gap(apart[:1], apart[1:])[0] > 100
+
+
+def test_a_group_of_copies_just_too_far_apart_makes_few_candidates(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [f"word{rng.randrange(10**6)}" for _ in range(100)]
+    docs = []
+    for i in range(120):
+        words = list(base)
+        for at in rng.sample(range(100), 6):  # any two differ by some 12 words, 5 are allowed
+            words[at] = f"other{rng.randrange(10**6)}"
+        docs.append((i, " ".join(words)))
+    made, plain = {}, line_dedup.save
+
+    def counted(df, name):
+        out = plain(df, name)
+        if name.endswith("-candidates"):
+            made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "save", counted)
+    lines = [t.split() for _, t in docs]
+    near = [[sum(x != y for x, y in zip(lines[i], lines[j], strict=True)) <= 5 for j in range(i)] for i in range(120)]
+    got = line_dedup.duplicate_lines(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {r.doc_id: r.removed for r in got.collect()} == {i: [0] if any(x) else [] for i, x in enumerate(near)}
+    assert len(made) == 3 and sum(made.values()) < 120 * 119 // 2 // 10

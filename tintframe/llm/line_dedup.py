@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from operator import ne
 
 import numpy as np
 import pyarrow as pa
@@ -66,34 +67,40 @@ def _split(text: str | None) -> list[str]:
     return [line.strip(_BLANK) for line in (text or "").split("\n")]
 
 
-_FACTS = ("chars", "words", "tally", "bag", "sack")
-_LINES_DDL = "row long, doc_id long, keys long, lines array<long>, chars array<int>, words array<int>, tally array<long>, bag array<long>, sack array<long>"
+_PLANES = tuple(f"{c}{i}" for c in ("low", "high") for i in range(4))
+#: What the first look at a pair compares, and what members of blocks are compared by.
+_BRIEF = ("chars", "words", "tally", "bag")
+_FACTS = (*_BRIEF, *_PLANES)
+_LINES_DDL = "row long, doc_id long, keys long, lines array<long>"
+_FACTS_DDL = f"id long, row long, line string, chars int, words int, {', '.join(f'{c} long' for c in _FACTS[2:])}"
 
 
-def _lines(batches: Iterator[pa.RecordBatch], least: int, errors: int) -> Iterator[pa.RecordBatch]:
-    """Per text, of each line: id (null if blank), characters, words, a tally of those and two of these."""
+def _lines(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Per text: about how many keys its lines have, and the id of each line (null if blank)."""
     for batch in batches:
-        split = [_split(t) for t in batch["text"].to_pylist()]
-        flat = [line for lines in split for line in lines]
-        ids = [line_id(s) if len(s) >= least else None for s in flat]
-        chars, words = np.fromiter(map(len, flat), np.int64, len(flat)), np.zeros(len(flat), np.int64)
-        bag, sack = np.zeros(len(flat), U), np.zeros(len(flat), U)
-        for first, hashes, counts in words_by_doc([line.encode() for line in flat]):
-            words[first : first + len(counts)] = counts
-            bag[first : first + len(counts)] = _bags(mix(hashes), counts)
-            sack[first : first + len(counts)] = _bags(mix(hashes + U(1)), counts)
-        tally = np.zeros(len(flat), U)
-        short = np.flatnonzero((words < _wordy(errors)) & (chars > 0))
-        for at, hi in _slices(chars[short]):
-            some = short[at:hi]
-            codes = np.frombuffer("".join([flat[i] for i in some]).encode("utf-32-le", "surrogatepass"), np.uint32)
-            tally[some] = _tallies(codes, np.cumsum(chars[some]) - chars[some])
-        offsets = pa.array(np.cumsum([0, *map(len, split)]), pa.int32())
-        lists = lambda x, t: pa.ListArray.from_arrays(offsets, pa.array(x, t))  # noqa: B023, E731
-        ends = np.asarray(offsets)
-        keys = np.add.reduceat(np.append(words // 4 + 12, 0), ends[:-1]) if len(split) else []
-        columns = [pa.array(keys, pa.int64()), lists(ids, pa.int64()), lists(chars, pa.int32()), lists(words, pa.int32()), lists(tally.view(np.int64), pa.int64()), lists(bag.view(np.int64), pa.int64()), lists(sack.view(np.int64), pa.int64())]
-        yield pa.RecordBatch.from_arrays([batch["row"], batch["doc_id"], *columns], names=[x.split()[0] for x in _LINES_DDL.split(", ")])
+        texts = batch["text"].to_pylist()
+        split = [_split(t) for t in texts]
+        ids = [line_id(s) if len(s) >= least else None for lines in split for s in lines]
+        keys = [len(t or "") // 20 + 12 * len(lines) for t, lines in zip(texts, split, strict=True)]
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, split)]), pa.int32()), pa.array(ids, pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch["row"], batch["doc_id"], pa.array(keys, pa.int64()), lists], names=[x.split()[0] for x in _LINES_DDL.split(", ")])
+
+
+def _measure(lines: list[str], errors: int) -> dict[str, np.ndarray]:
+    """Of each line: characters, words, a tally of those, and a coarse and a fine one of these."""
+    chars, words = np.fromiter(map(len, lines), np.int64, len(lines)), np.zeros(len(lines), np.int64)
+    bag, planes = np.zeros(len(lines), U), np.zeros((len(lines), 8), U)
+    for first, hashes, counts in words_by_doc([line.encode() for line in lines]):
+        words[first : first + len(counts)] = counts
+        bag[first : first + len(counts)] = _bags(mix(hashes), counts)
+        planes[first : first + len(counts)] = _fine_bags(mix(hashes + U(1)), counts)
+    tally = np.zeros(len(lines), U)
+    short = np.flatnonzero((words < _wordy(errors)) & (chars > 0))
+    for at, hi in _slices(chars[short]):
+        some = short[at:hi]
+        codes = np.frombuffer("".join([lines[i] for i in some]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        tally[some] = _tallies(codes, np.cumsum(chars[some]) - chars[some])
+    return {"chars": chars, "words": words, "tally": tally, "bag": bag, **{c: planes[:, i] for i, c in enumerate(_PLANES)}}
 
 
 def _slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -105,11 +112,6 @@ def _slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
         at = hi
 
 
-def _distinct(batch: pa.RecordBatch, least: int) -> list[str]:
-    found = dict.fromkeys(line for t in batch["text"].to_pylist() if t for line in _split(t))
-    return [line for line in found if len(line) >= least]
-
-
 def _tallies(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Per line, counts of 16 classes of characters modulo 16, in one 64-bit word."""
     one = U(1) << (mix(codes.astype(U)) >> U(60) << U(2))
@@ -127,6 +129,27 @@ def _bags(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return ((seen.astype(U) & U(15)) << (U(4) * np.arange(16, dtype=U))).sum(axis=1, dtype=U)
 
 
+def _fine_bags(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Counts of 256 classes of words modulo 4: four 64-bit words of low bits and four of high ones."""
+    out = np.zeros((len(counts), 8), U)
+    ends = np.cumsum(counts)
+    for lo in range(0, len(counts), _ROWS):
+        some = counts[lo : lo + _ROWS]
+        mine = hashes[ends[lo] - counts[lo] : ends[lo + len(some) - 1]]
+        owner = np.repeat(np.arange(len(some)), some)
+        seen = np.bincount(owner * 256 + (mine >> U(56)).astype(np.int64), minlength=256 * len(some)).reshape(-1, 256)
+        for bit in (0, 1):
+            out[lo : lo + len(some), 4 * bit : 4 * bit + 4] = np.packbits((seen >> bit & 1).astype(np.uint8), axis=1).view(U)
+    return out
+
+
+def fine_gap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """:func:`tally_gap` of rows of :func:`_fine_bags`."""
+    low = a[:, :4] ^ b[:, :4]
+    two = (a[:, 4:] ^ b[:, 4:] ^ (~a[:, :4] & b[:, :4])) & ~low
+    return (np.bitwise_count(low).astype(np.int64) + 2 * np.bitwise_count(two)).sum(axis=1)
+
+
 def tally_gap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A lower bound of the summed differences of two lines' counts."""
     gap = np.zeros(len(a), np.int64)
@@ -212,7 +235,39 @@ def anchors(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(map(np.concatenate, zip(*found, strict=True)))
 
 
-_ENTRY_DDL = "shard int, id array<long>, rank array<float>, which array<int>, key array<long>, at array<int>"
+_ENTRY_DDL = "shard int, entries binary"
+#: Bytes of a key that travel. Lines that only these bring together fall apart when compared.
+_KEY_BYTES = 6
+
+
+def _pack(ids: np.ndarray, ranks: np.ndarray, counts: np.ndarray, key: np.ndarray, at: np.ndarray) -> bytes:
+    """Lines and the entries of each in turn as bytes, like bytes of all together as they compress better.
+
+    A rank goes without its lowest byte: it only chooses which line of a block is met first.
+    """
+    turned = lambda x, t: np.ascontiguousarray(x.astype(t)).view(np.uint8).reshape(len(x), -1).T
+    head = np.array([len(ids), len(key)], "<u4").tobytes()
+    key = key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_KEY_BYTES]
+    return b"".join((head, ids.astype("<i8").tobytes(), turned(ranks, "<f4")[1:].tobytes(), turned(counts, "<u4").tobytes(), key.tobytes(), turned(at, "<i4").tobytes()))
+
+
+def _unpack(data: bytes) -> tuple[np.ndarray, ...]:
+    """Key, line, rank and place of each entry of :func:`_pack`."""
+    n, m = np.frombuffer(data, "<u4", 2).tolist()
+    at = 8 + 8 * n
+
+    def plane(t: str, rows: int, width: int = 4) -> np.ndarray:
+        nonlocal at
+        out = np.zeros((rows, 4), np.uint8)
+        out[:, 4 - width :] = np.frombuffer(data, np.uint8, width * rows, at).reshape(width, rows).T
+        at += width * rows
+        return out.view(t).ravel()
+
+    ids, ranks, counts = np.frombuffer(data, "<i8", n, 8), plane("<f4", n, 3), plane("<u4", n)
+    key = np.zeros((m, 8), np.uint8)
+    key[:, :_KEY_BYTES] = np.frombuffer(data, np.uint8, _KEY_BYTES * m, at).reshape(m, -1)
+    at += _KEY_BYTES * m
+    return key.view("<u8").ravel(), np.repeat(ids, counts), np.repeat(ranks, counts), plane("<i4", m)
 
 
 def _deal(least: int, errors: int, graded: bool, shards: int):
@@ -248,13 +303,15 @@ def _deal(least: int, errors: int, graded: bool, shards: int):
                 away = hot.copy()
                 away[first] = False
                 shard = (mix(key ^ U(0x9FB21C651E98DF25) ^ np.where(away, mix(ids[which].view(U)), U(0))) % U(shards)).astype(np.int64)
-                order = np.lexsort((which, shard))
-                cuts = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1))
-                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                    mine = order[a:b]
-                    present, local = np.unique(which[mine], return_inverse=True)
-                    columns = [(ids[present], pa.int64()), (ranks[present], pa.float32()), (local.astype(np.int32), pa.int32()), (key[mine].view(np.int64), pa.int64()), ((2 * at[mine] + hot[mine]).astype(np.int32), pa.int32())]
-                    yield pa.RecordBatch.from_arrays([pa.array([shard[mine[0]]], pa.int32()), *(pa.array([c], pa.list_(t)) for c, t in columns)], names=[x.split()[0] for x in _ENTRY_DDL.split(", ")])
+                spot = shard << 32 | which
+                order = np.argsort(spot)
+                spot, code, place = spot[order], key[order], (2 * at + hot)[order]
+                starts = np.flatnonzero(np.diff(spot, prepend=-1))  # of each line of each shard
+                counts, of, home = np.diff(starts, append=len(spot)), spot[starts] & 0xFFFFFFFF, spot[starts] >> 32
+                cuts = np.flatnonzero(np.diff(home, prepend=-1))
+                ends = np.append(starts, len(spot))
+                packed = [_pack(ids[of[a:b]], ranks[of[a:b]], counts[a:b], code[ends[a] : ends[b]], place[ends[a] : ends[b]]) for a, b in zip(cuts, np.append(cuts[1:], len(home)), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(home[cuts], pa.int32()), pa.array(packed, pa.binary())], names=["shard", "entries"])
 
     return deal
 
@@ -272,6 +329,12 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(at.astype(np.int32)), pa.array(upto.astype(np.int32))], names=[x.split()[0] for x in _MET_DDL.split(", ")])
 
     def blocks(key, ids, rank, at) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(key)
+        same = key[order][1:] == key[order][:-1]
+        order = order[np.append(same, False) | np.append(False, same) | (at[order] & 1 == 1)]  # a key of one line tells nothing
+        if not len(order):
+            return
+        key, ids, rank, at = (x[order] for x in (key, ids, rank, at))
         order = np.lexsort((at, ids, key))
         key, ids, rank, at = (x[order] for x in (key, ids, rank, at))
         line = np.cumsum(np.concatenate([[True], (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])])) - 1
@@ -298,13 +361,12 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from blocks(*(np.concatenate(x) for x in zip(*held, strict=True)))
                 held = []
             now = shard
-            ids, rank, which, key, at = (np.asarray(batch[c][i].values) for c in ("id", "rank", "which", "key", "at"))
-            held.append((key.view(U), ids[which], rank[which], at))
+            held.append(_unpack(batch["entries"][i].as_py()))
     if held:
         yield from blocks(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
-def _may(errors: int, graded: bool, chars, words, tally, bag, sack, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _may(errors: int, graded: bool, chars, words, tally, bag, planes, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """How far apart in words the tallies hold lines ``a`` and ``b`` at least, or -1 if too far to be near."""
     n, m, p, q = np.maximum(chars[a], chars[b]), np.minimum(chars[a], chars[b]), np.maximum(words[a], words[b]), np.minimum(words[a], words[b])
     edits, swaps = allowed(n, errors, graded), p // _WORDS_AN_EDIT
@@ -312,7 +374,9 @@ def _may(errors: int, graded: bool, chars, words, tally, bag, sack, a: np.ndarra
     some = np.flatnonzero(close | near)
     gap = tally_gap(bag[a[some]], bag[b[some]])
     live = np.flatnonzero(gap <= np.maximum(3 * edits[some], 2 * swaps[some]))
-    some, gap = some[live], np.maximum(gap[live], tally_gap(sack[a[some[live]]], sack[b[some[live]]]))
+    some, gap = some[live], gap[live]
+    if planes is not None:
+        gap = np.maximum(gap, fine_gap(planes[a[some]], planes[b[some]]))
     short = p[some] < _wordy(errors)
     own = np.zeros(len(some), np.int64)
     own[short] = tally_gap(tally[a[some[short]]], tally[b[some[short]]])
@@ -322,9 +386,9 @@ def _may(errors: int, graded: bool, chars, words, tally, bag, sack, a: np.ndarra
     return out
 
 
-def _facts(batch: pa.RecordBatch, suffix: str = "") -> tuple[np.ndarray, ...]:
-    chars, words = (np.asarray(batch[c + suffix]).astype(np.int64) for c in _FACTS[:2])
-    return chars, words, *(np.asarray(batch[c + suffix]).view(U) for c in _FACTS[2:])
+def _brief(batch: pa.RecordBatch, suffix: str = "") -> tuple[np.ndarray, ...]:
+    chars, words = (np.asarray(batch[c + suffix]).astype(np.int64) for c in _BRIEF[:2])
+    return chars, words, *(np.asarray(batch[c + suffix]).view(U) for c in _BRIEF[2:])
 
 
 def _thin(errors: int, graded: bool):
@@ -332,9 +396,9 @@ def _thin(errors: int, graded: bool):
 
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            facts = [np.concatenate(x) for x in zip(_facts(batch, "_a"), _facts(batch, "_b"), strict=True)]
+            facts = [np.concatenate(x) for x in zip(_brief(batch, "_a"), _brief(batch, "_b"), strict=True)]
             at = np.arange(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(_may(errors, graded, *facts, at, at + batch.num_rows) >= 0))
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(_may(errors, graded, *facts, None, at, at + batch.num_rows) >= 0))
 
     return thin
 
@@ -342,15 +406,16 @@ def _thin(errors: int, graded: bool):
 def _earlier(errors: int, graded: bool, greedy: bool):
     """Members of cells to pairs: each line that asks, second, with the earlier ones that may be near.
 
-    Rows come sorted by cell; ``asks`` tells those that ask from those that are asked. A greedy
-    search takes of each cell only the one by whose tallies a line is nearest.
+    Rows come sorted by cell; ``asks`` tells those that ask and ``held`` those that are asked. A
+    greedy search takes of each cell only the one by whose tallies a line is nearest, and tells
+    by ``more`` that there are others.
     """
 
     def pairs(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
         cell, ids, at, upto, doc, row, place = (np.asarray(table[c]) for c in ("cell", "id", "at", "upto", "doc", "row", "place"))
-        unknown, asks = (table[c].to_numpy(zero_copy_only=False).astype(bool) for c in ("unknown", "asks"))
-        facts = _facts(table)
+        unknown, asks, held_here = (table[c].to_numpy(zero_copy_only=False).astype(bool) for c in ("unknown", "asks", "held"))
+        facts = *_brief(table), np.stack([np.asarray(table[c]).view(U) for c in _PLANES], axis=1)
         words = facts[1]
         rank = np.empty(len(ids), np.int64)
         rank[np.lexsort((place, row, doc, unknown))] = np.arange(len(ids))
@@ -358,8 +423,8 @@ def _earlier(errors: int, graded: bool, greedy: bool):
         group = np.unique(cell, return_inverse=True)[1]
         reach = np.maximum(words // (_WORDS_AN_EDIT - 1) + 1, errors)  # no partner allows more word edits
         wide = upto > at  # a sequence at several places of a line
-        found = [np.empty((2, 0), np.int64)]
-        for asked, held, near in ((asks & ~wide, ~asks & ~wide, True), (asks & ~wide, ~asks & wide, False), (asks & wide, ~asks, False)):
+        found = [np.empty((3, 0), np.int64)]
+        for asked, held, near in ((asks & ~wide, held_here & ~wide, True), (asks & ~wide, held_here & wide, False), (asks & wide, held_here, False)):
             asked, held = np.flatnonzero(asked), np.flatnonzero(held)
             spot = group * (1 << 32) + (at + 1 if near else 0)  # in a cell by place, where lines have one
             held = held[np.argsort(spot[held], kind="stable")]
@@ -377,14 +442,20 @@ def _earlier(errors: int, graded: bool, greedy: bool):
                 a, b = a[ok], b[ok]
                 gap = _may(errors, graded, *facts, a, b)
                 a, b, gap = a[gap >= 0], b[gap >= 0], gap[gap >= 0]
+                more = np.zeros(len(a), np.int64)
                 if greedy:
                     order = np.lexsort((rank[b], gap, a))
                     a, b = a[order], b[order]
-                    best = np.diff(a, prepend=-1) != 0
+                    best = np.flatnonzero(np.diff(a, prepend=-1))
+                    more = (np.diff(best, append=len(a)) > 1).astype(np.int64)
                     a, b = a[best], b[best]
-                found.append(np.unique(np.stack([ids[b], ids[a]]), axis=1))
-        a, b = np.unique(np.hstack(found), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                found.append(np.stack([ids[b], ids[a], more]))
+        found = np.hstack(found)
+        order = np.lexsort((-found[2], found[1], found[0]))
+        a, b, more = found[:, order]
+        new = (np.diff(a, prepend=0) != 0) | (np.diff(b, prepend=0) != 0)
+        new[:1] = True
+        yield pa.RecordBatch.from_arrays([pa.array(x[new]) for x in (a, b, more)], names=["a", "b", "more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -481,12 +552,19 @@ def _verify_words(both: list[tuple[str, str]], keep: np.ndarray) -> None:
     for i in np.flatnonzero(~keep):
         p, q = sorted((x.encode().split() for x in both[i]), key=len, reverse=True)
         e = len(p) // _WORDS_AN_EDIT
+        if e and len(p) == len(q) and sum(map(ne, p, q)) <= e:  # words replaced only
+            keep[i] = True
+            continue
         if not e or len(p) - len(q) > e or (Counter(p) - Counter(q)).total() > e:
             continue
         if e > 30 or len(signs) > 1_000_000:  # beyond the band of one 64-bit word, or of signs
             code = {w: c for c, w in enumerate(dict.fromkeys(p + q))}
             keep[i] = words_within([code[w] for w in p], [code[w] for w in q], e)
             continue
+        spare = max(0, len(q) - e - 1)  # what both begin or end with costs nothing; the check needs some words
+        start = next((k for k in range(spare) if p[k] != q[k]), spare)
+        end = next((k for k in range(spare - start) if p[-1 - k] != q[-1 - k]), spare - start)
+        p, q = p[start : len(p) - end], q[start : len(q) - end]
         p, q = ("".join([signs.setdefault(w, chr(len(signs))) for w in x]) for x in (p, q))
         waiting.setdefault(e, []).append((i, p, q))
     for e, some in waiting.items():
@@ -542,65 +620,77 @@ def duplicate_lines(docs: DataFrame, *, errors: int = 2, least: int | None = Non
     least = 1 if least is None else least
     assert 0 <= errors <= 20 and (graded or least > errors)
     base = _base(docs)
-    lines = save(base.mapInArrow(lean(lambda b: _lines(b, least, errors), _ROWS), _LINES_DDL).dropDuplicates(["row"]), "lines")
+    lines = save(base.mapInArrow(lean(lambda b: _lines(b, least), _ROWS), _LINES_DDL).dropDuplicates(["row"]), "lines")
     shards = max(1, math.ceil((lines.agg(F.sum("keys")).first()[0] or 0) / _ENTRIES_A_SHARD))
     dealt = base.select("doc_id", "text").mapInArrow(lean(_deal(least, errors, graded, shards), _ROWS), _ENTRY_DDL)
     met = save(dealt.repartitionById(shards, "shard").sortWithinPartitions("shard").mapInArrow(lean(_meet), _MET_DDL), "blocks")
     star, members = met.filter(F.col("kind") == STAR).select("a", "b"), met.filter(F.col("kind") == MEMBER)
 
-    each = lines.select("row", "doc_id", F.posexplode(F.arrays_zip("lines", *_FACTS)).alias("at", "x")).select("row", "doc_id", "at", "x.*").filter(F.col("lines").isNotNull())
+    each = lines.select("row", "doc_id", F.posexplode("lines").alias("at", "id")).filter(F.col("id").isNotNull())
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row", "at")).alias("first")
-    firsts = save(each.groupBy(F.col("lines").alias("id")).agg(first, F.count("*").alias("n"), *(F.first(c).alias(c) for c in _FACTS)), "first-places")
+    firsts = save(each.groupBy("id").agg(first, F.count("*").alias("n")), "first-places")
     asked = star.select(F.col("a").alias("id")).union(star.select("b")).union(members.select("b"))
+    may = wanted_filter(asked, "id")
     place = (F.col("first.unknown").alias("unknown"), F.coalesce("first.doc_id", F.lit(0)).alias("doc"), F.col("first.row").alias("row"), F.col("first.at").alias("place"))
-    facts = save(thinned(firsts.select("id", *place, *_FACTS), wanted_filter(asked, "id"), "id"), "facts")
+    placed = save(thinned(firsts.select("id", *place), may, "id"), "places")
+    may_row = wanted_filter(placed, "row")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Lines that are asked for, of texts that may be the first to have one, and their facts."""
+        for batch in batches:
+            batch = batch.filter(pa.array(may_row(np.asarray(batch["row"]))))
+            own = [(row, line) for row, t in zip(batch["row"].to_pylist(), batch["text"].to_pylist(), strict=True) if t for line in dict.fromkeys(_split(t)) if len(line) >= least]
+            ids = np.fromiter((line_id(line) for _, line in own), np.int64, len(own))
+            keep = np.flatnonzero(may(ids))
+            found = [own[i][1] for i in keep]
+            facts = _measure(found, errors)
+            columns = [pa.array(ids[keep]), pa.array([own[i][0] for i in keep], pa.int64()), pa.array(found, pa.string()), *(pa.array(facts[c].astype(np.int32)) for c in _FACTS[:2]), *(pa.array(facts[c].view(np.int64)) for c in _FACTS[2:])]
+            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _FACTS_DDL.split(", ")])
+
+    found = base.select("row", "text").mapInArrow(lean(read, _ROWS), _FACTS_DDL)
+    known = save(found.join(placed, ["id", "row"]).dropDuplicates(["id"]), "facts")  # a line's text is taken where it comes first
+    facts = known.drop("line")
 
     def later(pairs: DataFrame, name: str) -> DataFrame:
         """``id`` of the second line of each pair, the later one, that is near on the texts."""
-        pairs = save(pairs, f"{name}-candidates")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-        # a line's text is taken where it comes first
-        may, may_row = wanted_filter(wanted, "id"), wanted_filter(facts.join(wanted.distinct(), "id", "left_semi"), "row")
-
-        def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = _distinct(batch.filter(pa.array(may_row(np.asarray(batch["row"])))), least)
-                ids = np.fromiter(map(line_id, found), np.int64, len(found))
-                keep = np.flatnonzero(may(ids))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array([found[i] for i in keep], pa.string())], names=["id", "line"])
-
-        known = save(base.select("row", "text").mapInArrow(lean(texts, _ROWS), "id long, line string").dropDuplicates(["id"]), f"{name}-lines")
-        found = both_sides(pairs, known, "id", "line").mapInArrow(lean(_verify(errors, graded), _ROWS), "a long, b long")
-        found = save(found.select(F.col("b").alias("id")).distinct(), name)
-        discard(pairs, known)
-        return found
-
-    side = lambda c: facts.select(F.col("id").alias(c), F.struct("unknown", "doc", "row", "place").alias(f"first_{c}"), *(F.col(x).alias(f"{x}_{c}") for x in _FACTS))
+        found = both_sides(pairs, known.select("id", "line"), "id", "line").mapInArrow(lean(_verify(errors, graded), _ROWS), "a long, b long")
+        return save(found.select(F.col("b").alias("id")).distinct(), name)
+
+    side = lambda c: facts.select(F.col("id").alias(c), F.struct("unknown", "doc", "row", "place").alias(f"first_{c}"), *(F.col(x).alias(f"{x}_{c}") for x in _BRIEF))
     met_first = star.distinct().join(side("a"), "a").join(side("b"), "b")
     swapped = F.col("first_a") > F.col("first_b")
-    met_first = met_first.select(F.when(swapped, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swapped, F.col("a")).otherwise(F.col("b")).alias("b"), *(f"{x}_{c}" for x in _FACTS for c in "ab"))
-    gone = later(met_first.mapInArrow(_thin(errors, graded), "a long, b long"), "later")
+    met_first = met_first.select(F.when(swapped, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swapped, F.col("a")).otherwise(F.col("b")).alias("b"), *(f"{x}_{c}" for x in _BRIEF for c in "ab"))
+    nearest = save(met_first.mapInArrow(_thin(errors, graded), "a long, b long"), "later-candidates")
+    gone = later(nearest, "later")
+    discard(nearest)
 
-    def still(placed: DataFrame, gone: DataFrame, greedy: bool, name: str) -> tuple[DataFrame, DataFrame]:
-        """The blocks that hold lines which stay, and what of these goes after all."""
-        placed = placed.join(gone.withColumn("gone", F.lit(True)), "id", "left")
-        placed = save(placed.select("key", "id", "at", "upto", (F.col("open") & F.col("gone").isNull()).alias("open")), f"{name}-members")
+    def still(placed: DataFrame, greedy: bool, name: str) -> DataFrame:
+        """Lines of blocks with the earlier ones that may be near, of blocks with lines that are open."""
         sized = placed.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.col("open").cast("long")).alias("u")).filter("u > 0")
         pieces = lambda c: F.ceil(F.col(c) / BLOCK_LINES).cast("long")
         sized = save(sized.select("key", pieces("u").alias("ask_pieces"), pieces("m").alias("pieces")), f"{name}-blocks")
-        held = placed.join(sized, "key").withColumn("h", F.xxhash64("id"))
+        members = placed.join(sized, "key").withColumn("h", F.xxhash64("id"))
         spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias("other")
         cell = lambda p, q: F.xxhash64("key", p, q).alias("cell")
-        asking = held.filter("open").select("*", spread("pieces")).select(cell(F.pmod("h", "ask_pieces"), F.col("other")), "id", "at", "upto", F.lit(True).alias("asks"))
-        holding = held.select("*", spread("ask_pieces")).select(cell(F.col("other"), F.pmod("h", "pieces")), "id", "at", "upto", F.lit(False).alias("asks"))
+        # of a block of one cell, a row both asks and is asked
+        asking = members.filter("open and pieces > 1").select("*", spread("pieces")).select(cell(F.pmod("h", "ask_pieces"), F.col("other")), "id", "at", "upto", F.lit(True).alias("asks"), F.lit(False).alias("held"))
+        holding = members.select("*", spread("ask_pieces")).select(cell(F.col("other"), F.pmod("h", "pieces")), "id", "at", "upto", F.expr("open and pieces = 1").alias("asks"), F.lit(True).alias("held"))
         cells = asking.union(holding).join(facts, "id").repartition("cell").sortWithinPartitions("cell")
-        more = later(cells.mapInArrow(lean(_earlier(errors, graded, greedy)), "a long, b long").distinct(), name)
+        pairs = cells.mapInArrow(lean(_earlier(errors, graded, greedy)), "a long, b long, more long").groupBy("a", "b").agg(F.max("more").alias("more"))
+        pairs = save(pairs, f"{name}-candidates")
         discard(sized)
-        return placed, more
-
-    placed = members.select(F.col("a").alias("key"), F.col("b").alias("id"), "at", "upto", F.lit(True).alias("open"))
-    open_once, second = still(placed, gone, True, "second")
-    open_twice, third = still(open_once, second, False, "third")
+        return pairs
+
+    placed_in = members.select(F.col("a").alias("key"), F.col("b").alias("id"), "at", "upto")
+    stays = placed_in.join(gone.withColumn("gone", F.lit(True)), "id", "left").withColumn("open", F.col("gone").isNull()).drop("gone")
+    open_once = save(stays, "second-members")
+    closest = still(open_once, True, "second")
+    second = later(closest, "second")
+    # a line without other partners in any block is settled
+    rest = closest.filter("more > 0").select(F.col("b").alias("id")).distinct().join(second, "id", "left_anti").withColumn("rest", F.lit(True))
+    open_twice = save(open_once.drop("open").join(rest, "id", "left").withColumn("open", F.col("rest").isNotNull()).drop("rest"), "third-members")
+    others = still(open_twice, False, "third")
+    third = later(others.join(closest, ["a", "b"], "left_anti"), "third")
 
     near = gone.union(second).union(third).distinct().withColumn("near", F.lit(True))
     told = firsts.select("id", "n", "first").join(near, "id", "left").filter((F.col("n") > 1) | F.col("near"))
@@ -611,7 +701,7 @@ def duplicate_lines(docs: DataFrame, *, errors: int = 2, least: int | None = Non
     drop = drop.groupBy("row").agg(F.sort_array(F.collect_list("at")).alias("removed"), F.sort_array(F.collect_list(F.when(F.col("here"), F.col("at")))).alias("near"))
     none = F.array().cast("array<int>")
     out = save(lines.join(drop, "row", "left").select("row", "doc_id", F.size("lines").alias("n_lines"), F.coalesce("removed", none).alias("removed"), F.coalesce("near", none).alias("near")), "verdicts")
-    discard(lines, met, firsts, facts, gone, open_once, second, open_twice, third, told)
+    discard(lines, met, firsts, placed, known, gone, open_once, closest, second, open_twice, others, third, told)
     return out
 
 

@@ -279,3 +279,36 @@ def test_colours_solved_together_do_not_depend_on_each_other():
         alone = solver.match(targets[i : i + 1])[0]
         assert together[i][0] == alone[0] and together[i][1] == pytest.approx(alone[1], abs=1e-9) and together[i][2] == pytest.approx(alone[2], abs=1e-9)
     assert solver.match(targets[:0]) == []
+
+
+def test_close_colours_share_sweeps_and_mixed_lattices(monkeypatch):
+    solver = recipes.Solver([(p[0], p[4], p[5]) for p in pigments.PALETTE[::2]])
+    met, mixed = [], []
+    plain, mix = recipes._Sweep._first_of_all, recipes._lab_of
+    monkeypatch.setattr(recipes._Sweep, "_first_of_all", lambda sweep, targets: met.append(len(targets)) or plain(sweep, targets))
+    monkeypatch.setattr(recipes, "_lab_of", lambda shares, *args: mixed.append(len(shares)) or mix(shares, *args))
+    targets = np.array((55.0, 12.0, -20.0)) + np.random.default_rng(41).uniform(-1.5, 1.5, (700, 3))
+    together = solver.match(targets)
+    assert not met  # no colour meets all coarse points
+    assert sum(mixed) <= 13041 * 84 + 769 * 36  # each subset's finer lattice once at most
+    seen = len(mixed)
+    assert [x[0] for x in solver.match(targets[::-1])] == [x[0] for x in together[::-1]] and len(mixed) == seen
+    for i in range(0, 700, 41):
+        alone = solver.match(targets[i : i + 1])[0]
+        assert together[i][0] == alone[0] and together[i][1] == pytest.approx(alone[1], abs=1e-9) and together[i][2] == pytest.approx(alone[2], abs=1e-9)
+
+
+def test_finer_lattices_are_mixed_again_when_few_are_kept(monkeypatch):
+    paints = [(p[0], p[4], p[5]) for p in pigments.PALETTE[::3]]
+    targets = np.random.default_rng(42).uniform((0, -60, -60), (100, 60, 60), (60, 3))
+    want = recipes.Solver(paints).match(targets)
+    monkeypatch.setattr(recipes._Sweep, "KEPT", 3)
+    got = recipes.Solver(paints).match(targets)
+    assert got == want
+
+
+def test_a_colour_without_a_place_leaves_the_others_alone():
+    solver = recipes.Solver([(p[0], p[4], p[5]) for p in pigments.PALETTE[::3]])
+    targets = np.random.default_rng(43).uniform((20, -40, -40), (80, 40, 40), (50, 3))
+    got = solver.match(np.vstack([targets, [[np.nan, 0, 0]]]))
+    assert got[:50] == solver.match(targets) and got[50][1] == [1.0] and np.isnan(got[50][2])

@@ -30,9 +30,16 @@ def _lab_of(shares: np.ndarray, k: np.ndarray, s: np.ndarray) -> np.ndarray:
 
 
 def _lab_of_sums(ks: np.ndarray, ss: np.ndarray) -> np.ndarray:
-    q = ks / np.maximum(ss, pigments.LEAST_SCATTER)
-    r = 1 + q - np.sqrt(q * q + 2 * q)
-    r = (1 - pigments.SAUNDERSON_K1) * (1 - pigments.SAUNDERSON_K2) * r / (1 - pigments.SAUNDERSON_K2 * r)
+    if len(ks) > 256:  # what stays in the cache is mixed several times as fast
+        return np.concatenate([_lab_of_sums(ks[lo : lo + 256], ss[lo : lo + 256]) for lo in range(0, len(ks), 256)])
+    r = ks / np.maximum(ss, pigments.LEAST_SCATTER)
+    t = r * r
+    t += 2 * r
+    r += 1
+    r -= np.sqrt(t, out=t)
+    np.multiply(r, pigments.SAUNDERSON_K2, out=t)
+    r *= (1 - pigments.SAUNDERSON_K1) * (1 - pigments.SAUNDERSON_K2)
+    r /= np.subtract(1, t, out=t)
     t = (r @ _OBSERVERS.T) / color.WHITE
     f = np.where(t > color.EPSILON, np.cbrt(t), (color.KAPPA * t + 16) / 116)
     return np.stack([116 * f[:, 1] - 16, 500 * (f[:, 0] - f[:, 1]), 200 * (f[:, 1] - f[:, 2])], axis=1)
@@ -47,11 +54,16 @@ class _Sweep:
     """All subsets of one size (two or three paints) on a lattice of shares.
 
     A subset's coarse sweep, every fourth lattice point, is refined around its best point on
-    the lattice itself, and then a quarter finer within a lattice step, where shares need to be
-    mixed anew. How far such a step leads in Lab, and how far from its second-order form, is
-    measured at the neighbouring lattice points, with a quarter on top.
+    the lattice itself, and then a quarter finer within a lattice step, on a finer lattice that
+    is mixed when a subset first comes to it. How far such a step leads in Lab, and how far from
+    its second-order form, is measured at the neighbouring lattice points, with a quarter on top.
     """
 
+    #: Subsets whose finer lattices are kept, 0.3 MB each; when more come, it begins anew.
+    KEPT = 1024
+    #: Recipes from one coarse point that are refined together.
+    TOGETHER = 6
+
     def __init__(self, k: np.ndarray, s: np.ndarray, size: int):
         self.size, self.k, self.s = size, k, s
         self.members = np.array(list(combinations(range(len(k)), size)), np.int64).reshape(-1, size)
@@ -106,7 +118,8 @@ class _Sweep:
                 cross[:, real] += sign * (self.lab[:, to[real]] - self.lab[:, real] - straight)
                 n_met[real] += 1
             self.terms.append(((0, 1), cross / np.maximum(n_met, 1)[:, None]))
-        self.terms = [(axes, x.astype(np.float32)) for axes, x in self.terms]
+        self.told = np.stack([x.astype(np.float32) for _, x in self.terms], axis=-1)
+        self.terms = [(axes, self.told[..., i]) for i, (axes, _) in enumerate(self.terms)]
         self.reach, worst = np.zeros(self.bend.shape), np.zeros(self.bend.shape)
         for by in product((-1, 0, 1), repeat=size - 1):
             to = beside(by)
@@ -119,13 +132,38 @@ class _Sweep:
         self.bend = 1.25 * (self.bend + worst) + 1e-4
         # steps within a lattice step; those beyond a border lead nowhere
         by = [x for x in product(np.linspace(-1, 1, REFINE_STEPS + 1), repeat=size - 1) if any(x)]
-        self.length, self.fine = np.abs(by).max(axis=1), np.array(by) / self.steps
-        self.moves = np.array([[math.prod(x[axis] for axis in axes) for x in by] for axes, _ in self.terms])
+        self.length, self.fine = np.abs(by).max(axis=1).astype(np.float32), np.array(by) / self.steps
+        self.moves = np.array([[math.prod(x[axis] for axis in axes) for x in by] for axes, _ in self.terms], np.float32)
         self.exist = self._steps(here)[1]
+        self._finer(free)
         self.planes = [np.ascontiguousarray(self.lab[..., c]) for c in range(3)]
         self.swatch = [np.ascontiguousarray(self.lab[:, self.coarse, c]) for c in range(3)]
         self._bounds()
 
+    def _finer(self, free: np.ndarray) -> None:
+        """The finer lattice, and where in it the steps from each lattice point lead."""
+        half = REFINE_STEPS // 2
+        n = half * self.steps
+        row = np.arange(n + 1) if self.size == 2 else np.cumsum([0, *range(n + 1, 1, -1)])
+        at = lambda x: row[x[..., 0]] + (x[..., 1] if self.size == 3 else 0)
+        to = half * free[:, None] + np.rint(self.fine * n).astype(np.int64)
+        self.leads = np.where(self.exist, at(np.where(self.exist[..., None], to, 0)), 0)
+        places = np.array([(u, n - u) for u in range(n + 1)] if self.size == 2 else [(u, v, n - u - v) for u in range(n + 1) for v in range(n + 1 - u)])
+        self.finer = places / n
+        self.kept = np.empty((min(len(self.members), self.KEPT), 3, len(places)))
+        self.slot, self.used = np.full(len(self.members), -1), 0
+
+    def _slots(self, subset: np.ndarray) -> np.ndarray:
+        """Where in ``kept`` the finer lattices of some subsets are, ``KEPT`` different ones at most."""
+        new = np.unique(subset[self.slot[subset] < 0])
+        if self.used + len(new) > len(self.kept):
+            self.slot[:], self.used = -1, 0
+            new = np.unique(subset)
+        for c in new.tolist():
+            self.kept[self.used] = _lab_of(self.finer, self.k[self.members[c]], self.s[self.members[c]]).T
+            self.slot[c], self.used = self.used, self.used + 1
+        return self.slot[subset]
+
     def _bounds(self) -> None:
         """How far the refinements lead from a coarse point; a direction across each lattice point's surface.
 
@@ -145,13 +183,46 @@ class _Sweep:
         self.within = np.empty((len(self.members), len(self.coarse), 4, 2))
         for i in range(len(self.members)):
             sides = np.concatenate([np.broadcast_to(axes_, (len(self.coarse), 3, 3)), self.across[i, self.coarse, None]], axis=1)
-            across = lambda x: sides @ x[i].astype(np.float32).T  # noqa: B023, E731
-            seen = np.take_along_axis(across(self.lab), self.near[:, None], axis=2)
-            play = np.take_along_axis(sum(np.abs(across(x)) for _, x in self.terms), self.near[:, None], axis=2) + self.bend[i, self.near][:, None] + 2e-3
+            across = lambda x: sides @ x[i].astype(np.float32)[self.near].transpose(0, 2, 1)  # noqa: B023, E731
+            seen = across(self.lab)
+            play = sum(np.abs(across(x)) for _, x in self.terms) + self.bend[i, self.near][:, None] + 2e-3
             self.within[i] = np.stack([(seen - play).min(axis=2), (seen + play).max(axis=2)], axis=2)
+        # and so no farther from the coarse point than the box's corners
+        from_ = np.stack(self.swatch, axis=-1) / (color.LIGHTNESS_WEIGHT, 1, 1)
+        side = np.abs(self.within[..., :3, :] - from_[..., None]).max(axis=-1)
+        self.far = color.LIGHTNESS_WEIGHT**2 * side[..., 0] + np.hypot(side[..., 1], side[..., 2]) + 1e-6
 
     def first(self, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each subset's best coarse point for each target, as its place in ``coarse``, and its distance."""
+        """Each subset's best coarse point for each target, as its place in ``coarse``, and its distance.
+
+        For targets close to each other these are among the few points about as near to the
+        middle of the targets as the nearest. Subsets too far off to have the best recipe of
+        any target are told to be infinitely far.
+        """
+        if not len(self.members) or len(targets) < 2:
+            return self._first_of_all(targets)
+        middle = (targets.min(axis=0) + targets.max(axis=0)) / 2
+        gap = color.LIGHTNESS_WEIGHT * np.abs(self.swatch[0] - middle[0]) + np.hypot(self.swatch[1] - middle[1], self.swatch[2] - middle[2])
+        off = _distance(targets, middle).max() + 1e-6
+        near = gap <= gap.min(axis=1, keepdims=True) + 2 * off
+        may = np.flatnonzero(np.where(near, gap - self.far, np.inf).min(axis=1) <= gap.min() + 2 * off)
+        c, f = np.nonzero(near[may])
+        if len(c) > gap.size / 3:
+            return self._first_of_all(targets)
+        starts = np.searchsorted(c, np.arange(len(may)))
+        counts = np.diff(starts, append=len(c))
+        light, a, b = (x[may[c], f] for x in self.swatch)
+        at, d = np.zeros((len(targets), len(self.members)), np.int64), np.full((len(targets), len(self.members)), np.inf)
+        every = np.arange(len(c))
+        for lo in range(0, len(targets), 8):
+            tl, ta, tb = targets[lo : lo + 8].T[..., None]
+            gap = color.LIGHTNESS_WEIGHT * np.abs(light - tl) + np.sqrt((a - ta) ** 2 + (b - tb) ** 2)
+            least = np.minimum.reduceat(gap, starts, axis=1)
+            here = np.where(gap == np.repeat(least, counts, axis=1), every, len(c))
+            at[lo : lo + 8, may], d[lo : lo + 8, may] = f[np.minimum.reduceat(here, starts, axis=1)], least
+        return at, d
+
+    def _first_of_all(self, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at, d = np.empty((len(targets), len(self.members)), np.int64), np.empty((len(targets), len(self.members)))
         light, side = np.empty(self.swatch[0].shape), np.empty(self.swatch[0].shape)
         every = np.arange(len(self.members))
@@ -174,8 +245,29 @@ class _Sweep:
     def swept(self, subset: np.ndarray, first: np.ndarray, own: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The best lattice points of subsets after a refinement of their coarse points, and their distances."""
         at, d = self.coarse[first], own.copy()
-        for lo in range(0, len(subset), 256):
-            some = slice(lo, lo + 256)
+        key = subset * len(self.coarse) + first
+        order = np.argsort(key, kind="stable")
+        cuts = np.flatnonzero(np.diff(key[order], prepend=-1, append=-1))
+        many = np.diff(cuts) >= self.TOGETHER
+        # recipes from the same coarse point meet the same lattice points
+        for lo, hi in zip(cuts[:-1][many].tolist(), cuts[1:][many].tolist(), strict=True):
+            mine = order[lo:hi]
+            around, c = self.near[first[mine[0]]], subset[mine[0]]
+            light, a, b = (self.planes[i][c, around] - target[mine, i, None] for i in range(3))
+            a *= a
+            b *= b
+            a += b
+            np.sqrt(a, out=a)
+            np.abs(light, out=light)
+            light *= color.LIGHTNESS_WEIGHT
+            light += a
+            to = light.argmin(axis=1)
+            least = light[np.arange(len(to)), to]
+            better = least < own[mine]
+            at[mine[better]], d[mine[better]] = around[to[better]], least[better]
+        rest = order[np.repeat(~many, np.diff(cuts))]
+        for lo in range(0, len(rest), 256):
+            some = rest[lo : lo + 256]
             around = self.near[first[some]]
             light, a, b = (x[subset[some, None], around] - target[some, c, None] for c, x in enumerate(self.planes))
             gap = color.LIGHTNESS_WEIGHT * np.abs(light) + np.sqrt(a * a + b * b)
@@ -200,7 +292,7 @@ class _Sweep:
         seen = np.abs((gap * self.across[subset, at]).sum(axis=1)) - self.slack[subset, at]
         # the direction in which the distance is measured
         side = np.column_stack([color.LIGHTNESS_WEIGHT * np.sign(gap[:, 0]), gap[:, 1:] / np.maximum(np.hypot(gap[:, 1], gap[:, 2]), 1e-9)[:, None]])
-        play = sum(np.abs((side * x[subset, at]).sum(axis=1)) for _, x in self.terms)
+        play = np.abs(side[:, None] @ self.told[subset, at])[:, 0].sum(axis=1)
         return np.maximum(seen, d - np.minimum(play + self.bend[subset, at] + 1e-3, self.reach[subset, at]))
 
     def _steps(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -219,25 +311,36 @@ class _Sweep:
         out = np.empty(len(subset))
         for lo in range(0, len(subset), 256):
             c, i = subset[lo : lo + 256], at[lo : lo + 256]
-            told = np.stack([x[c, i] for _, x in self.terms], axis=2).astype(np.float64)
-            gap = (told.reshape(-1, len(self.terms)) @ self.moves).reshape(len(c), 3, -1) + (self.lab[c, i] - target[lo : lo + 256])[..., None]
-            least = color.LIGHTNESS_WEIGHT * np.abs(gap[:, 0]) + np.sqrt(gap[:, 1] ** 2 + gap[:, 2] ** 2) - self.bend[c, i][:, None] * self.length
-            out[lo : lo + 256] = np.where(self.exist[i], least, np.inf).min(axis=1)
-        return out
+            # in single precision, whose error here is far below what is taken off for it
+            told = self.told[c, i].reshape(-1, self.told.shape[-1])
+            gap = (told @ self.moves).reshape(len(c), 3, -1)
+            gap += (self.lab[c, i] - target[lo : lo + 256]).astype(np.float32)[..., None]
+            least, a, b = gap[:, 0], gap[:, 1], gap[:, 2]
+            np.abs(least, out=least)
+            least *= np.float32(color.LIGHTNESS_WEIGHT)
+            a *= a
+            b *= b
+            a += b
+            least += np.sqrt(a, out=a)
+            least -= self.bend[c, i].astype(np.float32)[:, None] * self.length
+            out[lo : lo + 256] = np.where(self.exist[i], least, np.float32(np.inf)).min(axis=1)
+        return out - 1e-3
 
     def refined(self, subset: np.ndarray, at: np.ndarray, d: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distance and shares of recipes after the second refinement."""
         best, shares = d.copy(), np.maximum(self.shares[at], 0)
-        for lo in range(0, len(subset), 8):
-            some = slice(lo, lo + 8)
-            tried, real = self._steps(at[some])
-            m = self.members[subset[some]]
-            lab = _lab_of_sums((tried @ self.k[m]).reshape(-1, self.k.shape[1]), (tried @ self.s[m]).reshape(-1, self.k.shape[1]))
-            gap = np.where(real, _distance(lab.reshape(*real.shape, 3), target[some, None]), np.inf)
-            row, to = np.arange(len(gap)), gap.argmin(axis=1)
-            better = np.flatnonzero(gap[row, to] < best[some])
-            best[some][better] = gap[better, to[better]]
-            shares[some][better] = tried[better, to[better]]
+        order, step = np.argsort(subset, kind="stable"), min(256, self.KEPT)
+        for lo in range(0, len(subset), step):
+            some = order[lo : lo + step]
+            slot, leads = self._slots(subset[some])[:, None], self.leads[at[some]]
+            light, a, b = (self.kept[slot, c, leads] - target[some, c, None] for c in range(3))
+            gap = np.where(self.exist[at[some]], color.LIGHTNESS_WEIGHT * np.abs(light) + np.sqrt(a * a + b * b), np.inf)
+            to = gap.argmin(axis=1)
+            least = gap[np.arange(len(to)), to]
+            better = least < best[some]
+            won, free = some[better], self.shares[at[some[better]], :-1] + self.fine[to[better]]
+            best[won] = least[better]
+            shares[won] = np.maximum(np.concatenate([np.minimum(free, 1), 1 - free.sum(axis=1, keepdims=True)], axis=1), 0)
         return best, shares / shares.sum(axis=1, keepdims=True)
 
 
@@ -246,11 +349,12 @@ class Solver:
 
     Every subset is swept on its lattice. The refinements are made of the most promising
     subsets first, and of the others only if what they can still gain suffices to beat the best
-    recipe known.
+    recipe known. Colours solved together are close to each other, as far as those asked for
+    together allow, so that they share much of this.
     """
 
     #: Colours solved at a time, and how many of a colour's recipes come first.
-    COLOURS, FIRST = 128, 16
+    COLOURS, FIRST = 256, 16
     #: Ranks of a colour's recipes, the most promising first, that are mixed at a time.
     TURNS = ((0, 1), (1, 3), (3, 8), (8, 1 << 30))
 
@@ -262,7 +366,25 @@ class Solver:
 
     def match(self, targets: np.ndarray) -> list[tuple[list[int], list[float], float]]:
         """Paints, shares and distance for each target; ties go to fewer paints, then to library order."""
-        return [x for lo in range(0, len(targets), self.COLOURS) for x in self._match(targets[lo : lo + self.COLOURS])]
+        out = [None] * len(targets)
+        finite = np.isfinite(targets).all(axis=1)
+        for some in self._close(targets, np.flatnonzero(finite)):
+            for i, x in zip(some.tolist(), self._match(targets[some]), strict=True):
+                out[i] = x
+        for i in np.flatnonzero(~finite).tolist():  # as far from every paint as from the first
+            out[i] = [self.index[0]], [1.0], float(_distance(self.single[0], targets[i]))
+        return out
+
+    def _close(self, targets: np.ndarray, some: np.ndarray) -> Iterator[np.ndarray]:
+        """Halves of the targets along their widest side, and of these, down to a batch."""
+        if len(some) <= self.COLOURS:
+            if len(some):
+                yield some
+            return
+        side = np.ptp(targets[some], axis=0) * (color.LIGHTNESS_WEIGHT, 1, 1)
+        order = np.argpartition(targets[some, side.argmax()], len(some) // 2)
+        for half in np.split(order, [len(some) // 2]):
+            yield from self._close(targets, some[half])
 
     def _match(self, targets: np.ndarray) -> list[tuple[list[int], list[float], float]]:
         alone = _distance(self.single, targets[:, None])
@@ -278,10 +400,11 @@ class Solver:
                 n = min(self.FIRST, len(sweep.members))
                 early = np.zeros(own.shape, bool)
                 np.put_along_axis(early, np.argpartition(own, n - 1, axis=1)[:, :n], True, axis=1)
-                t, c = np.indices(own.shape).reshape(2, -1)
-                least = sweep.may_come(c, first.ravel(), targets[t]).reshape(own.shape)
+                far = sweep.far[np.arange(own.shape[1]), first]
                 for turn in (early, ~early):
-                    c, t = np.nonzero((turn & (least <= known[:, None] + 1e-9)).T)  # a subset at a time, whose lattice stays in the cache
+                    c, t = np.nonzero((turn & (own - far <= known[:, None] + 1e-9)).T)  # a subset at a time, whose lattice stays in the cache
+                    may = sweep.may_come(c, first[t, c], targets[t]) <= known[t] + 1e-9
+                    c, t = c[may], t[may]
                     at, d = sweep.swept(c, first[t, c], own[t, c], targets[t])
                     np.minimum.at(known, t, d)
                     rows.append((t, c, at, d))
@@ -290,6 +413,8 @@ class Solver:
             if not rows:
                 continue
             t, c, at, d = (np.concatenate(x) for x in zip(*rows, strict=True))
+            may = np.flatnonzero(d - sweep.reach[c, at] <= known[t] + 1e-9)
+            t, c, at, d = t[may], c[may], at[may], d[may]
             least = sweep.may_reach(c, at, d, targets[t])
             order = np.lexsort((least, t))
             t, c, at, d, least = t[order], c[order], at[order], d[order], least[order]
@@ -332,7 +457,8 @@ def closest_blends(targets: DataFrame, paints: DataFrame) -> DataFrame:
     """id, paints, shares, distance: for each colour ``id, l, a, b`` its best recipe.
 
     The palette is a short list and travels with the tasks; distinct targets are dealt over
-    all cores, solved in batches against all subsets of one to three paints, and joined back.
+    all cores by where they lie in Lab, since those close to each other share work, solved in
+    batches against all subsets of one to three paints, and joined back.
     """
     rows = [(r.paint_idx, r.k, r.s) for r in paints.orderBy("paint_idx").collect()]
     if not 0 < len(rows) <= 64:
@@ -345,7 +471,8 @@ def closest_blends(targets: DataFrame, paints: DataFrame) -> DataFrame:
             found = _solver(told).match(batch[["l", "a", "b"]].to_numpy())
             yield batch[["l", "a", "b"]].assign(paints=[f[0] for f in found], shares=[f[1] for f in found], distance=[f[2] for f in found])
 
-    colours = targets.select("l", "a", "b").distinct().repartition(targets.sparkSession.sparkContext.defaultParallelism, "l", "a", "b")
+    cells = [F.floor(F.col(c) / width) for width in (16, 4) for c in "lab"]
+    colours = targets.select("l", "a", "b").distinct().repartitionByRange(4 * targets.sparkSession.sparkContext.defaultParallelism, *cells).sortWithinPartitions(*cells)
     found = colours.mapInPandas(run, _MATCH_DDL)
     return targets.select(F.col("id").cast("long"), "l", "a", "b").join(found, ["l", "a", "b"], "left").select("id", "paints", "shares", "distance")
 

@@ -69,6 +69,13 @@ def test_against_brute_force(spark, monkeypatch, errors):
     assert {r.doc_id: r.text for r in cut.collect()} == want
 
 
+def test_batches_whose_lines_have_no_keys(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["one two three", "!!!", "-", "one two threes"])], "doc_id long, text string").repartition(1)
+    docs = [(r.doc_id, r.text) for r in df.collect()]
+    got = line_dedup.duplicate_lines(df, errors=0, least=1).drop("row").collect()
+    assert sorted(map(tuple, got)) == brute(docs, 0, 1)
+
+
 def test_very_long_lines(spark):
     df = spark.createDataFrame([(1, "ab" * 30_000), (2, "ab" * 30_000 + "c"), (3, "ba" * 30_000 + "xyz")], "doc_id long, text string")
     assert {r.doc_id: r.removed for r in line_dedup.duplicate_lines(df).collect()} == {1: [], 2: [0], 3: []}

@@ -310,7 +310,7 @@ def _deal(least: int, errors: int, graded: bool, shards: int):
                 counts, of, home = np.diff(starts, append=len(spot)), spot[starts] & 0xFFFFFFFF, spot[starts] >> 32
                 cuts = np.flatnonzero(np.diff(home, prepend=-1))
                 ends = np.append(starts, len(spot))
-                packed = [_pack(ids[of[a:b]], ranks[of[a:b]], counts[a:b], code[ends[a] : ends[b]], place[ends[a] : ends[b]]) for a, b in zip(cuts, np.append(cuts[1:], len(home)), strict=True)]
+                packed = [_pack(ids[of[a:b]], ranks[of[a:b]], counts[a:b], code[ends[a] : ends[b]], place[ends[a] : ends[b]]) for a, b in zip(cuts, np.append(cuts, len(home))[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(home[cuts], pa.int32()), pa.array(packed, pa.binary())], names=["shard", "entries"])
 
     return deal

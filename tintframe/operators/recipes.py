@@ -24,14 +24,10 @@ _OBSERVERS = np.array(pigments.OBSERVERS) / pigments.NORM
 
 
 def _lab_of(shares: np.ndarray, k: np.ndarray, s: np.ndarray) -> np.ndarray:
-    """Spectral Lab of rows of shares: of the same few paints, or of each row's own."""
-    ks, ss = ((shares @ x if x.ndim == 2 else np.einsum("ij,ijb->ib", shares, x)) for x in (k, s))
-    return _lab_of_sums(ks, ss)
-
-
-def _lab_of_sums(ks: np.ndarray, ss: np.ndarray) -> np.ndarray:
-    if len(ks) > 256:  # what stays in the cache is mixed several times as fast
-        return np.concatenate([_lab_of_sums(ks[lo : lo + 256], ss[lo : lo + 256]) for lo in range(0, len(ks), 256)])
+    """Spectral Lab of rows of shares of the same few paints."""
+    if len(shares) > 256:  # what stays in the cache is mixed several times as fast
+        return np.concatenate([_lab_of(shares[lo : lo + 256], k, s) for lo in range(0, len(shares), 256)])
+    ks, ss = shares @ k, shares @ s
     r = ks / np.maximum(ss, pigments.LEAST_SCATTER)
     t = r * r
     t += 2 * r
@@ -168,15 +164,16 @@ class _Sweep:
         """How far the refinements lead from a coarse point; a direction across each lattice point's surface.
 
         Along ``across`` a step of first order does not move the colour, so that only the
-        second order and its error, ``slack``, take from the distance measured that way. Its
-        length is 1 in the dual of the distance's norm.
+        second order and its error take from the distance measured that way, ``low`` to
+        ``high``; squares do so on one side only. Its length is 1 in the dual of the
+        distance's norm.
         """
         rises = [x for axes, x in self.terms if len(axes) == 1]
         across = np.cross(*rises) if self.size == 3 else np.zeros(self.lab.shape, np.float32)
         length = np.maximum(np.abs(across[..., 0]) / color.LIGHTNESS_WEIGHT, np.hypot(across[..., 1], across[..., 2]))
         self.across = (across / np.maximum(length, 1e-9)[..., None]).astype(np.float32)
-        bent = sum(np.abs((self.across * x).sum(axis=-1)) for axes, x in self.terms if len(axes) == 2)
-        self.slack = (bent + self.bend + 1e-3).astype(np.float32)
+        bent = [self._range(axes, (self.across * x).sum(axis=-1)) for axes, x in self.terms if len(axes) == 2]
+        self.low, self.high = ((sum(x) + sign * (self.bend + 1e-3)).astype(np.float32) for x, sign in zip(zip(*bent, strict=True), (-1, 1), strict=True))
         # what the refinements of a coarse point can reach lies in a box along the axes and in
         # a slab along its own direction
         axes_ = np.eye(3, dtype=np.float32) / np.float32([color.LIGHTNESS_WEIGHT, 1, 1])
@@ -184,14 +181,21 @@ class _Sweep:
         for i in range(len(self.members)):
             sides = np.concatenate([np.broadcast_to(axes_, (len(self.coarse), 3, 3)), self.across[i, self.coarse, None]], axis=1)
             across = lambda x: sides @ x[i].astype(np.float32)[self.near].transpose(0, 2, 1)  # noqa: B023, E731
-            seen = across(self.lab)
-            play = sum(np.abs(across(x)) for _, x in self.terms) + self.bend[i, self.near][:, None] + 2e-3
-            self.within[i] = np.stack([(seen - play).min(axis=2), (seen + play).max(axis=2)], axis=2)
+            seen, play = across(self.lab), self.bend[i, self.near][:, None] + 2e-3
+            down, up = zip(*(self._range(axes, across(x)) for axes, x in self.terms), strict=True)
+            self.within[i] = np.stack([(seen + sum(down) - play).min(axis=2), (seen + sum(up) + play).max(axis=2)], axis=2)
         # and so no farther from the coarse point than the box's corners
         from_ = np.stack(self.swatch, axis=-1) / (color.LIGHTNESS_WEIGHT, 1, 1)
         side = np.abs(self.within[..., :3, :] - from_[..., None]).max(axis=-1)
         self.far = color.LIGHTNESS_WEIGHT**2 * side[..., 0] + np.hypot(side[..., 1], side[..., 2]) + 1e-6
 
+    @staticmethod
+    def _range(axes: tuple[int, ...], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What a term adds at least and at most within a step; a square does not change its sign."""
+        if len(set(axes)) < len(axes):
+            return np.minimum(x, 0), np.maximum(x, 0)
+        return -np.abs(x), np.abs(x)
+
     def first(self, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each subset's best coarse point for each target, as its place in ``coarse``, and its distance.
 
@@ -289,10 +293,12 @@ class _Sweep:
     def may_reach(self, subset: np.ndarray, at: np.ndarray, d: np.ndarray, target: np.ndarray) -> np.ndarray:
         """A quick bound on what the second refinement of recipes can reach at best."""
         gap = target - self.lab[subset, at]
-        seen = np.abs((gap * self.across[subset, at]).sum(axis=1)) - self.slack[subset, at]
+        seen = (gap * self.across[subset, at]).sum(axis=1)
+        seen = np.maximum(seen - self.high[subset, at], self.low[subset, at] - seen)
         # the direction in which the distance is measured
         side = np.column_stack([color.LIGHTNESS_WEIGHT * np.sign(gap[:, 0]), gap[:, 1:] / np.maximum(np.hypot(gap[:, 1], gap[:, 2]), 1e-9)[:, None]])
-        play = np.abs(side[:, None] @ self.told[subset, at])[:, 0].sum(axis=1)
+        told = (side[:, None] @ self.told[subset, at])[:, 0]
+        play = sum(self._range(axes, told[:, i])[1] for i, (axes, _) in enumerate(self.terms))
         return np.maximum(seen, d - np.minimum(play + self.bend[subset, at] + 1e-3, self.reach[subset, at]))
 
     def _steps(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -388,7 +394,7 @@ class Solver:
 
     def _match(self, targets: np.ndarray) -> list[tuple[list[int], list[float], float]]:
         alone = _distance(self.single, targets[:, None])
-        found = [[(d, (i,), np.ones(1)) for i, d in enumerate(row)] for row in alone.tolist()]
+        found = [[] for _ in targets]
         known = alone.min(axis=1)
         firsts = [sweep.first(targets) for sweep in self.sweeps]
         for _, d in firsts:
@@ -431,6 +437,14 @@ class Solver:
                     some = may[(lo <= rank) & (rank < hi) & (low <= known[t[may]] + 1e-9)]
                     best[some], how[some] = sweep.refined(c[some], at[some], d[some], targets[t[some]])
                     np.minimum.at(known, t[some], best[some])
+            rows[:] = t, c, best, how
+        whole = np.ones(1)
+        for t, i in zip(*(x.tolist() for x in np.nonzero(alone <= known[:, None] + 1e-9)), strict=True):
+            found[t].append((float(alone[t, i]), (i,), whole))
+        for sweep, rows in zip(self.sweeps, lattice, strict=True):
+            if not rows:
+                continue
+            t, c, best, how = rows
             met = np.flatnonzero(best <= known[t] + 1e-9)
             for i in met[np.argsort(best[met], kind="stable")].tolist():
                 found[t[i]].append((float(best[i]), tuple(sweep.members[c[i]].tolist()), how[i] / how[i].sum()))

@@ -312,3 +312,21 @@ def test_a_colour_without_a_place_leaves_the_others_alone():
     targets = np.random.default_rng(43).uniform((20, -40, -40), (80, 40, 40), (50, 3))
     got = solver.match(np.vstack([targets, [[np.nan, 0, 0]]]))
     assert got[:50] == solver.match(targets) and got[50][1] == [1.0] and np.isnan(got[50][2])
+
+
+def test_what_is_told_before_a_refinement_holds():
+    solver = recipes.Solver([(p[0], p[4], p[5]) for p in pigments.PALETTE if p[0] in (3, 6, 7, 8, 9, 10, 14)])
+    dark = np.random.default_rng(44).uniform((0, -20, -40), (12, 40, 20), (150, 3))
+    for target in np.array([*[[74.808, -25.6968, -8.0516], [75.4686, -26.4464, -5.4296]], *dark]):
+        best = recipes._distance(solver.single, target).min()
+        for sweep in solver.sweeps:
+            c, one = np.arange(len(sweep.members)), np.broadcast_to(target, (len(sweep.members), 3))
+            (first,), (own,) = sweep.first(target[None])
+            at, d = sweep.swept(c, first, own, one)
+            least = sweep.refined(c, at, d, one)[0]
+            refined = least < d
+            assert (sweep.least(c, at, one) <= least + 1e-9)[refined].all()
+            assert (sweep.may_reach(c, at, d, one) <= least + 1e-9).all() and (sweep.may_come(c, first, one) <= least + 1e-9).all()
+            assert (own - sweep.far[c, first] <= least).all() and (d - sweep.reach[c, at] <= least).all()
+            best = min(best, least.min())
+        assert solver.match(target[None])[0][2] == pytest.approx(best, abs=1e-9)

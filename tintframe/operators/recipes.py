@@ -50,9 +50,9 @@ class _Sweep:
     """All subsets of one size (two or three paints) on a lattice of shares.
 
     A subset's coarse sweep, every fourth lattice point, is refined around its best point on
-    the lattice itself, and then a quarter finer within a lattice step, on a finer lattice that
-    is mixed when a subset first comes to it. How far such a step leads in Lab, and how far from
-    its second-order form, is measured at the neighbouring lattice points, with a quarter on top.
+    the lattice itself, and then a quarter finer within a lattice step, on a finer lattice.
+    How far such steps lead in Lab, and how far from their second-order form, is measured on all
+    of that lattice, so that what is told of recipes before they are refined always holds.
     """
 
     #: Subsets whose finer lattices are kept, 0.3 MB each; when more come, it begins anew.
@@ -79,13 +79,12 @@ class _Sweep:
         here = np.arange(len(free))
         beside = lambda by: np.array([moved(i, by) for i in here])
         # a step along each free share to its second order, by the neighbours on both sides or
-        # two on one; their third difference says how far that can be off
+        # two on one
         self.terms: list[tuple[tuple[int, ...], np.ndarray]] = []
-        self.bend = np.zeros(self.lab.shape[:2])
         for axis in range(size - 1):
             back2, back, on, on2 = (beside([step * (j == axis) for j in range(size - 1)]) for step in (-2, -1, 1, 2))
             at_ = lambda to: self.lab[:, to]
-            rise, curve, off = np.zeros(self.lab.shape), np.zeros(self.lab.shape), np.zeros(self.bend.shape)
+            rise, curve = np.zeros(self.lab.shape), np.zeros(self.lab.shape)
             inside = np.flatnonzero((back >= 0) & (on >= 0))
             rise[:, inside] = (at_(on[inside]) - at_(back[inside])) / 2
             curve[:, inside] = (at_(on[inside]) + at_(back[inside])) / 2 - at_(inside)
@@ -94,15 +93,6 @@ class _Sweep:
                 far = np.where(two[edge] >= 0, two[edge], one[edge])
                 curve[:, edge] = np.where((two[edge] >= 0)[:, None], (at_(far) - 2 * at_(one[edge]) + at_(edge)) / 2, 0)
                 rise[:, edge] = sign * (at_(one[edge]) - at_(edge) - curve[:, edge])
-                third = np.flatnonzero((two >= 0) & (one >= 0) & ((back if sign > 0 else on) >= 0))
-                last = (back if sign > 0 else on)[third]
-                off[:, third] = np.maximum(off[:, third], _distance(at_(two[third]) - 3 * at_(one[third]) + 3 * at_(third) - at_(last), np.zeros(3)))
-            # where a point has no third difference of its own, its neighbours' stand for it
-            spread = off.copy()
-            for to in (back2, back, on, on2):
-                real = np.flatnonzero(to >= 0)
-                spread[:, real] = np.maximum(spread[:, real], off[:, to[real]])
-            self.bend += spread / 6
             self.terms += [((axis,), rise), ((axis, axis), curve)]
         if size == 3:
             signs = ((1, 1, 1), (-1, -1, 1), (1, -1, -1), (-1, 1, -1))
@@ -116,19 +106,10 @@ class _Sweep:
             self.terms.append(((0, 1), cross / np.maximum(n_met, 1)[:, None]))
         self.told = np.stack([x.astype(np.float32) for _, x in self.terms], axis=-1)
         self.terms = [(axes, self.told[..., i]) for i, (axes, _) in enumerate(self.terms)]
-        self.reach, worst = np.zeros(self.bend.shape), np.zeros(self.bend.shape)
-        for by in product((-1, 0, 1), repeat=size - 1):
-            to = beside(by)
-            real = np.flatnonzero(to >= 0)
-            step = self.lab[:, to[real]] - self.lab[:, real]
-            told = sum(math.prod(by[axis] for axis in axes) * x[:, real] for axes, x in self.terms)
-            for kept, gap in ((self.reach, step), (worst, step - told)):
-                kept[:, real] = np.maximum(kept[:, real], _distance(gap, np.zeros(3)))
-        self.reach = 1.25 * self.reach + 1e-4
-        self.bend = 1.25 * (self.bend + worst) + 1e-4
         # steps within a lattice step; those beyond a border lead nowhere
         by = [x for x in product(np.linspace(-1, 1, REFINE_STEPS + 1), repeat=size - 1) if any(x)]
-        self.length, self.fine = np.abs(by).max(axis=1).astype(np.float32), np.array(by) / self.steps
+        self.fine = np.array(by) / self.steps
+        self.ring = np.rint(np.abs(by).max(axis=1) * (REFINE_STEPS // 2)).astype(np.int64) - 1
         self.moves = np.array([[math.prod(x[axis] for axis in axes) for x in by] for axes, _ in self.terms], np.float32)
         self.exist = self._steps(here)[1]
         self._finer(free)
@@ -148,6 +129,19 @@ class _Sweep:
         self.finer = places / n
         self.kept = np.empty((min(len(self.members), self.KEPT), 3, len(places)))
         self.slot, self.used = np.full(len(self.members), -1), 0
+        self.reach, self.off = np.zeros(self.lab.shape[:2]), np.zeros((*self.lab.shape[:2], half), np.float32)
+        none = np.where(self.exist, np.float32(0), np.float32(-np.inf))
+        for i in range(len(self.members)):
+            fine = self.kept[self._slots(np.array([i]))[0]].astype(np.float32)
+            told = np.moveaxis(self.told[i] @ self.moves, 1, 0)
+            step = [x[self.leads] - y.astype(np.float32)[:, None] for x, y in zip(fine, self.lab[i].T, strict=True)]
+            size = lambda x, y, z: np.float32(color.LIGHTNESS_WEIGHT) * np.abs(x) + np.sqrt(y * y + z * z)
+            self.reach[i] = (size(*step) + none).max(axis=1)
+            off = size(*(x - y for x, y in zip(step, told, strict=True))) + none
+            self.off[i] = np.stack([off[:, self.ring == r].max(axis=1) for r in range(half)], axis=1)
+        # more than what single precision can be off
+        self.reach, self.off = np.maximum(self.reach, 0) + 1e-3, np.maximum(self.off, 0) + np.float32(1e-3)
+        self.bend = self.off.max(axis=2).astype(np.float64)
 
     def _slots(self, subset: np.ndarray) -> np.ndarray:
         """Where in ``kept`` the finer lattices of some subsets are, ``KEPT`` different ones at most."""
@@ -311,7 +305,7 @@ class _Sweep:
     def least(self, subset: np.ndarray, at: np.ndarray, target: np.ndarray) -> np.ndarray:
         """What the second refinement of recipes can reach at best.
 
-        That is the distance after steps of second order, less their error, which shrinks with
+        That is the distance after steps of second order, less their error, by the length of
         the step.
         """
         out = np.empty(len(subset))
@@ -328,7 +322,7 @@ class _Sweep:
             b *= b
             a += b
             least += np.sqrt(a, out=a)
-            least -= self.bend[c, i].astype(np.float32)[:, None] * self.length
+            least -= self.off[c, i][:, self.ring]
             out[lo : lo + 256] = np.where(self.exist[i], least, np.float32(np.inf)).min(axis=1)
         return out - 1e-3
 
@@ -362,7 +356,7 @@ class Solver:
     #: Colours solved at a time, and how many of a colour's recipes come first.
     COLOURS, FIRST = 256, 16
     #: Ranks of a colour's recipes, the most promising first, that are mixed at a time.
-    TURNS = ((0, 1), (1, 3), (3, 8), (8, 1 << 30))
+    TURNS = ((0, 1), (1, 2), (2, 4), (4, 8), (8, 16), (16, 1 << 30))
 
     def __init__(self, paints: list[tuple[int, list[float], list[float]]]):
         self.index = [p[0] for p in paints]

@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import color, pigments
+from ..sources import scratch
 from . import mixtures
 
 PAIR_SWEEP, TRIPLE_SWEEP, REFINE_STEPS, REFINEMENTS = 48, 10, 8, 2
@@ -512,7 +513,8 @@ def to_match(targets: DataFrame, paints: DataFrame) -> DataFrame:
     id, paints, percentages, exact, snapped, argb, chroma_lost: ``exact`` is the distance that
     the solver reached, ``snapped`` that of the shown recipe, whose colour the rest describes.
     """
-    found = closest_blends(targets, paints).withColumn("percentages", percentages(F.col("shares")))
+    # read twice below, solved once
+    found = scratch.save(closest_blends(targets, paints), "recipes").withColumn("percentages", percentages(F.col("shares")))
     whole = F.transform(F.arrays_zip("paints", "percentages"), lambda p: F.struct(p["paints"].alias("paint_idx"), (p["percentages"] / 100).alias("share")))
     # equal recipes are mixed once
     recipes = found.select(F.col("paints").alias("p"), F.col("percentages").alias("q"), whole.alias("parts")).distinct()
